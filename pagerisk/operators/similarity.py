@@ -168,11 +168,16 @@ class HeadlineCorpus:
 
 
 def read_corpus(
-    headlines: DataFrame, encoder: Encoder, text: str = "headline", label: str = "clickbait"
+    headlines: DataFrame,
+    encoder: Encoder,
+    text: str = "headline",
+    label: str = "clickbait",
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> HeadlineCorpus:
     """Encode a labelled headline table (idx, text, label) once."""
     encoded = embed_texts(headlines, text, encoder)
-    return HeadlineCorpus(encoded.select("idx", "embedding", F.col(label).alias("label")))
+    vectors = encoded.select("idx", "embedding", F.col(label).alias("label"))
+    return HeadlineCorpus(vectors, broadcast_bytes)
 
 
 def nearest_headline(
