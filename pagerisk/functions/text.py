@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, functions as F
 
 FEAR_LABEL = "Fear_Mongering"
@@ -20,7 +18,8 @@ FEAR_WORDS = (
 
 def lexicon_hits(text: Column, words=FEAR_WORDS) -> Column:
     """How often whole words of the lexicon occur, in any case."""
-    return F.regexp_count(F.lower(text), F.lit(r"(?<!\p{L})(?:" + "|".join(words) + r")(?!\p{L})"))
+    pattern = r"(?<!\p{L})(?:" + "|".join(words) + r")(?!\p{L})"
+    return F.regexp_count(F.lower(text), F.lit(pattern))
 
 
 def fear_prediction(text: Column, words=FEAR_WORDS) -> Column:
@@ -44,40 +43,35 @@ GRAMMAR_PATTERNS = (
 BRACKETS = (("(", ")"), ("[", "]"), ("{", "}"))
 
 
-def grammar_errors(sentence: Column) -> Column:
-    """Errors in one sentence by a fixed rule table."""
-    by_pattern = [F.regexp_count(sentence, F.lit(p)) for p in GRAMMAR_PATTERNS]
-
-    def occurrences(char: str) -> Column:
-        return F.length(sentence) - F.length(F.replace(sentence, F.lit(char), F.lit("")))
-
-    unbalanced = [
-        F.when(occurrences(opening) != occurrences(closing), 1).otherwise(0)
-        for opening, closing in BRACKETS
-    ]
-    open_quote = F.when(occurrences('"') % 2 == 1, 1).otherwise(0)
-    words = F.split(F.lower(sentence), " ")
-    doubled = F.size(
-        F.filter(
-            F.arrays_zip(words.alias("a"), F.slice(words, 2, F.size(words)).alias("b")),
-            lambda pair: (pair["a"] == pair["b"]) & pair["a"].rlike(r"^\p{L}+$"),
-        )
+def _grammar_errors(sentence: str) -> str:
+    """SQL for the errors in one sentence by the fixed rule table."""
+
+    def occurrences(char: str) -> str:
+        return f"(length({sentence}) - length(replace({sentence}, '{char}', '')))"
+
+    words = f"split(lower({sentence}), ' ')"
+    rules = [f'regexp_count({sentence}, r"{pattern}")' for pattern in GRAMMAR_PATTERNS]
+    rules += [f"int({occurrences(a)} <> {occurrences(b)})" for a, b in BRACKETS]
+    rules.append(f"{occurrences(chr(34))} % 2")
+    rules.append(
+        f"size(filter(zip_with({words}, slice({words}, 2, size({words})),"
+        r" (a, b) -> a = b AND a RLIKE r'^\p{L}+$'), doubled -> doubled))"
     )
-    return reduce(lambda x, y: x + y, [*by_pattern, *unbalanced, open_quote, doubled])
+    return " + ".join(rules)
 
 
-def grammar_error_rate(sentences: Column) -> Column:
-    """Errors per sentence, 0.0 without sentences."""
-    total = F.aggregate(sentences, F.lit(0), lambda acc, s: acc + grammar_errors(s))
-    n = F.size(sentences)
-    return F.when(n > 0, total / n).otherwise(F.lit(0.0))
+def grammar_error_rate(sentences: str) -> Column:
+    """Errors per sentence of a column of sentence arrays, 0.0 without sentences."""
+    total = f"aggregate({sentences}, 0, (total, s) -> total + {_grammar_errors('s')})"
+    return F.expr(f"if(size({sentences}) > 0, {total} / size({sentences}), 0.0D)")
 
 
-def dot(a: Column, b: Column) -> Column:
-    products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
-    return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
+def _dot(a: str, b: str) -> str:
+    products = f"zip_with({a}, {b}, (x, y) -> double(x) * double(y))"
+    return f"aggregate({products}, 0.0D, (total, x) -> total + x)"
 
 
-def cosine01(a: Column, b: Column) -> Column:
-    """Cosine mapped from [-1, 1] to [0, 1]; NULL where a vector is zero."""
-    return (F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))) + 1) / 2
+def cosine01(a: str, b: str) -> Column:
+    """Cosine of two vector columns mapped from [-1, 1] to [0, 1]; NULL where one is zero."""
+    norms = f"sqrt({_dot(a, a)}) * sqrt({_dot(b, b)})"
+    return F.expr(f"(try_divide({_dot(a, b)}, {norms}) + 1) / 2")

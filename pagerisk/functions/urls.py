@@ -1,13 +1,13 @@
-"""Native column expressions over URLs and their parts.
+"""SQL expressions over URLs and their parts.
 
-A URL is cut once into an array of five parts (scheme, netloc, path with
-parameters, query, fragment); an absent part is the empty string.
+A URL is cut once into an array of five parts (scheme, netloc, path with parameters,
+query, fragment); an absent part is the empty string. Every function takes SQL
+expressions, usually column names, and returns one, so that a whole stage is built and
+parsed in a single step.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
-
 DEFAULT_SCHEME = "https"
 
 # RFC 3986 appendix B, with the scheme restricted to its own grammar.
@@ -27,165 +27,122 @@ _UNRESERVED_CODES = "^(?:2[DE]|3[0-9]|4[1-9A-F]|5[0-9AF]|6[1-9A-F]|7[0-9AE])"
 _KEPT_IN_PATH = r"A-Za-z0-9\-._~:/?#\[\]@!$&'()*+,;=%"
 
 
-def url_parts(url: Column) -> Column:
+def url_parts(url: str) -> str:
     """``array(scheme, netloc, path, query, fragment)``; control characters are dropped."""
-    visible = F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+", ""), r"[\x01\t\r\n]", "")
-    return F.split(F.regexp_replace(visible, GENERIC_SYNTAX, _PARTS), _CUT)
+    visible = rf"regexp_replace(regexp_replace({url}, r'^[\x00-\x20]+', ''), r'[\x01\t\r\n]', '')"
+    return f"split(regexp_replace({visible}, r'{GENERIC_SYNTAX}', '{_PARTS}'), '{_CUT}')"
 
 
-def join_url(scheme: Column, netloc: Column, path: Column, query: Column, fragment: Column) -> Column:
+def join_url(scheme: str, netloc: str, path: str, query: str, fragment: str) -> str:
     """Put five parts together; an empty part loses its delimiter."""
-    rooted = F.when(
-        (netloc != "") & (path != "") & ~path.startswith("/"), F.concat(F.lit("/"), path)
-    ).otherwise(path)
-    return F.concat(
-        F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""),
-        F.when(netloc != "", F.concat(F.lit("//"), netloc)).otherwise(""),
-        rooted,
-        F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""),
-        F.when(fragment != "", F.concat(F.lit("#"), fragment)).otherwise(""),
-    )
-
-
-def with_default_scheme(url: Column, scheme: str = DEFAULT_SCHEME) -> Column:
+    return f"""concat(
+      if({scheme} <> '', concat({scheme}, ':'), ''),
+      if({netloc} <> '', concat('//', {netloc}), ''),
+      if({netloc} <> '' AND {path} <> '' AND NOT startswith({path}, '/'), '/', ''), {path},
+      if({query} <> '', concat('?', {query}), ''),
+      if({fragment} <> '', concat('#', {fragment}), ''))"""
+
+
+def with_default_scheme(url: str, scheme: str = DEFAULT_SCHEME) -> str:
     """Trim, and prefix the scheme where there is none; ``host:port`` is not a scheme."""
-    bare = F.trim(url)
-    has_scheme = bare.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:(?!\d+(?:[/?#]|$))")
-    return (
-        F.when((bare == "") | has_scheme, bare)
-        .when(bare.startswith("//"), F.concat(F.lit(scheme + ":"), bare))
-        .when(bare.startswith("/"), bare)
-        .otherwise(F.concat(F.lit(scheme + "://"), bare))
-    )
+    bare = f"trim({url})"
+    return rf"""CASE
+      WHEN {bare} = '' OR {bare} RLIKE r'^(?:/(?!/)|[A-Za-z][A-Za-z0-9+.\-]*:(?!\d+(?:[/?#]|$)))' THEN {bare}
+      WHEN startswith({bare}, '//') THEN concat('{scheme}:', {bare})
+      ELSE concat('{scheme}://', {bare}) END"""
 
 
-def ascii_host(netloc: Column) -> Column:
+def ascii_host(netloc: str) -> str:
     """Non-ASCII host names in their ASCII form; the JVM call runs on those rows only."""
-    encoded = F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), netloc)
-    return F.when(netloc.rlike(r"[^\x00-\x7F]"), F.coalesce(encoded, netloc)).otherwise(netloc)
+    return rf"""if({netloc} RLIKE r'[^\x00-\x7F]',
+      coalesce(try_reflect('java.net.IDN', 'toASCII', {netloc}), {netloc}), {netloc})"""
 
 
-def normal_netloc(netloc: Column, scheme: Column) -> Column:
+def normal_netloc(netloc: str, scheme: str) -> str:
     """Host in lower case without trailing dots, default port or an empty port."""
-    userinfo = F.regexp_extract(netloc, r"^(.*@)", 1)
-    host = F.lower(F.regexp_replace(netloc, r"^.*@", ""))
-    host = F.regexp_replace(host, r"\.+(?=(?::\d*)?$)", "")
-    host = (
-        F.when(scheme == "http", F.regexp_replace(host, r":(?:0*80)?$", ""))
-        .when(scheme == "https", F.regexp_replace(host, r":(?:0*443)?$", ""))
-        .otherwise(F.regexp_replace(host, r":$", ""))
-    )
-    return F.concat(userinfo, host)
-
-
-def normal_escapes(text: Column) -> Column:
+    host = rf"regexp_replace(lower(regexp_replace({netloc}, r'^.*@', '')), r'\.+(?=(?::\d*)?$)', '')"
+    return f"""concat(regexp_extract({netloc}, r'^(.*@)', 1), CASE {scheme}
+      WHEN 'http' THEN regexp_replace({host}, r':(?:0*80)?$', '')
+      WHEN 'https' THEN regexp_replace({host}, r':(?:0*443)?$', '')
+      ELSE regexp_replace({host}, r':$', '') END)"""
+
+
+def normal_escapes(text: str) -> str:
     """Escapes in upper case, escaped unreserved characters decoded, stray ``%`` escaped."""
+    code = "upper(substring(piece, 1, 2))"
+    return f"""if(contains({text}, '%'), array_join(transform(split({text}, '%'), (piece, i) -> CASE
+      WHEN i = 0 THEN piece
+      WHEN NOT piece RLIKE '^[0-9A-Fa-f]{{2}}' THEN concat('%25', piece)
+      WHEN {code} RLIKE '{_UNRESERVED_CODES}'
+        THEN concat(char(int(conv({code}, 16, 10))), substring(piece, 3))
+      ELSE concat('%', {code}, substring(piece, 3)) END), ''), {text})"""
+
 
-    def piece(part: Column, i: Column) -> Column:
-        code = F.upper(F.substring(part, 1, 2))
-        rest = F.substring(part, 3, 2147483647)
-        return (
-            F.when(i == 0, part)
-            .when(~part.rlike("^[0-9A-Fa-f]{2}"), F.concat(F.lit("%25"), part))
-            .when(
-                code.rlike(_UNRESERVED_CODES),
-                F.concat(F.char(F.conv(code, 16, 10).cast("int")), rest),
-            )
-            .otherwise(F.concat(F.lit("%"), code, rest))
-        )
-
-    return F.when(
-        text.contains("%"), F.array_join(F.transform(F.split(text, "%"), piece), "")
-    ).otherwise(text)
-
-
-def escape_path(path: Column) -> Column:
+def escape_path(path: str) -> str:
     """Percent-encode, as UTF-8, what may not stand in a URL as it is."""
-    runs = F.regexp_extract_all(path, F.lit(f"[{_KEPT_IN_PATH}]+|[^{_KEPT_IN_PATH}]+"), F.lit(0))
-    escaped = F.transform(
-        runs,
-        lambda run: F.when(run.rlike(f"^[{_KEPT_IN_PATH}]"), run).otherwise(
-            F.replace(F.url_encode(run), F.lit("+"), F.lit("%20"))
-        ),
-    )
-    return F.when(path.rlike(f"[^{_KEPT_IN_PATH}]"), F.array_join(escaped, "")).otherwise(path)
+    kept = _KEPT_IN_PATH
+    return f"""if({path} RLIKE r"[^{kept}]", array_join(transform(
+      regexp_extract_all({path}, r"[{kept}]+|[^{kept}]+", 0),
+      run -> if(run RLIKE r"^[{kept}]", run, replace(url_encode(run), '+', '%20'))), ''), {path})"""
 
 
-def without_dot_segments(path: Column) -> Column:
+def without_dot_segments(path: str) -> str:
     """Resolve ``.`` and ``..`` segments of an absolute path."""
-    closed = F.regexp_replace(path, r"/(\.{1,2})$", "/$1/")
-    kept = F.aggregate(
-        F.split(F.regexp_replace(closed, "^/", ""), "/"),
-        F.array().cast("array<string>"),
-        lambda acc, seg: F.when(seg == ".", acc)
-        .when(seg == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
-        .otherwise(F.concat(acc, F.array(seg))),
-    )
-    has_dots = path.startswith("/") & path.rlike(r"/\.{1,2}(?:/|$)")
-    return F.when(has_dots, F.concat(F.lit("/"), F.array_join(kept, "/"))).otherwise(path)
-
-
-def without_default_port(netloc: Column, scheme: Column) -> Column:
-    return (
-        F.when(
-            (scheme == "http") & netloc.rlike(r":0*80$"),
-            F.replace(netloc, F.lit(":80"), F.lit("")),
-        )
-        .when(
-            (scheme == "https") & netloc.rlike(r":0*443$"),
-            F.replace(netloc, F.lit(":443"), F.lit("")),
-        )
-        .otherwise(netloc)
-    )
-
-
-def sorted_query(query: Column) -> Column:
+    closed = rf"regexp_replace(regexp_replace({path}, r'/(\.{{1,2}})$', '/$1/'), '^/', '')"
+    return rf"""if({path} RLIKE r'^/' AND {path} RLIKE r'/\.{{1,2}}(?:/|$)',
+      concat('/', array_join(aggregate(split({closed}, '/'), array()::array<string>,
+        (kept, segment) -> CASE segment
+          WHEN '.' THEN kept
+          WHEN '..' THEN slice(kept, 1, greatest(size(kept) - 1, 0))
+          ELSE concat(kept, array(segment)) END), '/')), {path})"""
+
+
+def without_default_port(netloc: str, scheme: str) -> str:
+    return f"""CASE
+      WHEN {scheme} = 'http' AND {netloc} RLIKE ':0*80$' THEN replace({netloc}, ':80', '')
+      WHEN {scheme} = 'https' AND {netloc} RLIKE ':0*443$' THEN replace({netloc}, ':443', '')
+      ELSE {netloc} END"""
+
+
+def sorted_query(query: str) -> str:
     """Pairs sorted by (key, value) and re-encoded form style; ``a`` becomes ``a=``."""
 
-    def decoded(raw: Column) -> Column:
-        valid = F.regexp_replace(raw, "%(?![0-9A-Fa-f]{2})", "%25")
-        return F.coalesce(F.try_url_decode(valid), raw)
+    def decoded(raw: str) -> str:
+        valid = f"regexp_replace({raw}, '%(?![0-9A-Fa-f]{{2}})', '%25')"
+        return f"coalesce(try_url_decode({valid}), {raw})"
+
+    def encoded(raw: str) -> str:
+        return f"replace(replace(url_encode({raw}), '%7E', '~'), '*', '%2A')"
 
-    def encoded(raw: Column) -> Column:
-        form = F.replace(F.url_encode(raw), F.lit("%7E"), F.lit("~"))
-        return F.replace(form, F.lit("*"), F.lit("%2A"))
+    key = decoded("get(split(item, '=', 2), 0)")
+    value = decoded("coalesce(get(split(item, '=', 2), 1), '')")
+    return f"""if({query} <> '', array_join(transform(
+      array_sort(transform(array_remove(split({query}, '&'), ''),
+        item -> struct({key} AS k, {value} AS v))),
+      pair -> concat({encoded('pair.k')}, '=', {encoded('pair.v')})), '&'), {query})"""
 
-    def pair(item: Column) -> Column:
-        sides = F.split(item, "=", 2)
-        return F.struct(
-            decoded(F.get(sides, 0)).alias("k"),
-            decoded(F.coalesce(F.get(sides, 1), F.lit(""))).alias("v"),
-        )
 
-    pairs = F.transform(F.array_remove(F.split(query, "&"), ""), pair)
-    form = F.transform(
-        F.array_sort(pairs), lambda p: F.concat(encoded(p["k"]), F.lit("="), encoded(p["v"]))
-    )
-    return F.when(query != "", F.array_join(form, "&")).otherwise(query)
+def single_slashes(path: str) -> str:
+    return f"regexp_replace({path}, '/{{2,}}', '/')"
 
 
-def single_slashes(path: Column) -> Column:
-    return F.regexp_replace(path, "/{2,}", "/")
+def _has_params(scheme: str) -> str:
+    return f"{scheme} IN ({', '.join(repr(s) for s in SCHEMES_WITH_PARAMS)})"
 
 
-def path_params(path: Column, scheme: Column) -> Column:
+def path_params(path: str, scheme: str) -> str:
     """The ``;parameters`` of the last path segment."""
-    return F.when(
-        scheme.isin(*SCHEMES_WITH_PARAMS), F.regexp_extract(path, ";([^/]*)$", 1)
-    ).otherwise("")
+    return f"if({_has_params(scheme)}, regexp_extract({path}, ';([^/]*)$', 1), '')"
 
 
-def path_without_params(path: Column, scheme: Column) -> Column:
-    return F.when(
-        scheme.isin(*SCHEMES_WITH_PARAMS), F.regexp_replace(path, ";[^/]*$", "")
-    ).otherwise(path)
+def path_without_params(path: str, scheme: str) -> str:
+    return f"if({_has_params(scheme)}, regexp_replace({path}, ';[^/]*$', ''), {path})"
 
 
-def url_key(url: Column) -> Column:
+def url_key(url: str) -> str:
     """URL-safe base64 of the raw URL, padding kept, without line breaks."""
-    encoded = F.base64(url.cast("binary"))
-    return F.translate(F.translate(encoded, "\r\n", ""), "+/", "-_")
+    return rf"translate(translate(base64(binary({url})), '\r\n', ''), '+/', '-_')"
 
 
-def url_from_key(key: Column) -> Column:
-    return F.unbase64(F.translate(key, "-_", "+/")).cast("string")
+def url_from_key(key: str) -> str:
+    return f"string(unbase64(translate({key}, '-_', '+/')))"

@@ -51,7 +51,7 @@ def fear_score_of(headings: Column, scorer: Scorer = fear_prediction) -> Column:
 def grammar_scores(df: DataFrame, text: str, out: str = "grammar_error_rate") -> DataFrame:
     """Errors per sentence of a text column."""
     split = df.withColumn("__sentences", sentences(F.col(text)))
-    return split.withColumn(out, grammar_error_rate(F.col("__sentences"))).drop("__sentences")
+    return split.withColumn(out, grammar_error_rate("__sentences")).drop("__sentences")
 
 
 def property_texts(page: str = "page") -> Column:
@@ -85,9 +85,9 @@ def page_scores(
         sentences(F.col("page.text")).alias("sentences"),
     )
     first_three = [
-        F.coalesce(cosine01(F.col("__content"), F.col("__url")), F.lit(0.0)).alias(FEATURES[0]),
+        F.coalesce(cosine01("__content", "__url"), F.lit(0.0)).alias(FEATURES[0]),
         F.coalesce(fear_score_of(F.col("headings"), scorer), F.lit(0.0)).alias(FEATURES[1]),
-        F.coalesce(grammar_error_rate(F.col("sentences")), F.lit(0.0)).alias(FEATURES[2]),
+        F.coalesce(grammar_error_rate("sentences"), F.lit(0.0)).alias(FEATURES[2]),
     ]
     vectors = texts.withColumns(
         {

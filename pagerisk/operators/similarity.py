@@ -37,7 +37,7 @@ def mean_vector(df: DataFrame, by: list[str], vector: str, out: str = "mean") ->
 
 
 def with_cosine01(df: DataFrame, a: str, b: str, out: str = "similarity") -> DataFrame:
-    return df.withColumn(out, cosine01(F.col(a), F.col(b)))
+    return df.withColumn(out, cosine01(a, b))
 
 
 def with_url_texts(df: DataFrame, url: str = "url", out: str = "url_texts") -> DataFrame:
@@ -61,7 +61,7 @@ def url_content_similarity(
             "__url": mean_text_vector(F.col("__texts"), encoder),
         }
     )
-    similarity = F.coalesce(cosine01(F.col("__content"), F.col("__url")), F.lit(0.0))
+    similarity = F.coalesce(cosine01("__content", "__url"), F.lit(0.0))
     return (
         vectors.withColumn("similarity", similarity)
         .withColumn("match", F.col("similarity") >= threshold)

@@ -89,15 +89,17 @@ def train_label_model(
     folds: int = 0,
     trees: int = 20,
     bags: int = 5,
+    max_iter: int = 20,
     seed: int = SEED,
 ):
     """Fit one algorithm on (features vector, 0/1 label).
 
-    ``folds`` of 2 or more selects the tree depth by cross-validation.
+    ``trees`` sizes the forest, ``bags`` the bagged ensemble, ``max_iter`` bounds boosting and
+    optimisation. ``folds`` of 2 or more selects the tree depth by cross-validation.
     """
     if algorithm == BAGGED_SVM:
         fitted = [
-            LinearSVC(labelCol=label, maxIter=20, regParam=0.01).fit(
+            LinearSVC(labelCol=label, maxIter=max_iter, regParam=0.01).fit(
                 train.sample(withReplacement=True, fraction=1.0, seed=seed + i)
             )
             for i in range(bags)
@@ -106,7 +108,7 @@ def train_label_model(
     if algorithm == RANDOM_FOREST:
         learner = RandomForestClassifier(labelCol=label, numTrees=trees, seed=seed)
     elif algorithm == BOOSTED_TREES:
-        learner = GBTClassifier(labelCol=label, maxIter=trees, seed=seed)
+        learner = GBTClassifier(labelCol=label, maxIter=max_iter, seed=seed)
     else:
         raise ValueError(f"unknown algorithm {algorithm!r}")
     if folds < 2:

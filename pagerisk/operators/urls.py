@@ -1,113 +1,93 @@
 """URL canonicalisation over a DataFrame column.
 
-Every operator cuts the URL in one projection and works on the parts in the next,
-so that each regular expression runs once per row.
+Every operator cuts the URL in one projection and works on the parts in later ones, so
+that each regular expression runs once per row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from pagerisk.functions import urls as U
 
-_TMP = "__url"
 _NAMES = ("scheme", "netloc", "path", "query", "fragment")
 
 
-def _cut(df: DataFrame, text) -> DataFrame:
-    """Add the five temporary part columns."""
-    parts = df.withColumn(f"{_TMP}_parts", U.url_parts(text))
-    return parts.withColumns(
-        {
-            f"{_TMP}_{name}": F.coalesce(F.get(F.col(f"{_TMP}_parts"), i), F.lit(""))
-            for i, name in enumerate(_NAMES)
-        }
-        | {f"{_TMP}_scheme": F.lower(F.coalesce(F.get(F.col(f"{_TMP}_parts"), 0), F.lit("")))}
-    )
-
-
-def _part(name: str):
-    return F.col(f"{_TMP}_{name}")
-
-
-def _finish(df: DataFrame, out: str, value) -> DataFrame:
-    done = df.withColumn(out, value)
-    return done.drop(f"{_TMP}_parts", *(f"{_TMP}_{name}" for name in _NAMES))
-
-
-def _joined(url: str):
-    whole = U.join_url(*(_part(name) for name in _NAMES))
-    return F.when(F.col(url).isNotNull(), whole)
-
-
-def _normalised_parts(df: DataFrame, url: str) -> DataFrame:
-    cut = _cut(df, U.with_default_scheme(F.col(url)))
-    scheme = _part("scheme")
-    step = cut.withColumns(
-        {
-            f"{_TMP}_netloc": U.normal_netloc(_part("netloc"), scheme),
-            f"{_TMP}_path": U.normal_escapes(_part("path")),
-            f"{_TMP}_query": U.normal_escapes(_part("query")),
-            f"{_TMP}_fragment": U.normal_escapes(_part("fragment")),
-        }
-    )
-    step = step.withColumns(
-        {
-            f"{_TMP}_netloc": U.ascii_host(_part("netloc")),
-            f"{_TMP}_path": U.escape_path(_part("path")),
-        }
-    ).withColumn(f"{_TMP}_path", U.without_dot_segments(_part("path")))
-    rooted = (_part("path") == "") & (_part("netloc") != "")
-    return step.withColumn(
-        f"{_TMP}_path", F.when(rooted, F.lit("/")).otherwise(_part("path"))
+class _Stages:
+    """Temporary part columns of one URL column, added stage by stage."""
+
+    def __init__(self, df: DataFrame, url: str, text: str | None = None):
+        self.columns, self.url = df.columns, f"`{url}`"
+        self.at = {name: f"__url_{name}" for name in _NAMES}
+        cut = df.selectExpr("*", f"{U.url_parts(text or self.url)} AS __url_parts")
+        parts = [f"coalesce(get(__url_parts, {i}), '')" for i in range(len(_NAMES))]
+        parts[0] = f"lower({parts[0]})"
+        self.df = cut.selectExpr("*", *(f"{p} AS {c}" for p, c in zip(parts, self.at.values())))
+
+    def __getitem__(self, name: str) -> str:
+        return self.at[name]
+
+    def stage(self, **changed: str) -> _Stages:
+        """Compute new versions of some parts."""
+        self.df = self.df.selectExpr("*", *(f"{e} AS {self.at[n]}_" for n, e in changed.items()))
+        self.at |= {name: f"{self.at[name]}_" for name in changed}
+        return self
+
+    def finish(self, out: str, value: str | None = None) -> DataFrame:
+        """The original columns and ``out``: a value, by default the joined URL."""
+        value = value or U.join_url(*self.at.values())
+        kept = [f"`{c}`" for c in self.columns if c != out]
+        return self.df.selectExpr(*kept, f"if({self.url} IS NOT NULL, {value}, NULL) AS `{out}`")
+
+
+def _normalised(df: DataFrame, url: str) -> _Stages:
+    s = _Stages(df, url, U.with_default_scheme(f"`{url}`"))
+    s.stage(
+        netloc=U.normal_netloc(s["netloc"], s["scheme"]),
+        path=U.normal_escapes(s["path"]),
+        query=U.normal_escapes(s["query"]),
+        fragment=U.normal_escapes(s["fragment"]),
     )
+    s.stage(netloc=U.ascii_host(s["netloc"]), path=U.escape_path(s["path"]))
+    s.stage(path=U.without_dot_segments(s["path"]))
+    return s.stage(path=f"if({s['path']} = '' AND {s['netloc']} <> '', '/', {s['path']})")
 
 
 def normalize_url(df: DataFrame, url: str = "url", out: str = "normalized_url") -> DataFrame:
     """RFC 3986 syntax-based normalisation; a missing scheme becomes https."""
-    return _finish(_normalised_parts(df, url), out, _joined(url))
+    return _normalised(df, url).finish(out)
 
 
 def url_components(df: DataFrame, url: str = "url", out: str = "parts") -> DataFrame:
     """Struct of scheme, netloc, path, params, query, fragment."""
-    scheme, path = _part("scheme"), _part("path")
-    parts = F.struct(
-        scheme.alias("scheme"),
-        _part("netloc").alias("netloc"),
-        U.path_without_params(path, scheme).alias("path"),
-        U.path_params(path, scheme).alias("params"),
-        _part("query").alias("query"),
-        _part("fragment").alias("fragment"),
-    )
-    return _finish(_cut(df, F.col(url)), out, F.when(F.col(url).isNotNull(), parts))
+    s = _Stages(df, url)
+    parts = f"""named_struct('scheme', {s['scheme']}, 'netloc', {s['netloc']},
+      'path', {U.path_without_params(s['path'], s['scheme'])},
+      'params', {U.path_params(s['path'], s['scheme'])},
+      'query', {s['query']}, 'fragment', {s['fragment']})"""
+    return s.finish(out, parts)
 
 
 def remove_default_port(df: DataFrame, url: str = "url", out: str = "portless_url") -> DataFrame:
-    cut = _cut(df, F.col(url))
-    netloc = U.without_default_port(_part("netloc"), _part("scheme"))
-    return _finish(cut.withColumn(f"{_TMP}_netloc", netloc), out, _joined(url))
+    s = _Stages(df, url)
+    return s.stage(netloc=U.without_default_port(s["netloc"], s["scheme"])).finish(out)
 
 
 def sort_query(df: DataFrame, url: str = "url", out: str = "sorted_url") -> DataFrame:
-    cut = _cut(df, F.col(url)).withColumn(f"{_TMP}_query", U.sorted_query(_part("query")))
-    return _finish(cut, out, _joined(url))
+    s = _Stages(df, url)
+    return s.stage(query=U.sorted_query(s["query"])).finish(out)
 
 
 def collapse_slashes(df: DataFrame, url: str = "url", out: str = "collapsed_url") -> DataFrame:
     """Runs of slashes in the path become one; parameters are left alone."""
-    path, scheme = _part("path"), _part("scheme")
-    params = U.path_params(path, scheme)
-    collapsed = F.concat(
-        U.single_slashes(U.path_without_params(path, scheme)),
-        F.when(params != "", F.concat(F.lit(";"), params)).otherwise(""),
-    )
-    cut = _cut(df, F.col(url)).withColumn(f"{_TMP}_path", collapsed)
-    return _finish(cut, out, _joined(url))
+    s = _Stages(df, url)
+    params = U.path_params(s["path"], s["scheme"])
+    path = U.single_slashes(U.path_without_params(s["path"], s["scheme"]))
+    return s.stage(path=f"concat({path}, if({params} <> '', concat(';', {params}), ''))").finish(out)
 
 
 def drop_fragment(df: DataFrame, url: str = "url", out: str = "defragmented_url") -> DataFrame:
-    cut = _cut(df, F.col(url)).withColumn(f"{_TMP}_fragment", F.lit(""))
-    return _finish(cut, out, _joined(url))
+    return _Stages(df, url).stage(fragment="''").finish(out)
 
 
 def clean_url(df: DataFrame, url: str = "url", out: str = "clean_url") -> DataFrame:
@@ -115,21 +95,19 @@ def clean_url(df: DataFrame, url: str = "url", out: str = "clean_url") -> DataFr
 
     All five steps work on the parts of one cut.
     """
-    scheme = _part("scheme")
-    cleaned = _normalised_parts(df, url).withColumns(
-        {
-            f"{_TMP}_netloc": U.without_default_port(_part("netloc"), scheme),
-            f"{_TMP}_query": U.sorted_query(_part("query")),
-            f"{_TMP}_path": U.single_slashes(_part("path")),
-            f"{_TMP}_fragment": F.lit(""),
-        }
+    s = _normalised(df, url)
+    s.stage(
+        netloc=U.without_default_port(s["netloc"], s["scheme"]),
+        query=U.sorted_query(s["query"]),
+        path=U.single_slashes(s["path"]),
+        fragment="''",
     )
-    return _finish(cleaned, out, _joined(url))
+    return s.finish(out)
 
 
 def with_url_key(df: DataFrame, url: str = "url", out: str = "url_key") -> DataFrame:
-    return df.withColumn(out, U.url_key(F.col(url)))
+    return df.selectExpr("*", f"{U.url_key(f'`{url}`')} AS `{out}`")
 
 
 def url_from_key(df: DataFrame, key: str = "url_key", out: str = "url") -> DataFrame:
-    return df.withColumn(out, U.url_from_key(F.col(key)))
+    return df.selectExpr("*", f"{U.url_from_key(f'`{key}`')} AS `{out}`")

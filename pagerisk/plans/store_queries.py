@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from pagerisk.functions.urls import url_key as key_of
 from pagerisk.operators import batches as B
+from pagerisk.operators.urls import with_url_key
 from pagerisk.plans.catalog import query, table
-from pagerisk.session import scratch_path
+from pagerisk.session import materialise, scratch_path
 
 STATE = B.BatchState(3, 30)
 
@@ -57,9 +57,8 @@ def host_rows(spark, sf_dir) -> DataFrame:
     host = F.regexp_extract("url", "^https?://([^/?#]+)", 1)
     title = F.regexp_extract("html", "<title>(.*?)</title>", 1)
     links = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))
-    return pages.select(
+    rows = pages.select(
         "page_id",
-        key_of(host).alias("url_key"),
         host.alias("url"),
         "html",
         F.when((title != "") & ~F.col("url").contains(".html"), title).alias("title"),
@@ -68,6 +67,7 @@ def host_rows(spark, sf_dir) -> DataFrame:
         .alias("links"),
         F.col("url").startswith("https:").alias("secure"),
     )
+    return with_url_key(rows)
 
 
 def _sides(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -272,7 +272,6 @@ def _stored_digest(pages: DataFrame) -> DataFrame:
 
 
 def _ingested_store(spark, sf_dir) -> str:
-    from pagerisk.session import materialise
     from pagerisk.sources.page_store import ingest
 
     root = scratch_path(spark, "store")

@@ -33,12 +33,15 @@ def build_session(app: str = "pagerisk", cores: int | str = "*") -> SparkSession
 
 
 def attach(spark: SparkSession) -> SparkSession:
-    """Set runtime options and make this package importable on every executor."""
+    """Set runtime options and make this package importable on every executor, once a session."""
+    if getattr(spark, "_pagerisk_attached", False):
+        return spark
     for key, value in _RUNTIME.items():
         spark.conf.set(key, value)
     sc = spark.sparkContext
     if not any(name.endswith("pagerisk_pkg.zip") for name in sc.listFiles):
         sc.addPyFile(_package_zip())
+    spark._pagerisk_attached = True
     return spark
 
 

@@ -133,7 +133,7 @@ def ingest(spark: SparkSession, root: str, landed: DataFrame, token: str | None
     before = last_commit(spark, root)
     if token is not None and _states(spark, root).filter(F.col("token") == token).take(1):
         return before
-    keyed = landed.withColumn("url_key", url_key(F.col("url")))
+    keyed = landed.selectExpr("*", f"{url_key('url')} AS url_key")
     first_seen = keyed.groupBy("url_key").agg(
         F.min(F.struct("file_idx", "record_no")).alias("first")
     )
