@@ -1,9 +1,9 @@
 """SQL expressions over URLs and their parts.
 
 A URL is cut once into an array of five parts (scheme, netloc, path with parameters,
-query, fragment); an absent part is the empty string. Every function takes SQL
-expressions, usually column names, and returns one, so that a whole stage is built and
-parsed in a single step.
+query, fragment); an absent part is the empty string. Every function takes SQL expressions and
+returns one. Values used more than once are bound to a lambda variable, so an expression
+stays small and each step runs once per row however often the optimizer copies it.
 """
 
 from __future__ import annotations
@@ -27,6 +27,13 @@ _UNRESERVED_CODES = "^(?:2[DE]|3[0-9]|4[1-9A-F]|5[0-9AF]|6[1-9A-F]|7[0-9AE])"
 _KEPT_IN_PATH = r"A-Za-z0-9\-._~:/?#\[\]@!$&'()*+,;=%"
 
 
+def bind(steps: list[tuple[str, str]], result: str) -> str:
+    """``result`` with each (name, value) step evaluated once, later steps seeing earlier names."""
+    for name, value in reversed(steps):
+        result = f"get(transform(array({value}), {name} -> {result}), 0)"
+    return result
+
+
 def url_parts(url: str) -> str:
     """``array(scheme, netloc, path, query, fragment)``; control characters are dropped."""
     visible = rf"regexp_replace(regexp_replace({url}, r'^[\x00-\x20]+', ''), r'[\x01\t\r\n]', '')"
@@ -45,11 +52,13 @@ def join_url(scheme: str, netloc: str, path: str, query: str, fragment: str) ->
 
 def with_default_scheme(url: str, scheme: str = DEFAULT_SCHEME) -> str:
     """Trim, and prefix the scheme where there is none; ``host:port`` is not a scheme."""
-    bare = f"trim({url})"
-    return rf"""CASE
-      WHEN {bare} = '' OR {bare} RLIKE r'^(?:/(?!/)|[A-Za-z][A-Za-z0-9+.\-]*:(?!\d+(?:[/?#]|$)))' THEN {bare}
-      WHEN startswith({bare}, '//') THEN concat('{scheme}:', {bare})
-      ELSE concat('{scheme}://', {bare}) END"""
+    kept = r"^$|^(?:/(?!/)|[A-Za-z][A-Za-z0-9+.\-]*:(?!\d+(?:[/?#]|$)))"
+    return bind(
+        [("bare", f"trim({url})")],
+        f"""CASE WHEN bare RLIKE r'{kept}' THEN bare
+          WHEN startswith(bare, '//') THEN concat('{scheme}:', bare)
+          ELSE concat('{scheme}://', bare) END""",
+    )
 
 
 def ascii_host(netloc: str) -> str:
@@ -139,6 +148,89 @@ def path_without_params(path: str, scheme: str) -> str:
     return f"if({_has_params(scheme)}, regexp_replace({path}, ';[^/]*$', ''), {path})"
 
 
+# Names bound by ``_cut``: the parts, as they stand.
+_PART = {
+    "scheme": "u_scheme", "netloc": "u_parts[1]", "path": "u_parts[2]", "query": "u_parts[3]",
+    "fragment": "u_parts[4]",
+}
+
+
+def _cut(url: str) -> list[tuple[str, str]]:
+    return [("u_parts", url_parts(url)), ("u_scheme", "lower(u_parts[0])")]
+
+
+def _with_parts(url: str, text: str, steps: list[tuple[str, str]], **changed: str) -> str:
+    """The joined URL with some parts replaced; NULL for NULL."""
+    joined = join_url(**(_PART | changed))
+    return f"if({url} IS NOT NULL, {bind(_cut(text) + steps, joined)}, NULL)"
+
+
+_NORMAL_STEPS = [
+    ("u_host", normal_netloc("u_parts[1]", "u_scheme")),
+    ("n_netloc", ascii_host("u_host")),
+    ("u_escaped", normal_escapes("u_parts[2]")),
+    ("u_safe", escape_path("u_escaped")),
+    ("u_resolved", without_dot_segments("u_safe")),
+    ("n_path", "if(u_resolved = '' AND n_netloc <> '', '/', u_resolved)"),
+    ("n_query", normal_escapes("u_parts[3]")),
+]
+
+
+def normalize_url(url: str) -> str:
+    """RFC 3986 syntax-based normalisation; a missing scheme becomes https."""
+    steps = [*_NORMAL_STEPS, ("n_fragment", normal_escapes("u_parts[4]"))]
+    return _with_parts(
+        url, with_default_scheme(url), steps,
+        netloc="n_netloc", path="n_path", query="n_query", fragment="n_fragment",
+    )
+
+
+def clean_url(url: str) -> str:
+    """Normalise, drop the default port, sort the query, collapse slashes, drop the fragment."""
+    steps = [
+        *_NORMAL_STEPS,
+        ("c_netloc", without_default_port("n_netloc", "u_scheme")),
+        ("c_path", single_slashes("n_path")),
+        ("c_query", sorted_query("n_query")),
+    ]
+    return _with_parts(
+        url, with_default_scheme(url), steps,
+        netloc="c_netloc", path="c_path", query="c_query", fragment="''",
+    )
+
+
+def remove_default_port(url: str) -> str:
+    steps = [("c_netloc", without_default_port("u_parts[1]", "u_scheme"))]
+    return _with_parts(url, url, steps, netloc="c_netloc")
+
+
+def sort_query(url: str) -> str:
+    return _with_parts(url, url, [("c_query", sorted_query("u_parts[3]"))], query="c_query")
+
+
+def collapse_slashes(url: str) -> str:
+    """Runs of slashes in the path become one; parameters are left alone."""
+    path = single_slashes(path_without_params("u_parts[2]", "u_scheme"))
+    steps = [
+        ("c_params", path_params("u_parts[2]", "u_scheme")),
+        ("c_path", f"concat({path}, if(c_params <> '', concat(';', c_params), ''))"),
+    ]
+    return _with_parts(url, url, steps, path="c_path")
+
+
+def drop_fragment(url: str) -> str:
+    return _with_parts(url, url, [], fragment="''")
+
+
+def url_components(url: str) -> str:
+    """Struct of scheme, netloc, path, params, query, fragment."""
+    parts = f"""named_struct('scheme', u_scheme, 'netloc', u_parts[1],
+      'path', {path_without_params('u_parts[2]', 'u_scheme')},
+      'params', {path_params('u_parts[2]', 'u_scheme')},
+      'query', u_parts[3], 'fragment', u_parts[4])"""
+    return f"if({url} IS NOT NULL, {bind(_cut(url), parts)}, NULL)"
+
+
 def url_key(url: str) -> str:
     """URL-safe base64 of the raw URL, padding kept, without line breaks."""
     return rf"translate(translate(base64(binary({url})), '\r\n', ''), '+/', '-_')"

@@ -1,93 +1,37 @@
-"""URL canonicalisation over a DataFrame column.
-
-Every operator cuts the URL in one projection and works on the parts in later ones, so
-that each regular expression runs once per row.
-"""
+"""URL canonicalisation over a DataFrame column: each operator adds one column."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from pagerisk.functions import urls as U
 
-_NAMES = ("scheme", "netloc", "path", "query", "fragment")
-
-
-class _Stages:
-    """Temporary part columns of one URL column, added stage by stage."""
-
-    def __init__(self, df: DataFrame, url: str, text: str | None = None):
-        self.columns, self.url = df.columns, f"`{url}`"
-        self.at = {name: f"__url_{name}" for name in _NAMES}
-        cut = df.selectExpr("*", f"{U.url_parts(text or self.url)} AS __url_parts")
-        parts = [f"coalesce(get(__url_parts, {i}), '')" for i in range(len(_NAMES))]
-        parts[0] = f"lower({parts[0]})"
-        self.df = cut.selectExpr("*", *(f"{p} AS {c}" for p, c in zip(parts, self.at.values())))
-
-    def __getitem__(self, name: str) -> str:
-        return self.at[name]
-
-    def stage(self, **changed: str) -> _Stages:
-        """Compute new versions of some parts."""
-        self.df = self.df.selectExpr("*", *(f"{e} AS {self.at[n]}_" for n, e in changed.items()))
-        self.at |= {name: f"{self.at[name]}_" for name in changed}
-        return self
-
-    def finish(self, out: str, value: str | None = None) -> DataFrame:
-        """The original columns and ``out``: a value, by default the joined URL."""
-        value = value or U.join_url(*self.at.values())
-        kept = [f"`{c}`" for c in self.columns if c != out]
-        return self.df.selectExpr(*kept, f"if({self.url} IS NOT NULL, {value}, NULL) AS `{out}`")
-
-
-def _normalised(df: DataFrame, url: str) -> _Stages:
-    s = _Stages(df, url, U.with_default_scheme(f"`{url}`"))
-    s.stage(
-        netloc=U.normal_netloc(s["netloc"], s["scheme"]),
-        path=U.normal_escapes(s["path"]),
-        query=U.normal_escapes(s["query"]),
-        fragment=U.normal_escapes(s["fragment"]),
-    )
-    s.stage(netloc=U.ascii_host(s["netloc"]), path=U.escape_path(s["path"]))
-    s.stage(path=U.without_dot_segments(s["path"]))
-    return s.stage(path=f"if({s['path']} = '' AND {s['netloc']} <> '', '/', {s['path']})")
-
 
 def normalize_url(df: DataFrame, url: str = "url", out: str = "normalized_url") -> DataFrame:
     """RFC 3986 syntax-based normalisation; a missing scheme becomes https."""
-    return _normalised(df, url).finish(out)
+    return df.withColumn(out, F.expr(U.normalize_url(f"`{url}`")))
 
 
 def url_components(df: DataFrame, url: str = "url", out: str = "parts") -> DataFrame:
     """Struct of scheme, netloc, path, params, query, fragment."""
-    s = _Stages(df, url)
-    parts = f"""named_struct('scheme', {s['scheme']}, 'netloc', {s['netloc']},
-      'path', {U.path_without_params(s['path'], s['scheme'])},
-      'params', {U.path_params(s['path'], s['scheme'])},
-      'query', {s['query']}, 'fragment', {s['fragment']})"""
-    return s.finish(out, parts)
+    return df.withColumn(out, F.expr(U.url_components(f"`{url}`")))
 
 
 def remove_default_port(df: DataFrame, url: str = "url", out: str = "portless_url") -> DataFrame:
-    s = _Stages(df, url)
-    return s.stage(netloc=U.without_default_port(s["netloc"], s["scheme"])).finish(out)
+    return df.withColumn(out, F.expr(U.remove_default_port(f"`{url}`")))
 
 
 def sort_query(df: DataFrame, url: str = "url", out: str = "sorted_url") -> DataFrame:
-    s = _Stages(df, url)
-    return s.stage(query=U.sorted_query(s["query"])).finish(out)
+    return df.withColumn(out, F.expr(U.sort_query(f"`{url}`")))
 
 
 def collapse_slashes(df: DataFrame, url: str = "url", out: str = "collapsed_url") -> DataFrame:
     """Runs of slashes in the path become one; parameters are left alone."""
-    s = _Stages(df, url)
-    params = U.path_params(s["path"], s["scheme"])
-    path = U.single_slashes(U.path_without_params(s["path"], s["scheme"]))
-    return s.stage(path=f"concat({path}, if({params} <> '', concat(';', {params}), ''))").finish(out)
+    return df.withColumn(out, F.expr(U.collapse_slashes(f"`{url}`")))
 
 
 def drop_fragment(df: DataFrame, url: str = "url", out: str = "defragmented_url") -> DataFrame:
-    return _Stages(df, url).stage(fragment="''").finish(out)
+    return df.withColumn(out, F.expr(U.drop_fragment(f"`{url}`")))
 
 
 def clean_url(df: DataFrame, url: str = "url", out: str = "clean_url") -> DataFrame:
@@ -95,19 +39,12 @@ def clean_url(df: DataFrame, url: str = "url", out: str = "clean_url") -> DataFr
 
     All five steps work on the parts of one cut.
     """
-    s = _normalised(df, url)
-    s.stage(
-        netloc=U.without_default_port(s["netloc"], s["scheme"]),
-        query=U.sorted_query(s["query"]),
-        path=U.single_slashes(s["path"]),
-        fragment="''",
-    )
-    return s.finish(out)
+    return df.withColumn(out, F.expr(U.clean_url(f"`{url}`")))
 
 
 def with_url_key(df: DataFrame, url: str = "url", out: str = "url_key") -> DataFrame:
-    return df.selectExpr("*", f"{U.url_key(f'`{url}`')} AS `{out}`")
+    return df.withColumn(out, F.expr(U.url_key(f"`{url}`")))
 
 
 def url_from_key(df: DataFrame, key: str = "url_key", out: str = "url") -> DataFrame:
-    return df.selectExpr("*", f"{U.url_from_key(f'`{key}`')} AS `{out}`")
+    return df.withColumn(out, F.expr(U.url_from_key(f"`{key}`")))
