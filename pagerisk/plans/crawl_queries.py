@@ -1 +1,134 @@
-"""To be filled."""
+"""Crawl archives, written from the page table and read back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from pagerisk.plans.catalog import query, table
+from pagerisk.plans.derive import PAGES_PER_FILE, write_archives
+from pagerisk.session import scratch_path
+from pagerisk.sources import archives as A
+from pagerisk.sources.feeds import read_headlines as read_csv
+
+ALL_FILES = A.LISTING_LIMIT
+
+FILES_SQL = f"""
+  SELECT DISTINCT page_id // {PAGES_PER_FILE} AS file_idx FROM pages"""
+PAGES_SQL = f"""
+  SELECT page_id, url, regexp_extract(html, '<title>(.*?)</title>', 1) AS title,
+    page_id // {PAGES_PER_FILE} AS file_idx, page_id % {PAGES_PER_FILE} AS n,
+    regexp_extract_all(html, '<a href="([^"]*)"', 1) AS links,
+    regexp_extract(html, '<script>(.*?)</script>', 1) AS script
+  FROM pages"""
+
+
+@query(f"SELECT file_idx, 'part-' || lpad(CAST(file_idx AS VARCHAR), 5, '0') || '.wat.gz' AS name, 'wat' AS kind FROM ({FILES_SQL})")
+def list_crawl_files(spark, sf_dir):
+    """All WAT files of a folder, in listing order."""
+    root = write_archives(table(spark, sf_dir, "pages"), "wat")
+    listed = A.list_crawl_files(spark, root, "wat", 0, ALL_FILES)
+    return listed.select("file_idx", F.substring_index("path", "/", -1).alias("name"), "kind")
+
+
+@query(
+    f"""SELECT file_idx, rec_type, http_content_type, count(*) AS records, count(DISTINCT url) AS uris
+       FROM ({PAGES_SQL}), (SELECT unnest(['request', 'response', 'response']) AS rec_type,
+         unnest([NULL, 'application/json', 'text/html; charset=utf-8']) AS http_content_type)
+       GROUP BY file_idx, rec_type, http_content_type
+       UNION ALL SELECT file_idx, 'warcinfo', NULL, 1, 0 FROM ({FILES_SQL})"""
+)
+def read_archives(spark, sf_dir):
+    """Every record of every WARC file, counted by type."""
+    root = write_archives(table(spark, sf_dir, "pages"), "warc")
+    files = A.list_crawl_files(spark, root, "warc", 0, ALL_FILES)
+    records = A.read_archives(files, "warc", rec_types=",")
+    return records.groupBy("file_idx", "rec_type", "http_content_type").agg(
+        F.count(F.lit(1)).alias("records"), F.count_distinct("target_uri").alias("uris")
+    )
+
+
+def _warc_sql(where: str) -> str:
+    return f"""
+      SELECT file_idx, url, script AS embedded, '/static/' || page_id || '.js' AS external
+      FROM ({PAGES_SQL}) WHERE {where}"""
+
+
+def _warc(spark, sf_dir, per_file):
+    root = write_archives(table(spark, sf_dir, "pages"), "warc")
+    pages = A.crawl_pages(spark, root, "warc", 0, ALL_FILES, per_file)
+    return pages.select(
+        "file_idx",
+        "url",
+        F.array_join("embedded_scripts", "|").alias("embedded"),
+        F.array_join("external_scripts", "|").alias("external"),
+    )
+
+
+@query(_warc_sql(f"n < {A.RECORDS_PER_FILE}"))
+def warc_html_pages(spark, sf_dir):
+    """The first ten accepted pages of every file; reading stops there."""
+    return _warc(spark, sf_dir, A.RECORDS_PER_FILE)
+
+
+@query(_warc_sql("true"))
+def warc_html_pages_uncapped(spark, sf_dir):
+    return _warc(spark, sf_dir, None)
+
+
+def _wat_sql(cap: str) -> str:
+    return f"""
+      SELECT file_idx, url, title, array_to_string(links[1:3], '|') AS links FROM (
+        SELECT *, row_number() OVER (PARTITION BY file_idx ORDER BY n) AS rn FROM ({PAGES_SQL})
+        WHERE title <> '' AND len(links) > 0) {cap}"""
+
+
+def _wat(spark, sf_dir, per_file):
+    root = write_archives(table(spark, sf_dir, "pages"), "wat")
+    pages = A.crawl_pages(spark, root, "wat", 0, ALL_FILES, per_file)
+    return pages.select("file_idx", "url", "title", F.array_join("links", "|").alias("links"))
+
+
+@query(_wat_sql(f"WHERE rn <= {A.RECORDS_PER_FILE}"))
+def wat_pages(spark, sf_dir):
+    return _wat(spark, sf_dir, A.RECORDS_PER_FILE)
+
+
+@query(_wat_sql(""))
+def wat_pages_uncapped(spark, sf_dir):
+    return _wat(spark, sf_dir, None)
+
+
+@query(
+    f"""SELECT url, title, n_links, external, CAST(1 + (i - 1) // 100 AS INTEGER) AS batch_id FROM (
+         SELECT w.url, t.title, len(t.links[1:3]) AS n_links, w.external,
+           row_number() OVER (ORDER BY t.title IS NULL, coalesce(t.file_idx, w.file_idx),
+                              coalesce(t.n, w.n)) AS i
+         FROM (SELECT *, '/static/' || page_id || '.js' AS external FROM ({PAGES_SQL})) w
+         LEFT JOIN (SELECT * FROM ({PAGES_SQL}) WHERE title <> '' AND len(links) > 0) t USING (url))"""
+)
+def ingest_crawl(spark, sf_dir):
+    """All WAT pages inserted, then all WARC pages merged into them, read back from the store."""
+    from pagerisk.session import materialise
+    from pagerisk.sources.page_store import ingest, read_pages
+
+    pages, store = table(spark, sf_dir, "pages"), scratch_path(spark, "crawl-store")
+    for kind in ("wat", "warc"):
+        landed = A.crawl_pages(spark, write_archives(pages, kind), kind, 0, ALL_FILES, None)
+        ingest(spark, store, materialise(landed, f"landed-{kind}"))
+    return read_pages(spark, store).select(
+        "url",
+        "title",
+        F.nullif(F.size("links"), F.lit(-1)).cast("long").alias("n_links"),
+        F.array_join("external_scripts", "|").alias("external"),
+        "batch_id",
+    )
+
+
+@query("SELECT text AS headline, toxic AS clickbait FROM documents JOIN labels USING (doc_id)")
+def read_headlines(spark, sf_dir):
+    """The labelled documents written as a headline CSV and read back."""
+    documents = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    path = scratch_path(spark, "headlines")
+    headlines = documents.select(F.col("text").alias("headline"), F.col("toxic").alias("clickbait"))
+    headlines.write.csv(path, header=True, quote='"', escape='"', quoteAll=True)
+    return read_csv(spark, path).drop("idx")
