@@ -27,11 +27,9 @@ _UNRESERVED_CODES = "^(?:2[DE]|3[0-9]|4[1-9A-F]|5[0-9AF]|6[1-9A-F]|7[0-9AE])"
 _KEPT_IN_PATH = r"A-Za-z0-9\-._~:/?#\[\]@!$&'()*+,;=%"
 
 
-def bind(steps: list[tuple[str, str]], result: str) -> str:
-    """``result`` with each (name, value) step evaluated once, later steps seeing earlier names."""
-    for name, value in reversed(steps):
-        result = f"get(transform(array({value}), {name} -> {result}), 0)"
-    return result
+def bind(name: str, value: str, result: str) -> str:
+    """``result`` with ``name`` standing for a value that is evaluated once."""
+    return f"get(transform(array({value}), {name} -> {result}), 0)"
 
 
 def url_parts(url: str) -> str:
@@ -54,7 +52,8 @@ def with_default_scheme(url: str, scheme: str = DEFAULT_SCHEME) -> str:
     """Trim, and prefix the scheme where there is none; ``host:port`` is not a scheme."""
     kept = r"^$|^(?:/(?!/)|[A-Za-z][A-Za-z0-9+.\-]*:(?!\d+(?:[/?#]|$)))"
     return bind(
-        [("bare", f"trim({url})")],
+        "bare",
+        f"trim({url})",
         f"""CASE WHEN bare RLIKE r'{kept}' THEN bare
           WHEN startswith(bare, '//') THEN concat('{scheme}:', bare)
           ELSE concat('{scheme}://', bare) END""",
@@ -148,87 +147,77 @@ def path_without_params(path: str, scheme: str) -> str:
     return f"if({_has_params(scheme)}, regexp_replace({path}, ';[^/]*$', ''), {path})"
 
 
-# Names bound by ``_cut``: the parts, as they stand.
-_PART = {
-    "scheme": "u_scheme", "netloc": "u_parts[1]", "path": "u_parts[2]", "query": "u_parts[3]",
-    "fragment": "u_parts[4]",
-}
+SCHEME, NETLOC, PATH, QUERY, FRAGMENT = (f"p[{i}]" for i in range(5))
+_ORDER = (SCHEME, NETLOC, PATH, QUERY, FRAGMENT)
+Step = dict[str, str]
 
 
-def _cut(url: str) -> list[tuple[str, str]]:
-    return [("u_parts", url_parts(url)), ("u_scheme", "lower(u_parts[0])")]
+def _chain(url: str, text: str, steps: list[Step], result: str) -> str:
+    """Cut ``text``, replace parts step by step, and compute the result; NULL for a NULL URL.
 
+    A step maps parts to expressions over the parts of the step before.
+    """
+    state = f"array({url_parts(text)})"
+    for step in [{SCHEME: f"lower({SCHEME})"}, *steps]:
+        parts = ", ".join(step.get(part, part) for part in _ORDER)
+        state = f"transform({state}, p -> array({parts}))"
+    return f"if({url} IS NOT NULL, get(transform({state}, p -> {result}), 0), NULL)"
 
-def _with_parts(url: str, text: str, steps: list[tuple[str, str]], **changed: str) -> str:
-    """The joined URL with some parts replaced; NULL for NULL."""
-    joined = join_url(**(_PART | changed))
-    return f"if({url} IS NOT NULL, {bind(_cut(text) + steps, joined)}, NULL)"
 
-
-_NORMAL_STEPS = [
-    ("u_host", normal_netloc("u_parts[1]", "u_scheme")),
-    ("n_netloc", ascii_host("u_host")),
-    ("u_escaped", normal_escapes("u_parts[2]")),
-    ("u_safe", escape_path("u_escaped")),
-    ("u_resolved", without_dot_segments("u_safe")),
-    ("n_path", "if(u_resolved = '' AND n_netloc <> '', '/', u_resolved)"),
-    ("n_query", normal_escapes("u_parts[3]")),
+_JOINED = join_url(*_ORDER)
+_NORMAL: list[Step] = [
+    {
+        NETLOC: normal_netloc(NETLOC, SCHEME),
+        PATH: normal_escapes(PATH),
+        QUERY: normal_escapes(QUERY),
+        FRAGMENT: normal_escapes(FRAGMENT),
+    },
+    {NETLOC: ascii_host(NETLOC), PATH: escape_path(PATH)},
+    {PATH: without_dot_segments(PATH)},
+    {PATH: f"if({PATH} = '' AND {NETLOC} <> '', '/', {PATH})"},
 ]
+_DROP_PORT: Step = {NETLOC: without_default_port(NETLOC, SCHEME)}
+_SORT_QUERY: Step = {QUERY: sorted_query(QUERY)}
+_DROP_FRAGMENT: Step = {FRAGMENT: "''"}
 
 
 def normalize_url(url: str) -> str:
     """RFC 3986 syntax-based normalisation; a missing scheme becomes https."""
-    steps = [*_NORMAL_STEPS, ("n_fragment", normal_escapes("u_parts[4]"))]
-    return _with_parts(
-        url, with_default_scheme(url), steps,
-        netloc="n_netloc", path="n_path", query="n_query", fragment="n_fragment",
-    )
+    return _chain(url, with_default_scheme(url), _NORMAL, _JOINED)
 
 
 def clean_url(url: str) -> str:
     """Normalise, drop the default port, sort the query, collapse slashes, drop the fragment."""
-    steps = [
-        *_NORMAL_STEPS,
-        ("c_netloc", without_default_port("n_netloc", "u_scheme")),
-        ("c_path", single_slashes("n_path")),
-        ("c_query", sorted_query("n_query")),
-    ]
-    return _with_parts(
-        url, with_default_scheme(url), steps,
-        netloc="c_netloc", path="c_path", query="c_query", fragment="''",
-    )
+    tidy = _DROP_PORT | _SORT_QUERY | {PATH: single_slashes(PATH)} | _DROP_FRAGMENT
+    return _chain(url, with_default_scheme(url), [*_NORMAL, tidy], _JOINED)
 
 
 def remove_default_port(url: str) -> str:
-    steps = [("c_netloc", without_default_port("u_parts[1]", "u_scheme"))]
-    return _with_parts(url, url, steps, netloc="c_netloc")
+    return _chain(url, url, [_DROP_PORT], _JOINED)
 
 
 def sort_query(url: str) -> str:
-    return _with_parts(url, url, [("c_query", sorted_query("u_parts[3]"))], query="c_query")
+    return _chain(url, url, [_SORT_QUERY], _JOINED)
 
 
 def collapse_slashes(url: str) -> str:
     """Runs of slashes in the path become one; parameters are left alone."""
-    path = single_slashes(path_without_params("u_parts[2]", "u_scheme"))
-    steps = [
-        ("c_params", path_params("u_parts[2]", "u_scheme")),
-        ("c_path", f"concat({path}, if(c_params <> '', concat(';', c_params), ''))"),
-    ]
-    return _with_parts(url, url, steps, path="c_path")
+    params = path_params(PATH, SCHEME)
+    path = single_slashes(path_without_params(PATH, SCHEME))
+    collapsed = {PATH: f"concat({path}, if({params} <> '', concat(';', {params}), ''))"}
+    return _chain(url, url, [collapsed], _JOINED)
 
 
 def drop_fragment(url: str) -> str:
-    return _with_parts(url, url, [], fragment="''")
+    return _chain(url, url, [_DROP_FRAGMENT], _JOINED)
 
 
 def url_components(url: str) -> str:
     """Struct of scheme, netloc, path, params, query, fragment."""
-    parts = f"""named_struct('scheme', u_scheme, 'netloc', u_parts[1],
-      'path', {path_without_params('u_parts[2]', 'u_scheme')},
-      'params', {path_params('u_parts[2]', 'u_scheme')},
-      'query', u_parts[3], 'fragment', u_parts[4])"""
-    return f"if({url} IS NOT NULL, {bind(_cut(url), parts)}, NULL)"
+    parts = f"""named_struct('scheme', {SCHEME}, 'netloc', {NETLOC},
+      'path', {path_without_params(PATH, SCHEME)}, 'params', {path_params(PATH, SCHEME)},
+      'query', {QUERY}, 'fragment', {FRAGMENT})"""
+    return _chain(url, url, [], parts)
 
 
 def url_key(url: str) -> str:
