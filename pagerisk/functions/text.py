@@ -40,6 +40,8 @@ GRAMMAR_PATTERNS = (
     r"(?:^| )[Aa] [aeiou]",  # "a" before a vowel
     r"(?:^| )[Aa]n [bcdfgjklmnpqrstvwxz]",  # "an" before a consonant
 )
+# A word followed by itself, counted once per repetition.
+DOUBLED_WORD = r"(?<![^ ])(\p{L}+) (?=\1(?: |$))"
 BRACKETS = (("(", ")"), ("[", "]"), ("{", "}"))
 
 
@@ -49,14 +51,10 @@ def _grammar_errors(sentence: str) -> str:
     def occurrences(char: str) -> str:
         return f"(length({sentence}) - length(replace({sentence}, '{char}', '')))"
 
-    words = f"split(lower({sentence}), ' ')"
     rules = [f'regexp_count({sentence}, r"{pattern}")' for pattern in GRAMMAR_PATTERNS]
     rules += [f"int({occurrences(a)} <> {occurrences(b)})" for a, b in BRACKETS]
     rules.append(f"{occurrences(chr(34))} % 2")
-    rules.append(
-        f"size(filter(zip_with({words}, slice({words}, 2, size({words})),"
-        r" (a, b) -> a = b AND a RLIKE r'^\p{L}+$'), doubled -> doubled))"
-    )
+    rules.append(f'regexp_count(lower({sentence}), r"{DOUBLED_WORD}")')
     return " + ".join(rules)
 
 

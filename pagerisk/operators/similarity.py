@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pagerisk.functions.encoders import Encoder, encode_distinct, mean_text_vector, text_vector
@@ -90,69 +91,91 @@ def compare_encoders(
     return step.select(F.inline(F.array(*results)))
 
 
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    """The non-NULL vectors of a list array as rows."""
+    known = vectors.drop_null()
+    flat = known.flatten().to_numpy(zero_copy_only=False)
+    return np.asarray(flat, dtype=np.float64).reshape(len(known), -1 if len(known) else 0)
+
+
+def _combined(column: pa.ChunkedArray) -> pa.Array:
+    combined = column.combine_chunks()
+    return pa.concat_arrays(combined.chunks) if isinstance(combined, pa.ChunkedArray) else combined
+
+
 class _Headlines:
     """A block of corpus vectors in ``idx`` order, searched by matrix product."""
 
-    def __init__(self, idx: np.ndarray, vectors: np.ndarray, labels: np.ndarray):
-        order = np.argsort(idx, kind="stable")
-        self.idx, self.labels = idx[order], labels[order]
-        self.vectors = np.asarray(vectors, dtype=np.float64)[order]
+    def __init__(self, table: pa.Table):
+        ordered = table.filter(pc.is_valid(table.column("embedding"))).sort_by("idx")
+        self.idx = ordered.column("idx").to_numpy()
+        self.labels = ordered.column("label").to_numpy()
+        self.vectors = _matrix(_combined(ordered.column("embedding")))
         self.norms = np.sqrt((self.vectors**2).sum(axis=1))
 
-    @classmethod
-    def from_arrow(cls, table: pa.Table) -> _Headlines:
-        rows = table.num_rows
-        flat = table.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        return cls(
-            table.column("idx").to_numpy(),
-            flat.reshape(rows, -1) if rows else np.zeros((0, 1)),
-            table.column("label").to_numpy(),
-        )
-
-    def nearest(self, queries: np.ndarray) -> list[dict | None]:
-        """Best similarity and its headline per query, the first on ties; None without one."""
-        found: list[dict | None] = []
-        if not len(self.idx) or not len(queries):
-            return [None] * len(queries)
-        queries = np.asarray(queries, dtype=np.float64)
+    def nearest(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Best similarity and the row it is found in, the first on ties; NaN without one."""
+        sims, rows = np.full(len(queries), np.nan), np.zeros(len(queries), dtype=np.int64)
+        if not len(self.idx):
+            return sims, rows
         norms = np.sqrt((queries**2).sum(axis=1))
         step = max(1, _SIM_CELLS // len(self.idx))
         for start in range(0, len(queries), step):
             part = slice(start, start + step)
             scale = norms[part, None] * self.norms[None, :]
             dots = queries[part] @ self.vectors.T
-            sims = np.divide(dots, scale, out=np.full_like(dots, -np.inf), where=scale > 0)
-            for row, best in enumerate(sims.argmax(axis=1)):
-                sim = sims[row, best]
-                found.append(
-                    None
-                    if np.isneginf(sim)
-                    else {
-                        "sim": (sim + 1) / 2,
-                        "label": int(self.labels[best]),
-                        "idx": int(self.idx[best]),
-                    }
-                )
-        return found
+            cosines = np.divide(dots, scale, out=np.full_like(dots, -np.inf), where=scale > 0)
+            best = cosines.argmax(axis=1)
+            top = cosines[np.arange(len(best)), best]
+            rows[part] = best
+            sims[part] = np.where(np.isneginf(top), np.nan, (top + 1) / 2)
+        return sims, rows
+
+    def as_structs(self, sims: np.ndarray, rows: np.ndarray) -> pa.StructArray:
+        """(sim, label, idx) per query, NULL where nothing was found."""
+        missing = np.isnan(sims)
+        if not len(self.idx):
+            return pa.nulls(len(sims), type=_NEAREST_ARROW)
+        return pa.StructArray.from_arrays(
+            [
+                pa.array(sims, type=pa.float64()),
+                pa.array(self.labels[rows].astype(np.int32)),
+                pa.array(self.idx[rows].astype(np.int64)),
+            ],
+            fields=list(_NEAREST_ARROW),
+            mask=pa.array(missing),
+        )
+
+
+def _at_valid(values: pa.Array, like: pa.Array) -> pa.Array:
+    """Spread values of the non-NULL entries of ``like`` over all its entries."""
+    if not like.null_count:
+        return values
+    places = np.cumsum(like.is_valid().to_numpy(zero_copy_only=False)) - 1
+    return values.take(pa.array(places, mask=like.is_null().to_numpy(zero_copy_only=False)))
 
 
 class HeadlineCorpus:
     """Encoded headlines (idx, embedding, label) and how they reach the tasks.
 
-    Their size is measured first: up to ``broadcast_bytes`` the vectors are broadcast,
-    beyond that the comparison runs block by block through a shuffle.
+    Their size is known before they are used: up to ``broadcast_bytes`` the vectors are
+    broadcast, beyond that the comparison runs block by block through a shuffle.
     """
 
-    def __init__(self, corpus: DataFrame, broadcast_bytes: int = BROADCAST_BYTES):
+    def __init__(
+        self,
+        corpus: DataFrame,
+        broadcast_bytes: int = BROADCAST_BYTES,
+        size: tuple[int, int] | None = None,
+    ):
         self.corpus = corpus.select(
             F.col("idx").cast("long").alias("idx"),
             F.col("embedding").cast("array<double>").alias("embedding"),
             F.col("label").cast("int").alias("label"),
         )
-        size = self.corpus.agg(
-            F.count(F.lit(1)).alias("rows"), F.max(F.size("embedding")).alias("dim")
-        ).first()
-        self.rows, self.row_bytes = size.rows, 8 * (size.dim or 1) + 16
+        if size is None:
+            size = self.corpus.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+        self.rows, self.row_bytes = size[0], 8 * (size[1] or 1) + 16
         self.broadcast_bytes = broadcast_bytes
         self.small = self.rows * self.row_bytes <= broadcast_bytes
         self._shared = None
@@ -162,7 +185,7 @@ class HeadlineCorpus:
         if not self.small:
             raise ValueError("the corpus exceeds the broadcast bound")
         if self._shared is None:
-            block = _Headlines.from_arrow(self.corpus.toArrow())
+            block = _Headlines(self.corpus.toArrow())
             self._shared = self.corpus.sparkSession.sparkContext.broadcast(block)
         return self._shared
 
@@ -174,10 +197,10 @@ def read_corpus(
     label: str = "clickbait",
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> HeadlineCorpus:
-    """Encode a labelled headline table (idx, text, label) once."""
+    """Encode a labelled headline table (idx, text, label) once; its rows are counted before."""
     encoded = embed_texts(headlines, text, encoder)
     vectors = encoded.select("idx", "embedding", F.col(label).alias("label"))
-    return HeadlineCorpus(vectors, broadcast_bytes)
+    return HeadlineCorpus(vectors, broadcast_bytes, (headlines.count(), encoder.dim))
 
 
 def nearest_headline(
@@ -192,10 +215,8 @@ def nearest_headline(
 
         @F.arrow_udf(_NEAREST)
         def search(batch: pa.Array) -> pa.Array:
-            known = [v for v in batch.to_pylist() if v is not None]
-            best = iter(shared.value.nearest(np.array(known)))
-            rows = [next(best) if ok else None for ok in batch.is_valid().to_pylist()]
-            return pa.array(rows, type=_NEAREST_ARROW)
+            block = shared.value
+            return _at_valid(block.as_structs(*block.nearest(_matrix(batch))), batch)
 
         found = contents.withColumn("__best", search(F.col(vector)))
         return found.select(*contents.columns, "__best.*")
@@ -204,18 +225,11 @@ def nearest_headline(
     block_bytes = corpus.broadcast_bytes
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        block = _Headlines.from_arrow(right)
-        best = block.nearest(np.array(left.column(vector).to_pylist()))
-        keys = left.column(key).combine_chunks()
-        kept = [i for i, b in enumerate(best) if b is not None]
-        fields = {name: [best[i][name] for i in kept] for name in ("sim", "label", "idx")}
-        return pa.table(
-            [
-                keys.take(pa.array(kept, type=pa.int64())),
-                *(pa.array(fields[f.name], type=f.type) for f in _NEAREST_ARROW),
-            ],
-            names=[key, "sim", "label", "idx"],
-        )
+        block = _Headlines(right)
+        sims, rows = block.nearest(_matrix(_combined(left.column(vector))))
+        found = block.as_structs(sims, rows)
+        table = pa.table([left.column(key), *found.flatten()], names=[key, "sim", "label", "idx"])
+        return table.filter(found.is_valid())
 
     sides = contents.select(key, F.col(vector).cast("array<double>").alias(vector))
     usable = sides.filter(F.col(vector).isNotNull())
@@ -243,10 +257,11 @@ def nearest_of_texts(texts: Column, encoder: Encoder, corpus: HeadlineCorpus) ->
     def search(batch: pa.Array) -> pa.Array:
         lists = [texts or [] for texts in batch.to_pylist()]
         vectors, positions = encode_distinct(encoder, [t or "" for texts in lists for t in texts])
-        best = shared.value.nearest(vectors)
-        found = iter(positions)
-        rows = [[best[next(found)] for _ in texts] for texts in lists]
-        return pa.array(rows, type=pa.list_(_NEAREST_ARROW))
+        block = shared.value
+        sims, rows = block.nearest(vectors)
+        flat = block.as_structs(sims[positions], rows[positions])
+        ends = np.cumsum([0, *(len(texts) for texts in lists)])
+        return pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), flat)
 
     return search(texts)
 

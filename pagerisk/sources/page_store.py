@@ -93,9 +93,9 @@ def read_pages(spark: SparkSession, root: str, batch_ids=None) -> DataFrame:
     return B.fold_updates(rows, ["epoch"], carry=("batch_id", "batch_group"))
 
 
-def read_lookup(spark: SparkSession, root: str) -> DataFrame:
+def read_lookup(spark: SparkSession, root: str, commit: Commit | None = None) -> DataFrame:
     """url_key -> batch_id, from the two narrow columns of the inserting rows."""
-    rows = _committed(spark, root, last_commit(spark, root))
+    rows = _committed(spark, root, commit or last_commit(spark, root))
     return rows.filter("is_new").select("url_key", "batch_id")
 
 
@@ -138,7 +138,7 @@ def ingest(spark: SparkSession, root: str, landed: DataFrame, token: str | None
         F.min(F.struct("file_idx", "record_no")).alias("first")
     )
     classified = B.classify_new_existing(
-        first_seen.select("url_key", "first.*"), read_lookup(spark, root)
+        first_seen.select("url_key", "first.*"), read_lookup(spark, root, before)
     )
     placed_new = B.assign_batches(classified.filter("is_new"), before.state)
     placed = placed_new.select("url_key", "batch_id", "is_new").unionByName(
