@@ -43,7 +43,7 @@ def fear_score(predictions: DataFrame, page: str, pages: DataFrame | None = None
 
 def fear_score_of(headings: Column, scorer: Scorer = fear_prediction) -> Column:
     """The same over an array of headings within one row."""
-    positive = F.filter(F.transform(headings, scorer), lambda p: p["label"] == FEAR_LABEL)
+    positive = F.filter(F.transform(headings, lambda h: scorer(h)), lambda p: p["label"] == FEAR_LABEL)
     total = F.aggregate(positive, F.lit(0.0), lambda acc, p: acc + p["score"])
     return F.coalesce(F.try_divide(total, F.size(positive)), F.lit(0.0))
 
