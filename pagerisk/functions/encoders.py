@@ -6,7 +6,6 @@ needs no model files: signed counts of hashed character trigrams.
 
 from __future__ import annotations
 
-from collections import Counter
 from hashlib import md5
 from typing import Protocol
 
@@ -17,6 +16,8 @@ from pyspark.sql import Column, functions as F
 # Model names of the sentence encoders a deployment may plug in. Fixed values.
 ENCODER_NAMES = ("distilbert-base-nli-stsb-mean-tokens", "all-MiniLM-L6-v2")
 _CACHE_LIMIT = 1_000_000
+_CHARS_AT_ONCE = 1_000_000
+_CODE_MASK = (1 << 21) - 1
 
 
 class Encoder(Protocol):
@@ -36,31 +37,45 @@ class TrigramEncoder:
     def __init__(self, name: str = "hashed-trigrams-64", dim: int = 64):
         self.name = name
         self.dim = dim
-        self._slots: dict[str, tuple[int, int]] = {}
+        self._slots: dict[int, tuple[int, int]] = {}
 
     def __getstate__(self):
         return {"name": self.name, "dim": self.dim, "_slots": {}}
 
-    def _slot(self, gram: str) -> tuple[int, int]:
-        slot = self._slots.get(gram)
+    def _slot(self, key: int) -> tuple[int, int]:
+        """Slot and sign of a trigram given as three 21-bit code points."""
+        slot = self._slots.get(key)
         if slot is None:
+            gram = "".join(chr(key >> shift & _CODE_MASK) for shift in (42, 21, 0))
             quotient, index = divmod(int(md5(gram.encode()).hexdigest()[:8], 16), self.dim)
             slot = (index, -1 if quotient % 2 else 1)
             if len(self._slots) >= _CACHE_LIMIT:
                 self._slots.clear()
-            self._slots[gram] = slot
+            self._slots[key] = slot
         return slot
 
     def encode(self, texts: list[str]) -> np.ndarray:
         vectors = np.zeros((len(texts), self.dim))
-        for row, text in enumerate(texts):
-            padded = f" {text.lower()} "
-            grams = Counter(padded[i : i + 3] for i in range(len(padded) - 2))
-            for gram, count in grams.items():
-                index, sign = self._slot(gram)
-                vectors[row, index] += sign * count
+        start = size = 0
+        for stop, text in enumerate(texts, 1):
+            size += len(text)
+            if size >= _CHARS_AT_ONCE or stop == len(texts):
+                vectors[start:stop] = self._encode(texts[start:stop])
+                start, size = stop, 0
         return vectors
 
+    def _encode(self, texts: list[str]) -> np.ndarray:
+        padded = [f" {text.lower()} " for text in texts]
+        codes = np.frombuffer("".join(padded).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+        owner = np.repeat(np.arange(len(texts)), [len(p) for p in padded])
+        keys = codes[:-2] << 42 | codes[1:-1] << 21 | codes[2:]
+        inside = owner[:-2] == owner[2:]
+        grams, which = np.unique(keys[inside], return_inverse=True)
+        slots = np.array([self._slot(g) for g in grams.tolist()], dtype=np.int64).reshape(-1, 2)
+        cells = owner[:-2][inside] * self.dim + slots[which, 0]
+        counted = np.bincount(cells, weights=slots[which, 1], minlength=len(texts) * self.dim)
+        return counted.reshape(len(texts), self.dim)
+
 
 def encode_distinct(encoder: Encoder, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Vectors of the distinct texts and, per text, the row of its vector."""

@@ -113,7 +113,8 @@ def ingest_crawl(spark, sf_dir):
 
     pages, store = table(spark, sf_dir, "pages"), scratch_path(spark, "crawl-store")
     for kind in ("wat", "warc"):
-        landed = A.crawl_pages(spark, write_archives(pages, kind), kind, 0, ALL_FILES, None)
+        root = write_archives(pages, kind)
+        landed = A.crawl_pages(spark, root, kind, 0, ALL_FILES, None, dedupe=False)
         ingest(spark, store, materialise(landed, f"landed-{kind}"))
     return read_pages(spark, store).select(
         "url",

@@ -14,8 +14,9 @@ _RUNTIME = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
-    # A page may be megabytes of HTML, so Arrow batches are kept short.
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
+    # A page may be megabytes of HTML, so Arrow batches are bounded by bytes too.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
 }
 
 

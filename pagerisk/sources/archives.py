@@ -294,12 +294,15 @@ def _first_accepted(pages: DataFrame, per_file: int | None) -> DataFrame:
     ).drop("__rn")
 
 
-def _as_landed(pages: DataFrame) -> DataFrame:
-    """One row per file and URL: the last record's fields at the first record's place."""
+def _as_landed(pages: DataFrame, dedupe: bool) -> DataFrame:
+    """The landed-page schema; with ``dedupe`` one row per file and URL, namely the last
+    record's fields at the first record's place."""
     fields = [
         F.col(f.name) if f.name in pages.columns else F.lit(None).cast(f.dataType).alias(f.name)
         for f in LANDED
     ]
+    if not dedupe:
+        return pages.select(*fields)
     rest = [name for name in pages.columns if name not in ("file_idx", "url", "record_no")]
     folded = pages.groupBy("file_idx", "url").agg(
         F.max_by(F.struct(*rest), "record_no").alias("__row"), F.min("record_no").alias("record_no")
@@ -321,7 +324,10 @@ def _decoded(payload: Column) -> Column:
 
 
 def warc_html_pages(
-    records: DataFrame, per_file: int | None = RECORDS_PER_FILE, script_limit: int = SCRIPT_LIMIT
+    records: DataFrame,
+    per_file: int | None = RECORDS_PER_FILE,
+    script_limit: int = SCRIPT_LIMIT,
+    dedupe: bool = True,
 ) -> DataFrame:
     """HTML responses that have inline and external scripts, the first ``per_file`` per file."""
     html = records.filter(
@@ -350,11 +356,14 @@ def warc_html_pages(
         F.slice("page.embedded_scripts", 1, script_limit).alias("embedded_scripts"),
         F.slice("page.external_scripts", 1, script_limit).alias("external_scripts"),
     )
-    return _as_landed(_first_accepted(pages, per_file))
+    return _as_landed(_first_accepted(pages, per_file), dedupe)
 
 
 def wat_pages(
-    records: DataFrame, per_file: int | None = RECORDS_PER_FILE, links: int = LINKS_PER_PAGE
+    records: DataFrame,
+    per_file: int | None = RECORDS_PER_FILE,
+    links: int = LINKS_PER_PAGE,
+    dedupe: bool = True,
 ) -> DataFrame:
     """Page metadata with a title and links, the first ``per_file`` per file."""
     parsed = records.filter(F.col("rec_type") == "metadata").select(
@@ -373,7 +382,7 @@ def wat_pages(
         response["HTML-Metadata"]["Head"]["Title"].alias("title"),
         F.slice(urls, 1, links).alias("links"),
     ).filter((F.col("url") != "") & (F.col("title") != "") & (F.size("links") > 0))
-    return _as_landed(_first_accepted(pages, per_file))
+    return _as_landed(_first_accepted(pages, per_file), dedupe)
 
 
 def crawl_pages(
@@ -383,8 +392,15 @@ def crawl_pages(
     start: int = 0,
     end: int = 5,
     per_file: int | None = RECORDS_PER_FILE,
+    dedupe: bool = True,
 ) -> DataFrame:
-    """List, read and extract one range of archives into landed page rows."""
+    """List, read and extract one range of archives into landed page rows.
+
+    Without ``dedupe`` a URL may come several times per file, and no page is shuffled. That
+    is enough for ``ingest``: accepted records of one kind fill the same fields, so folding
+    them by field, latest first, equals keeping the last one.
+    """
     files = list_crawl_files(spark, root, kind, start, end)
     records = read_archives(files, kind, stop_after=per_file)
-    return (warc_html_pages if kind == "warc" else wat_pages)(records, per_file)
+    extract = warc_html_pages if kind == "warc" else wat_pages
+    return extract(records, per_file, dedupe=dedupe)

@@ -126,8 +126,8 @@ def _write_state(state: DataFrame, root: str, epoch: int, base_epoch: int, token
 def ingest(spark: SparkSession, root: str, landed: DataFrame, token: str | None = None) -> Commit:
     """Insert or merge landed page rows as one epoch.
 
-    ``landed`` is a stored table of page rows with file_idx and record_no, at most one row
-    per file and URL. It is read narrowly to number the new pages and once in full to fold
+    ``landed`` is a stored table of page rows with file_idx and record_no; of several rows
+    of a URL, in one file or more, each field's latest usable value counts. It is read narrowly to number the new pages and once in full to fold
     the updates. A ``token`` that was committed before makes the call a no-op.
     """
     before = last_commit(spark, root)

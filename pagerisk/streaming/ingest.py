@@ -43,5 +43,6 @@ def ingest_crawl(
     spark: SparkSession, archives: str, root: str, kind: str, start: int = 0, end: int = 5
 ) -> Commit:
     """Extract one range of archives, land the pages in the shared folder, ingest them."""
-    landed = materialise(crawl_pages(spark, archives, kind, start, end), f"landed-{kind}")
+    pages = crawl_pages(spark, archives, kind, start, end, dedupe=False)
+    landed = materialise(pages, f"landed-{kind}")
     return ingest(spark, root, landed)
