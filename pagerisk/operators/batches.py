@@ -99,39 +99,29 @@ def existing_pages(updates: DataFrame, lookup: DataFrame, key: str = "url_key")
 def dense_index(df: DataFrame, file_no: str, record_no: str, out: str = "item_no") -> DataFrame:
     """Number the rows 0, 1, 2, ... in (file, record) order without one global sort.
 
-    Records are cut into blocks of a fixed span, so a window never sees more rows than a
-    block holds however large a file is. Block offsets come from the small count table:
-    running sums of blocks within a file and of files within a group of files. Only the
-    totals of whole file groups meet in one window. (file, record) must be unique.
+    Records are cut into blocks of a fixed span, so the window over the rows never sees more
+    of them than a block holds however large a file is. Block offsets come from the small
+    count table: running sums within a group of files, and over the totals of the groups.
+    (file, record) must be unique.
     """
-    blocked = df.withColumn("__block", F.floor(F.col(record_no) / NUMBERING_BLOCK))
-    counts = blocked.groupBy(file_no, "__block").agg(F.count(F.lit(1)).alias("__n"))
+    blocked = df.withColumn("__block", F.expr(f"{record_no} div {NUMBERING_BLOCK}"))
+    counts = (
+        blocked.groupBy(file_no, "__block")
+        .agg(F.count(F.lit(1)).alias("__n"))
+        .withColumn("__group", F.expr(f"{file_no} div {FILE_GROUP}"))
+    )
 
     def before(window) -> Column:
         rows = window.rowsBetween(Window.unboundedPreceding, -1)
         return F.coalesce(F.sum("__n").over(rows), F.lit(0))
 
-    blocks = counts.withColumn("__b", before(Window.partitionBy(file_no).orderBy("__block")))
-    files = (
-        counts.groupBy(file_no)
-        .agg(F.sum("__n").alias("__n"))
-        .withColumn("__group", F.floor(F.col(file_no) / FILE_GROUP))
-    )
-    groups = files.groupBy("__group").agg(F.sum("__n").alias("__n"))
-    offsets = (
-        blocks.select(file_no, "__block", "__b")
-        .join(
-            files.withColumn("__f", before(Window.partitionBy("__group").orderBy(file_no))).select(
-                file_no, "__group", "__f"
-            ),
-            file_no,
-        )
-        .join(
-            groups.withColumn("__g", before(Window.orderBy("__group"))).select("__group", "__g"),
-            "__group",
-        )
-        .select(file_no, "__block", (F.col("__b") + F.col("__f") + F.col("__g")).alias("__offset"))
+    in_group = counts.withColumn(
+        "__b", before(Window.partitionBy("__group").orderBy(file_no, "__block"))
     )
+    groups = counts.groupBy("__group").agg(F.sum("__n").alias("__n"))
+    offsets = in_group.join(
+        groups.select("__group", before(Window.orderBy("__group")).alias("__g")), "__group"
+    ).select(file_no, "__block", (F.col("__b") + F.col("__g")).alias("__offset"))
     in_block = F.row_number().over(Window.partitionBy(file_no, "__block").orderBy(record_no))
     return (
         blocked.withColumn("__rn", in_block)

@@ -81,7 +81,7 @@ def write_archives(pages: DataFrame, kind: str) -> str:
         "html",
         F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("title"),
         F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1)).alias("links"),
-        F.floor(F.col("page_id") / PAGES_PER_FILE).alias("file_no"),
+        F.expr(f"page_id div {PAGES_PER_FILE}").alias("file_no"),
     )
     rows = with_added_elements(rows) if kind == "warc" else rows.drop("html")
     rows.groupBy("file_no").applyInPandas(write, "file_no long, records long").count()

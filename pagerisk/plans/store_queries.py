@@ -164,7 +164,7 @@ def assign_batches(spark, sf_dir):
     """All pages as new rows after an open batch; a file holds 1000 pages."""
     rows = table(spark, sf_dir, "pages").select(
         "page_id",
-        F.floor(F.col("page_id") / 1000).alias("file_idx"),
+        F.expr("page_id div 1000").alias("file_idx"),
         (F.col("page_id") % 1000).alias("record_no"),
     )
     return B.assign_batches(rows, STATE).select("page_id", "batch_id")
@@ -229,7 +229,7 @@ def landed_pages(spark, sf_dir, secure: bool) -> DataFrame:
     """The http or https pages as landed rows, keyed by the host's root URL; a file holds 1000."""
     rows = host_rows(spark, sf_dir).filter(F.col("secure") == secure)
     whole = rows.select(
-        F.floor(F.col("page_id") / 1000).alias("file_idx"),
+        F.expr("page_id div 1000").alias("file_idx"),
         (F.col("page_id") % 1000).alias("record_no"),
         "url", "html", "title", "links",
         *(F.lit(None).cast("array<string>").alias(c)

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pagerisk.functions.urls import url_key
 from pagerisk.operators import batches as B
 from pagerisk.schemas import INGEST_STATE, WEBPAGE
+from pagerisk.session import materialise
 
 STORED = T.StructType(
     [T.StructField("url_key", T.StringType())]
@@ -137,8 +138,12 @@ def ingest(spark: SparkSession, root: str, landed: DataFrame, token: str | None
     first_seen = keyed.groupBy("url_key").agg(
         F.min(F.struct("file_idx", "record_no")).alias("first")
     )
-    classified = B.classify_new_existing(
-        first_seen.select("url_key", "first.*"), read_lookup(spark, root, before)
+    # Read several times below, so written once: keys and positions only.
+    classified = materialise(
+        B.classify_new_existing(
+            first_seen.select("url_key", "first.*"), read_lookup(spark, root, before)
+        ),
+        "classified",
     )
     placed_new = B.assign_batches(classified.filter("is_new"), before.state)
     placed = placed_new.select("url_key", "batch_id", "is_new").unionByName(
