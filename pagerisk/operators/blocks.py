@@ -14,11 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 BROADCAST_BYTES = 256 << 20
+BLOCK_BYTES = 64 << 20
 
 
-def block_count(rows: int, bytes_per_row: int, block_bytes: int) -> int:
-    """Blocks so that one holds about ``block_bytes``."""
-    return max(1, math.ceil(rows * bytes_per_row / block_bytes))
+def block_count(rows: int, bytes_per_row: int, broadcast_bytes: int = BROADCAST_BYTES) -> int:
+    """Blocks so that one holds about ``BLOCK_BYTES``, or the broadcast bound if that is less."""
+    return max(1, math.ceil(rows * bytes_per_row / min(BLOCK_BYTES, broadcast_bytes)))
 
 
 def compare_blocks(

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pagerisk.functions.encoders import Encoder, TrigramEncoder, mean_text_vector, text_vector
+from pagerisk.functions.encoders import Encoder, TrigramEncoder, text_vector
 from pagerisk.functions.html import page_elements
 from pagerisk.functions.text import FEAR_LABEL, cosine01, fear_prediction, grammar_error_rate
 from pagerisk.operators.pages import flat_headings, sentences
@@ -15,7 +15,7 @@ from pagerisk.operators.similarity import (
     HeadlineCorpus,
     is_property,
     nearest_headline,
-    nearest_of_texts,
+    page_vectors,
     property_share,
     with_url_texts,
 )
@@ -84,21 +84,19 @@ def page_scores(
         property_texts().alias("property_texts"),
         sentences(F.col("page.text")).alias("sentences"),
     )
-    first_three = [
-        F.coalesce(cosine01("__content", "__url"), F.lit(0.0)).alias(FEATURES[0]),
+    vectors = texts.withColumn(
+        "__v",
+        page_vectors(
+            F.col("content"), F.col("url_texts"), F.col("property_texts"), encoder, corpus
+        ),
+    )
+    return vectors.select(
+        *keep,
+        F.coalesce(cosine01("__v.content", "__v.url"), F.lit(0.0)).alias(FEATURES[0]),
         F.coalesce(fear_score_of(F.col("headings"), scorer), F.lit(0.0)).alias(FEATURES[1]),
         F.coalesce(grammar_error_rate("sentences"), F.lit(0.0)).alias(FEATURES[2]),
-    ]
-    vectors = texts.withColumns(
-        {
-            "__content": mean_text_vector(F.col("content"), encoder),
-            "__url": mean_text_vector(F.col("url_texts"), encoder),
-        }
+        F.col("__v.nearest") if corpus.small else F.col("property_texts"),
     )
-    if corpus.small:
-        nearest = nearest_of_texts(F.col("property_texts"), encoder, corpus)
-        return vectors.withColumn("nearest", nearest).select(*keep, *first_three, "nearest")
-    return vectors.select(*keep, *first_three, "property_texts")
 
 
 def nearest_by_text(

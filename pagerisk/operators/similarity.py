@@ -222,7 +222,6 @@ def nearest_headline(
         return found.select(*contents.columns, "__best.*")
 
     key_type = contents.schema[key].dataType.simpleString()
-    block_bytes = corpus.broadcast_bytes
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         block = _Headlines(right)
@@ -236,10 +235,10 @@ def nearest_headline(
     best = compare_blocks(
         usable,
         key,
-        block_count(usable.count(), corpus.row_bytes, block_bytes),
+        block_count(usable.count(), corpus.row_bytes, corpus.broadcast_bytes),
         corpus.corpus,
         "idx",
-        block_count(corpus.rows, corpus.row_bytes, block_bytes),
+        block_count(corpus.rows, corpus.row_bytes, corpus.broadcast_bytes),
         compare,
         f"{key} {key_type}, sim double, label int, idx bigint",
     )
@@ -249,21 +248,47 @@ def nearest_headline(
     )
 
 
-def nearest_of_texts(texts: Column, encoder: Encoder, corpus: HeadlineCorpus) -> Column:
-    """Array of the nearest headline per text of an array, for a broadcastable corpus."""
-    shared = corpus.shared()
-
-    @F.arrow_udf(f"array<{_NEAREST}>")
-    def search(batch: pa.Array) -> pa.Array:
-        lists = [texts or [] for texts in batch.to_pylist()]
-        vectors, positions = encode_distinct(encoder, [t or "" for texts in lists for t in texts])
-        block = shared.value
-        sims, rows = block.nearest(vectors)
-        flat = block.as_structs(sims[positions], rows[positions])
-        ends = np.cumsum([0, *(len(texts) for texts in lists)])
-        return pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), flat)
+def page_vectors(
+    content: Column,
+    url_texts: Column,
+    property_texts: Column,
+    encoder: Encoder,
+    corpus: HeadlineCorpus,
+) -> Column:
+    """Struct of the mean content vector, the mean URL vector and, for a broadcastable corpus,
+    the nearest headline per property text.
 
-    return search(texts)
+    The three arrays mostly share their texts; every distinct text of an Arrow batch is
+    encoded once for all of them.
+    """
+    shared = corpus.shared() if corpus.small else None
+    vector = pa.list_(pa.float64())
+    fields = "content:array<double>,url:array<double>"
+    if shared:
+        fields += f",nearest:array<{_NEAREST}>"
+
+    @F.arrow_udf(f"struct<{fields}>")
+    def score(*columns: pa.Array) -> pa.Array:
+        lists = [[texts or [] for texts in column.to_pylist()] for column in columns]
+        flat = [t or "" for column in lists for texts in column for t in texts]
+        vectors, positions = encode_distinct(encoder, flat)
+        ends = np.cumsum([0, *(len(texts) for column in lists for texts in column)])
+        spans = [positions[a:b] for a, b in zip(ends, ends[1:])]
+        n = len(lists[0])
+        means = [vectors[span].mean(axis=0) if len(span) else None for span in spans[: 2 * n]]
+        parts = [pa.array(means[:n], type=vector), pa.array(means[n:], type=vector)]
+        names = ["content", "url"]
+        if shared:
+            block, wanted = shared.value, positions[ends[2 * n] :]
+            searched, which = np.unique(wanted, return_inverse=True)
+            sims, rows = block.nearest(vectors[searched])
+            starts = pa.array(ends[2 * n :] - ends[2 * n], type=pa.int32())
+            found = block.as_structs(sims[which], rows[which])
+            parts.append(pa.ListArray.from_arrays(starts, found))
+            names.append("nearest")
+        return pa.StructArray.from_arrays(parts, names=names)
+
+    return score(content, url_texts, property_texts)
 
 
 def is_property(sim: Column, label: Column, threshold) -> Column:
