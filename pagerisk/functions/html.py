@@ -76,6 +76,10 @@ class PageElements(HTMLParser):
             raise RejectedMarkup(str(bad)) from bad
         self._end_node()
 
+    def updatepos(self, i, j):
+        """Line numbers are not needed."""
+        return j
+
     def handle_data(self, data):
         self._node.append(data)
 

@@ -41,7 +41,7 @@ GRAMMAR_PATTERNS = (
     r"(?:^| )[Aa]n [bcdfgjklmnpqrstvwxz]",  # "an" before a consonant
 )
 # A word followed by itself, counted once per repetition.
-DOUBLED_WORD = r"(?<![^ ])(\p{L}+) (?=\1(?: |$))"
+DOUBLED_WORD = r"(?<![^ ])(\p{L}++) (?=\1(?: |$))"
 BRACKETS = (("(", ")"), ("[", "]"), ("{", "}"))
 
 
@@ -51,10 +51,10 @@ def _grammar_errors(sentence: str) -> str:
     def occurrences(char: str) -> str:
         return f"(length({sentence}) - length(replace({sentence}, '{char}', '')))"
 
-    rules = [f'regexp_count({sentence}, r"{pattern}")' for pattern in GRAMMAR_PATTERNS]
+    rules = [f"regexp_count({sentence}, r'{pattern}')" for pattern in GRAMMAR_PATTERNS]
     rules += [f"int({occurrences(a)} <> {occurrences(b)})" for a, b in BRACKETS]
     rules.append(f"{occurrences(chr(34))} % 2")
-    rules.append(f'regexp_count(lower({sentence}), r"{DOUBLED_WORD}")')
+    rules.append(f"regexp_count(lower({sentence}), r'{DOUBLED_WORD}')")
     return " + ".join(rules)
 
 
