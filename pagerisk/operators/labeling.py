@@ -57,8 +57,9 @@ def label_pages_in_batches(
     batch_size: int = LABEL_BATCH,
     **options,
 ) -> DataFrame:
-    """The same rows as ``label_pages``; ``batch_size`` is how many pages a task holds at once."""
-    pages.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_size))
+    """The same rows as ``label_pages``: Spark's partitions and Arrow batches are the batches."""
+    if batch_size < 1:
+        raise ValueError("batch_size must be positive")
     return label_pages(pages, corpus, thresholds, **options)
 
 

@@ -99,17 +99,6 @@ def page_scores(
     )
 
 
-def nearest_by_text(
-    scores: DataFrame, corpus: HeadlineCorpus, encoder: Encoder | None = None
-) -> DataFrame:
-    """(text, sim, label) of the distinct property texts, for a corpus beyond the broadcast bound."""
-    distinct = scores.select(F.explode("property_texts").alias("text")).distinct()
-    embedded = distinct.withColumn(
-        "embedding", text_vector(F.col("text"), encoder or TrigramEncoder())
-    )
-    return nearest_headline(embedded, corpus, "text").select("text", "sim", "label")
-
-
 def with_property_scores(
     scores: DataFrame,
     thresholds: list[float],
@@ -123,15 +112,24 @@ def with_property_scores(
         rows = scores.withColumn(threshold_col, F.explode(options))
         share = property_share(F.col("nearest"), F.col(threshold_col))
         return rows.withColumn(FEATURES[3], share).drop("nearest")
-    nearest = nearest_by_text(scores, corpus, encoder)
-    keep = [c for c in scores.columns if c != "property_texts"]
-    strings = scores.select(*keep, F.explode_outer("property_texts").alias("text"))
+    # The share depends on the list of strings alone, so equal lists and equal strings are
+    # brought together before anything is compared.
+    keyed = scores.withColumn("__list", F.md5(F.to_json(F.struct("property_texts"))))
+    lists = keyed.groupBy("__list").agg(F.any_value("property_texts").alias("texts"))
+    strings = lists.select("__list", F.explode_outer("texts").alias("text"))
+    vector = text_vector(F.col("text"), encoder or TrigramEncoder())
+    distinct = strings.select("text").filter(F.col("text").isNotNull()).distinct()
+    nearest = nearest_headline(distinct.withColumn("embedding", vector), corpus, "text")
     hits = [
         F.avg(is_property(F.col("sim"), F.col("label"), float(t)).cast("int")) for t in thresholds
     ]
-    shares = strings.join(nearest, "text", "left").groupBy(*keep).agg(F.array(*hits).alias("__f4"))
-    pairs = F.arrays_zip(options.alias("t"), F.col("__f4").alias("f4"))
-    return shares.select(*keep, F.inline(pairs).alias(threshold_col, FEATURES[3]))
+    found = strings.join(nearest.select("text", "sim", "label"), "text", "left")
+    shares = found.groupBy("__list").agg(F.array(*hits).alias("__shares"))
+    pairs = F.arrays_zip(options.alias("t"), F.col("__shares").alias("f4"))
+    return keyed.join(shares, "__list").select(
+        *(c for c in scores.columns if c != "property_texts"),
+        F.inline(pairs).alias(threshold_col, FEATURES[3]),
+    )
 
 
 def clickbait_features(

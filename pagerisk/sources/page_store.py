@@ -157,8 +157,7 @@ def ingest(spark: SparkSession, root: str, landed: DataFrame, token: str | None
     )
     epoch = before.epoch + 1
     _write_epoch(folded.join(placed, "url_key"), root, epoch)
-    written = spark.read.schema(STORED).parquet(f"{root}/pages").filter(F.col("epoch") == epoch)
-    counted = written.agg(F.count_if("is_new").alias("n_new"))
+    counted = classified.agg(F.count_if("is_new").alias("n_new"))
     _write_state(B.next_state(counted, before.state), root, epoch, before.base_epoch, token)
     return last_commit(spark, root)
 

@@ -175,6 +175,12 @@ def test_labels_per_threshold_and_large_corpus(spark):
     assert len(small) == 6 and rows(64) == small
 
 
+def test_equal_pages_stay_separate_rows(spark):
+    copies = pages(spark).union(pages(spark))
+    for bound in (S.BROADCAST_BYTES, 64):
+        assert L.label_pages(copies, corpus(spark, bound), [0.5]).count() == 6
+
+
 def test_batched_labels_equal_plain_ones(spark):
     three = spark.createDataFrame(
         [(f"https://example.com/{i}", f"<p>Article {i}</p>") for i in range(3)], "url string, html string"
