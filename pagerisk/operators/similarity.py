@@ -20,9 +20,19 @@ _NEAREST_ARROW = pa.struct([("sim", pa.float64()), ("label", pa.int32()), ("idx"
 _SIM_CELLS = 1 << 22
 
 
-def embed_texts(df: DataFrame, text: str, encoder: Encoder, out: str = "embedding") -> DataFrame:
-    """Add the vector of a text column; equal texts of a batch are encoded once."""
-    return df.withColumn(out, text_vector(F.col(text), encoder))
+def embed_texts(
+    df: DataFrame, text: str, encoder: Encoder, out: str = "embedding", dedupe: bool = False
+) -> DataFrame:
+    """Add the vector of a text column; equal texts of a batch are encoded once.
+
+    ``dedupe`` encodes equal texts of the whole table once and joins the vectors back, which
+    pays for a costly encoder and many repeated texts.
+    """
+    if not dedupe:
+        return df.withColumn(out, text_vector(F.col(text), encoder))
+    distinct = df.select(text).filter(F.col(text).isNotNull()).distinct()
+    vectors = distinct.withColumn(out, text_vector(F.col(text), encoder))
+    return df.join(vectors, text, "left").select(*df.columns, out)
 
 
 def mean_vector(df: DataFrame, by: list[str], vector: str, out: str = "mean") -> DataFrame:
@@ -71,9 +81,15 @@ def url_content_similarity(
 
 
 def compare_encoders(
-    pages: DataFrame, encoders: list[Encoder], threshold: float = URL_MATCH_THRESHOLD
+    pages: DataFrame,
+    encoders: list[Encoder],
+    threshold: float = URL_MATCH_THRESHOLD,
+    preview: int | None = None,
 ) -> DataFrame:
-    """One row (Model, URL, Similarity, Match) per encoder and page; pages are parsed once."""
+    """One row (Model, URL, Similarity, Match) per encoder and page; pages are parsed once.
+
+    ``preview`` keeps that many rows for a look at the result.
+    """
     parsed = extract(pages.select("url", "html"), ["title", "headings"])
     step = parsed.select("url", flat_headings().alias("content"))
     results = []
@@ -88,7 +104,8 @@ def compare_encoders(
                 F.col(f"__m{i}").alias("Match"),
             )
         )
-    return step.select(F.inline(F.array(*results)))
+    compared = step.select(F.inline(F.array(*results)))
+    return compared if preview is None else compared.limit(preview)
 
 
 def _matrix(vectors: pa.Array) -> np.ndarray:

@@ -156,6 +156,14 @@ def new_pages(spark, sf_dir):
     return B.new_pages(_update_keys(spark, sf_dir), _lookup(spark, sf_dir))
 
 
+@query(
+    f"""SELECT DISTINCT url_key, batch_id FROM ({HOST_ROWS_SQL}) JOIN ({LOOKUP_SQL}) USING (url_key)
+         WHERE secure"""
+)
+def existing_pages(spark, sf_dir):
+    return B.existing_pages(_update_keys(spark, sf_dir), _lookup(spark, sf_dir))
+
+
 @query(
     f"""SELECT page_id, CAST({STATE.last_batch_id} + (n - 1 + {STATE.last_item_index}) // 100 AS INTEGER)
          AS batch_id FROM (SELECT page_id, row_number() OVER (ORDER BY page_id) AS n FROM pages)"""

@@ -107,15 +107,17 @@ def page_similarity_sql(dim: int = 64) -> str:
 # ---- vectors -------------------------------------------------------------------------
 
 
-@query(
-    f"""SELECT doc_id, coalesce(norm2, 0.0) AS norm2, coalesce(checksum, 0.0) AS checksum
-       FROM documents LEFT JOIN (
-         SELECT text, sum(x * x) AS norm2, sum(x * slot) AS checksum
-         FROM ({slots_sql('SELECT text FROM documents')}) GROUP BY text) USING (text)"""
-)
-def embed_texts(spark, sf_dir):
+EMBEDDED_SQL = f"""
+  SELECT doc_id, coalesce(norm2, 0.0) AS norm2, coalesce(checksum, 0.0) AS checksum
+  FROM documents LEFT JOIN (
+    SELECT text, sum(x * x) AS norm2, sum(x * slot) AS checksum
+    FROM ({slots_sql('SELECT text FROM documents')}) GROUP BY text) USING (text)"""
+
+
+def _embedded(spark, sf_dir, dedupe: bool) -> DataFrame:
     """Vectors of all documents, reported by squared norm and a position checksum."""
-    encoded = S.embed_texts(heavy_table(spark, sf_dir, "documents"), "text", ENCODER)
+    documents = heavy_table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = S.embed_texts(documents, "text", ENCODER, dedupe=dedupe)
     weighted = F.transform("embedding", lambda x, i: x * i)
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)
     return encoded.select(
@@ -125,6 +127,17 @@ def embed_texts(spark, sf_dir):
     )
 
 
+@query(EMBEDDED_SQL)
+def embed_texts(spark, sf_dir):
+    return _embedded(spark, sf_dir, dedupe=False)
+
+
+@query(EMBEDDED_SQL)
+def embed_distinct_texts(spark, sf_dir):
+    """The same, equal documents of the whole table being encoded once."""
+    return _embedded(spark, sf_dir, dedupe=True)
+
+
 MEANS_SQL = """
   SELECT label, pos, avg(x::DOUBLE) AS mean FROM (
     SELECT label, unnest(range(64)) AS pos, unnest(embedding) AS x FROM embeddings)

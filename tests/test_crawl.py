@@ -129,3 +129,9 @@ def test_reader_stops_after_enough_accepted(crawl):
 def test_lines_and_blocks_across_chunks():
     source = A._Bytes(iter([b"ab", b"c\nde", b"f", b"ghi\n"]))
     assert [source.line(), source.block(4), source.line(), source.line()] == [b"abc\n", b"defg", b"hi\n", None]
+
+
+def test_cap_is_pushed_before_the_shuffle(spark, crawl):
+    pages = A.crawl_pages(spark, crawl, "warc", 0, 10)
+    plan = pages._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2

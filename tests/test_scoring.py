@@ -98,6 +98,7 @@ def test_url_content_similarity(spark):
 def test_compare_encoders(spark):
     pages = spark.createDataFrame([("http://a/", "<title>a</title>"), ("http://b/", "<h1>b</h1>")], "url string, html string")
     rows = S.compare_encoders(pages, [ENCODER, TrigramEncoder("other", 16)]).collect()
+    assert S.compare_encoders(pages, [ENCODER], preview=1).count() == 1
     assert sorted((r.Model, r.URL) for r in rows) == sorted(
         (m, u) for m in ("hashed-trigrams-64", "other") for u in ("http://a/", "http://b/")
     )
@@ -253,6 +254,8 @@ def test_training(spark):
     predictions = M.predictions_of(models, test, "id", "label")
     metrics = {r.model: r.accuracy for r in E.evaluate_models(predictions).collect()}
     assert set(metrics) == set(M.ALGORITHMS) and min(metrics.values()) > 0.6
+    tuned = M.train_label_model(train, M.RANDOM_FOREST, trees=3, folds=2)
+    assert tuned.getNumTrees == 3
     for name, model in models.items():
         M.save_model(model, scratch_path(spark, "model"))
     with pytest.raises(ValueError):

@@ -241,3 +241,19 @@ def test_streaming_equals_batch_and_replay_changes_nothing(spark):
     assert again == commit
     start_ingest(spark, landing, root, progress).awaitTermination()
     assert S.last_commit(spark, root) == commit
+
+
+def test_hot_key_and_hot_file(spark):
+    """A third of the rows share a key, another third a file; results stay whole."""
+    versions = spark.range(30_000).selectExpr(
+        "id + 1 as seq", "if(id % 3 = 0, 'hot', string(id)) as url_key",
+        "if(id % 3 = 0, 'hot', string(id)) as url", "string(id) as html",
+    )
+    folded = B.fold_updates(versions, ["seq"])
+    assert folded.count() == 20_001
+    assert folded.filter("url_key = 'hot'").first().html == "29997"
+    rows = spark.range(200_000).selectExpr(
+        "id", "if(id < 150000, 0, id) as file_idx", "if(id < 150000, id, 0) as record_no"
+    )
+    numbered = B.dense_index(rows, "file_idx", "record_no", "n")
+    assert numbered.filter("n <> id").count() == 0 and numbered.count() == 200_000
