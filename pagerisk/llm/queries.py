@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pagerisk.llm import mixing
+from pagerisk.llm import bpe, mixing, packing
 from pagerisk.session import attach
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +80,24 @@ def op8_fair_mix(spark, sf_dir):
     """Words taken from every document when all sources are mixed to their targets."""
     plan = mixing.mix_plan(documents(spark, sf_dir))
     return plan.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query()
+def op9_byte_bpe(spark, sf_dir):
+    """Tokens and round trip of every document under the byte-level tokenizer."""
+    return bpe.encode_decode(
+        documents(spark, sf_dir),
+        public_tokenizers.path("byte_bpe_50k.json"),
+        ("n_tokens", "ids_sha256", "decoded_sha256"),
+        keep=["doc_id"],
+    )
+
+
+@query()
+def op10_packed_ids(spark, sf_dir):
+    """Every document's place, length and checksum in the packed files, read back from them."""
+    return packing.pack_documents(
+        documents(spark, sf_dir),
+        public_tokenizers.path("word_bpe_49k.json"),
+        fields=("ids_crc32",),
+    )
