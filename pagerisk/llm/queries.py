@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pagerisk.llm import bpe, mixing, packing
+from pagerisk.llm import bpe, mixing, packing, repetition
 from pagerisk.session import attach
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,9 @@ def op10_packed_ids(spark, sf_dir):
         public_tokenizers.path("word_bpe_49k.json"),
         fields=("ids_crc32",),
     )
+
+
+@query()
+def op4_repetition(spark, sf_dir):
+    """Repetition measures and verdict of every document."""
+    return repetition.judge(documents(spark, sf_dir), keep=["doc_id"])
