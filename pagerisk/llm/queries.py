@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pagerisk.llm import bpe, mixing, packing, repetition
+from pagerisk.llm import bpe, minhash, mixing, packing, repetition, vectors
 from pagerisk.session import attach
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,36 @@ def op10_packed_ids(spark, sf_dir):
 def op4_repetition(spark, sf_dir):
     """Repetition measures and verdict of every document."""
     return repetition.judge(documents(spark, sf_dir), keep=["doc_id"])
+
+
+@query()
+def op7_near_duplicates(spark, sf_dir):
+    """Groups of documents that share four in five of their two-word shingles."""
+    return minhash.near_duplicates(documents(spark, sf_dir), width=2)
+
+
+VECTOR_SQL = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS n, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+good AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND vec_id IS NOT NULL AND len(e) > 0
+    AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.n AS a, b.n AS b, b.vec_id FROM good a JOIN good b ON a.label = b.label AND a.n <> b.n
+  WHERE len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (
+  SELECT n AS a, n AS b, vec_id FROM v
+  UNION
+  SELECT r.a, l.b, l.vec_id FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(vec_id) AS component_id FROM reach GROUP BY a)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = n) AS n_links, component_id,
+  coalesce(vec_id = component_id, true) AS kept
+FROM v JOIN least ON a = n
+"""
+
+
+@query(VECTOR_SQL)
+def op1_near_vectors(spark, sf_dir):
+    """Links and groups of embeddings of equal label and nearly equal direction."""
+    return vectors.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
