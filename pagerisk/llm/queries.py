@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pagerisk.llm import bpe, minhash, mixing, packing, repetition, vectors
+from pagerisk.llm import bpe, lines, minhash, mixing, packing, repetition, vectors
 from pagerisk.session import attach
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,3 +140,43 @@ FROM v JOIN least ON a = n
 def op1_near_vectors(spark, sf_dir):
     """Links and groups of embeddings of equal label and nearly equal direction."""
     return vectors.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+LINES_SQL = r"""
+WITH cut AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+    generate_subscripts(string_split(text, chr(10)), 1) AS i
+  FROM documents),
+words AS (
+  SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words,
+    trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))) AS t
+  FROM cut),
+lines AS (
+  SELECT doc_id, i, t, words, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n
+  FROM words WHERE words > 0),
+spans AS (
+  SELECT a.doc_id, a.n, b.n AS e, string_agg(c.t, chr(10) ORDER BY c.n) AS body
+  FROM lines a
+  JOIN lines b ON a.doc_id = b.doc_id AND b.n BETWEEN a.n AND a.n + 9
+  JOIN lines c ON a.doc_id = c.doc_id AND c.n BETWEEN a.n AND b.n
+  GROUP BY ALL HAVING sum(c.words) >= 10),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, n) AS copy FROM spans),
+gone AS (
+  SELECT DISTINCT l.doc_id, l.i FROM ranked r
+  JOIN lines l ON l.doc_id = r.doc_id AND l.n BETWEEN r.n AND r.e WHERE copy > 1),
+kept AS (
+  SELECT w.doc_id, count(*) FILTER (WHERE w.words > 0) AS n_lines, count(g.i) AS n_deleted,
+    string_agg(w.line, chr(10) ORDER BY w.i) FILTER (WHERE g.i IS NULL) AS text
+  FROM words w LEFT JOIN gone g ON w.doc_id = g.doc_id AND w.i = g.i GROUP BY w.doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_deleted, 0) AS n_deleted,
+  CASE WHEN d.text IS NOT NULL THEN coalesce(k.text, '') END AS text
+FROM documents d LEFT JOIN kept k USING (doc_id)
+"""
+
+
+@query(LINES_SQL)
+def op5_line_runs(spark, sf_dir):
+    """Every document without the line runs that an earlier place holds already."""
+    out = lines.dedup_lines(documents(spark, sf_dir))
+    return out.select("doc_id", "n_lines", "n_deleted", "text")
