@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pagerisk.llm import bpe, lines, minhash, mixing, packing, repetition, vectors
+from pagerisk.llm import bpe, lines, main_text, minhash, mixing, packing, repetition, vectors
 from pagerisk.session import attach
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -180,3 +180,10 @@ def op5_line_runs(spark, sf_dir):
     """Every document without the line runs that an earlier place holds already."""
     out = lines.dedup_lines(documents(spark, sf_dir))
     return out.select("doc_id", "n_lines", "n_deleted", "text")
+
+
+@query()
+def op3_main_text(spark, sf_dir):
+    """The main text of every page."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return main_text.extract(pages, keep=["page_id", "url"])
