@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pagerisk.llm import bpe, lines, main_text, minhash, mixing, packing, repetition, vectors
+from pagerisk.llm import bpe, langid, lines, main_text, minhash, mixing, packing, repetition, vectors
 from pagerisk.session import attach
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -187,3 +187,9 @@ def op3_main_text(spark, sf_dir):
     """The main text of every page."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return main_text.extract(pages, keep=["page_id", "url"])
+
+
+@query()
+def op6_languages(spark, sf_dir):
+    """Predicted language of every document."""
+    return langid.identify(documents(spark, sf_dir))
