@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pagerisk.llm import bpe, langid, lines, main_text, minhash, mixing, packing, repetition, vectors
+from pagerisk.llm import bpe, langid, lines, main_text, minhash, mixing, packing, quality, repetition, vectors
 from pagerisk.session import attach
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -193,3 +193,9 @@ def op3_main_text(spark, sf_dir):
 def op6_languages(spark, sf_dir):
     """Predicted language of every document."""
     return langid.identify(documents(spark, sf_dir))
+
+
+@query()
+def op2_quality(spark, sf_dir):
+    """Quality score and verdict of every document."""
+    return quality.classify(documents(spark, sf_dir))
