@@ -161,9 +161,8 @@ def _compare(quantiser: Quantiser, threshold: float, radius: float):
         copies = group["copies"].to_numpy()
         error = group["error"].to_numpy()
         code = np.zeros((len(group), len(quantiser.codebooks)), np.uint8)
-        code[hosts] = np.frombuffer(b"".join(codes[n] for n in hosts), np.uint8).reshape(
-            len(hosts), -1
-        )
+        held = np.frombuffer(b"".join(codes[n] for n in hosts), np.uint8)
+        code[hosts] = held.reshape(len(hosts), code.shape[1])
         scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
         norm = np.sqrt((scaled**2).sum(1))
         units = scaled / norm[:, None]
