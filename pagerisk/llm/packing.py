@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pagerisk.llm.bpe import gather
+from pagerisk.llm.bpe import byte_alphabet, gather
 from pagerisk.llm.common import running_total
 from pagerisk.session import materialise, scratch_path
 from pagerisk.sources.paths import open_filesystem
@@ -111,12 +111,16 @@ class WordEncoder:
     """The tokenizers library over distinct words.
 
     The word tokenizer drops white space and no token reaches over it, so a text has the
-    ids of its words. Words of plain ASCII go to the library's model straight away, cut as
-    its pre-tokenizer cuts them; all others take the library's whole way.
+    ids of its words. Words of ASCII and Latin-1 letters, which the normalizer only lowers,
+    are cut as the pre-tokenizer cuts them, and each distinct piece goes to the library's
+    model once; all other words take the library's whole way.
     """
 
-    _PLAIN = re.compile(r"[!-~]+")
-    _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+    _PLAIN = re.compile(r"[!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+    _PIECES = re.compile(
+        r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]"
+        r"|[^a-z0-9\n\xdf-\xf6\xf8-\xff]+|\n"
+    )
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -126,43 +130,64 @@ class WordEncoder:
         self._tokenizer.no_truncation()
         self._tokenizer.no_padding()
         self.vocabulary_size = self._tokenizer.get_vocab_size(with_added_tokens=True)
-        self._special = [
-            t.content.encode() for t in self._tokenizer.get_added_tokens_decoder().values()
-        ]
-        if any(len(s.split()) != 1 for s in self._special):
+        specials = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
+        if any(len(s.split()) != 1 for s in specials):
             raise ValueError("special tokens may not hold white space")
+        self._special = re.compile("|".join(map(re.escape, specials)) or r"(?!)")
+        self._shown = {b: c for c, b in byte_alphabet().items()}
         self._reset()
 
     def _reset(self) -> None:
         self._numbers = _Numbers()
-        self._pieces: dict[str, list[int]] = {}
         self._ids = np.zeros(0, np.uint32)
         self._length = np.zeros(0, np.int64)
-
-    def _piece(self, piece: str) -> list[int]:
-        ids = self._pieces.get(piece)
-        if ids is None:
-            ids = [token.id for token in self._tokenizer.model.tokenize(piece)]
-            self._pieces[piece] = ids
-        return ids
+        self._pieces = _Numbers()
+        self._piece_ids = np.zeros(0, np.uint32)
+        self._piece_length = np.zeros(0, np.int64)
+
+    def _tokens(self, piece: str) -> list[int]:
+        if piece == "\n":
+            return []
+        if not piece.isascii():
+            piece = "".join(self._shown[b] for b in piece.encode())
+        return [token.id for token in self._tokenizer.model.tokenize(piece)]
+
+    def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, joined, and the number of each word."""
+        cut = self._PIECES.findall("\n".join(["", *words]).lower())
+        pieces = np.fromiter(map(self._pieces.__getitem__, cut), np.int64, len(cut))
+        new, self._pieces.new = self._pieces.new, []
+        made = [self._tokens(piece) for piece in new]
+        flat = np.fromiter((i for ids in made for i in ids), np.uint32)
+        self._piece_ids = np.concatenate((self._piece_ids, flat))
+        length = np.array([len(ids) for ids in made], np.int64)
+        self._piece_length = np.concatenate((self._piece_length, length))
+        length = self._piece_length[pieces]
+        starts = (np.cumsum(self._piece_length) - self._piece_length)[pieces]
+        marks = np.flatnonzero(pieces == self._pieces["\n"])
+        numbers = np.add.reduceat(length, marks) if len(marks) else np.zeros(0, np.int64)
+        return gather(self._piece_ids, starts, length), numbers
 
     def _learn(self, words: list[bytes]) -> None:
-        found: list[list[int]] = [[]] * len(words)
-        others = []
-        for n, word in enumerate(words):
-            text = word.decode("utf-8", "replace")
-            if self._PLAIN.fullmatch(text) and not any(s in word for s in self._special):
-                text = text.lower()
-                pieces = [text] if text.isalpha() else self._PIECES.findall(text)
-                found[n] = [i for piece in pieces for i in self._piece(piece)]
-            else:
-                others.append((n, text))
-        made = self._tokenizer.encode_batch([t for _, t in others], add_special_tokens=False)
-        for (n, _), encoding in zip(others, made, strict=True):
-            found[n] = encoding.ids
-        flat = np.fromiter((i for ids in found for i in ids), np.uint32)
-        self._ids = np.concatenate((self._ids, flat))
-        self._length = np.concatenate((self._length, np.array([len(i) for i in found], np.int64)))
+        texts = [word.decode("utf-8", "replace") for word in words]
+        whole = self._PLAIN.fullmatch
+        plain = np.array(
+            [bool(whole(t)) and not ("<" in t and self._special.search(t)) for t in texts], bool
+        )
+        ids, numbers = self._plain([t for t, easy in zip(texts, plain, strict=True) if easy])
+        others = [t for t, easy in zip(texts, plain, strict=True) if not easy]
+        made = self._tokenizer.encode_batch(others, add_special_tokens=False)
+        flat = np.fromiter((i for encoding in made for i in encoding.ids), np.uint32)
+        length = np.empty(len(words), np.int64)
+        length[plain] = numbers
+        length[~plain] = [len(encoding.ids) for encoding in made]
+        # Plain words come first, then the others; the starts bring them into order.
+        start = np.empty(len(words), np.int64)
+        start[plain] = np.cumsum(numbers) - numbers
+        start[~plain] = np.cumsum(length[~plain]) - length[~plain] + len(ids)
+        ids = gather(np.concatenate((ids, flat)), start, length)
+        self._ids = np.concatenate((self._ids, ids))
+        self._length = np.concatenate((self._length, length))
 
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, joined, and the number of each text."""
