@@ -110,8 +110,13 @@ class BlockReader(HTMLParser):
         return self.parse_bogus_comment(i)
 
     def handle_data(self, data):
+        dropped = self._dropped > 0
+        if self._block is not None and self._block.dropped != dropped:
+            if dropped:  # a script or the like inside a block of text
+                return
+            self._end()
         if self._block is None:
-            self._block = Block(self._dropped > 0, self._articles > 0, self._heading)
+            self._block = Block(dropped, self._articles > 0, self._heading)
         self._block.parts.append(data)
         if self._anchors:
             self._block.linked += len("".join(data.split()))
