@@ -23,7 +23,7 @@ _EMPTY = 0xFFFF
 #: Shingles of the sets that one task compares, and members of a bucket that meet in one.
 _SHINGLES_AT_ONCE = 1 << 22
 _MEMBERS_AT_ONCE = 4096
-_CACHED_WORDS = 1_000_000
+_CACHED_WORDS = 250_000
 
 _U = np.uint64
 
