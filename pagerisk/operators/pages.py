@@ -7,9 +7,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pagerisk.functions.html import HEADING_LEVELS, page_elements
 from pagerisk.operators.batches import batch_contents
 
-SCRIPT_LIMIT = 3
-DEFAULT_CONTENT_BATCHES = tuple(range(104, 115))
-
 
 def extract(df: DataFrame, fields, html: str = "html", out: str = "page") -> DataFrame:
     """Parse ``html`` once, keep the named fields in a struct and let go of the HTML."""
@@ -68,13 +65,15 @@ def clean_text(df: DataFrame, *ids: str, html: str = "html") -> DataFrame:
     return parsed.select(*ids, "page.text").withColumn("sentences", sentences(F.col("text")))
 
 
-def scripts(df: DataFrame, *ids: str, html: str = "html", limit: int = SCRIPT_LIMIT) -> DataFrame:
-    """The first ``limit`` inline script bodies and script sources."""
+def scripts(df: DataFrame, *ids: str, html: str = "html", limit: int | None = None) -> DataFrame:
+    """Inline script bodies and script sources, all or the first ``limit`` of each."""
+    def some(name):
+        values = F.col(f"page.{name}")
+        return (values if limit is None else F.slice(values, 1, limit)).alias(name)
+
     parsed = extract(df.select(*ids, html), ["embedded_scripts", "external_scripts"], html)
     return parsed.select(
-        *ids,
-        F.slice("page.embedded_scripts", 1, limit).alias("embedded_scripts"),
-        F.slice("page.external_scripts", 1, limit).alias("external_scripts"),
+        *ids, some("embedded_scripts"), some("external_scripts")
     )
 
 
@@ -84,7 +83,7 @@ def page_content(df: DataFrame, *ids: str, html: str = "html") -> DataFrame:
     return parsed.select(*ids, flat_headings().alias("content"))
 
 
-def content_of_batches(store: DataFrame, batch_ids=DEFAULT_CONTENT_BATCHES) -> DataFrame:
+def content_of_batches(store: DataFrame, batch_ids) -> DataFrame:
     """(url, content) of every page in the given batches."""
     wanted = batch_contents(store, batch_ids)
     return page_content(wanted.filter(F.col("html").isNotNull()), "url")

@@ -10,7 +10,7 @@ from pagerisk.session import scratch_path
 from pagerisk.sources import archives as A
 from pagerisk.sources.feeds import read_headlines as read_csv
 
-ALL_FILES = A.LISTING_LIMIT
+SAMPLE_PER_FILE = 10
 
 FILES_SQL = f"""
   SELECT DISTINCT page_id // {PAGES_PER_FILE} AS file_idx FROM pages"""
@@ -22,11 +22,11 @@ PAGES_SQL = f"""
   FROM pages"""
 
 
-@query(f"SELECT file_idx, 'part-' || lpad(CAST(file_idx AS VARCHAR), 5, '0') || '.wat.gz' AS name, 'wat' AS kind FROM ({FILES_SQL})")
+@query(f"SELECT file_idx, 'part-' || lpad(CAST(file_idx AS VARCHAR), 8, '0') || '.wat.gz' AS name, 'wat' AS kind FROM ({FILES_SQL})")
 def list_crawl_files(spark, sf_dir):
     """All WAT files of a folder, in listing order."""
     root = write_archives(table(spark, sf_dir, "pages"), "wat")
-    listed = A.list_crawl_files(spark, root, "wat", 0, ALL_FILES)
+    listed = A.list_crawl_files(spark, root, "wat")
     return listed.select("file_idx", F.substring_index("path", "/", -1).alias("name"), "kind")
 
 
@@ -40,7 +40,7 @@ def list_crawl_files(spark, sf_dir):
 def read_archives(spark, sf_dir):
     """Every record of every WARC file, counted by type."""
     root = write_archives(table(spark, sf_dir, "pages"), "warc")
-    files = A.list_crawl_files(spark, root, "warc", 0, ALL_FILES)
+    files = A.list_crawl_files(spark, root, "warc")
     records = A.read_archives(files, "warc", rec_types=",")
     return records.groupBy("file_idx", "rec_type", "http_content_type").agg(
         F.count(F.lit(1)).alias("records"), F.count_distinct("target_uri").alias("uris")
@@ -53,9 +53,12 @@ def _warc_sql(where: str) -> str:
       FROM ({PAGES_SQL}) WHERE {where}"""
 
 
-def _warc(spark, sf_dir, per_file):
+def _warc(spark, sf_dir, per_file=None, script_limit=None):
     root = write_archives(table(spark, sf_dir, "pages"), "warc")
-    pages = A.crawl_pages(spark, root, "warc", 0, ALL_FILES, per_file)
+    records = A.read_archives(
+        A.list_crawl_files(spark, root, "warc"), "warc", stop_after=per_file
+    )
+    pages = A.warc_html_pages(records, per_file, script_limit)
     return pages.select(
         "file_idx",
         "url",
@@ -64,43 +67,65 @@ def _warc(spark, sf_dir, per_file):
     )
 
 
-@query(_warc_sql(f"n < {A.RECORDS_PER_FILE}"))
+@query(_warc_sql("true"))
 def warc_html_pages(spark, sf_dir):
-    """The first ten accepted pages of every file; reading stops there."""
-    return _warc(spark, sf_dir, A.RECORDS_PER_FILE)
+    """All accepted pages of all files."""
+    return _warc(spark, sf_dir)
 
 
 @query(_warc_sql("true"))
 def warc_html_pages_uncapped(spark, sf_dir):
-    return _warc(spark, sf_dir, None)
+    return _warc(spark, sf_dir, script_limit=None)
+
+
+@query(_warc_sql(f"n < {SAMPLE_PER_FILE}"))
+def warc_sample_per_file(spark, sf_dir):
+    """A sample: the first ten accepted pages of every file; reading stops there."""
+    return _warc(spark, sf_dir, per_file=SAMPLE_PER_FILE)
+
+
+@query(
+    f"""SELECT file_idx, 1 + 3 * count(*) AS records, 0 AS skipped, false AS truncated
+       FROM ({PAGES_SQL}) GROUP BY file_idx"""
+)
+def archive_status(spark, sf_dir):
+    """Records read and skipped of every WARC file, and whether its tail is cut."""
+    root = write_archives(table(spark, sf_dir, "pages"), "warc")
+    return A.archive_status(A.list_crawl_files(spark, root, "warc")).drop("path")
 
 
 def _wat_sql(cap: str) -> str:
     return f"""
-      SELECT file_idx, url, title, array_to_string(links[1:3], '|') AS links FROM (
+      SELECT file_idx, url, title, array_to_string(links, '|') AS links FROM (
         SELECT *, row_number() OVER (PARTITION BY file_idx ORDER BY n) AS rn FROM ({PAGES_SQL})
         WHERE title <> '' AND len(links) > 0) {cap}"""
 
 
-def _wat(spark, sf_dir, per_file):
+def _wat(spark, sf_dir, per_file=None):
     root = write_archives(table(spark, sf_dir, "pages"), "wat")
-    pages = A.crawl_pages(spark, root, "wat", 0, ALL_FILES, per_file)
+    pages = A.crawl_pages(spark, root, "wat", per_file=per_file)
     return pages.select("file_idx", "url", "title", F.array_join("links", "|").alias("links"))
 
 
-@query(_wat_sql(f"WHERE rn <= {A.RECORDS_PER_FILE}"))
+@query(_wat_sql(""))
 def wat_pages(spark, sf_dir):
-    return _wat(spark, sf_dir, A.RECORDS_PER_FILE)
+    return _wat(spark, sf_dir)
 
 
 @query(_wat_sql(""))
 def wat_pages_uncapped(spark, sf_dir):
-    return _wat(spark, sf_dir, None)
+    return _wat(spark, sf_dir, per_file=None)
+
+
+@query(_wat_sql(f"WHERE rn <= {SAMPLE_PER_FILE}"))
+def wat_sample_per_file(spark, sf_dir):
+    """A sample: the first ten accepted pages of every file."""
+    return _wat(spark, sf_dir, per_file=SAMPLE_PER_FILE)
 
 
 @query(
     f"""SELECT url, title, n_links, external, CAST(1 + (i - 1) // 100 AS INTEGER) AS batch_id FROM (
-         SELECT w.url, t.title, len(t.links[1:3]) AS n_links, w.external,
+         SELECT w.url, t.title, len(t.links) AS n_links, w.external,
            row_number() OVER (ORDER BY t.title IS NULL, coalesce(t.file_idx, w.file_idx),
                               coalesce(t.n, w.n)) AS i
          FROM (SELECT *, '/static/' || page_id || '.js' AS external FROM ({PAGES_SQL})) w
@@ -114,7 +139,7 @@ def ingest_crawl(spark, sf_dir):
     pages, store = table(spark, sf_dir, "pages"), scratch_path(spark, "crawl-store")
     for kind in ("wat", "warc"):
         root = write_archives(pages, kind)
-        landed = A.crawl_pages(spark, root, kind, 0, ALL_FILES, None, dedupe=False)
+        landed = A.crawl_pages(spark, root, kind, dedupe=False)
         ingest(spark, store, materialise(landed, f"landed-{kind}"))
     return read_pages(spark, store).select(
         "url",

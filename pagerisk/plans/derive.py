@@ -43,7 +43,7 @@ def wat_block(uri: str, title: str | None, links: list[str]) -> bytes:
 
 
 def archive_name(kind: str, number: int) -> str:
-    return f"{kind}/part-{number:05d}.{kind}.gz"
+    return f"{kind}/part-{number:08d}.{kind}.gz"
 
 
 def write_archives(pages: DataFrame, kind: str) -> str:

@@ -1,7 +1,7 @@
-"""Crawl archives: file listing, a streaming record source, and page extraction.
+"""Crawl archives: file listing, record reading, and page extraction.
 
-``crawl_archive`` is a Python data source with one partition per file. It streams a gzip
-file member by member, so memory holds one record, not one archive.
+Files are read by tasks that get paths as rows. A gzip file is streamed member by member,
+so memory holds one record, not one archive. Nothing is limited unless a limit is given.
 """
 
 from __future__ import annotations
@@ -12,16 +12,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from pagerisk.functions.html import PageElements, RejectedMarkup, page_elements
-from pagerisk.operators.pages import SCRIPT_LIMIT
+from pagerisk.functions.html import PageElements, RejectedMarkup
 from pagerisk.schemas import LANDED, RAW_RECORD, WAT_ENVELOPE
 from pagerisk.sources.paths import open_filesystem
 
-LISTING_LIMIT = 10_000
-RECORDS_PER_FILE = 10
-LINKS_PER_PAGE = 3
 KINDS = {"warc": r"\.warc\.gz$", "wat": r"wat/.*\.wat\.gz$"}
 
 _CHUNK = 1 << 20
@@ -44,26 +39,45 @@ def list_crawl_files(
     root: str,
     kind: str,
     start: int = 0,
-    end: int = 5,
-    limit: int = LISTING_LIMIT,
+    end: int | None = None,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Paths of one archive kind in listing order, numbered, sliced ``[start:end]``.
+    """Paths of one archive kind, numbered in listing order, sliced ``[start:end]``.
 
-    Only the path column is read, so no file content is touched.
+    Listing order is folder by folder, then by name. Only the path column is read, so no
+    file content is touched. Files are numbered inside their folder, folders by their counts.
     """
     listed = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .load(root)
-        .select("path")
+        .select("path", F.regexp_extract("path", "^(.*/)", 1).alias("__folder"))
         .filter(F.col("path").rlike(KINDS[kind]))
-        .orderBy("path")
-        .limit(limit)
     )
-    numbered = listed.withColumn("file_idx", F.row_number().over(Window.orderBy("path")) - 1)
-    return numbered.filter(F.col("file_idx").between(start, end - 1)).select(
-        "path", F.lit(kind).alias("kind"), F.col("file_idx").cast("long").alias("file_idx")
+    earlier = Window.orderBy("__folder").rowsBetween(Window.unboundedPreceding, -1)
+    folders = listed.groupBy("__folder").agg(F.count(F.lit(1)).alias("__n"))
+    folders = folders.select(
+        "__folder", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before")
     )
+    inside = F.row_number().over(Window.partitionBy("__folder").orderBy("path"))
+    numbered = listed.withColumn("__rn", inside).join(folders, "__folder")
+    number = F.col("__before") + F.col("__rn") - 1
+    files = numbered.select("path", F.lit(kind).alias("kind"), number.cast("long").alias("file_idx"))
+    bounds = [n for n in (end, limit) if n is not None]
+    wanted = F.col("file_idx") >= start
+    return files.filter(wanted & (F.col("file_idx") < min(bounds)) if bounds else wanted)
+
+
+class Damage:
+    """What a file held that could not be read."""
+
+    def __init__(self):
+        self.skipped = 0
+        self.truncated = False
+
+
+class DamagedArchive(ValueError):
+    """A record or the tail of an archive cannot be read."""
 
 
 class _Bytes:
@@ -102,24 +116,27 @@ class _Bytes:
         return self._take(self._pos + size)
 
 
-def _gunzip(stream) -> Iterator[bytes]:
-    """Decompressed chunks of a gzip file of any number of members; stops at a broken tail."""
-    member = zlib.decompressobj(wbits=31)
+def _gunzip(stream, damage: Damage) -> Iterator[bytes]:
+    """Decompressed chunks of a gzip file of any number of members, up to a broken tail."""
+    member, begun = zlib.decompressobj(wbits=31), False
     while data := stream.read(_CHUNK):
         while data:
             try:
                 chunk = member.decompress(data, _CHUNK)
             except zlib.error:
+                damage.truncated = True
                 return
+            begun = True
             if chunk:
                 yield chunk
             if member.eof:
                 data = member.unused_data.lstrip(b"\0")
-                member = zlib.decompressobj(wbits=31)
+                member, begun = zlib.decompressobj(wbits=31), False
             else:
                 data = member.unconsumed_tail
     if rest := member.flush():
         yield rest
+    damage.truncated |= begun
 
 
 def _headers(source: _Bytes) -> dict[str, str]:
@@ -164,17 +181,26 @@ def _unchunk(body: bytes) -> bytes:
     return b"".join(out)
 
 
-def _records(source: _Bytes, wanted: frozenset[str]) -> Iterator[tuple]:
-    """(record_no, type, uri, content type, payload) of the wanted record types."""
+def _records(source: _Bytes, wanted: frozenset[str], damage: Damage) -> Iterator[tuple]:
+    """(record_no, type, uri, content type, payload) of the wanted record types.
+
+    A record without a usable length, or cut short, is counted as skipped.
+    """
     record_no = -1
     while (line := source.line()) is not None:
         if not line.startswith(b"WARC/"):
             continue
         headers = _headers(source)
         try:
-            block = source.block(int(headers.get("content-length", "0")))
-        except ValueError:
+            length = int(headers["content-length"])
+        except (KeyError, ValueError):
+            damage.skipped += 1
             continue
+        block = source.block(length)
+        if len(block) < length:
+            damage.skipped += 1
+            damage.truncated = True
+            return
         record_no += 1
         rec_type = headers.get("warc-type", "")
         if wanted and rec_type not in wanted:
@@ -209,39 +235,21 @@ def _has_title_and_links(uri: str | None, content_type: str | None, payload: byt
 _ACCEPT = {"warc": _has_both_scripts, "wat": _has_title_and_links}
 
 
-class ArchiveFile(InputPartition):
-    def __init__(self, path: str, file_idx: int):
-        self.path = path
-        self.file_idx = file_idx
-
-
-class ArchiveReader(DataSourceReader):
-    def __init__(self, options: dict[str, str]):
-        self.files = json.loads(options["files"])
-        self.rec_types = frozenset(t for t in options.get("rectypes", "").split(",") if t)
-        self.accept = options.get("accept", "")
-        self.stop_after = int(options.get("stopafter", "0"))
-
-    def partitions(self):
-        return [ArchiveFile(path, file_idx) for path, file_idx in self.files]
-
-    def read(self, partition: ArchiveFile) -> Iterator[pa.RecordBatch]:
-        filesystem, name = open_filesystem(partition.path)
-        accepts = _ACCEPT.get(self.accept)
-        rows, size, accepted = [], 0, 0
-        with filesystem.open_input_stream(name, compression=None) as stream:
-            for record in _records(_Bytes(_gunzip(stream)), self.rec_types):
-                rows.append((partition.path, partition.file_idx, *record))
-                size += len(record[-1])
-                if self.stop_after and accepts and accepts(*record[2:]):
-                    accepted += 1
-                    if accepted >= self.stop_after:
-                        break
-                if size >= _BATCH_BYTES:
-                    yield _batch(rows)
-                    rows, size = [], 0
-        if rows:
-            yield _batch(rows)
+def _scan(
+    path: str, wanted: frozenset[str], accepts=None, stop_after: int = 0, strict: bool = False
+) -> Iterator[tuple | Damage]:
+    """Records of one file, then its damage; with ``stop_after`` only so many accepted ones."""
+    filesystem, name = open_filesystem(path)
+    damage, accepted = Damage(), 0
+    with filesystem.open_input_stream(name, compression=None) as stream:
+        for record in _records(_Bytes(_gunzip(stream, damage)), wanted, damage):
+            yield record
+            accepted += bool(stop_after) and accepts(*record[2:])
+            if stop_after and accepted >= stop_after:
+                break
+    if strict and (damage.skipped or damage.truncated):
+        raise DamagedArchive(f"{path}: {damage.skipped} records skipped, tail cut: {damage.truncated}")
+    yield damage
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -250,39 +258,66 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=_ARROW_SCHEMA)
 
 
-class CrawlArchive(DataSource):
-    """Options: ``files`` (JSON list of path and number), ``recTypes`` (comma list), ``accept`` and ``stopAfter``.
+def _spread(files: DataFrame) -> DataFrame:
+    """Paths dealt to tasks one by one; a file costs far more than its row."""
+    tasks = 4 * files.sparkSession.sparkContext.defaultParallelism
+    return files.select("path", "file_idx").repartition(tasks)
 
-    With ``stopAfter`` n, reading a file ends after n records that the named acceptance
-    test would keep, so a capped extraction does not decompress whole archives.
-    """
 
-    @classmethod
-    def name(cls):
-        return "crawl_archive"
+def _paths(batches) -> Iterator[tuple[str, int]]:
+    for batch in batches:
+        yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
 
-    def schema(self):
-        return RAW_RECORD
 
-    def reader(self, schema):
-        return ArchiveReader({key.lower(): value for key, value in self.options.items()})
+_RECORD_TYPES = {"warc": "response", "wat": "metadata"}
 
 
 def read_archives(
-    files: DataFrame, kind: str, stop_after: int | None = None, rec_types: str | None = None
+    files: DataFrame,
+    kind: str,
+    stop_after: int | None = None,
+    rec_types: str | None = None,
+    strict: bool = False,
 ) -> DataFrame:
-    """Raw records of the listed files; a listing holds at most ``LISTING_LIMIT`` paths."""
-    spark = files.sparkSession
-    spark.dataSource.register(CrawlArchive)
-    numbered = [(row.path, row.file_idx) for row in files.select("path", "file_idx").collect()]
-    return (
-        spark.read.format("crawl_archive")
-        .option("files", json.dumps(numbered))
-        .option("recTypes", rec_types or {"warc": "response", "wat": "metadata"}[kind])
-        .option("accept", kind)
-        .option("stopAfter", str(stop_after or 0))
-        .load()
-    )
+    """Raw records of the listed files; ``rec_types`` is a comma list, "," for all.
+
+    With ``stop_after`` n, reading a file ends after n records that the kind's acceptance
+    test would keep, so a capped extraction does not decompress whole archives. A damaged
+    file gives what can be read, see ``archive_status``, or fails the job if ``strict``.
+    """
+    wanted = frozenset(t for t in (rec_types or _RECORD_TYPES[kind]).split(",") if t)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for path, file_idx in _paths(batches):
+            rows, size = [], 0
+            for record in _scan(path, wanted, _ACCEPT[kind], stop_after or 0, strict):
+                if isinstance(record, Damage):
+                    continue
+                rows.append((path, file_idx, *record))
+                size += len(record[-1])
+                if size >= _BATCH_BYTES:
+                    yield _batch(rows)
+                    rows, size = [], 0
+            if rows:
+                yield _batch(rows)
+
+    return _spread(files).mapInArrow(read, RAW_RECORD)
+
+
+def archive_status(files: DataFrame) -> DataFrame:
+    """Per file: records read, records skipped, and whether its tail could not be read."""
+    names = ["path", "file_idx", "records", "skipped", "truncated"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for path, file_idx in _paths(batches):
+            records = -1
+            for found in _scan(path, frozenset()):
+                records += 1
+            row = [path, file_idx, records, found.skipped, found.truncated]
+            yield pa.RecordBatch.from_arrays([pa.array([value]) for value in row], names)
+
+    schema = "path string, file_idx long, records long, skipped long, truncated boolean"
+    return _spread(files).mapInArrow(count, schema)
 
 
 def _first_accepted(pages: DataFrame, per_file: int | None) -> DataFrame:
@@ -310,27 +345,53 @@ def _as_landed(pages: DataFrame, dedupe: bool) -> DataFrame:
     return folded.select("file_idx", "url", "record_no", "__row.*").select(*fields)
 
 
-def _decoded(payload: Column) -> Column:
-    """UTF-8 text with invalid bytes dropped."""
+_PARSED = "struct<html:string,embedded_scripts:array<string>,external_scripts:array<string>>"
+_PARSED_ARROW = pa.struct(
+    [
+        ("html", pa.string()),
+        ("embedded_scripts", pa.list_(pa.string())),
+        ("external_scripts", pa.list_(pa.string())),
+    ]
+)
+
+
+def _parsed(payload: Column) -> Column:
+    """The page as text, invalid bytes dropped, and its scripts, from one pass over it."""
+
+    @F.arrow_udf(_PARSED)
+    def parse(blocks: pa.Array) -> pa.Array:
+        rows = []
+        for block in blocks:
+            html = block.as_py().decode("utf-8", "ignore") if block.is_valid else ""
+            try:
+                page = PageElements(html)
+            except RejectedMarkup:
+                rows.append(None)
+                continue
+            scripts = {name: page.field(name) for name in _PARSED_ARROW.names if name != "html"}
+            rows.append({"html": html, **scripts})
+        return pa.array(rows, type=_PARSED_ARROW)
+
+    # Else a filter on the result would be pushed below it, as a second parse.
+    return parse.asNondeterministic()(payload)
 
-    @F.arrow_udf("string")
-    def lenient(blocks: pa.Array) -> pa.Array:
-        return pa.array(
-            [b.as_py().decode("utf-8", "ignore") if b.is_valid else None for b in blocks],
-            type=pa.string(),
-        )
 
-    return lenient(payload)
+def _first(values: Column | str, count: int | None) -> Column:
+    values = F.col(values) if isinstance(values, str) else values
+    return values if count is None else F.slice(values, 1, count)
 
 
 def warc_html_pages(
     records: DataFrame,
-    per_file: int | None = RECORDS_PER_FILE,
-    script_limit: int = SCRIPT_LIMIT,
+    per_file: int | None = None,
+    script_limit: int | None = None,
     dedupe: bool = True,
 ) -> DataFrame:
-    """HTML responses that have inline and external scripts, the first ``per_file`` per file."""
-    html = records.filter(
+    """HTML responses that have inline and external scripts.
+
+    ``per_file`` keeps the first so many of a file, ``script_limit`` of the scripts.
+    """
+    parsed = records.filter(
         (F.col("rec_type") == "response")
         & (F.col("target_uri") != "")
         & F.col("http_content_type").contains("text/html")
@@ -338,13 +399,10 @@ def warc_html_pages(
         "file_idx",
         "record_no",
         F.col("target_uri").alias("url"),
-        _decoded(F.col("payload")).alias("html"),
-    )
-    parsed = html.withColumn(
-        "page", page_elements(F.col("html"), ["embedded_scripts", "external_scripts"])
+        _parsed(F.col("payload")).alias("page"),
     )
     complete = parsed.filter(
-        (F.col("html") != "")
+        (F.col("page.html") != "")
         & (F.size("page.embedded_scripts") > 0)
         & (F.size("page.external_scripts") > 0)
     )
@@ -352,20 +410,20 @@ def warc_html_pages(
         "file_idx",
         "record_no",
         "url",
-        "html",
-        F.slice("page.embedded_scripts", 1, script_limit).alias("embedded_scripts"),
-        F.slice("page.external_scripts", 1, script_limit).alias("external_scripts"),
+        "page.html",
+        _first("page.embedded_scripts", script_limit).alias("embedded_scripts"),
+        _first("page.external_scripts", script_limit).alias("external_scripts"),
     )
     return _as_landed(_first_accepted(pages, per_file), dedupe)
 
 
 def wat_pages(
     records: DataFrame,
-    per_file: int | None = RECORDS_PER_FILE,
-    links: int = LINKS_PER_PAGE,
+    per_file: int | None = None,
+    links: int | None = None,
     dedupe: bool = True,
 ) -> DataFrame:
-    """Page metadata with a title and links, the first ``per_file`` per file."""
+    """Page metadata with a title and links, if wanted the first so many of each."""
     parsed = records.filter(F.col("rec_type") == "metadata").select(
         "file_idx",
         "record_no",
@@ -380,7 +438,7 @@ def wat_pages(
         envelope["WARC-Header-Metadata"]["WARC-Target-URI"].alias("url"),
         F.coalesce(response["HTML"]["Content"], F.lit("")).alias("html"),
         response["HTML-Metadata"]["Head"]["Title"].alias("title"),
-        F.slice(urls, 1, links).alias("links"),
+        _first(urls, links).alias("links"),
     ).filter((F.col("url") != "") & (F.col("title") != "") & (F.size("links") > 0))
     return _as_landed(_first_accepted(pages, per_file), dedupe)
 
@@ -390,11 +448,11 @@ def crawl_pages(
     root: str,
     kind: str,
     start: int = 0,
-    end: int = 5,
-    per_file: int | None = RECORDS_PER_FILE,
+    end: int | None = None,
+    per_file: int | None = None,
     dedupe: bool = True,
 ) -> DataFrame:
-    """List, read and extract one range of archives into landed page rows.
+    """List, read and extract archives, all or one range, into landed page rows.
 
     Without ``dedupe`` a URL may come several times per file, and no page is shuffled. That
     is enough for ``ingest``: accepted records of one kind fill the same fields, so folding

@@ -66,6 +66,11 @@ def last_commit(spark: SparkSession, root: str) -> Commit:
     return Commit(row.epoch, row.base_epoch, B.BatchState(row.last_batch_id, row.last_item_index))
 
 
+def is_committed(spark: SparkSession, root: str, token: str) -> bool:
+    """Whether an ingest with this token has been committed."""
+    return bool(_states(spark, root).filter(F.col("token") == token).take(1))
+
+
 def load_state(spark: SparkSession, root: str) -> DataFrame:
     """One row of last ids, zeros when nothing has been stored."""
     return _states(spark, root).agg(
@@ -132,7 +137,7 @@ def ingest(spark: SparkSession, root: str, landed: DataFrame, token: str | None
     the updates. A ``token`` that was committed before makes the call a no-op.
     """
     before = last_commit(spark, root)
-    if token is not None and _states(spark, root).filter(F.col("token") == token).take(1):
+    if token is not None and is_committed(spark, root, token):
         return before
     keyed = landed.selectExpr("*", f"{url_key('url')} AS url_key")
     first_seen = keyed.groupBy("url_key").agg(

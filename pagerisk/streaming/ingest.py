@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pagerisk.schemas import LANDED
 from pagerisk.session import materialise
 from pagerisk.sources.archives import crawl_pages
-from pagerisk.sources.page_store import Commit, ingest
+from pagerisk.sources.page_store import Commit, ingest, is_committed, last_commit
 
 
 def start_ingest(
@@ -40,9 +40,22 @@ def start_ingest(
 
 
 def ingest_crawl(
-    spark: SparkSession, archives: str, root: str, kind: str, start: int = 0, end: int = 5
+    spark: SparkSession,
+    archives: str,
+    root: str,
+    kind: str,
+    start: int = 0,
+    end: int | None = None,
+    token: str | None = None,
 ) -> Commit:
-    """Extract one range of archives, land the pages in the shared folder, ingest them."""
+    """Extract archives, all or one range, land the pages in the shared folder, ingest them.
+
+    The range is its own commit token unless one is given, so a range that is run again
+    changes nothing and a long crawl can be resumed range by range.
+    """
+    token = token or f"{archives}|{kind}|{start}|{'' if end is None else end}"
+    if is_committed(spark, root, token):
+        return last_commit(spark, root)
     pages = crawl_pages(spark, archives, kind, start, end, dedupe=False)
     landed = materialise(pages, f"landed-{kind}")
-    return ingest(spark, root, landed)
+    return ingest(spark, root, landed, token=token)

@@ -61,7 +61,7 @@ def crawl(tmp_path_factory):
 
 
 def test_listing(spark, crawl):
-    warc = A.list_crawl_files(spark, crawl, "warc", 0, 100).collect()
+    warc = A.list_crawl_files(spark, crawl, "warc", 0, 100).orderBy("file_idx").collect()
     assert [r.path.rsplit("/", 1)[1] for r in warc] == ["first.warc.gz", "second.warc.gz", "third.warc.gz"]
     assert [r.file_idx for r in warc] == [0, 1, 2]
     assert [r.file_idx for r in A.list_crawl_files(spark, crawl, "warc", 1, 2).collect()] == [1]
@@ -82,7 +82,7 @@ def test_warc_pages(spark, crawl):
     assert set(by_file[0]) == {"http://ok/1", "http://ok/2"}
     assert "again" in by_file[0]["http://ok/1"].html and by_file[0]["http://ok/1"].record_no == 2
     assert "abc" in by_file[0]["http://ok/2"].html
-    assert set(by_file[1]) == {f"http://many/{i}" for i in range(10)}
+    assert set(by_file[1]) == {f"http://many/{i}" for i in range(12)}
     assert set(by_file[2]) == {"http://chunked/", "http://gz/"}
     assert by_file[2]["http://gz/"].embedded_scripts == ["x()"]
     assert rows[0].headers is None
@@ -101,7 +101,7 @@ def test_bad_bytes_are_dropped(spark, crawl):
 def test_wat_pages(spark, crawl):
     rows = {r.url: r for r in A.crawl_pages(spark, crawl, "wat").collect()}
     assert set(rows) == {"http://ok/1", "http://nameless/"}
-    assert rows["http://ok/1"].links == ["http://l/0", "http://l/1", "http://l/2"]
+    assert rows["http://ok/1"].links == [f"http://l/{i}" for i in range(5)]
     assert rows["http://ok/1"].title == "Title one" and rows["http://ok/1"].html == ""
     assert rows["http://nameless/"].links == ["y"]
 
@@ -114,16 +114,53 @@ def test_wat_then_warc_merge_in_the_store(spark, crawl):
     ingest_crawl(spark, crawl, root, "warc", 0, 3)
     merged = {r.url: r for r in read_pages(spark, root).collect()}["http://ok/1"]
     assert merged.title == "Title one" and merged.embedded_scripts == ["x()"] and "again" in merged.html
-    assert last_commit(spark, root).state == (1, 15)
+    assert last_commit(spark, root).state == (1, 17)
+    epoch = last_commit(spark, root).epoch
+    ingest_crawl(spark, crawl, root, "warc", 0, 3)
+    assert last_commit(spark, root).epoch == epoch
+
+
+def test_reader_stops_after_enough_accepted(spark, crawl):
+    files = A.list_crawl_files(spark, crawl, "warc", 1, 2)
+    assert A.read_archives(files, "warc", stop_after=3).count() == 3
+    assert A.crawl_pages(spark, crawl, "warc", 1, 2, per_file=10).count() == 10
+
+
+def test_empty_listing_gives_an_empty_frame(spark, crawl):
+    assert A.crawl_pages(spark, crawl, "warc", 50, 60).collect() == []
+    assert A.read_archives(A.list_crawl_files(spark, crawl, "wat", 9), "wat").collect() == []
+
+
+def test_more_than_ten_thousand_files_are_listed(spark, tmp_path):
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+        for n in range(5010):
+            (tmp_path / folder / f"{n:05d}.warc.gz").write_bytes(b"x")
+    listed = A.list_crawl_files(spark, str(tmp_path), "warc")
+    facts = listed.selectExpr("count(*)", "min(file_idx)", "max(file_idx)", "count(DISTINCT file_idx)")
+    assert tuple(facts.first()) == (10_020, 0, 10_019, 10_020)
+    assert listed.filter("file_idx = 5010").first().path.endswith("b/00000.warc.gz")
+
+
+def test_damage_is_counted(spark, tmp_path):
+    whole = b"".join(warc_record("response", f"http://w/{i}", page(b"%d" % i)) for i in range(50))
+    (tmp_path / "a.warc.gz").write_bytes(whole)
+    (tmp_path / "b.warc.gz").write_bytes(whole[: len(whole) // 2])
+    bad = gzip.compress(b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: x\r\n\r\n")
+    (tmp_path / "c.warc.gz").write_bytes(bad + warc_record("response", "http://w/", page(b"x")))
+    files = A.list_crawl_files(spark, str(tmp_path), "warc")
+    status = {r.file_idx: r for r in A.archive_status(files).collect()}
+    assert (status[0].records, status[0].skipped, status[0].truncated) == (50, 0, False)
+    assert 20 < status[1].records < 30 and status[1].truncated
+    assert (status[2].records, status[2].skipped, status[2].truncated) == (1, 1, False)
+    assert A.read_archives(files, "warc").count() == 51 + status[1].records
+    with pytest.raises(Exception, match="DamagedArchive"):
+        A.read_archives(files, "warc", strict=True).count()
 
 
-def test_reader_stops_after_enough_accepted(crawl):
-    reader = A.ArchiveReader({
-        "files": json.dumps([[f"{crawl}/a/second.warc.gz", 0]]), "rectypes": "response",
-        "accept": "warc", "stopafter": "3",
-    })
-    batches = list(reader.read(reader.partitions()[0]))
-    assert sum(b.num_rows for b in batches) == 3
+def test_pages_are_parsed_once(spark, crawl):
+    plan = A.crawl_pages(spark, crawl, "warc")._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[0].count("ArrowEvalPython") <= 1
 
 
 def test_lines_and_blocks_across_chunks():
@@ -132,6 +169,6 @@ def test_lines_and_blocks_across_chunks():
 
 
 def test_cap_is_pushed_before_the_shuffle(spark, crawl):
-    pages = A.crawl_pages(spark, crawl, "warc", 0, 10)
+    pages = A.crawl_pages(spark, crawl, "warc", 0, 10, per_file=10)
     plan = pages._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2

@@ -76,7 +76,10 @@ def test_scripts_count_in_both_lists():
 def test_script_limit_and_tables(spark):
     html = "".join(f"<script src='{i}'>b{i}</script><img src={i}>" for i in range(5))
     df = spark.createDataFrame([(1, html), (2, None)], "page_id int, html string")
-    found = {r.page_id: r for r in H.scripts(df, "page_id").collect()}
+    whole = {r.page_id: r for r in H.scripts(df, "page_id").collect()}
+    assert whole[1].embedded_scripts == [f"b{i}" for i in range(5)]
+    assert whole[1].external_scripts == [str(i) for i in range(5)]
+    found = {r.page_id: r for r in H.scripts(df, "page_id", limit=3).collect()}
     assert found[1].embedded_scripts == ["b0", "b1", "b2"]
     assert found[1].external_scripts == ["0", "1", "2"]
     assert found[2].embedded_scripts is None
