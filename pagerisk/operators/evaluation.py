@@ -32,14 +32,17 @@ def evaluate_models_checked(
 ) -> DataFrame:
     """Metrics of the named models; a faulty one gets NaN metrics and an error text.
 
-    Faulty: another number of rows than samples, or a prediction that is not 0 or 1.
+    Faulty: another number of rows than samples, a sample that comes twice, or a prediction
+    that is not 0 or 1.
     """
     if not models:
         raise ValueError("name at least one model")
     spark = predictions.sparkSession
     valid = F.coalesce(F.col("y_pred").isin(0, 1) & F.col("y_true").isin(0, 1), F.lit(False))
     checks = predictions.groupBy("model").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(~valid).alias("bad")
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(~valid).alias("bad"),
+        F.count_distinct("sample_id").alias("samples"),
     )
     named = spark.createDataFrame([(m,) for m in dict.fromkeys(models)], "model string")
     joined = named.join(checks, "model", "left").join(evaluate_models(predictions), "model", "left")
@@ -49,6 +52,10 @@ def evaluate_models_checked(
             F.col("n") != n_samples,
             F.format_string(f"%d predictions for {n_samples} samples", F.col("n")),
         )
+        .when(
+            F.col("samples") != F.col("n"),
+            F.format_string("%d different samples among %d predictions", "samples", "n"),
+        )
         .when(F.col("bad") > 0, F.format_string("%d predictions are not 0 or 1", F.col("bad")))
     )
     marked = joined.withColumn("error", error)

@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from pagerisk.functions.encoders import Encoder
 from pagerisk.functions.text import fear_prediction
+from pagerisk.operators.batches import dense_index
 from pagerisk.operators.scoring import FEATURES, Scorer, page_scores, with_property_scores
 from pagerisk.operators.similarity import HeadlineCorpus
 
 CLASSIFIER_THRESHOLD = 0.5
 LABEL_BATCH = 100
+# Relative range up to which a feature counts as constant.
+ROUNDING = 1e-12
 
 
 def _sum(columns):
@@ -55,12 +58,22 @@ def label_pages_in_batches(
     corpus: HeadlineCorpus,
     thresholds: Sequence[float],
     batch_size: int = LABEL_BATCH,
+    order: str = "page_id",
     **options,
 ) -> DataFrame:
-    """The same rows as ``label_pages``: Spark's partitions and Arrow batches are the batches."""
+    """The rows of ``label_pages`` with the batch they belong to, counted from 0.
+
+    Batches hold ``batch_size`` URLs, in the order of the first ``order`` (a number from 0)
+    of each URL. Only URLs are numbered, not the pages.
+    """
     if batch_size < 1:
         raise ValueError("batch_size must be positive")
-    return label_pages(pages, corpus, thresholds, **options)
+    places = pages.groupBy("url").agg(F.min(order).cast("long").alias("__place"))
+    places = places.withColumn("__file", F.expr("__place div 65536"))
+    numbered = dense_index(places, "__file", "__place", "__item")
+    batch = F.floor(F.col("__item") / batch_size).cast("long").alias("batch")
+    labelled = label_pages(pages.select("url", "html"), corpus, thresholds, **options)
+    return labelled.join(numbered.select("url", batch), "url")
 
 
 class Scaler(NamedTuple):
@@ -73,16 +86,26 @@ class Scaler(NamedTuple):
 
 
 def scaler_stats(df: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
-    """One row per feature: mean and scale, a zero deviation counting as 1."""
+    """One row per feature: mean and scale; a constant feature has the scale 1.
+
+    Constant means that its range is within rounding of its values. The deviation itself
+    does not tell, as partial sums leave a rest of rounding errors in it.
+    """
     moments = df.agg(
         *(F.avg(f).alias(f"m{i}") for i, f in enumerate(features)),
         *(F.stddev_pop(f).alias(f"s{i}") for i, f in enumerate(features)),
+        *(
+            (F.max(f) - F.min(f) <= ROUNDING * F.greatest(F.abs(F.max(f)), F.abs(F.min(f)))).alias(
+                f"c{i}"
+            )
+            for i, f in enumerate(features)
+        ),
     )
     rows = [
         F.struct(
             F.lit(f).alias("feature"),
             F.col(f"m{i}").alias("mean"),
-            F.when(F.col(f"s{i}") == 0, 1.0).otherwise(F.col(f"s{i}")).alias("scale"),
+            F.when(F.col(f"c{i}"), 1.0).otherwise(F.col(f"s{i}")).alias("scale"),
         )
         for i, f in enumerate(features)
     ]

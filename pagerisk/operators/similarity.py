@@ -88,7 +88,7 @@ def compare_encoders(
 ) -> DataFrame:
     """One row (Model, URL, Similarity, Match) per encoder and page; pages are parsed once.
 
-    ``preview`` keeps that many rows for a look at the result.
+    ``preview`` keeps that many rows, the first by URL and model, for a look at the result.
     """
     parsed = extract(pages.select("url", "html"), ["title", "headings"])
     step = parsed.select("url", flat_headings().alias("content"))
@@ -105,7 +105,7 @@ def compare_encoders(
             )
         )
     compared = step.select(F.inline(F.array(*results)))
-    return compared if preview is None else compared.limit(preview)
+    return compared if preview is None else compared.orderBy("URL", "Model").limit(preview)
 
 
 def _matrix(vectors: pa.Array) -> np.ndarray:

@@ -142,22 +142,46 @@ def multi_label_verdict(
     """Combine page labels, phishing traces and threat flags into one verdict per URL.
 
     clickbait = page label or threat flag; payfraud = threat flag or phishing trace;
-    harmful = threat flag. Each input holds one row per URL; a missing one counts as false.
+    harmful = threat flag. Repeated rows of a URL are combined first, on every side: a flag
+    is true if it is in any of them. A URL that a side does not hold counts as false there.
+    A NULL threat flag is a failed check and stays unknown: it gives true with a true
+    partner and NULL otherwise, and the verdict names what is known to be true.
     """
-    joined = (
-        urls.join(labels.select(url, "label"), url, "left")
-        .join(phishing.select(url, "phishing_trace"), url, "left")
-        .join(threats.select(url, "is_clickbait", "is_payfraud", "is_harmful"), url, "left")
-    )
+
+    def combined(rows: DataFrame, **flags: Column) -> DataFrame:
+        """One row per URL: true if any flag is, else NULL if any is NULL, else false."""
+        flagged = rows.select(url, *(flag.alias(name) for name, flag in flags.items()))
+        unknown = lambda name: F.count_if(F.col(name).isNull()) > 0
+        return flagged.groupBy(url).agg(
+            *(
+                F.when(F.max(name), True)
+                .when(unknown(name), F.lit(None))
+                .otherwise(False)
+                .alias(name)
+                for name in flags
+            ),
+            F.lit(True).alias(f"__{next(iter(flags))}"),
+        )
 
     def yes(column: Column) -> Column:
         return F.coalesce(column, F.lit(False))
 
+    checks = ("is_clickbait", "is_payfraud", "is_harmful")
+    joined = (
+        urls.dropDuplicates([url])
+        .join(combined(labels, labelled=yes(F.col("label") == 1)), url, "left")
+        .join(combined(phishing, traced=yes(F.col("phishing_trace"))), url, "left")
+        .join(combined(threats, **{name: F.col(name) for name in checks}), url, "left")
+    )
+
+    def checked(name: str) -> Column:
+        return F.when(F.col("__is_clickbait"), F.col(name)).otherwise(F.lit(False))
+
     flags = joined.select(
         *urls.columns,
-        (yes(F.col("label") == 1) | yes(F.col("is_clickbait"))).alias("clickbait"),
-        (yes(F.col("is_payfraud")) | yes(F.col("phishing_trace"))).alias("payfraud"),
-        yes(F.col("is_harmful")).alias("harmful"),
+        (yes(F.col("labelled")) | checked("is_clickbait")).alias("clickbait"),
+        (checked("is_payfraud") | yes(F.col("traced"))).alias("payfraud"),
+        checked("is_harmful").alias("harmful"),
     )
     named = [F.when(F.col(n), n) for n in ("clickbait", "payfraud", "harmful")]
     return flags.withColumn("verdict", F.array_compact(F.array(*named)))

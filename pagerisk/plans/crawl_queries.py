@@ -150,11 +150,22 @@ def ingest_crawl(spark, sf_dir):
     )
 
 
-@query("SELECT text AS headline, toxic AS clickbait FROM documents JOIN labels USING (doc_id)")
+@query(
+    """SELECT text AS headline, toxic AS clickbait,
+         row_number() OVER (ORDER BY 9 - doc_id % 10, doc_id) - 1 AS idx
+       FROM documents JOIN labels USING (doc_id)"""
+)
 def read_headlines(spark, sf_dir):
-    """The labelled documents written as a headline CSV and read back."""
+    """The labelled documents written as ten headline CSV folders and read back in order."""
     documents = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     path = scratch_path(spark, "headlines")
-    headlines = documents.select(F.col("text").alias("headline"), F.col("toxic").alias("clickbait"))
-    headlines.write.csv(path, header=True, quote='"', escape='"', quoteAll=True)
-    return read_csv(spark, path).drop("idx")
+    headlines = documents.select(
+        F.col("text").alias("headline"),
+        F.col("toxic").alias("clickbait"),
+        (9 - F.col("doc_id") % 10).alias("part"),
+        "doc_id",
+    )
+    ordered = headlines.repartition(10, "part").sortWithinPartitions("part", "doc_id").drop("doc_id")
+    options = {"header": True, "quote": '"', "escape": '"', "quoteAll": True}
+    ordered.write.partitionBy("part").options(**options).csv(path)
+    return read_csv(spark, path)

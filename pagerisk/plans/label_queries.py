@@ -18,7 +18,7 @@ from pagerisk.plans.text_queries import (
     nearest_sql,
     page_similarity_sql,
 )
-from pagerisk.session import scratch_path
+from pagerisk.session import materialise, scratch_path
 
 THRESHOLDS = (0.5, 0.75)
 # Frequent words of the invented page language; they stand for a fear lexicon.
@@ -93,12 +93,18 @@ def label_pages_large_corpus(spark, sf_dir):
     )
 
 
-@query(LABELLED_SQL)
+@query(
+    f"""SELECT l.*, b.batch FROM ({LABELLED_SQL}) l JOIN (
+         SELECT url, (row_number() OVER (ORDER BY page_id) - 1) // 100 AS batch FROM pages) b
+       USING (url)"""
+)
 def label_pages_in_batches(spark, sf_dir):
+    """The labels with their batches of a hundred pages."""
+    pages = heavy_table(spark, sf_dir, "pages")
     corpus = document_corpus(spark, sf_dir)
     return _rounded(
         L.label_pages_in_batches(
-            _pages(spark, sf_dir), corpus, THRESHOLDS, encoder=ENCODER, scorer=page_prediction
+            pages, corpus, THRESHOLDS, encoder=ENCODER, scorer=page_prediction
         )
     )
 
@@ -118,7 +124,7 @@ def labels_csv(spark, sf_dir):
 
 USER_FEATURES_SQL = """
   SELECT user_id, avg(CAST(event_type = 'click' AS INTEGER)) AS f1,
-    avg(CAST(event_type = 'view' AS INTEGER)) AS f2, avg(value) / 100 AS f3, 1.0 AS f4
+    avg(CAST(event_type = 'view' AS INTEGER)) AS f2, avg(value) / 100 AS f3, 0.1::DOUBLE AS f4
   FROM events GROUP BY user_id"""
 F_NAMES = ("f1", "f2", "f3", "f4")
 WEIGHTS = (0.2, 0.2, 0.2, 0.4)
@@ -131,7 +137,7 @@ def user_features(spark, sf_dir) -> DataFrame:
         F.avg((F.col("event_type") == "click").cast("int")).alias("f1"),
         F.avg((F.col("event_type") == "view").cast("int")).alias("f2"),
         (F.avg("value") / 100).alias("f3"),
-        F.lit(1.0).alias("f4"),
+        F.lit(0.1).alias("f4"),
     )
 
 
@@ -147,7 +153,7 @@ def label_features(spark, sf_dir):
 
 SCALER_SQL = " UNION ALL ".join(
     f"""SELECT '{f}' AS feature, avg({f}) AS mean,
-      CASE WHEN stddev_pop({f}) = 0 THEN 1.0 ELSE stddev_pop({f}) END AS scale
+      CASE WHEN max({f}) = min({f}) THEN 1.0 ELSE stddev_pop({f}) END AS scale
     FROM ({USER_FEATURES_SQL})"""
     for f in F_NAMES
 )
@@ -174,7 +180,7 @@ SCORE_SQL = " + ".join(
        FROM (SELECT user_id, {SCORE_SQL} AS score FROM ({USER_FEATURES_SQL}))"""
 )
 def soft_vote(spark, sf_dir):
-    features = user_features(spark, sf_dir)
+    features = materialise(user_features(spark, sf_dir), "vote-features")
     voted = L.soft_vote(features, L.fit_scaler(features, F_NAMES, WEIGHTS))
     return voted.select("user_id", F.round("vote_score", 6).alias("vote_score"), "vote_label")
 
@@ -225,7 +231,8 @@ def evaluate_models(spark, sf_dir):
 FAULTY_SQL = f"""
   {PREDICTIONS_SQL}
   UNION ALL SELECT 'partial', doc_id, toxic, quality FROM labels WHERE quality = 1
-  UNION ALL SELECT 'count', doc_id, toxic, quality + toxic + 1 FROM labels"""
+  UNION ALL SELECT 'count', doc_id, toxic, quality + toxic + 1 FROM labels
+  UNION ALL SELECT 'double', doc_id // 8, toxic, quality FROM labels"""
 
 
 @query(
@@ -235,15 +242,18 @@ FAULTY_SQL = f"""
          CASE WHEN error IS NULL THEN round(precision, 6) ELSE 'nan'::DOUBLE END AS precision, error
        FROM (SELECT m.model, CASE WHEN n IS NULL THEN 'no predictions'
                WHEN n <> total THEN n || ' predictions for ' || total || ' samples'
+               WHEN samples <> n THEN samples || ' different samples among ' || n || ' predictions'
                WHEN bad > 0 THEN bad || ' predictions are not 0 or 1' END AS error
-             FROM (SELECT unnest(['same', 'never', 'partial', 'count', 'absent']) AS model) m
-             LEFT JOIN (SELECT model, count(*) AS n, count(*) FILTER (WHERE y_pred NOT IN (0, 1)) AS bad
+             FROM (SELECT unnest(['same', 'never', 'partial', 'count', 'double', 'absent']) AS model) m
+             LEFT JOIN (SELECT model, count(*) AS n, count(DISTINCT sample_id) AS samples,
+                          count(*) FILTER (WHERE y_pred NOT IN (0, 1)) AS bad
                         FROM ({FAULTY_SQL}) GROUP BY model) USING (model)
              CROSS JOIN (SELECT count(*) AS total FROM labels)) m
        LEFT JOIN ({metrics_sql(FAULTY_SQL)}) USING (model)"""
 )
 def evaluate_models_checked(spark, sf_dir):
-    """Two sound models, one with missing rows, one counting instead of deciding, one absent."""
+    """Two sound models, then one with missing rows, one counting instead of deciding, one
+    with repeated samples, one absent."""
     labels = table(spark, sf_dir, "labels").select(
         F.col("doc_id").alias("sample_id"), F.col("toxic").alias("y_true"), "quality"
     )
@@ -254,10 +264,13 @@ def evaluate_models_checked(spark, sf_dir):
         {"model": F.lit("count"), "y_pred": F.col("quality") + F.col("y_true") + 1}
     )
     predictions = rule_predictions(spark, sf_dir)
-    for faulty in (partial, counting):
+    double = labels.withColumns(
+        {"model": F.lit("double"), "y_pred": F.col("quality"), "sample_id": F.expr("sample_id div 8")}
+    )
+    for faulty in (partial, counting, double):
         predictions = predictions.unionByName(faulty.select(*predictions.columns))
     metrics = E.evaluate_models_checked(
-        predictions, ["same", "never", "partial", "count", "absent"], labels.count()
+        predictions, ["same", "never", "partial", "count", "double", "absent"], labels.count()
     )
     return metrics.select(
         "model", *(F.round(m, 6).alias(m) for m in ("f1", "accuracy", "precision")), "error"

@@ -8,7 +8,15 @@ from pagerisk.functions.encoders import TrigramEncoder
 from pagerisk.functions.text import BRACKETS, FEAR_LABEL, GRAMMAR_PATTERNS, fear_prediction
 from pagerisk.operators import pages as H, scoring, similarity as S
 from pagerisk.plans.catalog import heavy_table, query, table
-from pagerisk.plans.html_queries import H1_SQL, TEXT_SQL, TITLE_SQL, sentences_sql
+from pagerisk.plans.html_queries import (
+    BATCH_CONTENT_SQL,
+    CONTENT_BATCHES,
+    H1_SQL,
+    TEXT_SQL,
+    TITLE_SQL,
+    pages_of_batches,
+    sentences_sql,
+)
 from pagerisk.plans.url_queries import URL_PARTS_SQL
 
 ENCODER = TrigramEncoder()
@@ -190,6 +198,21 @@ def compare_encoders(spark, sf_dir):
     return compared.withColumn("Similarity", F.round("Similarity", 6))
 
 
+@query(
+    " UNION ALL ".join(
+        f"""SELECT '{e.name}' AS Model, url AS URL, round(similarity, 6) AS Similarity,
+          similarity >= 0.8 AS "Match" FROM ({page_similarity_sql(e.dim)})
+          WHERE page_id IN (SELECT page_id FROM ({BATCH_CONTENT_SQL}))"""
+        for e in (ENCODER, SMALL_ENCODER)
+    )
+)
+def compare_encoders_of_batches(spark, sf_dir):
+    """Encoders compared over the stored content of the batches 104..114."""
+    pages = pages_of_batches(heavy_table(spark, sf_dir, "pages"), CONTENT_BATCHES)
+    compared = S.compare_encoders(pages, [ENCODER, SMALL_ENCODER])
+    return compared.withColumn("Similarity", F.round("Similarity", 6))
+
+
 # ---- nearest headline ----------------------------------------------------------------
 
 CORPUS_SQL = """

@@ -169,16 +169,20 @@ def threat_verdict(spark, sf_dir):
          rtrim(CASE WHEN clickbait THEN 'clickbait ' ELSE '' END ||
                CASE WHEN payfraud THEN 'payfraud ' ELSE '' END ||
                CASE WHEN harmful THEN 'harmful ' ELSE '' END) AS verdict
-       FROM (SELECT p.url, l.label = 1 OR coalesce(v.is_clickbait, false) AS clickbait,
-               coalesce(v.is_payfraud, false) OR t.phishing_trace AS payfraud,
-               coalesce(v.is_harmful, false) AS harmful
+       FROM (SELECT p.url,
+               l.label = 1 OR CASE WHEN v.url IS NULL THEN false ELSE v.is_clickbait END AS clickbait,
+               CASE WHEN v.url IS NULL THEN false ELSE v.is_payfraud END OR t.phishing_trace AS payfraud,
+               CASE WHEN v.url IS NULL THEN false ELSE v.is_harmful END AS harmful
              FROM pages p JOIN ({TRACE_SQL}) t USING (page_id)
              JOIN (SELECT page_id, CAST((f1 + f2 + f3 + f4) / 4 >= 0.5 AS INTEGER) AS label
                    FROM ({scored_pages_sql([0.75])})) l USING (page_id)
              LEFT JOIN ({VERDICT_SQL}) v ON v.url = CAST(p.page_id AS VARCHAR))"""
 )
 def multi_label_verdict(spark, sf_dir):
-    """Page label, phishing trace and threat flags together; user n stands for page n."""
+    """Page label, phishing trace and threat flags together; user n stands for page n.
+
+    Every URL, label and trace comes twice, and some checks have failed.
+    """
     from pagerisk.operators.labeling import label_pages
 
     pages = heavy_table(spark, sf_dir, "pages")
@@ -191,7 +195,7 @@ def multi_label_verdict(spark, sf_dir):
     threats = J.threat_verdict(
         of_page.select("url"), matches.join(of_page, "user").drop("user"), threshold=15
     )
-    verdict = J.multi_label_verdict(
-        urls.select("url"), labels, _trace(spark, sf_dir).select("url", "phishing_trace"), threats
-    )
+    traces = _trace(spark, sf_dir).select("url", "phishing_trace")
+    sides = [urls.select("url"), labels.select("url", "label"), traces, threats]
+    verdict = J.multi_label_verdict(*(side.union(side) for side in sides))
     return verdict.withColumn("verdict", F.array_join("verdict", " "))

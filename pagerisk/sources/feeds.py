@@ -4,20 +4,42 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from pagerisk.operators.urls import clean_url
 from pagerisk.schemas import HEADLINE, THREAT_RESPONSE
+from pagerisk.session import materialise
 
 logger = logging.getLogger(__name__)
 
 
 def read_headlines(spark: SparkSession, path: str) -> DataFrame:
-    """(idx, headline, clickbait) of a header CSV; ``idx`` grows in file order."""
+    """(idx, headline, clickbait) of header CSV files, numbered from 0 by file name and row.
+
+    Spark packs files into partitions by size, so rows are written once with their file and
+    their place, and files are put into order by their counts.
+    """
     rows = spark.read.csv(
         path, schema=HEADLINE, header=True, quote='"', escape='"', multiLine=True, enforceSchema=False
     )
-    return rows.select(F.monotonically_increasing_id().alias("idx"), "headline", "clickbait")
+    rows = materialise(
+        rows.select(
+            F.col("_metadata.file_path").alias("__file"),
+            F.monotonically_increasing_id().alias("__place"),
+            *rows.columns,
+        ),
+        "headlines",
+    )
+    earlier = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
+    files = rows.groupBy("__file").agg(
+        F.count(F.lit(1)).alias("__n"), F.min("__place").alias("__first")
+    )
+    before = F.coalesce(F.sum("__n").over(earlier), F.lit(0))
+    files = files.withColumn("__before", before - F.col("__first"))
+    numbered = rows.join(files, "__file")
+    return numbered.select(
+        (F.col("__before") + F.col("__place")).alias("idx"), "headline", "clickbait"
+    )
 
 
 def phish_urls(lines: DataFrame, line: str = "value") -> DataFrame:

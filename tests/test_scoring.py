@@ -184,11 +184,13 @@ def test_equal_pages_stay_separate_rows(spark):
 
 def test_batched_labels_equal_plain_ones(spark):
     three = spark.createDataFrame(
-        [(f"https://example.com/{i}", f"<p>Article {i}</p>") for i in range(3)], "url string, html string"
+        [(7 * i, f"https://example.com/{i}", f"<p>Article {i}</p>") for i in range(3)],
+        "page_id long, url string, html string",
     )
-    plain = L.label_pages(three, corpus(spark), [0.5, 0.75]).collect()
-    batched = L.label_pages_in_batches(three, corpus(spark), [0.5, 0.75], batch_size=2).collect()
-    assert len(plain) == 6 and sorted(plain) == sorted(batched)
+    plain = L.label_pages(three.drop("page_id"), corpus(spark), [0.5, 0.75]).collect()
+    batched = L.label_pages_in_batches(three, corpus(spark), [0.5, 0.75], batch_size=2)
+    assert len(plain) == 6 and sorted(plain) == sorted(batched.drop("batch").collect())
+    assert {(r.url[-1], r.batch) for r in batched.collect()} == {("0", 0), ("1", 0), ("2", 1)}
     assert L.label_pages_in_batches(three.limit(0), corpus(spark), [0.5]).count() == 0
 
 
@@ -202,6 +204,14 @@ def test_label_is_at_least_threshold(spark):
     assert [r.label for r in L.label_features(df).collect()] == [1, 0, 1]
 
 
+def test_constant_features_have_scale_one(spark):
+    df = spark.range(1000).repartition(3).selectExpr(
+        "0.1 + 0 * id AS a", "cast(0.1 AS double) AS b", "0.1D + 1e-17D * (id % 2) AS c", "id * 1D AS d",
+    ).selectExpr("cast(a AS double) a", "b", "c", "d")
+    scale = dict(L.scaler_stats(df, ["a", "b", "c", "d"]).select("feature", "scale").collect())
+    assert (scale["a"], scale["b"], scale["c"]) == (1.0, 1.0, 1.0) and scale["d"] > 200
+
+
 def test_soft_vote(spark):
     data = np.array([[0.1, 1, 0.2, 5], [0.4, 1, 0.9, 1], [0.9, 1, 0.1, 2]])
     df = spark.createDataFrame(data.tolist(), list(FEATURES))

@@ -115,6 +115,15 @@ def test_headlines(spark, tmp_path):
     ]
 
 
+def test_headlines_of_several_files_are_in_order(spark, tmp_path):
+    many = "".join(f"a{i},0\n" for i in range(3))
+    (tmp_path / "a.csv").write_text("headline,clickbait\n" + many)
+    (tmp_path / "b.csv").write_text("headline,clickbait\n" + "".join(f"b{i},1\n" for i in range(5000)))
+    rows = feeds.read_headlines(spark, str(tmp_path)).orderBy("idx").collect()
+    assert [r.idx for r in rows] == list(range(5003))
+    assert [r.headline for r in rows] == ["a0", "a1", "a2"] + [f"b{i}" for i in range(5000)]
+
+
 def response(url, *types, error=None):
     body = {"url": url}
     if types:
@@ -158,3 +167,24 @@ def test_multi_label_verdict(spark):
     )
     got = {r.url: r.verdict for r in J.multi_label_verdict(urls, labels, phishing, threats).collect()}
     assert got == {"a": ["clickbait", "harmful"], "b": ["payfraud"], "c": []}
+
+
+def test_multi_label_verdict_of_repeated_urls(spark):
+    urls = spark.createDataFrame([("a",)] * 10 + [("b",), ("c",), ("d",)], "url string")
+    urls = urls.union(spark.range(100_000).selectExpr("'hot' AS url"))
+    hot = spark.range(100_000).selectExpr("'hot' AS url", "int(id = 5) AS label")
+    labels = hot.union(spark.createDataFrame([("a", 0)] * 10, "url string, label int"))
+    phishing = urls.selectExpr("url", "url = 'b' AS phishing_trace")
+    threats = spark.createDataFrame(
+        [("a", None, False, None)] * 10 + [("a", False, False, True), ("b", None, None, None)]
+        + [("c", None, None, False)],
+        "url string, is_clickbait boolean, is_payfraud boolean, is_harmful boolean",
+    )
+    rows = J.multi_label_verdict(urls, labels, phishing, threats).collect()
+    got = {r.url: (r.clickbait, r.payfraud, r.harmful, r.verdict) for r in rows}
+    assert len(rows) == 5
+    assert got == {
+        "a": (None, False, True, ["harmful"]), "b": (None, True, None, ["payfraud"]),
+        "c": (None, None, False, []), "d": (False, False, False, []),
+        "hot": (True, False, False, ["clickbait"]),
+    }
