@@ -72,6 +72,10 @@ def evaluate_models_checked(
 def split_train_test(
     df: DataFrame, key: str, train_percent: int = 70, seed: int = 42, out: str = "is_train"
 ) -> DataFrame:
-    """Mark a seeded share of the keys; the same key always falls on the same side."""
-    bucket = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(100))
+    """Mark a seeded share of the keys; the same key always falls on the same side.
+
+    The side comes from the first 32 bits of the MD5 of "seed:key", so any system can tell it.
+    """
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    bucket = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % 100
     return df.withColumn(out, bucket < train_percent)

@@ -6,17 +6,19 @@ from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
+    GBTClassificationModel,
     GBTClassifier,
     LinearSVC,
     LinearSVCModel,
     LogisticRegression,
+    RandomForestClassificationModel,
     RandomForestClassifier,
 )
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pagerisk.functions.text import FEAR_LABEL, NO_FEAR_LABEL
 
@@ -73,10 +75,6 @@ class BaggedSvm:
         winner = (total * 2 > len(votes)).cast("double")
         return voted.withColumn("prediction", winner).drop(*(f"__v{i}" for i in range(len(votes))))
 
-    def save(self, path: str) -> None:
-        for i, model in enumerate(self.models):
-            model.write().overwrite().save(f"{path}/{i}")
-
 
 def assemble(df: DataFrame, features: list[str], out: str = "features") -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol=out, handleInvalid="error").transform(df)
@@ -95,39 +93,62 @@ def train_label_model(
     """Fit one algorithm on (features vector, 0/1 label).
 
     ``trees`` sizes the forest, ``bags`` the bagged ensemble, ``max_iter`` bounds boosting and
-    optimisation. ``folds`` of 2 or more selects the tree depth by cross-validation.
+    optimisation. ``folds`` of 2 or more selects the tree depth, or the regularisation of the
+    machines, by cross-validation.
     """
-    if algorithm == BAGGED_SVM:
-        fitted = [
-            LinearSVC(labelCol=label, maxIter=max_iter, regParam=0.01).fit(
-                train.sample(withReplacement=True, fraction=1.0, seed=seed + i)
-            )
-            for i in range(bags)
-        ]
-        return BaggedSvm(fitted)
     if algorithm == RANDOM_FOREST:
         learner = RandomForestClassifier(labelCol=label, numTrees=trees, seed=seed)
+        grid = ParamGridBuilder().addGrid(learner.maxDepth, [3, 5])
     elif algorithm == BOOSTED_TREES:
         learner = GBTClassifier(labelCol=label, maxIter=max_iter, seed=seed)
+        grid = ParamGridBuilder().addGrid(learner.maxDepth, [3, 5])
+    elif algorithm == BAGGED_SVM:
+        learner = LinearSVC(labelCol=label, maxIter=max_iter, regParam=0.01)
+        grid = ParamGridBuilder().addGrid(learner.regParam, [0.001, 0.01, 0.1])
     else:
         raise ValueError(f"unknown algorithm {algorithm!r}")
-    if folds < 2:
-        return learner.fit(train)
-    grid = ParamGridBuilder().addGrid(learner.maxDepth, [3, 5]).build()
-    return CrossValidator(
-        estimator=learner,
-        estimatorParamMaps=grid,
-        evaluator=BinaryClassificationEvaluator(labelCol=label),
-        numFolds=folds,
-        seed=seed,
-    ).fit(train).bestModel
+    best = None
+    if folds >= 2:
+        best = CrossValidator(
+            estimator=learner,
+            estimatorParamMaps=grid.build(),
+            evaluator=BinaryClassificationEvaluator(labelCol=label),
+            numFolds=folds,
+            seed=seed,
+        ).fit(train).bestModel
+    if algorithm != BAGGED_SVM:
+        return best or learner.fit(train)
+    if best is not None:
+        learner = learner.copy({learner.regParam: best.getRegParam()})
+    bootstraps = [
+        train.sample(withReplacement=True, fraction=1.0, seed=seed + i) for i in range(bags)
+    ]
+    return BaggedSvm([learner.fit(rows) for rows in bootstraps])
+
+
+_SAVED = {
+    "forest": RandomForestClassificationModel,
+    "boosted": GBTClassificationModel,
+    "bagged": LinearSVCModel,
+}
 
 
 def save_model(model, path: str) -> None:
-    if isinstance(model, BaggedSvm):
-        model.save(path)
-    else:
-        model.write().overwrite().save(path)
+    """Write a trained model and what it is, for ``load_model``."""
+    parts = model.models if isinstance(model, BaggedSvm) else [model]
+    kind = next(name for name, one in _SAVED.items() if isinstance(parts[0], one))
+    for i, part in enumerate(parts):
+        part.write().overwrite().save(f"{path}/{i}")
+    spark = SparkSession.active()
+    about = spark.createDataFrame([(kind, len(parts))], "kind string, parts int")
+    about.coalesce(1).write.mode("overwrite").json(f"{path}/about")
+
+
+def load_model(spark: SparkSession, path: str):
+    """Read back what ``save_model`` wrote."""
+    about = spark.read.schema("kind string, parts int").json(f"{path}/about").first()
+    parts = [_SAVED[about.kind].load(f"{path}/{i}") for i in range(about.parts)]
+    return BaggedSvm(parts) if about.kind == "bagged" else parts[0]
 
 
 def predictions_of(models: dict[str, object], test: DataFrame, key: str, label: str) -> DataFrame:

@@ -266,8 +266,15 @@ def test_training(spark):
     assert set(metrics) == set(M.ALGORITHMS) and min(metrics.values()) > 0.6
     tuned = M.train_label_model(train, M.RANDOM_FOREST, trees=3, folds=2)
     assert tuned.getNumTrees == 3
+    svm = M.train_label_model(train, M.BAGGED_SVM, bags=2, max_iter=3, folds=2)
+    assert len({m.getRegParam() for m in svm.models}) == 1 and len(svm.models) == 2
+    loaded = {}
     for name, model in models.items():
-        M.save_model(model, scratch_path(spark, "model"))
+        path = scratch_path(spark, "model")
+        M.save_model(model, path)
+        loaded[name] = M.load_model(spark, path)
+    again = M.predictions_of(loaded, test, "id", "label")
+    assert sorted(again.collect()) == sorted(predictions.collect())
     with pytest.raises(ValueError):
         M.train_label_model(train, "other")
 
