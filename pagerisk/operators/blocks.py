@@ -11,7 +11,7 @@ import math
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 BROADCAST_BYTES = 256 << 20
 BLOCK_BYTES = 64 << 20
@@ -22,6 +22,59 @@ def block_count(rows: int, bytes_per_row: int, broadcast_bytes: int = BROADCAST_
     return max(1, math.ceil(rows * bytes_per_row / min(BLOCK_BYTES, broadcast_bytes)))
 
 
+def compare_in_bands(
+    left: DataFrame,
+    left_key: str,
+    right: DataFrame,
+    right_key: str,
+    ratio: float,
+    row_bytes: int,
+    block_bytes: int,
+    compare: Callable[[pa.Table, pa.Table], pa.Table],
+    schema: str,
+) -> DataFrame:
+    """Rows of ``compare(left block, right block)`` over strings of comparable length.
+
+    Partners are strings whose lengths differ by at most the factor ``ratio`` (over 1). A
+    right row lies in one band of lengths of that width, a left row goes to its own band and
+    the two beside it. A band is cut into blocks by bytes on either side, so one very long
+    string weighs on its own band only.
+    """
+    width = math.log(ratio)
+
+    def band(key: str) -> Column:
+        return F.floor(F.log(F.greatest(F.length(key), F.lit(1))) / width).cast("int")
+
+    def blocks(rows: DataFrame, key: str) -> dict[int, int]:
+        size = F.sum(row_bytes + 4 * F.length(key))
+        # One row per band: their number grows with the logarithm of the longest string.
+        found = rows.groupBy("__band").agg(size.alias("size")).collect()
+        return {row["__band"]: max(1, math.ceil(row["size"] / block_bytes)) for row in found}
+
+    near = F.array(*(band(left_key) + step for step in (-1, 0, 1)))
+    lefts = left.withColumn("__band", F.explode(near))
+    rights = right.withColumn("__band", band(right_key))
+    left_blocks, right_blocks = blocks(lefts, left_key), blocks(rights, right_key)
+    shared = sorted(left_blocks.keys() & right_blocks.keys())
+    if not shared:
+        return left.sparkSession.createDataFrame([], schema)
+
+    def dealt(rows, key, own, own_blocks, other, other_blocks):
+        def count(numbers):
+            pairs = [F.lit(n) for band in shared for n in (band, numbers[band])]
+            return F.create_map(*pairs)[F.col("__band")]
+
+        number = F.pmod(F.xxhash64(key), count(own_blocks)).cast("int")
+        every = F.sequence(F.lit(0), count(other_blocks) - 1)
+        there = rows.filter(F.col("__band").isin(shared))
+        return there.withColumn(own, number).withColumn(other, F.explode(every))
+
+    keys = ["__band", "__l", "__r"]
+    lefts = dealt(lefts, left_key, "__l", left_blocks, "__r", right_blocks)
+    rights = dealt(rights, right_key, "__r", right_blocks, "__l", left_blocks)
+    return lefts.groupBy(*keys).cogroup(rights.groupBy(*keys)).applyInArrow(compare, schema)
+
+
 def compare_blocks(
     left: DataFrame,
     left_key: str,

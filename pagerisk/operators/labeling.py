@@ -49,7 +49,7 @@ def label_pages(
     once and only counted per threshold.
     """
     scores = page_scores(pages, corpus, encoder, scorer)
-    rows = with_property_scores(scores, list(thresholds), corpus, encoder)
+    rows = with_property_scores(scores, list(thresholds))
     return label_features(rows, threshold=classifier_threshold)
 
 

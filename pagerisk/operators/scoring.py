@@ -19,6 +19,7 @@ from pagerisk.operators.similarity import (
     property_share,
     with_url_texts,
 )
+from pagerisk.session import materialise
 
 FEATURES = (
     "url_html_similarity_score",
@@ -69,7 +70,9 @@ def page_scores(
 ) -> DataFrame:
     """Threshold-free scores per page: the first three features and the nearest headlines.
 
-    Every page is parsed once and scored where it is: no shuffle. ``url`` identifies a page.
+    Every page is parsed once and scored where it is: no shuffle. Only a corpus too large to
+    broadcast is searched afterwards, for the distinct strings of the written scores.
+    ``url`` identifies a page.
     """
     encoder = encoder or TrigramEncoder()
     keep = [c for c in pages.columns if c != "html"]
@@ -90,48 +93,52 @@ def page_scores(
             F.col("content"), F.col("url_texts"), F.col("property_texts"), encoder, corpus
         ),
     )
-    return vectors.select(
+    scores = vectors.select(
         *keep,
         F.coalesce(cosine01("__v.content", "__v.url"), F.lit(0.0)).alias(FEATURES[0]),
         F.coalesce(fear_score_of(F.col("headings"), scorer), F.lit(0.0)).alias(FEATURES[1]),
         F.coalesce(grammar_error_rate("sentences"), F.lit(0.0)).alias(FEATURES[2]),
         F.col("__v.nearest") if corpus.small else F.col("property_texts"),
     )
+    if corpus.small:
+        return scores
+    return _with_nearest(materialise(scores, "page-scores"), corpus, encoder)
 
 
-def with_property_scores(
-    scores: DataFrame,
-    thresholds: list[float],
-    corpus: HeadlineCorpus,
-    encoder: Encoder | None = None,
-    threshold_col: str = "threshold",
-) -> DataFrame:
-    """One row per page and threshold with the fourth feature."""
-    options = F.array(*(F.lit(float(t)) for t in thresholds))
-    if corpus.small:
-        rows = scores.withColumn(threshold_col, F.explode(options))
-        share = property_share(F.col("nearest"), F.col(threshold_col))
-        return rows.withColumn(FEATURES[3], share).drop("nearest")
-    # The share depends on the list of strings alone, so equal lists and equal strings are
-    # brought together before anything is compared.
+def _with_nearest(scores: DataFrame, corpus: HeadlineCorpus, encoder: Encoder) -> DataFrame:
+    """Replace ``property_texts`` by ``nearest``, the nearest headline of each of its strings.
+
+    Equal lists and equal strings are brought together before anything is compared.
+    """
     keyed = scores.withColumn("__list", F.md5(F.to_json(F.struct("property_texts"))))
     lists = keyed.groupBy("__list").agg(F.any_value("property_texts").alias("texts"))
-    strings = lists.select("__list", F.explode_outer("texts").alias("text"))
-    vector = text_vector(F.col("text"), encoder or TrigramEncoder())
+    strings = lists.select("__list", F.posexplode_outer("texts").alias("pos", "text"))
+    strings = materialise(strings, "property-strings")
     distinct = strings.select("text").filter(F.col("text").isNotNull()).distinct()
-    nearest = nearest_headline(distinct.withColumn("embedding", vector), corpus, "text")
-    hits = [
-        F.avg(is_property(F.col("sim"), F.col("label"), float(t)).cast("int")) for t in thresholds
-    ]
-    found = strings.join(nearest.select("text", "sim", "label"), "text", "left")
-    shares = found.groupBy("__list").agg(F.array(*hits).alias("__shares"))
-    pairs = F.arrays_zip(options.alias("t"), F.col("__shares").alias("f4"))
-    return keyed.join(shares, "__list").select(
-        *(c for c in scores.columns if c != "property_texts"),
-        F.inline(pairs).alias(threshold_col, FEATURES[3]),
+    nearest = nearest_headline(
+        distinct.withColumn("embedding", text_vector(F.col("text"), encoder)), corpus, "text"
+    )
+    best = F.struct("sim", "label", "idx")
+    found = strings.join(nearest.drop("embedding"), "text", "left")
+    in_order = F.sort_array(
+        F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", best.alias("best"))))
+    )
+    arrays = found.groupBy("__list").agg(F.transform(in_order, lambda e: e["best"]).alias("nearest"))
+    return keyed.join(arrays, "__list").select(
+        *(c for c in scores.columns if c != "property_texts"), "nearest"
     )
 
 
+def with_property_scores(
+    scores: DataFrame, thresholds: list[float], threshold_col: str = "threshold"
+) -> DataFrame:
+    """One row per page and threshold with the fourth feature."""
+    options = F.array(*(F.lit(float(t)) for t in thresholds))
+    rows = scores.withColumn(threshold_col, F.explode(options))
+    share = property_share(F.col("nearest"), F.col(threshold_col))
+    return rows.withColumn(FEATURES[3], share).drop("nearest")
+
+
 def clickbait_features(
     pages: DataFrame,
     corpus: HeadlineCorpus,
@@ -141,4 +148,4 @@ def clickbait_features(
 ) -> DataFrame:
     """The four feature scores per page, in the order of ``FEATURES``."""
     scores = page_scores(pages, corpus, encoder, scorer)
-    return with_property_scores(scores, [threshold], corpus, encoder).drop("threshold")
+    return with_property_scores(scores, [threshold]).drop("threshold")

@@ -249,10 +249,12 @@ def nearest_headline(
 
     sides = contents.select(key, F.col(vector).cast("array<double>").alias(vector))
     usable = sides.filter(F.col(vector).isNotNull())
+    # Rows without a vector count too here, which spares encoding everything twice.
+    count = contents.select(key).count()
     best = compare_blocks(
         usable,
         key,
-        block_count(usable.count(), corpus.row_bytes, corpus.broadcast_bytes),
+        block_count(count, corpus.row_bytes, corpus.broadcast_bytes),
         corpus.corpus,
         "idx",
         block_count(corpus.rows, corpus.row_bytes, corpus.broadcast_bytes),

@@ -6,8 +6,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pagerisk.functions.fuzzy import UrlSearch, url_similarity
-from pagerisk.operators.blocks import BROADCAST_BYTES, block_count, compare_blocks
+from pagerisk.operators.blocks import BLOCK_BYTES, BROADCAST_BYTES, compare_in_bands
 from pagerisk.operators.urls import clean_url
+from pagerisk.session import materialise
 
 # Threat types of the public threat-list interface. Fixed values.
 UNSPECIFIED = "THREAT_TYPE_UNSPECIFIED"
@@ -45,16 +46,15 @@ def similar_urls(
 ) -> DataFrame:
     """Whether each URL is at least ``min_ratio`` alike to any feed URL; distinct feed expected.
 
-    The feed's size is measured. Within the bound it is broadcast and each task searches
-    it; beyond, distinct URLs and feed meet block by block. No pair leaves a task.
+    The feed's bytes are measured. Within the bound it is broadcast and each task searches
+    it. Beyond, distinct URLs that do not stand in the feed as they are meet the feed URLs of
+    comparable length, block by block. No pair leaves a task.
     """
     spark = urls.sparkSession
-    size = feed.agg(
-        F.count(F.lit(1)).alias("rows"), F.coalesce(F.max(F.length("url")), F.lit(0)).alias("longest")
-    ).first()
-    row_bytes = _FEED_ROW_BYTES + 4 * size.longest
-    if size.rows * row_bytes <= broadcast_bytes:
-        listed = feed.select("url").toArrow().column("url").to_pylist()
+    feed = materialise(feed.select("url").filter(F.col("url").isNotNull()), "feed")
+    size = F.sum(_FEED_ROW_BYTES + 4 * F.length("url"))
+    if (feed.agg(size.alias("bytes")).first().bytes or 0) <= broadcast_bytes:
+        listed = feed.toArrow().column("url").to_pylist()
         shared = spark.sparkContext.broadcast(UrlSearch(listed, min_ratio))
 
         @F.arrow_udf("boolean")
@@ -69,16 +69,20 @@ def similar_urls(
         return pa.table({url: pa.array(hits, type=pa.string())})
 
     distinct = urls.select(url).filter(F.col(url).isNotNull()).distinct()
-    hits = compare_blocks(
-        distinct,
-        url,
-        block_count(distinct.count(), row_bytes, broadcast_bytes),
-        feed.select("url"),
-        "url",
-        block_count(size.rows, row_bytes, broadcast_bytes),
-        compare,
-        f"{url} string",
-    ).distinct()
+    listed = feed.select(F.col("url").alias(url))
+    exact = distinct.join(listed, url, "left_semi")
+    rest = materialise(distinct.join(listed, url, "left_anti"), "unlisted-urls")
+    indels = (201 - 2 * min_ratio) / 200
+    if indels < 1:
+        # Lengths a and b allow the ratio only if |a - b| <= indels * (a + b).
+        ratio = (1 + indels) / (1 - indels) * (1 + 1e-9)
+        block_bytes = min(BLOCK_BYTES, broadcast_bytes)
+        hits = compare_in_bands(
+            rest, url, feed, "url", ratio, _FEED_ROW_BYTES, block_bytes, compare, f"{url} string"
+        )
+    else:
+        raise ValueError("a ratio that any two strings reach needs no search")
+    hits = hits.union(exact).distinct()
     marked = urls.join(hits.withColumn(out, F.lit(True)), url, "left")
     known = F.when(F.col(url).isNotNull(), F.coalesce(F.col(out), F.lit(False)))
     return marked.select(*urls.columns, known.alias(out))

@@ -87,7 +87,7 @@ def label_pages(spark, sf_dir):
 @query(LABELLED_SQL)
 def label_pages_large_corpus(spark, sf_dir):
     """The same with a broadcast bound below the corpus size."""
-    corpus = document_corpus(spark, sf_dir, broadcast_bytes=64 << 10)
+    corpus = document_corpus(spark, sf_dir, broadcast_bytes=16 << 10)
     return _rounded(
         L.label_pages(_pages(spark, sf_dir), corpus, THRESHOLDS, ENCODER, page_prediction)
     )

@@ -84,8 +84,8 @@ def phishing_trace(spark, sf_dir):
 
 @query(TRACE_SQL)
 def phishing_trace_large_feed(spark, sf_dir):
-    """The same with a broadcast bound below the feed size, through block comparison."""
-    return _trace(spark, sf_dir, broadcast_bytes=64 << 10)
+    """The same with a broadcast bound below the feed size, through comparison in bands."""
+    return _trace(spark, sf_dir, broadcast_bytes=8 << 10)
 
 
 # ---- threat lists --------------------------------------------------------------------

@@ -86,6 +86,17 @@ def test_no_pair_table_in_the_plans(spark):
         assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_one_huge_feed_url_changes_nothing(spark):
+    feed = some_urls(random.Random(7), 60)
+    urls = [mutated(random.Random(i), u) for i, u in enumerate(feed)]
+    left = spark.createDataFrame([(u,) for u in urls], "clean_url string")
+    found = []
+    for extra in ([], ["https://x.com/" + "z" * 2_000_000]):
+        right = spark.createDataFrame([(u,) for u in {*feed, *extra}], "url string")
+        found.append(sorted(J.similar_urls(left, right, broadcast_bytes=4 << 10).collect()))
+    assert found[0] == found[1] and any(r.phishing_trace for r in found[0])
+
+
 def test_exact_matches_are_a_semi_join(spark):
     left = spark.createDataFrame([("http://a/",), ("http://c/",)], "clean_url string")
     right = spark.createDataFrame([("http://a/",)], "url string")
