@@ -194,8 +194,9 @@ def training_sample(
         .agg(F.max("mark").alias("bar"))
     )
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    # One row per language; the model, which tasks get too, has thousands of numbers for each.
     chosen = (
-        rows.join(bars, "lang").filter("mark <= bar").select("lang", "mark", words.alias("words"))
+        rows.join(F.broadcast(bars), "lang").filter("mark <= bar").select("lang", "mark", words.alias("words"))
     )
     spread = F.greatest(F.size("words") - SEGMENT_WORDS, F.lit(0)) / (SEGMENTS - 1)
     cuts = [
