@@ -14,7 +14,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pagerisk.plans import catalog  # noqa: E402
-from pagerisk.session import build_session  # noqa: E402
+from pagerisk.session import build_session, remove_scratch  # noqa: E402
 
 HEADLINE = (
     "clean_url",
@@ -31,6 +31,8 @@ HEADLINE = (
     "label_pages",
     "soft_vote",
     "phishing_trace",
+    "phishing_trace_large_feed",
+    "label_pages_large_corpus",
     "threat_verdict",
     "evaluate_models",
 )
@@ -65,6 +67,7 @@ def main() -> None:
             }
         )
     )
+    remove_scratch(spark)
     spark.stop()
 
 

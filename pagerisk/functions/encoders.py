@@ -13,8 +13,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
-# Model names of the sentence encoders a deployment may plug in. Fixed values.
-ENCODER_NAMES = ("distilbert-base-nli-stsb-mean-tokens", "all-MiniLM-L6-v2")
 _CACHE_LIMIT = 1_000_000
 _CHARS_AT_ONCE = 1_000_000
 _CODE_MASK = (1 << 21) - 1

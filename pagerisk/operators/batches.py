@@ -96,13 +96,15 @@ def existing_pages(updates: DataFrame, lookup: DataFrame, key: str = "url_key")
     return updates.join(lookup.select(key, "batch_id"), key, "inner")
 
 
-def dense_index(df: DataFrame, file_no: str, record_no: str, out: str = "item_no") -> DataFrame:
+def dense_index(
+    df: DataFrame, file_no: str, record_no: str, out: str = "item_no", ties: tuple[str, ...] = ()
+) -> DataFrame:
     """Number the rows 0, 1, 2, ... in (file, record) order without one global sort.
 
     Records are cut into blocks of a fixed span, so the window over the rows never sees more
     of them than a block holds however large a file is. Block offsets come from the small
     count table: running sums within a group of files, and over the totals of the groups.
-    (file, record) must be unique.
+    (file, record) must be unique, or together with the columns ``ties``.
     """
     blocked = df.withColumn("__block", F.expr(f"{record_no} div {NUMBERING_BLOCK}"))
     counts = (
@@ -122,7 +124,7 @@ def dense_index(df: DataFrame, file_no: str, record_no: str, out: str = "item_no
     offsets = in_group.join(
         groups.select("__group", before(Window.orderBy("__group")).alias("__g")), "__group"
     ).select(file_no, "__block", (F.col("__b") + F.col("__g")).alias("__offset"))
-    in_block = F.row_number().over(Window.partitionBy(file_no, "__block").orderBy(record_no))
+    in_block = F.row_number().over(Window.partitionBy(file_no, "__block").orderBy(record_no, *ties))
     return (
         blocked.withColumn("__rn", in_block)
         .join(offsets, [file_no, "__block"])
@@ -137,10 +139,11 @@ def assign_batches(
     file_no: str = "file_idx",
     record_no: str = "record_no",
     batch_size: int = BATCH_SIZE,
+    ties: tuple[str, ...] = (),
 ) -> DataFrame:
     """Fill the open batch first, then open new ones, in arrival order."""
     base = state.last_batch_id if state.last_item_index > 0 else state.last_batch_id + 1
-    numbered = dense_index(new_rows, file_no, record_no, "__item")
+    numbered = dense_index(new_rows, file_no, record_no, "__item", ties)
     slot = F.floor((F.col("__item") + state.last_item_index) / batch_size)
     return numbered.withColumn("batch_id", (slot + base).cast("int")).drop("__item")
 

@@ -133,8 +133,9 @@ def ingest(spark: SparkSession, root: str, landed: DataFrame, token: str | None
     """Insert or merge landed page rows as one epoch.
 
     ``landed`` is a stored table of page rows with file_idx and record_no; of several rows
-    of a URL, in one file or more, each field's latest usable value counts. It is read narrowly to number the new pages and once in full to fold
-    the updates. A ``token`` that was committed before makes the call a no-op.
+    of a URL, in one file or more, each field's latest usable value counts. It is read
+    narrowly to number the new pages and once in full to fold the updates. Pages of archives
+    of two kinds may share file and record numbers; their keys then decide the order. A ``token`` that was committed before makes the call a no-op.
     """
     before = last_commit(spark, root)
     if token is not None and is_committed(spark, root, token):
@@ -150,7 +151,9 @@ def ingest(spark: SparkSession, root: str, landed: DataFrame, token: str | None
         ),
         "classified",
     )
-    placed_new = B.assign_batches(classified.filter("is_new"), before.state)
+    placed_new = B.assign_batches(
+        classified.filter("is_new"), before.state, ties=("url_key",)
+    )
     placed = placed_new.select("url_key", "batch_id", "is_new").unionByName(
         classified.filter("not is_new").select(
             "url_key", F.col("existing_batch_id").alias("batch_id"), "is_new"

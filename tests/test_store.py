@@ -1,3 +1,4 @@
+import random
 import pytest
 from pyspark.sql import Row
 
@@ -257,3 +258,13 @@ def test_hot_key_and_hot_file(spark):
     )
     numbered = B.dense_index(rows, "file_idx", "record_no", "n")
     assert numbered.filter("n <> id").count() == 0 and numbered.count() == 200_000
+
+
+def test_equal_arrival_places_are_ordered_by_key(spark):
+    rows = [(key + str(place), 0, place) for place in range(3) for key in "zyx"]
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        frame = spark.createDataFrame(rows, "url_key string, file_idx long, record_no long")
+        placed = B.assign_batches(frame.repartition(3), batch_size=2, ties=("url_key",))
+        got = sorted((r.record_no, r.url_key, r.batch_id) for r in placed.collect())
+        assert [batch for *_, batch in got] == [1, 1, 2, 2, 3, 3, 4, 4, 5]
