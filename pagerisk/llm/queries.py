@@ -103,13 +103,82 @@ def op10_packed_ids(spark, sf_dir):
     )
 
 
-@query()
+REPEATS_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM texts),
+fives AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS gram FROM starts),
+five AS (
+  SELECT doc_id, count(DISTINCT place) AS n FROM (
+    SELECT doc_id, unnest(range(i, i + 5)) AS place FROM (
+      SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS times FROM fives) WHERE times > 1)
+  GROUP BY doc_id),
+twenties AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS gram FROM starts WHERE i + 19 <= len(w)),
+repeated AS (
+  SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS times FROM twenties)
+  WHERE times > 1),
+twenty AS (
+  SELECT doc_id, count(DISTINCT place) AS n
+  FROM (SELECT doc_id, unnest(range(i, i + 20)) AS place FROM repeated) GROUP BY doc_id),
+runs AS (
+  SELECT doc_id, shift, i - row_number() OVER (PARTITION BY doc_id, shift ORDER BY i) AS run
+  FROM (SELECT a.doc_id, a.i, b.i - a.i AS shift FROM repeated a
+        JOIN repeated b ON a.doc_id = b.doc_id AND a.gram = b.gram AND a.i < b.i)),
+longest AS (
+  SELECT doc_id, max(n) + 19 AS n
+  FROM (SELECT doc_id, count(*) AS n FROM runs GROUP BY doc_id, shift, run) GROUP BY doc_id),
+full_lines AS (
+  SELECT doc_id, list_filter(string_split(text, chr(10)),
+    lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM texts),
+measured AS (
+  SELECT doc_id, len(w) AS n_words,
+    coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+    (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+    coalesce(five.n, 0) AS n_repeat_words, coalesce(twenty.n, 0) AS n_covered_words,
+    coalesce(longest.n, 0) AS longest_repeat
+  FROM texts JOIN full_lines USING (doc_id) LEFT JOIN five USING (doc_id)
+  LEFT JOIN twenty USING (doc_id) LEFT JOIN longest USING (doc_id)),
+judged AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM measured)
+SELECT *, NOT base_failed AND 100 * n_covered_words <= 10 * n_words AND longest_repeat <= 50 AS kept
+FROM judged
+"""
+
+
+@query(REPEATS_SQL)
 def op4_repetition(spark, sf_dir):
     """Repetition measures and verdict of every document."""
     return repetition.judge(documents(spark, sf_dir), keep=["doc_id"])
 
 
-@query()
+SHINGLES_SQL = r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 1], ' ') AS s FROM (
+    SELECT doc_id, w, unnest(range(1, greatest(len(w), 2))) AS i FROM texts WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a
+  JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT c.a, c.b FROM common c JOIN sizes x ON x.doc_id = c.a JOIN sizes y ON y.doc_id = c.b
+  WHERE 100 * c.n >= 80 * (x.n + y.n - c.n)),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION
+  SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM least LEFT JOIN sizes USING (doc_id)
+"""
+
+
+@query(SHINGLES_SQL)
 def op7_near_duplicates(spark, sf_dir):
     """Groups of documents that share four in five of their two-word shingles."""
     return minhash.near_duplicates(documents(spark, sf_dir), width=2)
@@ -182,7 +251,27 @@ def op5_line_runs(spark, sf_dir):
     return out.select("doc_id", "n_lines", "n_deleted", "text")
 
 
-@query()
+# The blocks of the only article of a page, as the page table writes them.
+ARTICLE_SQL = r"""
+WITH articles AS (
+  SELECT page_id, url, string_split_regex(
+    regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|$)', 1),
+    '</?(?:p|h1)>') AS parts
+  FROM pages),
+blocks AS (
+  SELECT page_id, url, list_transform(parts, lambda x: trim(regexp_replace(regexp_replace(
+    replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', ' ', 'g'),
+      '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)),
+    '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS parts
+  FROM articles),
+texts AS (
+  SELECT page_id, url, array_to_string(list_filter(parts, lambda x: x <> ''),
+    chr(10) || chr(10)) AS text FROM blocks)
+SELECT page_id, url, text, length(text) AS n_chars FROM texts
+"""
+
+
+@query(ARTICLE_SQL)
 def op3_main_text(spark, sf_dir):
     """The main text of every page."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
