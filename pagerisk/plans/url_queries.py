@@ -110,7 +110,7 @@ def collapse_slashes(spark, sf_dir):
     path = F.regexp_extract("url", r"^https?://[^/?#]+([^?#]*)", 1)
     doubled = F.concat(
         F.regexp_extract("url", "^https?://[^/?#]+", 0),
-        F.replace(path, F.lit("/"), F.lit("///")),
+        F.replace(path, F.lit("/"), F.expr("repeat('/', 1 + int(page_id % 4))")),
         F.regexp_extract("url", r"[?#].*$", 0),
     )
     pages = _pages(spark, sf_dir).select("page_id", doubled.alias("url"))
@@ -149,18 +149,25 @@ def url_key(spark, sf_dir):
 
 
 @query(
-    """SELECT page_id, CAST(100 AS INTEGER) AS same, length(url) > 0 AS alike,
-         CAST(round_even(200.0 * length(url) / (2 * length(url) + 7), 0) AS INTEGER) AS longer
-       FROM pages"""
+    """SELECT page_id, longer, longer >= 90 AS alike, shorter FROM (
+         SELECT page_id,
+           CAST(round_even(200.0 * n / (2 * n + page_id % 40), 0) AS INTEGER) AS longer,
+           CAST(CASE WHEN n > page_id % 30
+             THEN round_even(200.0 * (n - page_id % 30) / (2 * n - page_id % 30), 0) ELSE 0 END
+             AS INTEGER) AS shorter
+         FROM (SELECT page_id, length(url) AS n FROM pages))"""
 )
 def url_similarity_ratio(spark, sf_dir):
-    """Ratio to itself and to itself with seven more characters, whose value is known."""
-    longer = F.concat("url", F.lit("/~~~~~~"))
+    """Ratios to the URL with up to 39 characters more, spread over it, or 29 fewer."""
+    more = F.expr("int(page_id % 40)")
+    half = F.expr("int(page_id % 40) div 2")
+    longer = F.concat(F.repeat(F.lit("~"), half), "url", F.repeat(F.lit("^"), more - half))
+    shorter = F.expr("substring(url, 1 + int(page_id % 30))")
     return _pages(spark, sf_dir).select(
         "page_id",
-        url_similarity(F.col("url"), F.col("url")).alias("same"),
-        compare_urls(F.col("url"), longer, 50).alias("alike"),
         url_similarity(F.col("url"), longer).alias("longer"),
+        compare_urls(F.col("url"), longer, 90).alias("alike"),
+        url_similarity(F.col("url"), shorter).alias("shorter"),
     )
 
 
