@@ -166,8 +166,10 @@ def ingest(spark: SparkSession, root: str, landed: DataFrame, token: str | None
     epoch = before.epoch + 1
     _write_epoch(folded.join(placed, "url_key"), root, epoch)
     counted = classified.agg(F.count_if("is_new").alias("n_new"))
-    _write_state(B.next_state(counted, before.state), root, epoch, before.base_epoch, token)
-    return last_commit(spark, root)
+    row = B.next_state(counted, before.state).first()
+    state = spark.createDataFrame([row], INGEST_STATE)
+    _write_state(state, root, epoch, before.base_epoch, token)
+    return Commit(epoch, before.base_epoch, B.BatchState(row.last_batch_id, row.last_item_index))
 
 
 def compact(spark: SparkSession, root: str) -> Commit:
