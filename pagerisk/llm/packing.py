@@ -14,6 +14,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ MAGIC = b"IDPACK01"
 BLOCK_IDS = 1 << 16
 #: A file ends with the document that brings it to so many ids.
 FILE_IDS = 1 << 25
-_CACHED_WORDS = 600_000
+_CACHED_WORDS = 800_000
 
 
 def bits_for(vocabulary_size: int) -> int:
@@ -145,20 +146,19 @@ class WordEncoder:
         self._piece_ids = np.zeros(0, np.uint32)
         self._piece_length = np.zeros(0, np.int64)
 
-    def _tokens(self, piece: str) -> list[int]:
-        if piece == "\n":
-            return []
-        if not piece.isascii():
-            piece = "".join(self._shown[b] for b in piece.encode())
-        return [token.id for token in self._tokenizer.model.tokenize(piece)]
+    def _spelled(self, piece: str) -> str:
+        if piece.isascii():
+            return piece if piece != "\n" else ""
+        return "".join([self._shown[b] for b in piece.encode()])
 
     def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, joined, and the number of each word."""
         cut = self._PIECES.findall("\n".join(["", *words]).lower())
         pieces = np.fromiter(map(self._pieces.__getitem__, cut), np.int64, len(cut))
         new, self._pieces.new = self._pieces.new, []
-        made = [self._tokens(piece) for piece in new]
-        flat = np.fromiter((i for ids in made for i in ids), np.uint32)
+        tokenize = self._tokenizer.model.tokenize
+        made = [[token.id for token in tokenize(self._spelled(piece))] for piece in new]
+        flat = np.fromiter(chain.from_iterable(made), np.uint32)
         self._piece_ids = np.concatenate((self._piece_ids, flat))
         length = np.array([len(ids) for ids in made], np.int64)
         self._piece_length = np.concatenate((self._piece_length, length))
@@ -177,7 +177,7 @@ class WordEncoder:
         ids, numbers = self._plain([t for t, easy in zip(texts, plain, strict=True) if easy])
         others = [t for t, easy in zip(texts, plain, strict=True) if not easy]
         made = self._tokenizer.encode_batch(others, add_special_tokens=False)
-        flat = np.fromiter((i for encoding in made for i in encoding.ids), np.uint32)
+        flat = np.fromiter(chain.from_iterable(e.ids for e in made), np.uint32)
         length = np.empty(len(words), np.int64)
         length[plain] = numbers
         length[~plain] = [len(encoding.ids) for encoding in made]
