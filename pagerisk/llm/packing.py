@@ -310,7 +310,13 @@ def _write(path: str, attempt: int, parts: Iterator[bytes]) -> None:
     with system.open_output_stream(own) as out:
         for part in parts:
             out.write(part)
-    system.move(own, target)
+    try:
+        system.move(own, target)
+    except OSError:
+        # Some stores do not rename onto a file; an earlier attempt has written an equal one.
+        if not system.get_file_info(target).is_file:
+            raise
+        system.delete_file(own)
 
 
 def read_packed(spark: SparkSession, manifest: DataFrame, fields=("ids",)) -> DataFrame:
