@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # ASCII white space is what separates words everywhere in this subpackage.
@@ -62,6 +64,17 @@ def _join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(right, keys)
 
 
+class Hashed(dict):
+    """Bucket of each name; names are few and come again and again."""
+
+    def __init__(self, buckets: int):
+        self.buckets = buckets
+
+    def __missing__(self, name: str) -> int:
+        self[name] = bucket = zlib.crc32(name.encode()) % self.buckets
+        return bucket
+
+
 def utf8_rows(column):
     """Bytes of each value of an Arrow string array; None for NULL."""
     import pyarrow as pa

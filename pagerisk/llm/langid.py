@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pagerisk.llm.common import utf8_rows
+from pagerisk.llm.common import Hashed, utf8_rows
 
 UNDETERMINED = "und"
 #: Labelled documents per language that the model is fitted on, at most, and the words of
@@ -26,6 +26,7 @@ ROUNDS = 40
 LEXICON = 300
 _CACHED_WORDS = 400_000
 _STATES_AT_ONCE = 1 << 23
+_WORDS_AT_ONCE = 1 << 15
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -34,13 +35,16 @@ def letters_of(word: str) -> str:
     return word if word.isalpha() and word.islower() else _NOT_LETTERS.sub("", word.lower())
 
 
-def features(word: str) -> list[int]:
+def features(word: str, hashed: Hashed) -> list[int]:
     """Hashed features of a word: itself, its affixes, and its n-grams with the ends marked."""
     marked = f"<{word}>"
-    names = [f"w{word}"]
-    names += [f"p{word[:n]}" for n in (1, 2, 3)] + [f"s{word[-n:]}" for n in (1, 2, 3)]
-    names += [marked[i : i + n] for n in (2, 3) for i in range(len(marked) - n + 1)]
-    return [zlib.crc32(name.encode()) % BUCKETS for name in names]
+    names = [f"p{word[:1]}", f"p{word[:2]}", f"p{word[:3]}"]
+    names += [f"s{word[-1:]}", f"s{word[-2:]}", f"s{word[-3:]}"]
+    names += map("".join, zip(marked, marked[1:], strict=False))
+    names += map("".join, zip(marked, marked[1:], marked[2:], strict=False))
+    out = list(map(hashed.__getitem__, names))
+    out.append(zlib.crc32(f"w{word}".encode()) % BUCKETS)
+    return out
 
 
 def forward_backward(
@@ -87,11 +91,25 @@ class Model:
     transitions: np.ndarray
     lexicon: dict[str, int]
 
-    def emission(self, word: str) -> np.ndarray:
-        found = self.weights[features(word)].sum(0)
-        if word in self.lexicon:
-            found = found + self.weights[BUCKETS + self.lexicon[word]]
-        return found
+    def potentials(self, words: list[str], hashed: Hashed) -> np.ndarray:
+        """Exponentiated weights of all labels at each word, the largest being one."""
+        flat, starts = _flat_features(words, self.lexicon, hashed)
+        found = np.add.reduceat(self.weights[flat], starts, axis=0)
+        return np.exp(found - found.max(1, keepdims=True))
+
+
+def _flat_features(
+    words: list[str], lexicon: dict[str, int], hashed: Hashed
+) -> tuple[np.ndarray, np.ndarray]:
+    """Features of all words, joined, and where each word's start."""
+    flat: list[int] = []
+    starts = []
+    for word in words:
+        starts.append(len(flat))
+        flat += features(word, hashed)
+        if word in lexicon:
+            flat.append(BUCKETS + lexicon[word])
+    return np.array(flat, np.int64), np.array(starts, np.int64)
 
 
 def fit(samples: list[tuple[str, list[str]]]) -> Model:
@@ -124,10 +142,8 @@ def fit(samples: list[tuple[str, list[str]]]) -> Model:
         for at in np.argsort(-marked, kind="stable")[:LEXICON]:
             if marked[at] >= 3:
                 lexicon[vocabulary[at]] = place
-    rows = [features(w) + ([BUCKETS + lexicon[w]] if w in lexicon else []) for w in vocabulary]
-    flat = np.array([f for row in rows for f in row], np.int64)
-    owner = np.repeat(np.arange(len(rows)), [len(row) for row in rows])
-    starts = np.flatnonzero(np.diff(owner, prepend=-1))
+    flat, starts = _flat_features(list(vocabulary), lexicon, Hashed(BUCKETS))
+    owner = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(flat)))
     weights = np.zeros((BUCKETS + count, count))
     transitions = np.zeros((count, count))
     total = len(label)
@@ -224,24 +240,26 @@ class Tagger:
     def _reset(self):
         self._numbers = _Numbers()
         self._known: dict[str, int] = {}
+        self._hashed = Hashed(BUCKETS)
         self._row = np.zeros(0, np.int64)
         self._potentials = np.zeros((0, len(self.model.languages)), np.float32)
 
     def _learn(self, words: list[bytes]) -> None:
-        rows, made = [], []
+        rows: list[int] = []
+        new: list[str] = []
+        known = self._known
         for raw in words:
             word = letters_of(raw.decode("utf-8", "replace"))
-            if not word:
-                rows.append(-1)
-                continue
-            if word not in self._known:
-                self._known[word] = len(self._potentials) + len(made)
-                emission = self.model.emission(word)
-                made.append(np.exp(emission - emission.max()))
-            rows.append(self._known[word])
+            if word and word not in known:
+                known[word] = len(known)
+                new.append(word)
+            rows.append(known[word] if word else -1)
         self._row = np.concatenate((self._row, np.array(rows, np.int64)))
-        if made:
-            self._potentials = np.concatenate((self._potentials, np.array(made, np.float32)))
+        made = [
+            self.model.potentials(new[low : low + _WORDS_AT_ONCE], self._hashed).astype(np.float32)
+            for low in range(0, len(new), _WORDS_AT_ONCE)
+        ]
+        self._potentials = np.concatenate((self._potentials, *made))
 
     def tag(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """Mean posterior of each label over the words of each text; numbers of words."""
