@@ -52,6 +52,17 @@ FURNITURE = frozenset(
     ]
 )
 _PAGE_HEADER = frozenset(["header", "masthead"])
+# Those of them that say where a thing stands; the others say what its text is. Fixed values.
+LAYOUT = _PAGE_HEADER | frozenset(
+    [
+        *["alert", "banner", "footer", "menu", "modal", "nav", "navbar", "navigation", "notice"],
+        *["overlay", "pager", "pagination", "popup", "search", "share", "sharing", "sidebar"],
+        *["social", "toolbar", "widget"],
+    ]
+)
+# First and last parts of names that tell of a state, as in has-sidebar. Fixed values.
+_STATE_FIRST = frozenset(["has", "have", "no", "not", "with", "without"])
+_STATE_LAST = frozenset(["closed", "disabled", "enabled", "open", "opened"])
 _ARTICLE = frozenset(["article", "main"])
 _VOID = frozenset(
     [
@@ -66,24 +77,56 @@ SHORT_WORDS = 12
 STOP_DENSITY = 0.3
 LOW_STOP_DENSITY = 0.15
 LINK_DENSITY = 0.4
+# What has a furniture name must outweigh all other text so many times to be no furniture.
+OUTWEIGHS = 10
+# Ids with more parts are made from the words of a title.
+MOST_ID_PARTS = 3
 
 GOOD, BAD, UNSURE = 1, 0, None
 
 
+class Container:
+    """An element with a furniture name, and the letters of the blocks in it."""
+
+    __slots__ = (
+        "hits", "parent", "inside", "lifted", "inner",
+        "letters", "prose", "articles", "own", "own_articles",
+    )
+
+    def __init__(self, hits: frozenset[str], parent: Container | None, inside: int):
+        self.hits = hits
+        self.parent = parent
+        self.inside = inside
+        self.lifted = False
+        self.inner: list[Container] = []
+        self.letters = self.prose = self.articles = self.own = self.own_articles = 0
+
+
 class Block:
     """Text between two block boundaries, and where it stands."""
 
-    __slots__ = ("parts", "linked", "dropped", "inside", "heading")
+    __slots__ = (
+        "parts", "linked", "dropped", "container", "inside", "heading",
+        "text", "words", "letters", "links",
+    )
 
-    def __init__(self, dropped: bool, inside: bool, heading: bool):
+    def __init__(self, dropped: bool, container: Container | None, inside: int, heading: bool):
         self.parts: list[str] = []
         self.linked = 0
         self.dropped = dropped
+        self.container = container
         self.inside = inside
         self.heading = heading
 
-    def text(self) -> str:
-        return " ".join("".join(self.parts).split())
+    def read(self) -> str:
+        """The text; if it is not dropped, words, letters and their share in links are set."""
+        parts = "".join(self.parts).split()
+        self.text = " ".join(parts)
+        if not self.dropped:
+            self.words = _WORD.findall(self.text.lower())
+            self.letters = sum(map(len, parts))
+            self.links = self.linked / self.letters if self.letters else 0.0
+        return self.text
 
 
 class BlockReader(HTMLParser):
@@ -92,12 +135,17 @@ class BlockReader(HTMLParser):
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.blocks: list[Block] = []
-        self._open: list[tuple[str, bool]] = []  # element, whether it is furniture
+        self.containers: list[Container] = []
+        self.homes: list[Container | None] = [None]  # where the article of that number starts
+        # element, whether it is dropped, what it is if it has a furniture name
+        self._open: list[tuple[str, bool, Container | None]] = []
         self._dropped = 0
+        self._container: Container | None = None
         self._articles = 0
         self._anchors = 0
         self._heading = False
         self._block: Block | None = None
+        self._side: Block | None = None
         self.feed(html)
         self.close()
         self._end()
@@ -111,15 +159,27 @@ class BlockReader(HTMLParser):
 
     def handle_data(self, data):
         dropped = self._dropped > 0
-        if self._block is not None and self._block.dropped != dropped:
+        block = self._block
+        if block is not None and block.dropped != dropped:
             if dropped:  # a script or the like inside a block of text
                 return
             self._end()
+        elif block is not None and block.container is not self._container:
+            if self._container is None or self._container.parent is not block.container:
+                self._end()
+            elif self._side is None or self._side.container is not self._container:
+                self._side = self._begin(dropped)
+                self.blocks.append(self._side)
         if self._block is None:
-            self._block = Block(dropped, self._articles > 0, self._heading)
-        self._block.parts.append(data)
+            self._block = self._begin(dropped)
+        block = self._block if self._block.container is self._container else self._side
+        block.parts.append(data)
         if self._anchors:
-            self._block.linked += len("".join(data.split()))
+            block.linked += len("".join(data.split()))
+
+    def _begin(self, dropped):
+        inside = len(self.homes) - 1 if self._articles else 0
+        return Block(dropped, self._container, inside, self._heading)
 
     def handle_starttag(self, tag, attrs):
         if tag == "br":
@@ -131,15 +191,26 @@ class BlockReader(HTMLParser):
             self._anchors = 1
         if tag in _VOID:
             return
-        if tag in _ARTICLE and any(name == "nav" for name, _ in self._open):
+        if tag in _ARTICLE and any(name == "nav" for name, _, _ in self._open):
             self.handle_endtag("nav")
         if tag in BLOCKS or tag in DROPPED or tag == "span":
             if tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option"):
                 return
-            dropped = self._is_furniture(tag, attrs)
-            self._open.append((tag, dropped))
-            self._dropped += dropped
-            self._articles += tag in _ARTICLE
+            self._enter(tag, attrs)
+
+    def _enter(self, tag, attrs):
+        dropped = tag in DROPPED or tag == "header" and not self._articles
+        named = None
+        if tag in _ARTICLE and not self._articles:
+            self.homes.append(self._container)
+        elif not dropped and (hits := self._furniture(tag, attrs)):
+            inside = len(self.homes) - 1 if self._articles else 0
+            named = Container(hits, self._container, inside)
+            self.containers.append(named)
+            self._container = named
+        self._open.append((tag, dropped, named))
+        self._dropped += dropped
+        self._articles += tag in _ARTICLE
 
     def handle_startendtag(self, tag, attrs):
         if tag in _VOID:
@@ -154,42 +225,101 @@ class BlockReader(HTMLParser):
             self._heading = False
         if tag == "a":
             self._anchors = 0
-        if not any(name == tag for name, _ in self._open):
+        if not any(name == tag for name, _, _ in self._open):
             return
         closed = None
         while closed != tag:
-            closed, dropped = self._open.pop()
+            closed, dropped, named = self._open.pop()
             self._dropped -= dropped
+            if named is not None:
+                self._container = named.parent
             self._articles -= closed in _ARTICLE
 
-    def _is_furniture(self, tag, attrs) -> bool:
-        if tag in DROPPED:
-            return True
-        if tag in ("html", "body") or tag in _ARTICLE and not self._articles:
-            return False
-        if tag == "header" and not self._articles:
-            return True
-        names = {
-            part.lower()
-            for key, value in attrs
-            if key in ("class", "id", "role") and value
-            for part in _NAME_PARTS.findall(value)
-        }
-        return bool(names & FURNITURE or not self._articles and names & _PAGE_HEADER)
+    def _furniture(self, tag, attrs) -> frozenset[str]:
+        """The parts of the element's names that mark furniture."""
+        if tag in ("html", "body"):
+            return frozenset()
+        found = set()
+        for key, value in attrs:
+            if key not in ("class", "id", "role") or not value:
+                continue
+            for name in value.split():
+                parts = [part.lower() for part in _NAME_PARTS.findall(name)]
+                if len(parts) > 1 and (parts[0] in _STATE_FIRST or parts[-1] in _STATE_LAST):
+                    continue
+                if key != "id" or len(parts) <= MOST_ID_PARTS:
+                    found.update(parts)
+        return frozenset(found & FURNITURE if self._articles else found & (FURNITURE | _PAGE_HEADER))
 
     def _end(self):
         if self._block is not None:
             self.blocks.append(self._block)
-            self._block = None
+            self._block = self._side = None
 
 
-def classify(block: Block, text: str, in_article: bool):
+def lift(reader: BlockReader, blocks: list[Block]) -> None:
+    """Overrule the names of containers that hold the page's text; drop what the others hold.
+
+    A name is a vote. From the outside in, containers of one name are no furniture where
+    they hold the only articles of the page, or most of its text while hardly any prose
+    stands elsewhere: none where the name says what the text is.
+    """
+    if not reader.containers:
+        return
+    total = exposed = exposed_articles = 0
+    for block in blocks:
+        if block.dropped:
+            continue
+        letters = block.letters
+        prose = letters if len(block.words) >= SHORT_WORDS and block.links <= LINK_DENSITY else 0
+        total += letters
+        own = letters if block.inside else prose
+        if block.container is None:
+            exposed += own
+            exposed_articles += letters if block.inside else 0
+        else:
+            block.container.letters += letters
+            block.container.prose += prose
+            block.container.own += own
+            block.container.own_articles += letters if block.inside else 0
+        if block.inside and reader.homes[block.inside] is not None:
+            reader.homes[block.inside].articles += letters
+    for container in reversed(reader.containers):
+        parent = container.parent
+        if parent is not None:
+            parent.letters += container.letters
+            parent.prose += container.prose
+            parent.articles += container.articles
+    level = []
+    for container in reader.containers:
+        (level if container.parent is None else container.parent.inner).append(container)
+    while level:
+        groups: dict[frozenset[str], list[Container]] = {}
+        for container in level:
+            groups.setdefault(container.hits, []).append(container)
+        level, claimed = [], False
+        for hits, group in groups.items():
+            articles = sum(c.articles for c in group)
+            prose = sum(c.prose for c in group)
+            only = bool(articles) and not exposed_articles and not claimed
+            most = 2 * sum(c.letters for c in group) > total and prose > OUTWEIGHS * exposed
+            most = most and (hits <= LAYOUT or not exposed)
+            if only or most and (articles or not exposed_articles or all(c.inside for c in group)):
+                claimed = claimed or only
+                for container in group:
+                    container.lifted = True
+                    level.extend(container.inner)
+                    exposed += container.own
+                    exposed_articles += container.own_articles
+    for block in blocks:
+        block.dropped |= block.container is not None and not block.container.lifted
+
+
+def classify(block: Block, in_article: bool):
     """First pass: good, bad, or unsure for short blocks that say too little."""
     if block.dropped or in_article and not block.inside:
         return BAD
-    words = _WORD.findall(text.lower())
-    letters = sum(map(len, text.split()))
-    links = block.linked / letters if letters else 0.0
+    words, links = block.words, block.links
     short = len(words) < SHORT_WORDS
     if block.inside:
         return BAD if links > LINK_DENSITY and short else GOOD
@@ -237,12 +367,13 @@ def main_text(html: str | None) -> str:
     """The main text of one page, its blocks joined by an empty line."""
     if not html:
         return ""
-    found = [(block, block.text()) for block in BlockReader(html).blocks]
-    found = [(block, text) for block, text in found if text]
-    in_article = any(block.inside and not block.dropped for block, _ in found)
-    labels = [classify(block, text, in_article) for block, text in found]
-    kept = settle(labels, [block.heading for block, _ in found])
-    return "\n\n".join(text for (_, text), keep in zip(found, kept, strict=True) if keep)
+    reader = BlockReader(html)
+    blocks = [block for block in reader.blocks if block.read()]
+    lift(reader, blocks)
+    in_article = any(block.inside and not block.dropped for block in blocks)
+    labels = [classify(block, in_article) for block in blocks]
+    kept = settle(labels, [block.heading for block in blocks])
+    return "\n\n".join(block.text for block, keep in zip(blocks, kept, strict=True) if keep)
 
 
 def extract(
@@ -251,7 +382,8 @@ def extract(
     """The columns ``keep`` (all but the HTML, if not given), text and n_chars of every page.
 
     A page is cut at block elements. First pass: what stands in menus, page headers, footers,
-    sidebars, forms, scripts, or in elements named as adverts, notices or comments is bad;
+    sidebars, forms, scripts, or in elements named as adverts, notices or comments is bad,
+    unless the named elements hold the only articles or nearly all text of the page;
     where the page has an article, so is all outside it. Inside, short blocks made of links
     are bad and the rest is good. On pages without one, link density, length and the density
     of stop words decide, and short blocks stay unsure. Second pass: those inherit.

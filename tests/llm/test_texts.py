@@ -258,6 +258,33 @@ def test_main_text_without_an_article():
     assert main_text.main_text(page) == f"Head\n\n{PROSE}\n\nBrief one.\n\n{PROSE}"
 
 
+@pytest.mark.parametrize(
+    "names",
+    [
+        'class="content has-sidebar"',
+        'id="page" class="no-sidebar"',
+        'class="site comments-open"',
+        'class="sticky-header"',
+        'class="content sidebar-left"',
+        'class="search-page"><div class="nav-layout"',
+    ],
+)
+def test_main_text_in_a_container_named_after_furniture(names):
+    rest = f"""<div class="sidebar"><p>{PROSE}</p></div><div id="comments"><article>{PROSE}
+    <p>{PROSE}</p></article></div><div class="ad">{PROSE}</div>"""
+    page = f"<nav>Home</nav><div {names}><article><h1>Title</h1><p>{PROSE}</p></article>{rest}"
+    assert main_text.main_text(page) == f"Title\n\n{PROSE}"
+    page = f"<nav>Home</nav><div {names}><p>{PROSE}</p><p>{PROSE}</p><div class=ad>{PROSE}</div>"
+    assert main_text.main_text(page) == f"{PROSE}\n\n{PROSE}"
+
+
+def test_main_text_in_pieces_of_one_name():
+    piece = f'<div class="elementor-widget"><p>{PROSE}</p></div>'
+    page = f"""<article><h1>A</h1>{piece}{piece}<section id="how-to-share-a-widget"><p>Short.</p>
+    </section><div class="comments">{PROSE}</div></article>"""
+    assert main_text.main_text(page) == f"A\n\n{PROSE}\n\n{PROSE}\n\nShort."
+
+
 def test_unsure_blocks_inherit():
     good, bad, unsure = main_text.GOOD, main_text.BAD, main_text.UNSURE
     plain = [False] * 5
