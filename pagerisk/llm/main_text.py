@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
@@ -79,6 +80,8 @@ LOW_STOP_DENSITY = 0.15
 LINK_DENSITY = 0.4
 # What has a furniture name must outweigh all other text so many times to be no furniture.
 OUTWEIGHS = 10
+# Good text outside the articles must outweigh theirs so many times for them to be teasers.
+OUTWEIGHS_ARTICLES = 2
 # Ids with more parts are made from the words of a title.
 MOST_ID_PARTS = 3
 
@@ -315,24 +318,35 @@ def lift(reader: BlockReader, blocks: list[Block]) -> None:
         block.dropped |= block.container is not None and not block.container.lifted
 
 
-def classify(block: Block, in_article: bool):
+def stop_density(block: Block) -> float:
+    return sum(word in STOP_WORDS for word in block.words) / len(block.words)
+
+
+def classify(block: Block):
     """First pass: good, bad, or unsure for short blocks that say too little."""
-    if block.dropped or in_article and not block.inside:
+    if block.dropped:
         return BAD
     words, links = block.words, block.links
     short = len(words) < SHORT_WORDS
-    if block.inside:
-        return BAD if links > LINK_DENSITY and short else GOOD
     if links > LINK_DENSITY:
         return BAD
     if short or block.heading:
         return UNSURE
-    density = sum(word in STOP_WORDS for word in words) / len(words)
+    density = stop_density(block)
     if density >= STOP_DENSITY:
         return GOOD
     return BAD if density < LOW_STOP_DENSITY else UNSURE
 
 
+def classify_in_article(block: Block, label):
+    """The label of a block in the page's article: what is not made of links is good there."""
+    if block.dropped or label == GOOD or block.links <= LINK_DENSITY:
+        return BAD if block.dropped else GOOD
+    if len(block.words) < SHORT_WORDS:
+        return BAD
+    return GOOD if stop_density(block) >= LOW_STOP_DENSITY else UNSURE
+
+
 def settle(labels: list, headings: list[bool]) -> list[bool]:
     """Second pass: what is unsure takes the label of the nearest decided block.
 
@@ -363,6 +377,20 @@ def settle(labels: list, headings: list[bool]) -> list[bool]:
     return out
 
 
+def label(blocks: list[Block]) -> list:
+    """First pass over a page: the rules for every block, and what its articles add to them."""
+    labels = [classify(block) for block in blocks]
+    inside = sum(block.letters for block in blocks if block.inside and not block.dropped)
+    good = zip(blocks, labels, strict=True)
+    outside = sum(block.letters for block, label in good if label == GOOD and not block.inside)
+    if outside > OUTWEIGHS_ARTICLES * inside:
+        return labels
+    return [
+        classify_in_article(block, label) if block.inside else label
+        for block, label in zip(blocks, labels, strict=True)
+    ]
+
+
 def main_text(html: str | None) -> str:
     """The main text of one page, its blocks joined by an empty line."""
     if not html:
@@ -370,9 +398,11 @@ def main_text(html: str | None) -> str:
     reader = BlockReader(html)
     blocks = [block for block in reader.blocks if block.read()]
     lift(reader, blocks)
-    in_article = any(block.inside and not block.dropped for block in blocks)
-    labels = [classify(block, in_article) for block in blocks]
-    kept = settle(labels, [block.heading for block in blocks])
+    labels = label(blocks)
+    kept: list[bool] = []
+    for _, part in groupby(range(len(blocks)), lambda n: blocks[n].inside):
+        at = list(part)
+        kept += settle([labels[n] for n in at], [blocks[n].heading for n in at])
     return "\n\n".join(block.text for block, keep in zip(blocks, kept, strict=True) if keep)
 
 
@@ -383,10 +413,11 @@ def extract(
 
     A page is cut at block elements. First pass: what stands in menus, page headers, footers,
     sidebars, forms, scripts, or in elements named as adverts, notices or comments is bad,
-    unless the named elements hold the only articles or nearly all text of the page;
-    where the page has an article, so is all outside it. Inside, short blocks made of links
-    are bad and the rest is good. On pages without one, link density, length and the density
-    of stop words decide, and short blocks stay unsure. Second pass: those inherit.
+    unless the named elements hold the only articles or nearly all text of the page. For all
+    else link density, length and the density of stop words decide, and short blocks stay
+    unsure. Inside an article only blocks made of links may be bad, unless good text outside
+    outweighs all articles of the page, which then are teasers. Second pass: what is unsure
+    inherits from the nearest decided block, on its own side of an article's bounds.
 
     A NULL, empty or wholly bad page gives an empty text; pages are read one by one, whole,
     so repeated rows give equal results; input columns text and n_chars are replaced; an

@@ -285,6 +285,65 @@ def test_main_text_in_pieces_of_one_name():
     assert main_text.main_text(page) == f"A\n\n{PROSE}\n\n{PROSE}\n\nShort."
 
 
+def test_main_text_beside_teasers_in_articles():
+    card = "<article><h3><a href=x>A linked title</a></h3><p>Few words here.</p></article>"
+    page = f"<div><h1>Head</h1><p>{PROSE}</p><p>Brief.</p><p>{PROSE}</p></div>{card}{card}"
+    assert main_text.main_text(page) == f"Head\n\n{PROSE}\n\nBrief.\n\n{PROSE}"
+    page = f"<article><p>Brief.</p><p>{PROSE}</p></article><p>Far off</p><div><p>{PROSE}</p></div>"
+    assert main_text.main_text(page) == f"Brief.\n\n{PROSE}\n\nFar off\n\n{PROSE}"
+
+
+def brute_main_text(parts):
+    """Kept texts of (place, [(kind, text)]): every short block looks about on its own."""
+    labels = [
+        [
+            {"good": True, "nav": False, "linked": False}.get(kind, True if inside else None)
+            for kind, _ in blocks
+        ]
+        for inside, blocks in parts
+    ]
+    out = []
+    for (_, blocks), marks in zip(parts, labels, strict=True):
+        decided = [n for n, mark in enumerate(marks) if mark is not None]
+        for n, (kind, text) in enumerate(blocks):
+            gap = min((abs(m - n) for m in decided), default=None)
+            near = [m for m in decided if abs(m - n) == gap]
+            votes = {marks[m] for m in near}
+            if votes == {True} or len(votes) == 2 and kind == "h" and marks[near[-1]]:
+                out.append(text)
+    return "\n\n".join(out)
+
+
+def test_main_text_equals_brute_force(spark):
+    chance = random.Random(3)
+    rows, expected = [], []
+    for ident in range(300):
+        parts, html = [], []
+        for _ in range(chance.randrange(1, 4)):
+            inside = ident % 2 == 1 and (not parts or not parts[-1][0])
+            kinds = chance.choices(["good", "short", "h", "nav", "linked"], k=chance.randrange(1, 9))
+            if inside:
+                kinds += ["good"] * 9
+                kinds = [kind for kind in kinds if kind != "linked"]
+            blocks = [
+                (kind, f"{kind} {n} {PROSE}" if kind in ("good", "linked") else f"{kind} {n}")
+                for n, kind in enumerate(kinds)
+            ]
+            marks = {"nav": "<nav>{}</nav>", "linked": "<p><a>{}</a></p>", "h": "<h2>{}</h2>"}
+            body = "".join(marks.get(kind, "<p>{}</p>").format(text) for kind, text in blocks)
+            html.append(f"<article>{body}</article>" if inside else f"<div>{body}</div>")
+            if parts and not inside and not parts[-1][0]:
+                parts[-1][1].extend(blocks)
+            else:
+                parts.append((inside, blocks))
+        rows.append((ident, "".join(html)))
+        expected.append((ident, brute_main_text(parts)))
+    frame = spark.createDataFrame(rows, "page_id long, html string")
+    found = main_text.extract(frame, keep=["page_id"]).select("page_id", "text").collect()
+    assert sorted(map(tuple, found)) == expected
+    assert len({text == "" for _, text in expected}) == 2
+
+
 def test_unsure_blocks_inherit():
     good, bad, unsure = main_text.GOOD, main_text.BAD, main_text.UNSURE
     plain = [False] * 5
