@@ -78,6 +78,9 @@ SHORT_WORDS = 12
 STOP_DENSITY = 0.3
 LOW_STOP_DENSITY = 0.15
 LINK_DENSITY = 0.4
+# With more of its letters in links, a block is nothing but links; so many make a menu.
+LINK_ONLY = 0.9
+MENU_BLOCKS = 3
 # What has a furniture name must outweigh all other text so many times to be no furniture.
 OUTWEIGHS = 10
 # Good text outside the articles must outweigh theirs so many times for them to be teasers.
@@ -343,10 +346,27 @@ def classify_in_article(block: Block, label):
     if block.dropped or label == GOOD or block.links <= LINK_DENSITY:
         return BAD if block.dropped else GOOD
     if len(block.words) < SHORT_WORDS:
-        return BAD
+        return GOOD if block.heading or block.links <= LINK_ONLY else UNSURE
     return GOOD if stop_density(block) >= LOW_STOP_DENSITY else UNSURE
 
 
+def strike_menus(blocks: list[Block], labels: list) -> None:
+    """Makes runs of link-only blocks bad where an article starts, ends or is interrupted.
+
+    A run between two good blocks is a list of the article's own.
+    """
+    at = 0
+    for linked, run in groupby(
+        zip(blocks, labels, strict=True),
+        lambda pair: pair[1] is UNSURE and pair[0].links > LINK_ONLY,
+    ):
+        end = at + len(list(run))
+        if linked and end - at >= MENU_BLOCKS:
+            if at == 0 or end == len(labels) or BAD in (labels[at - 1], labels[end]):
+                labels[at:end] = [BAD] * (end - at)
+        at = end
+
+
 def settle(labels: list, headings: list[bool]) -> list[bool]:
     """Second pass: what is unsure takes the label of the nearest decided block.
 
@@ -377,18 +397,21 @@ def settle(labels: list, headings: list[bool]) -> list[bool]:
     return out
 
 
-def label(blocks: list[Block]) -> list:
-    """First pass over a page: the rules for every block, and what its articles add to them."""
+def label(blocks: list[Block]) -> tuple[list, bool]:
+    """First pass over a page: the rules for every block, and what its articles add to them.
+
+    Also returns whether the articles count.
+    """
     labels = [classify(block) for block in blocks]
     inside = sum(block.letters for block in blocks if block.inside and not block.dropped)
     good = zip(blocks, labels, strict=True)
     outside = sum(block.letters for block, label in good if label == GOOD and not block.inside)
     if outside > OUTWEIGHS_ARTICLES * inside:
-        return labels
+        return labels, False
     return [
         classify_in_article(block, label) if block.inside else label
         for block, label in zip(blocks, labels, strict=True)
-    ]
+    ], True
 
 
 def main_text(html: str | None) -> str:
@@ -398,11 +421,14 @@ def main_text(html: str | None) -> str:
     reader = BlockReader(html)
     blocks = [block for block in reader.blocks if block.read()]
     lift(reader, blocks)
-    labels = label(blocks)
+    labels, articles = label(blocks)
     kept: list[bool] = []
-    for _, part in groupby(range(len(blocks)), lambda n: blocks[n].inside):
-        at = list(part)
-        kept += settle([labels[n] for n in at], [blocks[n].heading for n in at])
+    for inside, part in groupby(blocks, lambda block: block.inside):
+        some = list(part)
+        marks = labels[len(kept) : len(kept) + len(some)]
+        if inside and articles:
+            strike_menus(some, marks)
+        kept += settle(marks, [block.heading for block in some])
     return "\n\n".join(block.text for block, keep in zip(blocks, kept, strict=True) if keep)
 
 
@@ -415,8 +441,9 @@ def extract(
     sidebars, forms, scripts, or in elements named as adverts, notices or comments is bad,
     unless the named elements hold the only articles or nearly all text of the page. For all
     else link density, length and the density of stop words decide, and short blocks stay
-    unsure. Inside an article only blocks made of links may be bad, unless good text outside
-    outweighs all articles of the page, which then are teasers. Second pass: what is unsure
+    unsure. Inside an article only blocks made of links are unsure, and bad in a run at its
+    bounds, unless good text outside outweighs all articles of the page, which then are
+    teasers. Second pass: what is unsure
     inherits from the nearest decided block, on its own side of an article's bounds.
 
     A NULL, empty or wholly bad page gives an empty text; pages are read one by one, whole,

@@ -293,6 +293,18 @@ def test_main_text_beside_teasers_in_articles():
     assert main_text.main_text(page) == f"Brief.\n\n{PROSE}\n\nFar off\n\n{PROSE}"
 
 
+def test_main_text_with_links_in_an_article():
+    links = "".join(f"<li><a href={n}>Link {n}</a>" for n in range(4))
+    page = f"""<nav>Home</nav><article><ul>{links}</ul><h1><a href=x>Title</a></h1><p>{PROSE}</p>
+    <p>See <a href=x>the full report</a>.</p><ul><li><a href=x>A source</a></ul><p>{PROSE}</p>
+    <ul>{links}</ul><p>Last.</p><p><a href=x>More on it</a></p></article><footer>All</footer>"""
+    listed = "\n\n".join(f"Link {n}" for n in range(4))
+    text = f"Title\n\n{PROSE}\n\nSee the full report.\n\nA source\n\n{PROSE}\n\n{listed}"
+    assert main_text.main_text(page) == f"{text}\n\nLast.\n\nMore on it"
+    page = f"<article><p>{PROSE}</p><ul>{links}</ul><div class=ad>Buy</div><p>Last.</p></article>"
+    assert main_text.main_text(page) == f"{PROSE}\n\nLast."
+
+
 def brute_main_text(parts):
     """Kept texts of (place, [(kind, text)]): every short block looks about on its own."""
     labels = [
