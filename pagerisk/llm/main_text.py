@@ -73,6 +73,11 @@ _VOID = frozenset(
 )
 _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _WORD = re.compile(r"\w+")
+# Letters of scripts that put no spaces between words; two make about a word.
+_SPACELESS = re.compile(
+    "[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff"
+    "\uf900-\ufaff\U00020000-\U0003ffff]"
+)
 
 SHORT_WORDS = 12
 STOP_DENSITY = 0.3
@@ -113,7 +118,7 @@ class Block:
 
     __slots__ = (
         "parts", "linked", "dropped", "container", "inside", "heading",
-        "text", "words", "letters", "links",
+        "text", "words", "short", "letters", "links",
     )
 
     def __init__(self, dropped: bool, container: Container | None, inside: int, heading: bool):
@@ -130,6 +135,9 @@ class Block:
         self.text = " ".join(parts)
         if not self.dropped:
             self.words = _WORD.findall(self.text.lower())
+            self.short = len(self.words) < SHORT_WORDS and (
+                self.text.isascii() or len(_SPACELESS.findall(self.text)) < 2 * SHORT_WORDS
+            )
             self.letters = sum(map(len, parts))
             self.links = self.linked / self.letters if self.letters else 0.0
         return self.text
@@ -277,7 +285,7 @@ def lift(reader: BlockReader, blocks: list[Block]) -> None:
         if block.dropped:
             continue
         letters = block.letters
-        prose = letters if len(block.words) >= SHORT_WORDS and block.links <= LINK_DENSITY else 0
+        prose = letters if not block.short and block.links <= LINK_DENSITY else 0
         total += letters
         own = letters if block.inside else prose
         if block.container is None:
@@ -322,30 +330,23 @@ def lift(reader: BlockReader, blocks: list[Block]) -> None:
 
 
 def stop_density(block: Block) -> float:
-    return sum(word in STOP_WORDS for word in block.words) / len(block.words)
+    return sum(word in STOP_WORDS for word in block.words) / max(len(block.words), 1)
 
 
 def classify(block: Block):
-    """First pass: good, bad, or unsure for short blocks that say too little."""
-    if block.dropped:
-        return BAD
-    words, links = block.words, block.links
-    short = len(words) < SHORT_WORDS
-    if links > LINK_DENSITY:
+    """First pass: good, bad, or unsure for blocks that say too little."""
+    if block.dropped or block.links > LINK_DENSITY:
         return BAD
-    if short or block.heading:
+    if block.short or block.heading:
         return UNSURE
-    density = stop_density(block)
-    if density >= STOP_DENSITY:
-        return GOOD
-    return BAD if density < LOW_STOP_DENSITY else UNSURE
+    return GOOD if stop_density(block) >= STOP_DENSITY else UNSURE
 
 
 def classify_in_article(block: Block, label):
     """The label of a block in the page's article: what is not made of links is good there."""
     if block.dropped or label == GOOD or block.links <= LINK_DENSITY:
         return BAD if block.dropped else GOOD
-    if len(block.words) < SHORT_WORDS:
+    if block.short:
         return GOOD if block.heading or block.links <= LINK_ONLY else UNSURE
     return GOOD if stop_density(block) >= LOW_STOP_DENSITY else UNSURE
 
@@ -403,9 +404,20 @@ def label(blocks: list[Block]) -> tuple[list, bool]:
     Also returns whether the articles count.
     """
     labels = [classify(block) for block in blocks]
+    # Where next to nothing reaches the bar, the language is none of those of the stop words.
+    plain = [
+        n
+        for n, block in enumerate(blocks)
+        if labels[n] is UNSURE and not block.short and not block.heading
+    ]
+    good = sum(block.letters for n, block in enumerate(blocks) if labels[n] == GOOD)
+    if sum(blocks[n].letters for n in plain) > OUTWEIGHS * good:
+        for n in plain:
+            labels[n] = GOOD
     inside = sum(block.letters for block in blocks if block.inside and not block.dropped)
-    good = zip(blocks, labels, strict=True)
-    outside = sum(block.letters for block, label in good if label == GOOD and not block.inside)
+    outside = sum(
+        block.letters for n, block in enumerate(blocks) if labels[n] == GOOD and not block.inside
+    )
     if outside > OUTWEIGHS_ARTICLES * inside:
         return labels, False
     return [
@@ -440,8 +452,9 @@ def extract(
     A page is cut at block elements. First pass: what stands in menus, page headers, footers,
     sidebars, forms, scripts, or in elements named as adverts, notices or comments is bad,
     unless the named elements hold the only articles or nearly all text of the page. For all
-    else link density, length and the density of stop words decide, and short blocks stay
-    unsure. Inside an article only blocks made of links are unsure, and bad in a run at its
+    else link density, length and the density of stop words decide, and blocks that are
+    short or have few stop words stay unsure; on pages with next to no stop words, long
+    blocks with few links are good. Inside an article only blocks made of links are unsure, and bad in a run at its
     bounds, unless good text outside outweighs all articles of the page, which then are
     teasers. Second pass: what is unsure
     inherits from the nearest decided block, on its own side of an article's bounds.

@@ -305,6 +305,17 @@ def test_main_text_with_links_in_an_article():
     assert main_text.main_text(page) == f"{PROSE}\n\nLast."
 
 
+def test_main_text_without_stop_words():
+    italian = "Ogni mattina gli operai arrivano presto davanti alla fabbrica, poi bevono caffè"
+    chinese = "每天早上工人们很早就来到工厂门口然后他们一起喝咖啡聊天再开始一天的工作"
+    table = "alpha beta gamma delta " * 4
+    for text in (italian, chinese):
+        page = f"<h1>A</h1><p>{text}</p><p>Sì</p><p>{text}</p><p><a>{text}</a></p><p>far</p>"
+        assert main_text.main_text(page) == f"A\n\n{text}\n\nSì\n\n{text}"
+    page = f"<p>{PROSE}</p><pre>{table}</pre><p>{PROSE}</p><p><a>{PROSE}</a></p><p>{table}</p>"
+    assert main_text.main_text(page) == f"{PROSE}\n\n{table.strip()}\n\n{PROSE}"
+
+
 def brute_main_text(parts):
     """Kept texts of (place, [(kind, text)]): every short block looks about on its own."""
     labels = [
