@@ -71,6 +71,21 @@ _VOID = frozenset(
         *["source", "track", "wbr"],
     ]
 )
+# Elements whose ids are targets of links and made from their words.
+_ANCHORS = frozenset(["a", "h1", "h2", "h3", "h4", "h5", "h6"])
+# Elements whose start ends an open one of their kind: which, and what it may not be outside of.
+_CELL_BOUNDS = frozenset(["table", "tbody", "tfoot", "thead", "tr"])
+_IMPLIED = {
+    **{name: (frozenset(["td", "th"]), _CELL_BOUNDS) for name in ("td", "th")},
+    "tr": (frozenset(["tr"]), _CELL_BOUNDS - {"tr"}),
+    "li": (frozenset(["li"]), (BLOCKS | DROPPED) - {"address", "div", "li", "p"}),
+    **{
+        name: (frozenset(["dd", "dt"]), (BLOCKS | DROPPED) - {"address", "dd", "div", "dt", "p"})
+        for name in ("dd", "dt")
+    },
+    "p": (frozenset(["p"]), (BLOCKS | DROPPED) - {"p"}),
+    "a": (frozenset(["a"]), BLOCKS),
+}
 _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _WORD = re.compile(r"\w+")
 # Letters of scripts that put no spaces between words; two make about a word.
@@ -153,6 +168,7 @@ class BlockReader(HTMLParser):
         self.homes: list[Container | None] = [None]  # where the article of that number starts
         # element, whether it is dropped, what it is if it has a furniture name
         self._open: list[tuple[str, bool, Container | None]] = []
+        self._count: dict[str, int] = {}  # open elements by name
         self._dropped = 0
         self._container: Container | None = None
         self._articles = 0
@@ -203,15 +219,30 @@ class BlockReader(HTMLParser):
             self._heading = tag[0] == "h" and tag[1:].isdigit()
         if tag == "a":
             self._anchors = 1
+        if tag in BLOCKS:
+            self._leave(*_IMPLIED["p"])
+        if tag in _IMPLIED:
+            self._leave(*_IMPLIED[tag])
         if tag in _VOID:
             return
-        if tag in _ARTICLE and any(name == "nav" for name, _, _ in self._open):
+        if tag in _ARTICLE and self._count.get("nav"):
             self.handle_endtag("nav")
         if tag in BLOCKS or tag in DROPPED or tag == "span":
-            if tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option"):
-                return
+            self._enter(tag, attrs)
+        elif self._count.get(tag) or attrs and self._furniture(tag, attrs):
             self._enter(tag, attrs)
 
+    def _leave(self, tags, bounds):
+        """Close the innermost open element of ``tags`` that is not outside of ``bounds``."""
+        if not any(self._count.get(tag) for tag in tags):
+            return
+        for name, _, _ in reversed(self._open):
+            if name in tags:
+                self._pop(name)
+                return
+            if name in bounds:
+                return
+
     def _enter(self, tag, attrs):
         dropped = tag in DROPPED or tag == "header" and not self._articles
         named = None
@@ -223,6 +254,7 @@ class BlockReader(HTMLParser):
             self.containers.append(named)
             self._container = named
         self._open.append((tag, dropped, named))
+        self._count[tag] = self._count.get(tag, 0) + 1
         self._dropped += dropped
         self._articles += tag in _ARTICLE
 
@@ -239,11 +271,16 @@ class BlockReader(HTMLParser):
             self._heading = False
         if tag == "a":
             self._anchors = 0
-        if not any(name == tag for name, _, _ in self._open):
-            return
+        if tag in _IMPLIED:
+            self._leave(frozenset([tag]), _IMPLIED[tag][1] - {tag})
+        elif self._count.get(tag):
+            self._pop(tag)
+
+    def _pop(self, tag):
         closed = None
         while closed != tag:
             closed, dropped, named = self._open.pop()
+            self._count[closed] -= 1
             self._dropped -= dropped
             if named is not None:
                 self._container = named.parent
@@ -261,8 +298,10 @@ class BlockReader(HTMLParser):
                 parts = [part.lower() for part in _NAME_PARTS.findall(name)]
                 if len(parts) > 1 and (parts[0] in _STATE_FIRST or parts[-1] in _STATE_LAST):
                     continue
-                if key != "id" or len(parts) <= MOST_ID_PARTS:
+                if key != "id" or len(parts) <= MOST_ID_PARTS and tag not in _ANCHORS:
                     found.update(parts)
+        if tag not in BLOCKS and tag != "span":  # words of a sentence: places say nothing of them
+            return frozenset(found & FURNITURE - LAYOUT)
         return frozenset(found & FURNITURE if self._articles else found & (FURNITURE | _PAGE_HEADER))
 
     def _end(self):

@@ -316,6 +316,21 @@ def test_main_text_without_stop_words():
     assert main_text.main_text(page) == f"{PROSE}\n\n{table.strip()}\n\n{PROSE}"
 
 
+def test_main_text_asks_every_element_for_its_name():
+    page = f"""<article><h2 id="comments">On comments</h2><p class="advert">{PROSE}<p>One <a
+    class="promo" href=x>Buy</a><b class="ad">it <b>now</b> or</b> two.<p class="cookie-notice">
+    <span>{PROSE}</p><ul><li class="comment">{PROSE}<ul><li>Reply</ul>{PROSE}<li>Item</ul>
+    <table><tr class="ad"><td>{PROSE}<tr><td>Cell<td class="sponsored">{PROSE}<th>Side</table>
+    <dl><dt class="ad">Term<dd>Meaning</dl><p class="related"><div>Div</div><p>{PROSE}"""
+    kept = ["On comments", "One two.", "Item", "Cell", "Side", "Meaning", "Div", PROSE]
+    assert main_text.main_text(page) == "\n\n".join(kept)
+
+
+def test_main_text_of_many_open_elements():
+    page = "<ul>" + "<li><b class=x>" * 20_000 + "<td><dd>" * 5_000 + f"</ul><p>{PROSE}"
+    assert main_text.main_text(page) == PROSE
+
+
 def brute_main_text(parts):
     """Kept texts of (place, [(kind, text)]): every short block looks about on its own."""
     labels = [
