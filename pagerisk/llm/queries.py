@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pagerisk.llm import bpe, langid, lines, main_text, minhash, mixing, packing, quality, repetition, vectors
+from pagerisk.llm import (
+    bpe, langid, lines, main_text, minhash, mixing, packing, quality, repetition, resample, vectors,
+)
 from pagerisk.session import attach
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -288,3 +290,76 @@ def op6_languages(spark, sf_dir):
 def op2_quality(spark, sf_dir):
     """Quality score and verdict of every document."""
     return quality.classify(documents(spark, sf_dir))
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of the UTF-8 bytes of an expression."""
+    parts, value = [], 0xEDB88320
+    for bit in range(7, -1, -1):  # what each bit of a byte adds to the state
+        parts.append(f"((x >> {bit}) & 1) * {value}")
+        value = (value >> 1) ^ (0xEDB88320 if value & 1 else 0)
+    table = parts[0]
+    for part in parts[1:]:
+        table = f"xor({table}, {part})"
+    octets = (
+        f"list_transform(range(1, octet_length(encode({text})) + 1), lambda k: "
+        f"('0x' || substr(hex(encode({text})), 2 * k - 1, 2))::BIGINT)"
+    )
+    fold = table.replace("x >>", "(xor(c, b) & 255) >>")
+    return (
+        f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, b: "
+        f"xor(c >> 8, {fold})), 4294967295)"
+    )
+
+
+RESAMPLE_SQL = rf"""
+WITH texts AS (
+  SELECT 0 AS side, doc_id, text FROM documents
+  UNION ALL SELECT 1, item_id, text FROM benchmark),
+cut AS (
+  SELECT side, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+runs AS (
+  SELECT side, doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i
+  FROM cut, (VALUES (1), (2), (3)) s(n)),
+features AS (
+  SELECT side, doc_id, array_to_string(w[i:i + n - 1], ' ') AS f, count(*) AS times
+  FROM runs GROUP BY ALL),
+marked AS (
+  SELECT f, {crc32_sql("f")} % 10000 AS bucket FROM (SELECT DISTINCT f FROM features)),
+placed AS (SELECT side, doc_id, bucket, times FROM features JOIN marked USING (f)),
+counts AS (
+  SELECT b AS bucket, coalesce(sum(times) FILTER (WHERE side = 0), 0)::DOUBLE AS s,
+    coalesce(sum(times) FILTER (WHERE side = 1), 0)::DOUBLE AS t
+  FROM range(10000) r(b) LEFT JOIN placed ON bucket = b GROUP BY b),
+gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1) * (sum(s) OVER () + 10000)
+    / ((s + 1) * (sum(t) OVER () + 10000))))::BIGINT AS gain
+  FROM counts),
+weights AS (
+  SELECT doc_id, sum(times * gain)::BIGINT AS weight
+  FROM placed JOIN gains USING (bucket) WHERE side = 0 GROUP BY doc_id),
+scored AS (
+  SELECT c.doc_id, len(w) AS n_words,
+    (len(w) + greatest(len(w) - 1, 0) + greatest(len(w) - 2, 0))::BIGINT AS n_features,
+    coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln(
+      (('0x' || substr(sha256('42:' || c.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT
+      AS score
+  FROM cut c LEFT JOIN weights USING (doc_id) WHERE side = 0),
+ranked AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank,
+    count(*) OVER () * 5 // 100 AS drawn
+  FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, rank
+FROM scored LEFT JOIN (SELECT doc_id, rank FROM ranked WHERE rank <= drawn) USING (doc_id)
+"""
+
+
+@query(RESAMPLE_SQL)
+def op11_importance_resampling(spark, sf_dir):
+    """Features, weight, score and rank of every document against the benchmark texts."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = resample.resample(documents(spark, sf_dir), benchmark)
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
