@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from pagerisk.llm import (
-    bpe, langid, lines, main_text, minhash, mixing, packing, quality, repetition, resample, vectors,
+    bpe, langid, lines, main_text, minhash, mixing, packing, quality, repetition, resample, trie,
+    vectors,
 )
 from pagerisk.session import attach
 
@@ -363,3 +364,44 @@ def op11_importance_resampling(spark, sf_dir):
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = resample.resample(documents(spark, sf_dir), benchmark)
     return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+TRIE_SQL = rf"""
+WITH turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id
+      ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS n,
+    [coalesce(role, ''), coalesce(text, '')] AS t
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id AS c, list(t ORDER BY n) AS ts FROM turns GROUP BY conv_id),
+rebuilt AS (
+  SELECT o.c, coalesce(b.ts, [])[:h] || o.ts[h + 1:] AS ts
+  FROM (SELECT *, {crc32_sql("c::VARCHAR")} % 4 AS h FROM own) o
+  LEFT JOIN own b ON b.c = o.c - o.c % 20),
+prefixes AS (SELECT c, d, ts[:d] AS p, d = len(ts) AS ends
+  FROM rebuilt, LATERAL (SELECT unnest(range(len(ts) + 1)) AS d)),
+nodes AS (
+  SELECT p, d, min(c) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends_sha256,
+    (count(*) - 1) * CASE WHEN d > 0
+      THEN len(regexp_extract_all(p[d][2], '[^\x20\x09-\x0D]+')) ELSE 0 END AS saved
+  FROM prefixes GROUP BY p, d),
+named AS (SELECT row_number() OVER () AS k, * FROM nodes),
+children AS (
+  SELECT b.k, count(*) AS n FROM named a JOIN named b ON b.d = a.d - 1 AND b.p = a.p[:a.d - 1]
+  GROUP BY b.k),
+below AS (
+  SELECT a.k, sum(b.saved) AS saved, count(*) FILTER (WHERE coalesce(c.n, 0) = 0) AS leaves
+  FROM named a JOIN named b ON b.d >= a.d AND b.p[:a.d] = a.p
+  LEFT JOIN children c ON c.k = b.k GROUP BY a.k)
+SELECT x.conv_id, x.d::BIGINT AS depth, p.conv_id AS parent_conv_id, x.n_convs,
+  coalesce(c.n, 0) AS n_children, b.leaves AS n_leaves, b.saved::BIGINT AS saved_tokens,
+  x.ends_sha256
+FROM named x JOIN below b USING (k) LEFT JOIN children c USING (k)
+LEFT JOIN named p ON p.d = x.d - 1 AND p.p = x.p[:x.d - 1]
+"""
+
+
+@query(TRIE_SQL)
+def op12_conversation_trie(spark, sf_dir):
+    """Every node of the prefix trie of the rebuilt conversations."""
+    return trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
