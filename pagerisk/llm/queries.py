@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pagerisk.llm import (
-    bpe, langid, lines, main_text, minhash, mixing, packing, quality, repetition, resample, trie,
-    vectors,
+    bpe, langid, lines, main_text, minhash, mixing, packing, quality, repetition, resample,
+    substrings, trie, vectors,
 )
 from pagerisk.session import attach
 
@@ -405,3 +405,31 @@ LEFT JOIN named p ON p.d = x.d - 1 AND p.p = x.p[:x.d - 1]
 def op12_conversation_trie(spark, sf_dir):
     """Every node of the prefix trie of the rebuilt conversations."""
     return trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+WINDOWS_SQL = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS n, doc_id,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT n, i, array_to_string(w[i:i + 34], ' ') AS body
+  FROM (SELECT n, w, unnest(range(1, len(w) - 33)) AS i FROM texts)),
+repeated AS (
+  SELECT n, i FROM windows
+  WHERE body IN (SELECT body FROM windows GROUP BY body HAVING count(*) > 1)),
+gone AS (SELECT DISTINCT n, unnest(range(i, i + 35)) AS place FROM repeated),
+lists AS (SELECT n, list(place) AS gone FROM gone GROUP BY n),
+kept AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed,
+    CASE WHEN gone IS NULL THEN w ELSE list_transform(
+      list_filter(list_zip(w, range(1, len(w) + 1)), lambda x: NOT list_contains(gone, x[2])),
+      lambda x: x[1]) END AS left_over
+  FROM texts LEFT JOIN lists USING (n))
+SELECT doc_id, n_words, n_removed, sha256(array_to_string(left_over, ' ')) AS kept_sha256 FROM kept
+"""
+
+
+@query(WINDOWS_SQL)
+def op13_repeated_windows(spark, sf_dir):
+    """Words of every document that stay when windows that occur twice are removed."""
+    out = substrings.remove_repeats(documents(spark, sf_dir), keep=["doc_id"])
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
