@@ -114,7 +114,10 @@ def _suffixes(text: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class FmIndex:
-    """Backward search in a sequence of symbols, with matching statistics up to ``most``."""
+    """Backward search in a sequence of symbols, with matching statistics up to ``most``.
+
+    The sequence begins with a symbol that no streamed text has, as it is closed to a ring.
+    """
 
     def __init__(self, text: np.ndarray, alphabet: int, most: int):
         if most > 255:

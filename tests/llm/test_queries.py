@@ -19,7 +19,8 @@ def test_query(spark, duck, name):  # noqa: F811
     result = queries.QUERIES[name](spark, SF_DIR)
     rows = result.collect()
     table = {"op1": "embeddings", "op3": "pages"}.get(name.split("_")[0], "documents")
-    assert len(rows) == spark.read.parquet(f"{SF_DIR}/{table}.parquet").count()
+    if name != "op12_conversation_trie":  # its rows are nodes
+        assert len(rows) == spark.read.parquet(f"{SF_DIR}/{table}.parquet").count()
     if name in queries.ORACLES:
         cursor = duck.execute(queries.ORACLES[name])
         columns = [d[0] for d in cursor.description]
@@ -31,7 +32,7 @@ def test_entry_point_has_the_corpus_queries():
     import __spark_entry__ as driver
 
     names = driver.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {
+    assert {f"op{n}" for n in range(1, 14)} == {
         name.split("_")[0] for name in names if name.startswith("op")
     }
     assert "pipeline" in names and set(driver.oracle_sql()) <= set(names)
