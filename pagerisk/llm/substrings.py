@@ -14,6 +14,7 @@ fingerprints of their own, which are counted with partial sums, so that no task
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -83,32 +84,28 @@ class WaveletTree:
 
 
 def _suffixes(text: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes sorted by at least ``most`` symbols, and the common prefix of each with the
-    one before it, up to ``most``."""
+    """Suffixes of a ring, sorted by more than ``most`` symbols, and the common prefix of each
+    with the one before it, up to ``most``."""
     size = len(text)
     order = np.argsort(text, kind="stable")
     ranks, length = [], 1
     key = text[order]
     while True:
         fresh = np.concatenate(([True], key[1:] != key[:-1]))
-        rank = np.empty(size + 1, np.int64)
+        rank = np.empty(size, np.int64)
         rank[order] = np.cumsum(fresh)
-        rank[size] = 0
         ranks.append(rank)
-        if length >= most or fresh.all():
+        if length > most or fresh.all():
             break
-        after = np.minimum(np.arange(size) + length, size)
-        pair = rank[:size] * (size + 1) + rank[after]
+        pair = rank * (size + 1) + np.roll(rank, -length)
         order = np.argsort(pair, kind="stable")
         key = pair[order]
         length *= 2
-    common = np.zeros(size + 1, np.int64)
-    first, second = order[:-1], order[1:]
     near = np.zeros(size - 1, np.int64)
     for level in range(len(ranks) - 1, -1, -1):
-        a, b = np.minimum(first + near, size), np.minimum(second + near, size)
-        same = (ranks[level][a] == ranks[level][b]) & (a < size) & (b < size)
+        same = ranks[level][(order[:-1] + near) % size] == ranks[level][(order[1:] + near) % size]
         near += same.astype(np.int64) << level
+    common = np.zeros(size + 1, np.int64)
     common[1:size] = np.minimum(near, most)
     return order, common.astype(np.uint8)
 
@@ -133,6 +130,7 @@ class FmIndex:
         """The suffixes that share ``depth`` symbols with those in each interval."""
         if depth not in self._bounds:
             starts = self.common < depth
+            starts[[0, -1]] = True
             self._bounds[depth] = (Bits(starts), np.flatnonzero(starts).astype(np.int32))
         bits, places = self._bounds[depth]
         return places[bits.rank(low + 1) - 1], places[bits.rank(high)]
@@ -268,7 +266,7 @@ def _anchor_lists(batches, window: int, anchor: int) -> Iterator[pa.RecordBatch]
         )
 
 
-_PASSAGE = "kind string, g long, f long, k1 long, k2 long, start int, words binary"
+_PASSAGE = "kind string, g long, f long, k1 long, k2 long, start int, size int, words binary"
 
 
 def _passages(batches, window: int, anchor: int) -> Iterator[pa.RecordBatch]:
@@ -289,13 +287,14 @@ def _passages(batches, window: int, anchor: int) -> Iterator[pa.RecordBatch]:
                 if not hot:
                     words = b" ".join(split[first - base : end - base])
                     hashed = int(found.hash[low + place])
-                    rows.append(("passage", hashed, None, k1, k2, first - base, words))
+                    rows.append(("passage", hashed, None, k1, k2, first - base, None, words))
                     continue
                 if prints is None:
                     prints = [
                         _rolled(found.words, window, factor).view(np.int64) for factor in _MIX
                     ]
                 count = end - window + 1 - first
+                rows.append(("hot", None, None, k1, k2, first - base, count, None))
                 at = slice(first, first + count)
                 for column, values in zip(
                     windows,
@@ -307,7 +306,7 @@ def _passages(batches, window: int, anchor: int) -> Iterator[pa.RecordBatch]:
                 ):
                     column.append(values)
         names = [field.split()[0] for field in _PASSAGE.split(", ")]
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        kinds = [pa.string(), *[pa.int64()] * 4, pa.int32(), pa.int32(), pa.binary()]
         for low in range(0, len(rows), 65536):
             columns = zip(*rows[low : low + 65536], strict=True)
             yield pa.RecordBatch.from_arrays(
@@ -318,7 +317,8 @@ def _passages(batches, window: int, anchor: int) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(["window"] * len(g)), pa.array(g), pa.array(f), pa.array(k1),
-                    pa.array(k2), pa.array(start.astype(np.int32)), pa.nulls(len(g), pa.binary()),
+                    pa.array(k2), pa.array(start.astype(np.int32)), pa.nulls(len(g), pa.int32()),
+                    pa.nulls(len(g), pa.binary()),
                 ],
                 names,
             )
@@ -395,9 +395,21 @@ def _match(batches, window: int, shard_words: int) -> Iterator[pa.RecordBatch]:
         yield from flush()
 
 
-def _merged(spans) -> list[tuple[int, int]]:
+def removed_words(facts, window: int) -> list[tuple[int, int]]:
+    """Disjoint spans of words, ascending, from the facts on one document."""
+    sides: tuple[set, set, set] = (set(), set(), set())
+    for fact in facts:
+        sides[fact["what"]].add((fact["low"], fact["high"]))
+    spans = sides[0]
+    alone = sorted(low for low, _ in sides[2])
+    for low, high in sides[1]:
+        inside = alone[bisect_left(alone, low) : bisect_left(alone, high)]
+        for stop in [*inside, high]:
+            if low < stop:
+                spans.add((low, stop + window - 1))
+            low = stop + 1
     out: list[list[int]] = []
-    for low, high in sorted({(s["low"], s["high"]) for s in spans}):
+    for low, high in sorted(spans):
         if out and low <= out[-1][1]:
             out[-1][1] = max(out[-1][1], high)
         else:
@@ -418,7 +430,7 @@ def _keys(id_col: str, text_col: str) -> list[Column]:
     ]
 
 
-def repeated_spans(
+def repeated_facts(
     documents: DataFrame,
     *,
     window: int = WINDOW,
@@ -427,7 +439,11 @@ def repeated_spans(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """Rows (k1, k2, low, high): words of a document, from low up to high, in such windows."""
+    """Rows (k1, k2, low, high, what) on the repeated windows of each document.
+
+    What is 0 for words of repeated windows, from low up to high; 1 for windows, by their
+    first words, of which all are repeated but those that a row with what 2 names by low.
+    """
     if not 1 <= anchor <= window:
         raise ValueError("an anchor must fit into a window")
     keyed = documents.select(*_keys(id_col, text_col), F.col(f"`{text_col}`").alias("text"))
@@ -439,7 +455,10 @@ def repeated_spans(
         "substring-anchors",
     )
     places = lists.select("k1", "k2", F.posexplode("hashes").alias("place", "hash"))
-    counts = places.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1")
+    # Written first, so that the join below is one of two exchanges and may split a hot hash.
+    counts = materialise(
+        places.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1"), "substring-counts"
+    )
     hot = (F.col("n") > hot_passages).alias("hot")
     marks = (
         places.join(counts, "hash")
@@ -463,12 +482,20 @@ def repeated_spans(
         lambda batches: _match(batches, window, _SHARD_WORDS),
         "k1 long, k2 long, low int, high int",
     )
-    windows = found.filter("kind = 'window'").select("g", "f", "k1", "k2", "start")
-    often = windows.groupBy("g", "f").agg(F.count("*").alias("n")).filter("n > 1")
-    counted = windows.join(often, ["g", "f"]).select(
-        "k1", "k2", F.col("start").alias("low"), (F.col("start") + window).alias("high")
+    hot = found.filter("kind = 'hot'").select(
+        "k1", "k2", F.col("start").alias("low"), (F.col("start") + F.col("size")).alias("high")
+    )
+    # A window that is alone has one owner, so no join is needed to find it.
+    alone = (
+        found.filter("kind = 'window'")
+        .groupBy("g", "f")
+        .agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in ("k1", "k2", "start")])
+        .filter("n = 1")
+        .select("k1", "k2", F.col("start").alias("low"), F.col("start").alias("high"))
     )
-    return spans.unionByName(counted)
+    facts = [spans, hot, alone]
+    facts = [rows.withColumn("what", F.lit(n)) for n, rows in enumerate(facts)]
+    return facts[0].unionByName(facts[1]).unionByName(facts[2])
 
 
 def remove_repeats(
@@ -492,11 +519,11 @@ def remove_repeats(
     of any type; input columns n_words and n_removed are replaced; an empty table gives an
     empty one. One text and its passages must fit in a task's memory.
     """
-    spans = repeated_spans(
+    spans = repeated_facts(
         documents, window=window, anchor=anchor, hot_passages=hot_passages, id_col=id_col,
         text_col=text_col,
     )
-    spans = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+    spans = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("low", "high", "what")).alias("spans"))
     names = [c for c in documents.columns if c not in ("n_words", "n_removed")]
     others = [c for c in (names if keep is None else keep) if c != text_col]
     k1, k2 = _keys(id_col, text_col)
@@ -519,7 +546,7 @@ def remove_repeats(
                 words = (text or b"").split()
                 counts.append(len(words))
                 gone = 0
-                for low, high in reversed(_merged(own or [])):
+                for low, high in reversed(removed_words(own or [], window)):
                     gone += high - low
                     del words[low:high]
                 removed.append(gone)
