@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, functions as F
@@ -94,6 +96,131 @@ class UrlSearch:
         return [found.get(u) for u in urls]
 
 
+# ---- an index of rare pieces ---------------------------------------------------------
+# Cut any D + 1 pieces out of a string, none over another. An insertion or deletion spoils one
+# piece at most, so a string within D of them holds some piece as it is, no more than D
+# characters off its place. Pieces are three characters, and each string gives its rarest.
+
+PIECE = 3
+PIECE_BUCKETS = 1 << 18
+#: Longer strings have too many pieces to send each of them out.
+MOST_INDEXED = 256
+
+
+def most_partner_indels(length, min_ratio: int):
+    """Most insertions plus deletions between a string of a length and any partner."""
+    change = 201 - 2 * min_ratio
+    return max_indels(length * (200 + change) // (200 - change) + length, min_ratio)
+
+
+def indexable(length, min_ratio: int):
+    """Whether strings of a length have room for all the pieces they need."""
+    room = PIECE * (most_partner_indels(length, min_ratio) + 1) <= length
+    return room & (length <= MOST_INDEXED)
+
+
+def piece_bucket(piece: str) -> int:
+    return zlib.crc32(piece.encode()) % PIECE_BUCKETS
+
+
+def rare_pieces(url: str, counts: np.ndarray, min_ratio: int) -> list[tuple[int, int]]:
+    """(bucket, place) of the pieces of least total count that decide on all partners."""
+    need = most_partner_indels(len(url), min_ratio) + 1
+    buckets = [piece_bucket(url[i : i + PIECE]) for i in range(len(url) - PIECE + 1)]
+    # best[n] is the least cost of n pieces among the characters so far.
+    start = np.full(need + 1, np.inf)
+    start[0] = 0
+    best = [start] * PIECE
+    taken = []
+    for bucket in buckets:
+        more = np.concatenate(([np.inf], best[-PIECE][:-1] + counts[bucket] + 1))
+        taken.append(more < best[-1])
+        best.append(np.minimum(more, best[-1]))
+    found, place = [], len(buckets) - 1
+    while need:
+        if taken[place][need]:
+            found.append((buckets[place], place))
+            need -= 1
+            place -= PIECE
+        else:
+            place -= 1
+    return found[::-1]
+
+
+def _piece_histogram(text: str) -> np.ndarray:
+    codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+    size = max(0, len(codes) - PIECE + 1)
+    mixed = sum(codes[i : i + size] * np.uint32(31**i) for i in range(PIECE)) % 256
+    return np.bincount(mixed.astype(np.int64), minlength=256).astype(np.int16)
+
+
+class PieceMatcher:
+    """Compares strings that share a piece; strings of one kind are told by their number."""
+
+    def __init__(self, left: list[str], right: list[str], min_ratio: int):
+        self.min_ratio = min_ratio
+        self.sides = left, right
+        self.lengths = [np.array([len(u) for u in side], np.int64) for side in self.sides]
+        self.counts = [
+            np.array([_histogram(u) for u in side], np.int16).reshape(-1, _CLASSES)
+            for side in self.sides
+        ]
+        self.pieces = [
+            np.array([_piece_histogram(u) for u in side], np.int16).reshape(-1, 256)
+            for side in self.sides
+        ]
+        self.hit = np.zeros(len(left), bool)
+        self.compared = np.zeros(len(left), np.int64)
+        self._seen: set[int] = set()
+
+    def meet(
+        self,
+        left: np.ndarray,
+        left_at: np.ndarray,
+        right: np.ndarray,
+        right_at: np.ndarray,
+        before: list[list[int]],
+    ):
+        """Compare all strings of one piece, given by number and place of the piece.
+
+        ``before`` has the places of the pieces that each right string gave before this one; a
+        pair that shares one of those meets there.
+        """
+        open_ = ~self.hit[left]
+        left, left_at = left[open_], left_at[open_]
+        step = max(1, (1 << 18) // max(1, len(right)))
+        for low in range(0, len(left), step):
+            some, at = left[low : low + step], left_at[low : low + step]
+            a, b = self.lengths[0][some][:, None], self.lengths[1][right][None, :]
+            allowed = max_indels(a + b, self.min_ratio)
+            near = (np.abs(a - b) <= allowed) & (
+                np.abs(at[:, None] - right_at[None, :]) <= allowed
+            )
+            rows, columns = np.nonzero(near)
+            allowed = allowed[rows, columns]
+            own, rows, columns = columns, some[rows], right[columns]
+            # An insertion or deletion takes or brings one character, and of the pieces that
+            # overlap it takes or brings all, and brings or takes one less.
+            for counts, change in ((self.counts, 1), (self.pieces, 2 * PIECE - 1)):
+                apart = np.abs(counts[0][rows] - counts[1][columns]).sum(1, dtype=np.int64)
+                keep = apart <= change * allowed
+                own, rows, columns, allowed = own[keep], rows[keep], columns[keep], allowed[keep]
+            pairs = zip(rows.tolist(), columns.tolist(), own.tolist(), allowed.tolist())
+            for row, column, place, most in pairs:
+                self._compare(row, column, before[place], most)
+
+    def _compare(self, row: int, column: int, before: list[int], most: int) -> None:
+        pair = row * len(self.sides[1]) + column
+        if self.hit[row] or pair in self._seen:
+            return
+        a, b = self.sides[0][row], self.sides[1][column]
+        if any(b[at : at + PIECE] in a[max(0, at - most) : at + most + PIECE] for at in before):
+            return
+        self._seen.add(pair)
+        self.compared[row] += 1
+        self.hit[row] = reaches(a, b, self.min_ratio)
+
+
 def url_similarity(a: Column, b: Column) -> Column:
     """Similarity of two URL columns, 0 to 100."""
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -75,6 +76,49 @@ def compare_in_bands(
     return lefts.groupBy(*keys).cogroup(rights.groupBy(*keys)).applyInArrow(compare, schema)
 
 
+CELL_ROWS = 65536
+
+
+def compare_in_cells(
+    left: DataFrame,
+    left_counts: np.ndarray,
+    right: DataFrame,
+    right_counts: np.ndarray,
+    key: str,
+    compare: Callable[[pa.Table, pa.Table], pa.Table],
+    schema: str,
+    cell_rows: int = CELL_ROWS,
+) -> DataFrame:
+    """Rows of ``compare(left rows, right rows)`` over rows that agree in a bucket column.
+
+    ``key`` is a bucket number and the counts tell how many rows of either side each bucket
+    has; their number is fixed, so the plan made from them is small however many rows there
+    are. Buckets are packed into cells of about ``cell_rows``; one with more rows is a grid
+    of cells of its own, of bounded size on both sides. Buckets of one side only are left out.
+    """
+    shared = np.flatnonzero((left_counts > 0) & (right_counts > 0))
+    if not len(shared):
+        return left.sparkSession.createDataFrame([], schema)
+    across = [np.ceil(counts[shared] / cell_rows).astype(np.int64) for counts in (left_counts, right_counts)]
+    light = (across[0] == 1) & (across[1] == 1)
+    weight = np.where(light, left_counts[shared] + right_counts[shared], 0)
+    cell = np.cumsum(weight) // cell_rows
+    cell = np.where(light, cell, cell.max() + 1 + np.cumsum(~light))
+    plan = pa.table({key: shared, "__cell": cell, "__ls": across[0], "__rs": across[1]})
+
+    def dealt(rows: DataFrame, own: str, count: str, other: str, others: str) -> DataFrame:
+        spread = F.pmod(F.xxhash64(*rows.columns), F.col(count)).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.col(others).cast("int") - 1))
+        # A row for each bucket at most; each side has a table of its own to join.
+        there = rows.join(F.broadcast(left.sparkSession.createDataFrame(plan)), key)
+        return there.withColumn(own, spread).withColumn(other, every).drop("__ls", "__rs")
+
+    keys = ["__cell", "__l", "__r"]
+    lefts = dealt(left, "__l", "__ls", "__r", "__rs")
+    rights = dealt(right, "__r", "__rs", "__l", "__ls")
+    return lefts.groupBy(*keys).cogroup(rights.groupBy(*keys)).applyInArrow(compare, schema)
+
+
 def compare_blocks(
     left: DataFrame,
     left_key: str,

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pagerisk.functions.fuzzy import UrlSearch, url_similarity
-from pagerisk.operators.blocks import BLOCK_BYTES, BROADCAST_BYTES, compare_in_bands
+from pagerisk.functions.fuzzy import (
+    MOST_INDEXED, PIECE, PIECE_BUCKETS, PieceMatcher, UrlSearch, indexable, most_partner_indels,
+    rare_pieces, url_similarity,
+)
+from pagerisk.operators.blocks import (
+    BLOCK_BYTES, BROADCAST_BYTES, CELL_ROWS, compare_in_bands, compare_in_cells,
+)
 from pagerisk.operators.urls import clean_url
 from pagerisk.session import materialise
 
@@ -47,13 +53,21 @@ def similar_urls(
     """Whether each URL is at least ``min_ratio`` alike to any feed URL; distinct feed expected.
 
     The feed's bytes are measured. Within the bound it is broadcast and each task searches
-    it. Beyond, distinct URLs that do not stand in the feed as they are meet the feed URLs of
-    comparable length, block by block. No pair leaves a task.
+    it. Beyond, distinct URLs that do not stand in the feed as they are meet the feed URLs with
+    which they share a rare piece (see ``compare_by_pieces``). Feed URLs without room for such
+    pieces, being very short, very long, or sought at a low ratio, meet all URLs of comparable
+    length instead, block by block. No pair leaves a task.
     """
     spark = urls.sparkSession
     feed = materialise(feed.select("url").filter(F.col("url").isNotNull()), "feed")
-    size = F.sum(_FEED_ROW_BYTES + 4 * F.length("url"))
-    if (feed.agg(size.alias("bytes")).first().bytes or 0) <= broadcast_bytes:
+    length = F.length("url")
+    indexed = _indexable(length, min_ratio)
+    measured = feed.agg(
+        F.sum(_FEED_ROW_BYTES + 4 * length).alias("bytes"),
+        F.count_if(indexed).alias("indexed"),
+        F.count_if(~indexed).alias("others"),
+    ).first()
+    if (measured.bytes or 0) <= broadcast_bytes:
         listed = feed.toArrow().column("url").to_pylist()
         shared = spark.sparkContext.broadcast(UrlSearch(listed, min_ratio))
 
@@ -63,29 +77,136 @@ def similar_urls(
 
         return urls.withColumn(out, search(F.col(url)))
 
+    if 201 - 2 * min_ratio >= 200:
+        raise ValueError("a ratio that any two strings reach needs no search")
+    distinct = urls.select(url).filter(F.col(url).isNotNull()).distinct()
+    in_feed = feed.select(F.col("url").alias(url), F.lit(True).alias("__exact"))
+    checked = materialise(distinct.join(in_feed, url, "left"), "distinct-urls")
+    hits = checked.filter("__exact").select(url)
+    rest = checked.filter("__exact IS NULL").select(url)
+    if measured.indexed:
+        found = compare_by_pieces(rest, feed, min_ratio, url)
+        hits = hits.union(found.filter("hit").select(url))
+    if measured.others:
+        hits = hits.union(
+            _compare_by_length(rest, feed.filter(~indexed), min_ratio, url, broadcast_bytes)
+        )
+    marked = urls.join(hits.distinct().withColumn(out, F.lit(True)), url, "left")
+    known = F.when(F.col(url).isNotNull(), F.coalesce(F.col(out), F.lit(False)))
+    return marked.select(*urls.columns, known.alias(out))
+
+
+def _indexable(length: Column, min_ratio: int) -> Column:
+    """``fuzzy.indexable`` of a column of lengths."""
+    able = [n for n in range(1, MOST_INDEXED + 1) if indexable(n, min_ratio)]
+    return length.isin(able) if able else F.lit(False)
+
+
+def _compare_by_length(
+    rest: DataFrame, feed: DataFrame, min_ratio: int, url: str, broadcast_bytes: int
+) -> DataFrame:
+    """The URLs that any of the feed URLs matches, by comparing all of comparable length."""
+
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         found = UrlSearch(right.column("url").to_pylist(), min_ratio)
         hits = [u for u in left.column(url).to_pylist() if found.matches(u)]
         return pa.table({url: pa.array(hits, type=pa.string())})
 
-    distinct = urls.select(url).filter(F.col(url).isNotNull()).distinct()
-    listed = feed.select(F.col("url").alias(url))
-    exact = distinct.join(listed, url, "left_semi")
-    rest = materialise(distinct.join(listed, url, "left_anti"), "unlisted-urls")
+    # Lengths a and b allow the ratio only if |a - b| <= indels * (a + b).
     indels = (201 - 2 * min_ratio) / 200
-    if indels < 1:
-        # Lengths a and b allow the ratio only if |a - b| <= indels * (a + b).
-        ratio = (1 + indels) / (1 - indels) * (1 + 1e-9)
-        block_bytes = min(BLOCK_BYTES, broadcast_bytes)
-        hits = compare_in_bands(
-            rest, url, feed, "url", ratio, _FEED_ROW_BYTES, block_bytes, compare, f"{url} string"
-        )
-    else:
-        raise ValueError("a ratio that any two strings reach needs no search")
-    hits = hits.union(exact).distinct()
-    marked = urls.join(hits.withColumn(out, F.lit(True)), url, "left")
-    known = F.when(F.col(url).isNotNull(), F.coalesce(F.col(out), F.lit(False)))
-    return marked.select(*urls.columns, known.alias(out))
+    ratio = (1 + indels) / (1 - indels) * (1 + 1e-9)
+    block_bytes = min(BLOCK_BYTES, broadcast_bytes)
+    return compare_in_bands(
+        rest, url, feed, "url", ratio, _FEED_ROW_BYTES, block_bytes, compare, f"{url} string"
+    )
+
+
+def compare_by_pieces(
+    urls: DataFrame,
+    feed: DataFrame,
+    min_ratio: int = PHISH_RATIO,
+    url: str = "clean_url",
+    cell_rows: int = CELL_ROWS,
+) -> DataFrame:
+    """Rows (url, hit, compared) of distinct URLs that share a rare piece with a feed URL.
+
+    Every feed URL gives as many pieces as a partner may have insertions and deletions, and one
+    more, so any partner holds one of them unchanged and near its place. Of all such sets the
+    one whose pieces are rarest among the URLs is taken, so what all URLs share, like scheme and
+    popular hosts, leads to nothing. Pieces are counted in a fixed number of buckets. URLs
+    whose piece, length and character counts agree are compared in full, until one matches;
+    ``compared`` says how often.
+    """
+    spark = urls.sparkSession
+    change = 201 - 2 * min_ratio
+    # A longer URL has no indexed partner.
+    longest = MOST_INDEXED * (200 + change) // (200 - change)
+    able = urls.filter(F.length(url).between(PIECE, longest))
+    places = F.sequence(F.lit(0), F.length(url) - PIECE)
+    pieces = F.transform(places, lambda i: F.struct(_bucket(url, i).alias("bucket"), i.alias("at")))
+    lefts = able.select(F.col(url).alias("text"), F.explode(pieces).alias("p"))
+    lefts = lefts.select("p.bucket", "p.at", "text")
+    left_counts = _bucket_counts(lefts)
+    shared = spark.sparkContext.broadcast(left_counts)
+    fields = [("bucket", pa.int64()), ("at", pa.int32()), ("before", pa.list_(pa.int32()))]
+
+    @F.arrow_udf("array<struct<bucket:bigint,at:int,before:array<int>>>")
+    def rarest(batch: pa.Array) -> pa.Array:
+        chosen = []
+        for text in batch.to_pylist():
+            pieces = rare_pieces(text, shared.value, min_ratio)
+            places = [at for _, at in pieces]
+            chosen.append(
+                [{"bucket": b, "at": i, "before": places[:n]} for n, (b, i) in enumerate(pieces)]
+            )
+        return pa.array(chosen, type=pa.list_(pa.struct(fields)))
+
+    feed = feed.filter(_indexable(F.length("url"), min_ratio))
+    rights = feed.select(F.col("url").alias("text"), F.explode(rarest(F.col("url"))).alias("p"))
+    rights = materialise(rights.select("p.*", "text"), "feed-pieces")
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        sides = [_numbered(table) for table in (left, right)]
+        matcher = PieceMatcher(sides[0][0], sides[1][0], min_ratio)
+        for bucket in np.intersect1d(sides[0][1], sides[1][1]).tolist():
+            spans = [
+                slice(*np.searchsorted(buckets, [bucket, bucket + 1])) for _, buckets, *_ in sides
+            ]
+            parts = [part[span] for side, span in zip(sides, spans) for part in side[2:4]]
+            before = right.column("before").take(pa.array(sides[1][4][spans[1]])).to_pylist()
+            matcher.meet(*parts, before)
+        some = np.flatnonzero(matcher.compared)
+        texts = pa.array(sides[0][0], type=pa.string()).take(pa.array(some))
+        found = [texts, pa.array(matcher.hit[some]), pa.array(matcher.compared[some])]
+        return pa.table(found, names=[url, "hit", "compared"])
+
+    return compare_in_cells(
+        lefts, left_counts, rights, _bucket_counts(rights), "bucket", compare,
+        f"{url} string, hit boolean, compared long", cell_rows,
+    )
+
+
+def _bucket(url: str, place: Column) -> Column:
+    piece = F.substring(F.col(url), place + 1, F.lit(PIECE))
+    return F.crc32(piece.cast("binary")) % PIECE_BUCKETS
+
+
+def _bucket_counts(rows: DataFrame) -> np.ndarray:
+    """Rows of each bucket; their number is fixed."""
+    counts = np.zeros(PIECE_BUCKETS, np.int64)
+    for row in rows.groupBy("bucket").count().collect():
+        counts[row["bucket"]] = row["count"]
+    return counts
+
+
+def _numbered(rows: pa.Table) -> tuple:
+    """Distinct texts; then bucket, number of the text, place and number of each row, by bucket."""
+    texts = rows.column("text").combine_chunks().dictionary_encode()
+    buckets = rows.column("bucket").to_numpy()
+    order = np.argsort(buckets, kind="stable")
+    numbers = texts.indices.to_numpy()[order]
+    places = rows.column("at").to_numpy()[order]
+    return texts.dictionary.to_pylist(), buckets[order], numbers, places, order
 
 
 def phishing_trace(

@@ -2,9 +2,11 @@ import difflib
 import json
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
+from pagerisk.functions import fuzzy
 from pagerisk.functions.fuzzy import UrlSearch, lcs_length, reaches, similarity_ratio
 from pagerisk.operators import threats as J
 from pagerisk.sources import feeds
@@ -78,6 +80,78 @@ def test_phishing_trace_both_ways(spark, bound):
     assert all(r.phishing_trace == expected.get(r.clean_url) for r in rows)
 
 
+def test_rare_pieces_decide_on_every_partner():
+    rng = random.Random(11)
+    counts = np.zeros(fuzzy.PIECE_BUCKETS, np.int64)
+    counts[fuzzy.piece_bucket("htt")] = 1000
+    for url in some_urls(rng, 60):
+        for ratio in (90, 95):
+            pieces = fuzzy.rare_pieces(url, counts, ratio)
+            places = [at for _, at in pieces]
+            assert len(pieces) == fuzzy.most_partner_indels(len(url), ratio) + 1
+            assert all(b - a >= fuzzy.PIECE for a, b in zip(places, places[1:]))
+            assert 0 not in places
+            other = mutated(rng, url)
+            if similarity_ratio(url, other) >= ratio:
+                assert any(url[at : at + 3] in other for at in places)
+
+
+def hosted_urls(rng, sites, a_site):
+    """URLs of many sites with names of their own, and one look-alike of each."""
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+    word = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    urls = []
+    for _ in range(sites):
+        host = word(14)
+        urls += [f"https://www.{host}.com/{word(8)}/{word(12)}" for _ in range(a_site)]
+    return urls, [mutated(rng, u) for u in urls]
+
+
+@pytest.mark.parametrize("ratio", [75, 90])
+def test_large_feed_equals_brute_force(spark, ratio):
+    rng = random.Random(8)
+    urls, feed = hosted_urls(rng, 150, 2)
+    urls += some_urls(rng, 60) + ["a", "ab", "http://x/", "é" * 20, "long" * 90]
+    feed += ["a", "http://y/", "é" * 19 + "x", "long" * 89, "q" * 300]
+    left = spark.createDataFrame([(u,) for u in urls], "clean_url string")
+    right = spark.createDataFrame([(u,) for u in set(feed)], "url string")
+    found = {
+        r.clean_url: r.phishing_trace
+        for r in J.similar_urls(left, right, ratio, broadcast_bytes=64 << 10).collect()
+    }
+    search = UrlSearch(feed, ratio)
+    assert found == {u: search.matches(u) for u in urls} and 100 < sum(found.values()) < len(found)
+
+
+def test_candidates_stay_flat_when_both_sides_grow(spark):
+    rates = []
+    for sites in (1250, 5000):
+        urls, feed = hosted_urls(random.Random(sites), sites, 1)
+        left = spark.createDataFrame([(u,) for u in urls], "clean_url string").repartition(8)
+        right = spark.createDataFrame([(u,) for u in set(feed)], "url string").repartition(8)
+        rows = J.compare_by_pieces(left, right, cell_rows=8192).collect()
+        hits = {r.clean_url for r in rows if r.hit}
+        wanted = {u for u, f in zip(urls, feed) if similarity_ratio(u, f) >= 90}
+        assert wanted <= hits
+        assert all(u in wanted or UrlSearch(feed, 90).matches(u) for u in hits)
+        rates.append(sum(r.compared for r in rows) / len(urls))
+    assert rates[1] < 1.5 * rates[0] < 15
+
+
+def test_a_piece_that_all_share_is_a_grid_of_cells(spark):
+    rng = random.Random(3)
+    stem = "https://same.host.example/always/the/same/path/"
+    urls = [stem + "".join(rng.choice("xyz") for _ in range(9)) for _ in range(400)]
+    feed = [stem + "".join(rng.choice("pqr") for _ in range(9)) for _ in range(400)]
+    left = spark.createDataFrame([(u,) for u in set(urls)], "clean_url string")
+    right = spark.createDataFrame([(u,) for u in set(feed)], "url string")
+    rows = J.compare_by_pieces(left, right, 80, cell_rows=50).collect()
+    assert not rows  # the pieces have no room at this ratio
+    rows = J.compare_by_pieces(left, right, 90, cell_rows=50).collect()
+    search = UrlSearch(feed, 90)
+    assert {r.clean_url for r in rows if r.hit} == {u for u in urls if search.matches(u)}
+
+
 def test_no_pair_table_in_the_plans(spark):
     left = spark.createDataFrame([("http://a/",)], "clean_url string")
     right = spark.createDataFrame([("http://b/",)], "url string")
