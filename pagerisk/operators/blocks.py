@@ -1,8 +1,8 @@
-"""Comparing every row of one table with every row of another without pairing them.
+"""Bringing rows of two tables together that may match, without pairing them.
 
-Used when the smaller side is too large to broadcast. Both sides are cut into blocks of a
-bounded number of rows, each (left block, right block) meets in one group, and the
-function sends back at most one row per left row.
+Used when the smaller side is too large to broadcast. Both sides are dealt to tasks of
+bounded size by what partners have in common, a band of lengths or a bucket; the function
+of a task sends back at most one row per left row.
 """
 
 from __future__ import annotations
@@ -18,11 +18,6 @@ BROADCAST_BYTES = 256 << 20
 BLOCK_BYTES = 64 << 20
 
 
-def block_count(rows: int, bytes_per_row: int, broadcast_bytes: int = BROADCAST_BYTES) -> int:
-    """Blocks so that one holds about ``BLOCK_BYTES``, or the broadcast bound if that is less."""
-    return max(1, math.ceil(rows * bytes_per_row / min(BLOCK_BYTES, broadcast_bytes)))
-
-
 def compare_in_bands(
     left: DataFrame,
     left_key: str,
@@ -117,31 +112,3 @@ def compare_in_cells(
     lefts = dealt(left, "__l", "__ls", "__r", "__rs")
     rights = dealt(right, "__r", "__rs", "__l", "__ls")
     return lefts.groupBy(*keys).cogroup(rights.groupBy(*keys)).applyInArrow(compare, schema)
-
-
-def compare_blocks(
-    left: DataFrame,
-    left_key: str,
-    left_blocks: int,
-    right: DataFrame,
-    right_key: str,
-    right_blocks: int,
-    compare: Callable[[pa.Table, pa.Table], pa.Table],
-    schema: str,
-) -> DataFrame:
-    """Rows of ``compare(left block, right block)`` over all block pairs.
-
-    Keys are unique on their side, so hashing them gives blocks of even size.
-    """
-
-    def blocked(df, key, own, own_n, other, other_n):
-        numbered = df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(own_n)).cast("int"))
-        return numbered.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(other_n - 1))))
-
-    lefts = blocked(left, left_key, "__l", left_blocks, "__r", right_blocks)
-    rights = blocked(right, right_key, "__r", right_blocks, "__l", left_blocks)
-    return (
-        lefts.groupBy("__l", "__r")
-        .cogroup(rights.groupBy("__l", "__r"))
-        .applyInArrow(compare, schema)
-    )

@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pagerisk.functions.encoders import Encoder, encode_distinct, mean_text_vector, text_vector
 from pagerisk.functions.text import cosine01
-from pagerisk.operators.blocks import BROADCAST_BYTES, block_count, compare_blocks
+from pagerisk.operators.blocks import BROADCAST_BYTES, CELL_ROWS, compare_in_cells
 from pagerisk.operators.pages import extract, flat_headings
 from pagerisk.operators.urls import normalize_url, url_components
+from pagerisk.session import materialise
 
 URL_MATCH_THRESHOLD = 0.80
 PROPERTY_THRESHOLD = 0.75
@@ -176,7 +177,7 @@ class HeadlineCorpus:
     """Encoded headlines (idx, embedding, label) and how they reach the tasks.
 
     Their size is known before they are used: up to ``broadcast_bytes`` the vectors are
-    broadcast, beyond that the comparison runs block by block through a shuffle.
+    broadcast, beyond that contents meet the cells of the corpus that can hold their nearest.
     """
 
     def __init__(
@@ -238,33 +239,178 @@ def nearest_headline(
         found = contents.withColumn("__best", search(F.col(vector)))
         return found.select(*contents.columns, "__best.*")
 
-    key_type = contents.schema[key].dataType.simpleString()
+    usable = contents.select(key, F.col(vector).cast("array<double>").alias("vector"))
+    best = nearest_in_cells(usable.filter("vector IS NOT NULL"), corpus, key)
+    return contents.join(best.drop("compared"), key, "left").select(
+        *contents.columns, "sim", "label", "idx"
+    )
 
-    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        block = _Headlines(right)
-        sims, rows = block.nearest(_matrix(_combined(left.column(vector))))
-        found = block.as_structs(sims, rows)
-        table = pa.table([left.column(key), *found.flatten()], names=[key, "sim", "label", "idx"])
-        return table.filter(found.is_valid())
-
-    sides = contents.select(key, F.col(vector).cast("array<double>").alias(vector))
-    usable = sides.filter(F.col(vector).isNotNull())
-    # Rows without a vector count too here, which spares encoding everything twice.
-    count = contents.select(key).count()
-    best = compare_blocks(
-        usable,
-        key,
-        block_count(count, corpus.row_bytes, corpus.broadcast_bytes),
-        corpus.corpus,
-        "idx",
-        block_count(corpus.rows, corpus.row_bytes, corpus.broadcast_bytes),
-        compare,
-        f"{key} {key_type}, sim double, label int, idx bigint",
+
+#: Vectors that centres are fitted on, and the most centres.
+_SAMPLE = 4096
+_MOST_CENTRES = 1024
+#: Angles are compared with this much to spare, far more than their rounding.
+_SPARE = 1e-6
+
+
+def nearest_in_cells(
+    contents: DataFrame, corpus: HeadlineCorpus, key: str, cell_rows: int = CELL_ROWS
+) -> DataFrame:
+    """Rows (key, sim, label, idx, compared) of the usable vectors in ``contents``; exact.
+
+    The corpus is cut into cells around centres, which are fitted on a bounded sample. A
+    content is first compared within the cell of its own nearest centre. The best angle found
+    there, and the triangle inequality of angles, tell which other cells can hold a nearer
+    vector, and in each only the vectors whose angle to the centre leaves that open are
+    compared. Contents without a direction have no row.
+    """
+    spark = contents.sparkSession
+    known = materialise(corpus.corpus.filter("embedding IS NOT NULL"), "corpus-vectors")
+    centres = spark.sparkContext.broadcast(
+        _centres(known, min(_MOST_CENTRES, max(1, int(corpus.rows**0.5))))
+    )
+    everywhere = np.ones(len(centres.value), bool)
+    placed = known.withColumn("place", _cell_of(F.col("embedding"), centres, everywhere))
+    placed = placed.filter("place IS NOT NULL").select(
+        "place.cell", "place.angle", F.col("embedding").alias("vector"), "label", "idx"
+    )
+    placed = materialise(placed, "corpus-cells")
+    # A row per centre.
+    spans = placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("angle"), F.max("angle"))
+    sizes, bounds = np.zeros(len(everywhere), np.int64), np.zeros((2, len(everywhere)))
+    for cell, n, low, high in spans.collect():
+        sizes[cell], bounds[:, cell] = n, (low, high)
+    filled = sizes > 0
+    queries = contents.withColumn("place", _cell_of(F.col("vector"), centres, filled))
+    queries = queries.filter("place IS NOT NULL").select(
+        key, "vector", "place.cell", "place.angle"
+    )
+    queries = materialise(queries.withColumn("reach", F.lit(np.pi + 1)), "content-cells")
+    best = _best_of(_search(queries, placed, sizes, key, cell_rows), key)
+    best = materialise(best, "content-best")
+
+    @F.arrow_udf("array<struct<cell:int,angle:double,reach:double>>")
+    def others(vectors: pa.Array, sims: pa.Array, home: pa.Array) -> pa.Array:
+        units = _units(_matrix(vectors))
+        angles = np.arccos(np.clip(units @ centres.value.T, -1, 1))
+        reach = np.arccos(np.clip(2 * sims.to_numpy() - 1, -1, 1)) + _SPARE
+        apart = np.maximum(angles - bounds[1], bounds[0] - angles)
+        near = (apart <= reach[:, None]) & filled
+        near[np.arange(len(near)), home.to_numpy()] = False
+        rows, cells = np.nonzero(near)
+        ends = np.concatenate(([0], np.cumsum(near.sum(axis=1)))).astype(np.int32)
+        parts = [pa.array(cells.astype(np.int32)), pa.array(angles[rows, cells]), pa.array(reach[rows])]
+        return pa.ListArray.from_arrays(
+            pa.array(ends), pa.StructArray.from_arrays(parts, ["cell", "angle", "reach"])
+        )
+
+    visits = queries.join(best.select(key, "sim"), key).select(
+        key, "vector", F.explode(others("vector", "sim", "cell")).alias("v")
     )
-    winner = F.max_by(F.struct("sim", "label", "idx"), F.struct(F.col("sim"), -F.col("idx")))
-    return contents.join(best.groupBy(key).agg(winner.alias("__best")), key, "left").select(
-        *contents.columns, "__best.*"
+    visits = materialise(visits.select(key, "vector", "v.*"), "content-visits")
+    return _best_of(best.union(_search(visits, placed, sizes, key, cell_rows)), key)
+
+
+def _best_of(found: DataFrame, key: str) -> DataFrame:
+    first = F.struct(F.col("sim"), -F.col("idx"))
+    rows = found.groupBy(key).agg(
+        F.max_by(F.struct("sim", "label", "idx"), first).alias("best"),
+        F.sum("compared").alias("compared"),
     )
+    return rows.select(key, "best.*", "compared")
+
+
+def _units(vectors: np.ndarray) -> np.ndarray:
+    norms = np.sqrt((vectors**2).sum(axis=1, keepdims=True))
+    return np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0)
+
+
+def _centres(vectors: DataFrame, count: int, rounds: int = 6) -> np.ndarray:
+    """Directions fitted on the corpus vectors whose ``idx`` hashes lowest; none of an empty one."""
+    by_hash = vectors.orderBy(F.xxhash64("idx"), "idx").limit(_SAMPLE)
+    units = _units(_matrix(_combined(by_hash.select("embedding").toArrow().column(0))))
+    units = np.unique(units[(units != 0).any(axis=1)], axis=0)
+    if not len(units):
+        return np.zeros((0, 0))
+    centres = units[np.linspace(0, len(units) - 1, min(count, len(units))).astype(int)]
+    for _ in range(rounds):
+        nearest = (units @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, nearest, units)
+        moved = _units(sums)
+        centres = np.where((moved != 0).any(axis=1)[:, None], moved, centres)
+    return centres
+
+
+def _cell_of(vector: Column, centres, allowed: np.ndarray) -> Column:
+    """Struct (cell, angle) of the nearest allowed centre; NULL for a vector without direction."""
+
+    @F.arrow_udf("struct<cell:int,angle:double>")
+    def place(batch: pa.Array) -> pa.Array:
+        kind = pa.struct([("cell", pa.int32()), ("angle", pa.float64())])
+        if not allowed.any() or not len(batch):
+            return pa.nulls(len(batch), kind)
+        units = _units(_matrix(batch))
+        cosines = np.where(allowed, units @ centres.value.T, -np.inf)
+        cells = cosines.argmax(axis=1)
+        angles = np.arccos(np.clip(cosines[np.arange(len(cells)), cells], -1, 1))
+        lost = pa.array(~(units != 0).any(axis=1))
+        parts = [pa.array(cells.astype(np.int32)), pa.array(angles)]
+        return pa.StructArray.from_arrays(parts, fields=list(kind), mask=lost)
+
+    return place(vector)
+
+
+def _search(
+    visits: DataFrame, placed: DataFrame, sizes: np.ndarray, key: str, cell_rows: int
+) -> DataFrame:
+    """Best matches of visits (key, vector, cell, angle, reach) in the cells they go to."""
+    counts = np.zeros_like(sizes)
+    for cell, n in visits.groupBy("cell").count().collect():
+        counts[cell] = n
+    key_type = visits.schema[key].dataType.simpleString()
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        order = np.lexsort((right.column("angle").to_numpy(), right.column("cell").to_numpy()))
+        right = right.take(pa.array(order))
+        cells, angles = (right.column(n).to_numpy() for n in ("cell", "angle"))
+        labels, numbers = (right.column(n).to_numpy() for n in ("label", "idx"))
+        vectors = _matrix(_combined(right.column("vector")))
+        norms = np.sqrt((vectors**2).sum(axis=1))
+        rows, sims, best, compared = [], [], [], []
+        wanted = _matrix(_combined(left.column("vector")))
+        own_norms = np.sqrt((wanted**2).sum(axis=1))
+        columns = [left.column(n).to_numpy() for n in ("cell", "angle", "reach")]
+        for row, (cell, angle, reach) in enumerate(zip(*columns)):
+            low, high = np.searchsorted(cells, [cell, cell + 1])
+            first, last = low + np.searchsorted(
+                angles[low:high], [angle - reach, np.nextafter(angle + reach, np.inf)]
+            )
+            if first == last:
+                continue
+            # Row by row, so that equal vectors get equal similarities wherever they lie.
+            dots = (vectors[first:last] * wanted[row]).sum(axis=1)
+            cosines = dots / (own_norms[row] * norms[first:last])
+            top = cosines.max()
+            at = first + np.flatnonzero(cosines == top)
+            rows.append(row)
+            sims.append((top + 1) / 2)
+            best.append(at[numbers[at].argmin()])
+            compared.append(last - first)
+        taken = np.array(best, np.int64)
+        return pa.table(
+            [
+                left.column(key).take(pa.array(rows, pa.int64())), pa.array(sims, pa.float64()),
+                pa.array(labels[taken].astype(np.int32)), pa.array(numbers[taken].astype(np.int64)),
+                pa.array(compared, pa.int64()),
+            ],
+            names=[key, "sim", "label", "idx", "compared"],
+        )
+
+    return compare_in_cells(
+        visits, counts, placed, sizes, "cell", compare,
+        f"{key} {key_type}, sim double, label int, idx bigint, compared bigint", cell_rows,
+    )
 
 
 def page_vectors(

@@ -80,6 +80,30 @@ def test_nearest_headline_equals_brute_force(spark, bound):
     assert got[99].sim is None and len(got) == len(queries) + 1
 
 
+def test_cells_leave_most_of_the_corpus_out(spark):
+    rng = np.random.default_rng(9)
+    groups = rng.normal(size=(60, 16))
+    vectors = np.repeat(groups, 60, axis=0) + rng.normal(scale=0.08, size=(3600, 16))
+    vectors[100:130] = vectors[99]
+    queries = groups[rng.integers(0, 60, 200)] + rng.normal(scale=0.08, size=(200, 16))
+    labels = [i % 2 for i in range(len(vectors))]
+    corpus = spark.createDataFrame(
+        [(i, v.tolist(), l) for i, (v, l) in enumerate(zip(vectors, labels))],
+        "idx long, embedding array<double>, label int",
+    )
+    contents = spark.createDataFrame(
+        [(f"q{i}", q.tolist()) for i, q in enumerate([*queries, vectors[110], np.zeros(16)])],
+        "name string, vector array<double>",
+    )
+    found = S.nearest_in_cells(contents, S.HeadlineCorpus(corpus, 1), "name", cell_rows=100)
+    got = {r.name: r for r in found.collect()}
+    for i, expected in enumerate(brute_nearest(np.vstack([queries, vectors[110]]), vectors, labels)):
+        row = got[f"q{i}"]
+        assert (row.label, row.idx) == expected[1:] and math.isclose(row.sim, expected[0])
+    assert got["q200"].idx == 99 and "q201" not in got
+    assert sum(r.compared for r in got.values()) < len(got) * len(vectors) / 10
+
+
 def test_large_corpus_is_not_broadcast(spark):
     corpus = spark.createDataFrame([(1, [1.0], 1)], "idx long, embedding array<double>, label int")
     with pytest.raises(ValueError):
