@@ -240,7 +240,7 @@ def nearest_headline(
         return found.select(*contents.columns, "__best.*")
 
     usable = contents.select(key, F.col(vector).cast("array<double>").alias("vector"))
-    best = nearest_in_cells(usable.filter("vector IS NOT NULL"), corpus, key)
+    best = nearest_in_cells(usable, corpus, key)
     return contents.join(best.drop("compared"), key, "left").select(
         *contents.columns, "sim", "label", "idx"
     )
@@ -265,31 +265,41 @@ def nearest_in_cells(
     compared. Contents without a direction have no row.
     """
     spark = contents.sparkSession
-    known = materialise(corpus.corpus.filter("embedding IS NOT NULL"), "corpus-vectors")
+    # Vectors are written before they are asked for anything: a filter above their encoder, or
+    # two columns of one, would have everything encoded again.
+    known = materialise(corpus.corpus, "corpus-vectors").filter("embedding IS NOT NULL")
     centres = spark.sparkContext.broadcast(
         _centres(known, min(_MOST_CENTRES, max(1, int(corpus.rows**0.5))))
     )
     everywhere = np.ones(len(centres.value), bool)
     placed = known.withColumn("place", _cell_of(F.col("embedding"), centres, everywhere))
-    placed = placed.filter("place IS NOT NULL").select(
+    placed = materialise(placed, "corpus-cells").filter("place IS NOT NULL").select(
         "place.cell", "place.angle", F.col("embedding").alias("vector"), "label", "idx"
     )
-    placed = materialise(placed, "corpus-cells")
     # A row per centre.
     spans = placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("angle"), F.max("angle"))
     sizes, bounds = np.zeros(len(everywhere), np.int64), np.zeros((2, len(everywhere)))
     for cell, n, low, high in spans.collect():
         sizes[cell], bounds[:, cell] = n, (low, high)
     filled = sizes > 0
-    queries = contents.withColumn("place", _cell_of(F.col("vector"), centres, filled))
-    queries = queries.filter("place IS NOT NULL").select(
-        key, "vector", "place.cell", "place.angle"
-    )
-    queries = materialise(queries.withColumn("reach", F.lit(np.pi + 1)), "content-cells")
-    best = _best_of(_search(queries, placed, sizes, key, cell_rows), key)
+    # Small cells are searched together, so that a content is sent to all of them once.
+    group_of = np.cumsum(sizes) // cell_rows
+    groups = np.unique(group_of, return_inverse=True)[1]
+    group_sizes = np.bincount(groups, sizes).astype(np.int64)
+    group = F.get(F.array(*(F.lit(int(g)) for g in groups), F.lit(0)), F.col("cell"))
+    placed = placed.withColumn("group", group)
+    queries = materialise(contents.select(key, "vector"), "contents").filter("vector IS NOT NULL")
+    queries = queries.withColumn("place", _cell_of(F.col("vector"), centres, filled))
+    queries = materialise(queries, "content-cells").filter("place IS NOT NULL").select(
+        key, "vector", "place.cell", F.array("place.cell").alias("cells"),
+        F.array("place.angle").alias("angles"), F.lit(np.pi + 1).alias("reach"),
+    )
+    queries = queries.withColumn("group", group)
+    home = queries.drop("cell")
+    best = _best_of(_search(home, placed, group_sizes, key, cell_rows), key)
     best = materialise(best, "content-best")
 
-    @F.arrow_udf("array<struct<cell:int,angle:double,reach:double>>")
+    @F.arrow_udf("array<struct<group:int,reach:double,cells:array<int>,angles:array<double>>>")
     def others(vectors: pa.Array, sims: pa.Array, home: pa.Array) -> pa.Array:
         units = _units(_matrix(vectors))
         angles = np.arccos(np.clip(units @ centres.value.T, -1, 1))
@@ -298,17 +308,23 @@ def nearest_in_cells(
         near = (apart <= reach[:, None]) & filled
         near[np.arange(len(near)), home.to_numpy()] = False
         rows, cells = np.nonzero(near)
-        ends = np.concatenate(([0], np.cumsum(near.sum(axis=1)))).astype(np.int32)
-        parts = [pa.array(cells.astype(np.int32)), pa.array(angles[rows, cells]), pa.array(reach[rows])]
-        return pa.ListArray.from_arrays(
-            pa.array(ends), pa.StructArray.from_arrays(parts, ["cell", "angle", "reach"])
-        )
+        # Cells are numbered group by group, so those of one content and group are neighbours.
+        new = np.flatnonzero(np.diff(rows * len(groups) + groups[cells], prepend=-1))
+        starts = pa.array(np.append(new, len(rows)).astype(np.int32))
+        parts = [
+            pa.array(groups[cells[new]].astype(np.int32)), pa.array(reach[rows[new]]),
+            pa.ListArray.from_arrays(starts, pa.array(cells.astype(np.int32))),
+            pa.ListArray.from_arrays(starts, pa.array(angles[rows, cells])),
+        ]
+        visits = pa.StructArray.from_arrays(parts, ["group", "reach", "cells", "angles"])
+        ends = np.searchsorted(rows[new], np.arange(len(near) + 1)).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), visits)
 
     visits = queries.join(best.select(key, "sim"), key).select(
         key, "vector", F.explode(others("vector", "sim", "cell")).alias("v")
     )
     visits = materialise(visits.select(key, "vector", "v.*"), "content-visits")
-    return _best_of(best.union(_search(visits, placed, sizes, key, cell_rows)), key)
+    return _best_of(best.union(_search(visits, placed, group_sizes, key, cell_rows)), key)
 
 
 def _best_of(found: DataFrame, key: str) -> DataFrame:
@@ -361,54 +377,88 @@ def _cell_of(vector: Column, centres, allowed: np.ndarray) -> Column:
     return place(vector)
 
 
+def _parts(rows: np.ndarray, cells: np.ndarray, size: int = 128) -> list[np.ndarray]:
+    """Rows, sorted by cell, in parts of one cell each and of bounded number."""
+    edges = np.flatnonzero(np.diff(cells[rows])) + 1
+    parts = np.split(rows, edges)
+    return [p[i : i + size] for p in parts for i in range(0, len(p), size)]
+
+
+def _best_in(
+    wanted: np.ndarray,
+    visitor: np.ndarray,
+    vectors: np.ndarray,
+    numbers: np.ndarray,
+    spans: np.ndarray,
+    part: np.ndarray,
+) -> tuple[np.ndarray, ...]:
+    """For the visits ``part`` of one cell: who visits, row and similarity of the best vector
+    in their spans, and the vectors compared."""
+    low, high = spans[0, part].min(), spans[1, part].max()
+    block, queries = vectors[low:high], wanted[visitor[part]]
+    norms = [np.sqrt((side**2).sum(axis=1)) for side in (queries, block)]
+    cosines = queries @ block.T / (norms[0][:, None] * norms[1][None, :])
+    # A product rounds by place, so all that come close are computed once more, row by row,
+    # which gives equal vectors equal similarities wherever they lie.
+    rows, columns = np.nonzero(cosines >= cosines.max(axis=1, keepdims=True) - 1e-9)
+    exact = (queries[rows] * block[columns]).sum(axis=1) / (norms[0][rows] * norms[1][columns])
+    order = np.lexsort((numbers[low:high][columns], -exact, rows))
+    first = order[np.searchsorted(rows[order], np.arange(len(part)))]
+    sims = (exact[first] + 1) / 2
+    return visitor[part], low + columns[first], sims, np.full(len(part), high - low)
+
+
 def _search(
     visits: DataFrame, placed: DataFrame, sizes: np.ndarray, key: str, cell_rows: int
 ) -> DataFrame:
-    """Best matches of visits (key, vector, cell, angle, reach) in the cells they go to."""
+    """Best matches of visits (key, vector, group, reach, cells, angles) in those cells."""
     counts = np.zeros_like(sizes)
-    for cell, n in visits.groupBy("cell").count().collect():
-        counts[cell] = n
+    for group, n in visits.groupBy("group").count().collect():
+        counts[group] = n
     key_type = visits.schema[key].dataType.simpleString()
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         order = np.lexsort((right.column("angle").to_numpy(), right.column("cell").to_numpy()))
         right = right.take(pa.array(order))
         cells, angles = (right.column(n).to_numpy() for n in ("cell", "angle"))
-        labels, numbers = (right.column(n).to_numpy() for n in ("label", "idx"))
+        numbers = right.column("idx").to_numpy()
         vectors = _matrix(_combined(right.column("vector")))
-        norms = np.sqrt((vectors**2).sum(axis=1))
-        rows, sims, best, compared = [], [], [], []
         wanted = _matrix(_combined(left.column("vector")))
-        own_norms = np.sqrt((wanted**2).sum(axis=1))
-        columns = [left.column(n).to_numpy() for n in ("cell", "angle", "reach")]
-        for row, (cell, angle, reach) in enumerate(zip(*columns)):
+        own, angle = (_combined(left.column(n)).flatten().to_numpy() for n in ("cells", "angles"))
+        visitor = np.repeat(
+            np.arange(len(left)), pc.list_value_length(left.column("cells")).to_numpy()
+        )
+        reach = left.column("reach").to_numpy()[visitor]
+        # The rows of its cell that a content cannot rule out are neighbours.
+        spans = np.zeros((2, len(own)), np.int64)
+        for cell in np.unique(own):
             low, high = np.searchsorted(cells, [cell, cell + 1])
-            first, last = low + np.searchsorted(
-                angles[low:high], [angle - reach, np.nextafter(angle + reach, np.inf)]
-            )
-            if first == last:
-                continue
-            # Row by row, so that equal vectors get equal similarities wherever they lie.
-            dots = (vectors[first:last] * wanted[row]).sum(axis=1)
-            cosines = dots / (own_norms[row] * norms[first:last])
-            top = cosines.max()
-            at = first + np.flatnonzero(cosines == top)
-            rows.append(row)
-            sims.append((top + 1) / 2)
-            best.append(at[numbers[at].argmin()])
-            compared.append(last - first)
-        taken = np.array(best, np.int64)
+            some = own == cell
+            inside = angles[low:high]
+            spans[0, some] = low + np.searchsorted(inside, (angle - reach)[some], "left")
+            spans[1, some] = low + np.searchsorted(inside, (angle + reach)[some], "right")
+        todo = np.flatnonzero(spans[1] > spans[0])
+        todo = todo[np.lexsort((spans[1, todo], spans[0, todo], own[todo]))]
+        found = [_best_in(wanted, visitor, vectors, numbers, spans, part) for part in _parts(todo, own)]
+        empty = [(np.zeros(0),) * 4]
+        rows, best, sims, compared = map(np.concatenate, zip(*(found or empty)))
+        rows, best = rows.astype(np.int64), best.astype(np.int64)
+        compared = np.bincount(rows, compared, len(left))
+        order = np.lexsort((numbers[best], -sims, rows))
+        first = order[np.flatnonzero(np.diff(rows[order], prepend=-1))]
+        rows, best, sims = rows[first], best[first], sims[first]
+        compared, taken = compared[rows], pa.array(best)
         return pa.table(
             [
-                left.column(key).take(pa.array(rows, pa.int64())), pa.array(sims, pa.float64()),
-                pa.array(labels[taken].astype(np.int32)), pa.array(numbers[taken].astype(np.int64)),
-                pa.array(compared, pa.int64()),
+                left.column(key).take(pa.array(rows)), pa.array(sims),
+                right.column("label").take(taken), right.column("idx").take(taken),
+                pa.array(compared.astype(np.int64)),
             ],
             names=[key, "sim", "label", "idx", "compared"],
         )
 
     return compare_in_cells(
-        visits, counts, placed, sizes, "cell", compare,
+        visits, counts, placed, sizes, "group", compare,
         f"{key} {key_type}, sim double, label int, idx bigint, compared bigint", cell_rows,
     )
 
