@@ -1,17 +1,18 @@
 """Element extraction from one HTML page, and the Arrow UDF that applies it to a column.
 
-The page is read once by the standard library tokenizer. Nesting is kept as a stack: an
-end tag closes the nearest open element of its name with everything above it, an
-unmatched one is ignored, and the end of the page closes the rest.
+The page is read once by a linear scanner. Nesting is kept as a stack: an end tag closes
+the nearest open element of its name with everything above it, an unmatched one is ignored,
+and the end of the page closes the rest. As in the HTML standard, a link ends where the next
+one starts, and a heading where the next heading starts, so every text is kept once for each.
 """
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
-
 import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
+from pagerisk.functions.scanner import MarkupScanner, RejectedMarkup
+
 # Elements without content, per the HTML standard (with its obsolete ones). Fixed values.
 VOID_ELEMENTS = frozenset(
     "area base basefont bgsound br col command embed frame hr image img input isindex "
@@ -48,15 +49,10 @@ _ARROW_TYPES = {
 }
 
 
-class RejectedMarkup(ValueError):
-    """The tokenizer cannot read the page."""
-
-
-class PageElements(HTMLParser):
+class PageElements(MarkupScanner):
     """Collects the elements of one page while reading it."""
 
     def __init__(self, html: str):
-        super().__init__(convert_charrefs=True)
         self.titles: list[list[str]] = []
         self.heads: list[tuple[int, list[str]]] = []
         self.anchors: list[tuple[list[str], str]] = []
@@ -69,28 +65,18 @@ class PageElements(HTMLParser):
         self._collecting: list[tuple[int, str, list[str]]] = []
         self._hiding: list[tuple[int, str]] = []
         self._node: list[str] = []
-        try:
-            self.feed(html)
-            self.close()
-        except AssertionError as bad:
-            raise RejectedMarkup(str(bad)) from bad
+        self.scan(html)
         self._end_node()
 
-    def updatepos(self, i, j):
-        """Line numbers are not needed."""
-        return j
-
     def handle_data(self, data):
         self._node.append(data)
 
     def handle_comment(self, data):
         self._end_node()
 
-    handle_decl = handle_pi = handle_comment
-
-    def unknown_decl(self, data):
+    def handle_section(self, name, data):
         self._end_node()
-        if data.upper().startswith("CDATA["):
+        if name == "cdata":
             self._node.append(data[6:])
             self._end_node()
 
@@ -99,13 +85,15 @@ class PageElements(HTMLParser):
         values = {name: value or "" for name, value in attrs}
         text: list[str] | None = None
         if tag == "title":
-            text = []
-            self.titles.append(text)
+            text = [] if not self.titles else None  # only the first counts
+            self.titles.append([] if text is None else text)
         elif tag in HEADING_LEVELS:
             text = []
+            self._stop(HEADING_LEVELS)
             self.heads.append((int(tag[1]), text))
         elif tag == "a":
             text = []
+            self._stop(("a",))
             self.anchors.append((text, values.get("href", "#")))
         elif tag == "script":
             text = []
@@ -124,6 +112,10 @@ class PageElements(HTMLParser):
         if tag in HIDDEN_TEXT:
             self._hiding.append((depth, tag))
 
+    def _stop(self, tags):
+        """Texts that are collected for elements of these names are at their end."""
+        self._collecting = [mark for mark in self._collecting if mark[1] not in tags]
+
     def handle_endtag(self, tag):
         self._end_node()
         if not self._open_count.get(tag):

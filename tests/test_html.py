@@ -1,6 +1,9 @@
+import time
+
 from pyspark.sql import functions as F
 
-from pagerisk.functions.html import PageElements, page_elements
+from pagerisk.functions.html import FIELD_TYPES, PageElements, page_elements
+from pagerisk.functions.scanner import MarkupScanner
 from pagerisk.operators import pages as H
 
 SAMPLE = """
@@ -107,3 +110,49 @@ def test_unreadable_page_is_null(spark):
 def test_deeply_nested_page_is_linear():
     html = "<div>" * 50_000 + "<h1>x</h1>" + "</p>" * 50_000
     assert fields(html, "headings")[0][0]["text"] == "x"
+
+
+def test_hostile_pages_take_linear_time_and_space():
+    size = 1 << 20
+    for piece in (
+        "<!--", "<a ", "<![CDATA[", "<a b='", '<a b="x\'', "</a", "<a>", "<h1>", "<title>", "<?", "<!x",
+        "<", "<a href=>", "<script>", "<b ", "&amp", "<!-", "<![if ", "<a b='>", "</a b='\">", "<p/",
+    ):
+        start = time.process_time()
+        page = PageElements(piece * (size // len(piece)))
+        fields = [page.field(name) for name in FIELD_TYPES]
+        assert time.process_time() - start < 8, piece
+        assert sum(len(link["text"]) for link in fields[2]) <= size
+
+
+def test_scanner_events():
+    class Events(MarkupScanner):
+        def __init__(self, page):
+            self.found = []
+            self.scan(page)
+
+        def handle_starttag(self, tag, attrs):
+            self.found.append((tag, dict(attrs)))
+
+        def handle_endtag(self, tag):
+            self.found.append("/" + tag)
+
+        def handle_data(self, data):
+            self.found.append(data)
+
+        def handle_comment(self, data):
+            self.found.append(("!", data))
+
+    for page, found in {
+        "a < b<P Q=1 r='2>' s>x</p >": ["a ", "<", " b", ("p", {"q": "1", "r": "2>", "s": None}), "x", "/p"],
+        "<br/>&lt;&eacute;": [("br", {}), "/br", "<é"],
+        "<!-- a > b --><!-->x<!doctype html>": [("!", " a > b "), ("!", ""), "x", ("!", "doctype html")],
+        "<script>a<b</b></SCRIPT >c": [("script", {}), "a<b</b>", "/script", "c"],
+        "<script>a": [("script", {})],
+        "x<!-- y <b>z": ["x", "<", "!-- y ", ("b", {}), "z"],
+        "x<a b='y>z": ["x", ("a", {"b": "'y"}), "z"],
+        "x<a b='y' c <b": ["x", "<a b='y' c <b"],
+        "<a b=c/>d</><1></ >": [("a", {"b": "c/"}), "d", "<", "1>", ("!", " ")],
+        '<a href="?a=1&amp;b">': [("a", {"href": "?a=1&b"})],
+    }.items():
+        assert Events(page).found == found, page
