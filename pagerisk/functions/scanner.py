@@ -40,6 +40,9 @@ class MarkupScanner:
     tag, and nothing if there is none.
     """
 
+    #: Marked sections that are read as such; all others end at the next ``>``.
+    sections: dict[str, bool] = _SECTIONS
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         """A start tag; attributes without a value have None."""
 
@@ -134,8 +137,8 @@ class MarkupScanner:
         section = _SECTION.match(page, at)
         if page.startswith("<![", at):
             name = section[1].lower() if section else ""
-            if name in _SECTIONS:
-                end, after = self._find(_SECTION_END[_SECTIONS[name]], at + 3)
+            if name in self.sections:
+                end, after = self._find(_SECTION_END[self.sections[name]], at + 3)
                 if end >= 0:
                     self.handle_section(name, page[at + 3 : end])
                 return after
