@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
 from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
+from pagerisk.functions.scanner import MarkupScanner
+
 # Frequent function words of four languages. Fixed values.
 STOP_WORDS = frozenset(
     [
@@ -158,11 +159,12 @@ class Block:
         return self.text
 
 
-class BlockReader(HTMLParser):
+class BlockReader(MarkupScanner):
     """Cuts a page into blocks while reading it once."""
 
+    sections = {}  # as in the HTML standard, they are comments
+
     def __init__(self, html: str):
-        super().__init__(convert_charrefs=True)
         self.blocks: list[Block] = []
         self.containers: list[Container] = []
         self.homes: list[Container | None] = [None]  # where the article of that number starts
@@ -176,16 +178,11 @@ class BlockReader(HTMLParser):
         self._heading = False
         self._block: Block | None = None
         self._side: Block | None = None
-        self.feed(html)
-        self.close()
+        self.scan(html)
         self._end()
 
-    def updatepos(self, i, j):
-        """Line numbers are not needed."""
-        return j
-
-    def parse_marked_section(self, i, report=1):
-        return self.parse_bogus_comment(i)
+    def unknown_section(self, data):
+        """A comment."""
 
     def handle_data(self, data):
         dropped = self._dropped > 0
