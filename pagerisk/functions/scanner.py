@@ -66,6 +66,10 @@ class MarkupScanner:
         """A marked section of no known name, up to the next ``>``."""
         raise RejectedMarkup(f"unknown marked section {data[:40]!r}")
 
+    def handle_unfinished(self, data: str) -> None:
+        """A start tag that does not end, with the rest of the page."""
+        self.handle_data(unescape(data))
+
     def scan(self, page: str) -> None:
         self._page = page
         self._missing: set[object] = set()
@@ -166,7 +170,7 @@ class MarkupScanner:
             attrs.append((attribute[1].lower(), value))
         end = _BLANK.match(page, at).end()
         if page[end : end + 1] != ">":
-            self.handle_data(unescape(page[name.start() - 1 :]))
+            self.handle_unfinished(page[name.start() - 1 :])
             return len(page)
         tag = name[0].lower()
         if page[end - 1] == "/" and end > at:
