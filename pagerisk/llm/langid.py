@@ -32,7 +32,10 @@ _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 def letters_of(word: str) -> str:
     """The letters of a word in lower case, without marks, digits and signs."""
-    return word if word.isalpha() and word.islower() else _NOT_LETTERS.sub("", word.lower())
+    if word.isalpha() and word.islower():
+        return word
+    found = _NOT_LETTERS.sub("", word.lower())
+    return found if found.isalpha() else "".join(filter(str.isalpha, found))
 
 
 def features(word: str, hashed: Hashed) -> list[int]:
