@@ -87,6 +87,12 @@ _IMPLIED = {
     "p": (frozenset(["p"]), (BLOCKS | DROPPED) - {"p"}),
     "a": (frozenset(["a"]), BLOCKS),
 }
+# What text is called when names are joined, as in commentlist or user-responses.
+_JOINED = re.compile(
+    r"(comment|advert|promo|sponsor|respon[sd]|repl(?:y|ie))"
+    r"(?:s|es|e|list|section|area|thread|form|box|wrap|wrapper|container|block|unit)*"
+)
+_JOINED_AS = {"comment": "comments", "advert": "advert", "promo": "promo", "sponsor": "sponsor"}
 _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _WORD = re.compile(r"\w+")
 # Letters of scripts that put no spaces between words; two make about a word.
@@ -116,12 +122,15 @@ class Container:
     """An element with a furniture name, and the letters of the blocks in it."""
 
     __slots__ = (
-        "hits", "parent", "inside", "lifted", "inner",
+        "hits", "parent", "inside", "lifted", "inner", "article",
         "letters", "prose", "articles", "own", "own_articles",
     )
 
-    def __init__(self, hits: frozenset[str], parent: Container | None, inside: int):
+    def __init__(
+        self, hits: frozenset[str], parent: Container | None, inside: int, article: bool = False
+    ):
         self.hits = hits
+        self.article = article  # an outermost article, which is none of the page's then
         self.parent = parent
         self.inside = inside
         self.lifted = False
@@ -184,6 +193,9 @@ class BlockReader(MarkupScanner):
     def unknown_section(self, data):
         """A comment."""
 
+    def handle_unfinished(self, data):
+        """Markup."""
+
     def handle_data(self, data):
         dropped = self._dropped > 0
         block = self._block
@@ -242,9 +254,16 @@ class BlockReader(MarkupScanner):
 
     def _enter(self, tag, attrs):
         dropped = tag in DROPPED or tag == "header" and not self._articles
+        dropped = dropped or any(key == "hidden" for key, _ in attrs)
         named = None
         if tag in _ARTICLE and not self._articles:
-            self.homes.append(self._container)
+            # Its place says nothing, but it may be a reader's comment or an advert.
+            if not dropped and (hits := self._furniture(tag, attrs) - LAYOUT):
+                named = Container(hits, self._container, 0, article=True)
+                self.containers.append(named)
+                self._container = named
+            else:
+                self.homes.append(self._container)
         elif not dropped and (hits := self._furniture(tag, attrs)):
             inside = len(self.homes) - 1 if self._articles else 0
             named = Container(hits, self._container, inside)
@@ -253,7 +272,7 @@ class BlockReader(MarkupScanner):
         self._open.append((tag, dropped, named))
         self._count[tag] = self._count.get(tag, 0) + 1
         self._dropped += dropped
-        self._articles += tag in _ARTICLE
+        self._articles += tag in _ARTICLE and not (named and named.article)
 
     def handle_startendtag(self, tag, attrs):
         if tag in _VOID:
@@ -281,7 +300,7 @@ class BlockReader(MarkupScanner):
             self._dropped -= dropped
             if named is not None:
                 self._container = named.parent
-            self._articles -= closed in _ARTICLE
+            self._articles -= closed in _ARTICLE and not (named and named.article)
 
     def _furniture(self, tag, attrs) -> frozenset[str]:
         """The parts of the element's names that mark furniture."""
@@ -297,6 +316,8 @@ class BlockReader(MarkupScanner):
                     continue
                 if key != "id" or len(parts) <= MOST_ID_PARTS and tag not in _ANCHORS:
                     found.update(parts)
+                    joined = filter(None, map(_JOINED.fullmatch, parts))
+                    found.update(_JOINED_AS.get(match[1], "reply") for match in joined)
         if tag not in BLOCKS and tag != "span":  # words of a sentence: places say nothing of them
             return frozenset(found & FURNITURE - LAYOUT)
         return frozenset(found & FURNITURE if self._articles else found & (FURNITURE | _PAGE_HEADER))
@@ -351,7 +372,8 @@ def lift(reader: BlockReader, blocks: list[Block]) -> None:
         for hits, group in groups.items():
             articles = sum(c.articles for c in group)
             prose = sum(c.prose for c in group)
-            only = bool(articles) and not exposed_articles and not claimed
+            # A name of a text is not overruled by articles: readers' comments may be such.
+            only = bool(articles) and not exposed_articles and not claimed and hits <= LAYOUT
             most = 2 * sum(c.letters for c in group) > total and prose > OUTWEIGHS * exposed
             most = most and (hits <= LAYOUT or not exposed)
             if only or most and (articles or not exposed_articles or all(c.inside for c in group)):
@@ -456,10 +478,16 @@ def label(blocks: list[Block]) -> tuple[list, bool]:
     )
     if outside > OUTWEIGHS_ARTICLES * inside:
         return labels, False
-    return [
+    labels = [
         classify_in_article(block, label) if block.inside else label
         for block, label in zip(blocks, labels, strict=True)
-    ], True
+    ]
+    if GOOD not in labels:  # a page of short blocks: what is not linked is its text
+        labels = [
+            GOOD if label is UNSURE and block.links <= LINK_DENSITY else label
+            for block, label in zip(blocks, labels, strict=True)
+        ]
+    return labels, True
 
 
 def main_text(html: str | None) -> str:

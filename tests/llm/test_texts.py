@@ -1,6 +1,7 @@
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -332,7 +333,10 @@ def test_main_text_of_many_open_elements():
 
 
 def brute_main_text(parts):
-    """Kept texts of (place, [(kind, text)]): every short block looks about on its own."""
+    """Kept texts of (place, [(kind, text)]): every short block looks about on its own.
+
+    Where no block of the page is good by itself, the short ones are its text.
+    """
     labels = [
         [
             {"good": True, "nav": False, "linked": False}.get(kind, True if inside else None)
@@ -340,6 +344,8 @@ def brute_main_text(parts):
         ]
         for inside, blocks in parts
     ]
+    if not any(mark for marks in labels for mark in marks):
+        labels = [[True if mark is None else mark for mark in marks] for marks in labels]
     out = []
     for (_, blocks), marks in zip(parts, labels, strict=True):
         decided = [n for n, mark in enumerate(marks) if mark is not None]
@@ -496,3 +502,40 @@ def test_quality_on_awkward_rows(spark):
     assert quality.classify(frames.empty(spark)).collect() == []
     blank = spark.createDataFrame([(1, " ", None, None)], frames.DOCUMENTS)
     assert [tuple(r) for r in quality.classify(blank).collect()] == [(1, 0, 0.0, 0.0, False)]
+
+
+def test_numbers_without_a_letter_have_no_letters():
+    assert "".join(map(langid.letters_of, "² ½ ① Ⅷ 12 ٣ _".split())) == ""
+    assert langid.letters_of("x²Y½") == "xy"
+
+
+STORY = "The story of the house is that it was on the hill and all of the people in it were well. "
+
+
+def test_comments_and_adverts_in_articles_go():
+    for markup, kept in {
+        f"<article><p>{STORY * 3}</p></article><article class='comment'><p>{STORY}</p></article>": 1,
+        f"<article><p>{STORY * 3}</p></article><article class='promo'><p>{STORY}</p></article>": 1,
+        f"<div class='post'><p>{STORY * 3}</p></div><section id='comments'>"
+        f"<article><p>{STORY}</p></article><article><p>{STORY}</p></article></section>": 1,
+        f"<article><p>{STORY * 3}</p></article><ol class='commentlist'><li>{STORY}</li></ol>": 1,
+        f"<article><p>{STORY * 3}</p></article><div class='user-responses'><p>{STORY}</p></div>": 1,
+        f"<article><p>{STORY * 3}</p><div hidden><p>{STORY}</p></div></article>": 1,
+        f"<article class='post promo'><p>{STORY * 3}</p></article>": 1,
+    }.items():
+        assert main_text.main_text(markup).split("\n\n") == [(STORY * 3).strip()] * kept, markup
+
+
+def test_a_page_of_short_blocks_keeps_its_text():
+    page = (
+        "<nav><a href=x>Home</a></nav><h1>Recipe</h1><p>Mix flour and water.</p><p>Bake it.</p>"
+        "<p><a href=y>More recipes</a></p><footer>Imprint</footer>"
+    )
+    assert main_text.main_text(page) == "Recipe\n\nMix flour and water.\n\nBake it."
+
+
+def test_hostile_pages_take_linear_time():
+    for piece in ("<!--", "<a ", "<![CDATA[", "<a b='", "<a>x", "<div>", "<li>x", "</p"):
+        start = time.process_time()
+        main_text.main_text(piece * ((1 << 19) // len(piece)))
+        assert time.process_time() - start < 12, piece
