@@ -9,7 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from pagerisk.llm.blocks import block_pairs
+from pagerisk.llm.blocks import own_blocks, rest_against_all
 from pagerisk.llm.common import row_key, utf8_rows
 from pagerisk.llm.components import connected_components
 from pagerisk.session import materialise
@@ -20,9 +20,9 @@ REGISTERS = BANDS * ROWS
 #: Bits kept below the leading one of a register's hash.
 MANTISSA = 10
 _EMPTY = 0xFFFF
-#: Shingles of the sets that one task compares, and members of a bucket that meet in one.
+#: Shingles of the sets that one task compares, and sets that meet in one.
 _SHINGLES_AT_ONCE = 1 << 22
-_MEMBERS_AT_ONCE = 4096
+_MEMBERS_AT_ONCE = 2048
 _CACHED_WORDS = 250_000
 
 _U = np.uint64
@@ -199,54 +199,90 @@ def _may_link(
     return pd.Series(near & (found >= bar))
 
 
+class Forest:
+    """Labels of what is joined; the smaller part takes the label of the larger."""
+
+    def __init__(self, labels: np.ndarray):
+        _, self.label = np.unique(labels, return_inverse=True)
+        order = np.argsort(self.label, kind="stable")
+        cuts = np.flatnonzero(np.diff(self.label[order])) + 1
+        self._parts = dict(enumerate(part.tolist() for part in np.split(order, cuts)))
+
+    def whole(self) -> bool:
+        return len(self._parts) < 2
+
+    def join(self, one: int, other: int) -> bool:
+        """Whether the two were apart; now they are together."""
+        a, b = int(self.label[one]), int(self.label[other])
+        if a == b:
+            return False
+        if len(self._parts[a]) < len(self._parts[b]):
+            a, b = b, a
+        part = self._parts.pop(b)
+        self.label[part] = a
+        self._parts[a] += part
+        return True
+
+
+def _promising(table: np.ndarray, size: np.ndarray, one: int, others: np.ndarray) -> np.ndarray:
+    """Those of ``others`` that size and registers let link with ``one``."""
+    mine, theirs = size[one], size[others]
+    others = others[100 * np.minimum(mine, theirs) >= 80 * np.maximum(mine, theirs)]
+    if not len(others):
+        return others
+    found, bar = estimate(table[one], table[others], np.float64(mine), size[others].astype(float))
+    return others[found >= bar]
+
+
 def link_sets(
-    sets: list[np.ndarray], sides: np.ndarray | None = None, percent: int = 80
+    sets: list[np.ndarray], labels: np.ndarray | None = None, asks: np.ndarray | None = None
 ) -> list[tuple[int, int]]:
     """A forest of the sets: pairs that link, enough to join all that are linked.
 
-    With ``sides`` only pairs of different sides are compared. Sets are compared with all
-    others one after another, those with the most promising partners first; a pair that
-    is already joined is passed over, as is one that size or registers rule out.
+    Sets of equal ``labels`` are joined already. With ``asks`` only those that ask are
+    compared, with those that do not. A set's partners share a band with it, are not joined
+    with it yet, and pass by size and registers; the full sets decide. Sets whose bands are
+    the most frequent come first, so that a hub joins its copies in one step.
     """
     count = len(sets)
+    if not count:
+        return []
     table = registers(sets)
+    keys = band_keys(table)
     size = np.array([len(s) for s in sets], np.int64)
     ends = np.cumsum(size)
-    flat = np.concatenate(sets) if count else np.zeros(0, np.uint64)
-    root = np.arange(count)
-    forest = []
-
-    def promising(one: int) -> np.ndarray:
-        found, bar = estimate(table[one], table, np.float64(size[one]), size.astype(float))
-        near = 100 * np.minimum(size, size[one]) >= percent * np.maximum(size, size[one])
-        near &= found >= bar
-        if sides is not None:
-            near &= sides != sides[one]
-        near[one] = False
-        return near
-
-    degree = np.array([promising(n).sum() for n in range(count)]) if count > 2 else np.ones(count)
-    compared = np.zeros(count, bool)
-    for one in np.argsort(-degree, kind="stable"):
-        compared[one] = True
-        if not degree[one]:
+    flat = np.concatenate(sets)
+    _, at, times = np.unique(keys, return_inverse=True, return_counts=True)
+    popular = times[at.reshape(keys.shape)].sum(axis=1)
+    forest = Forest(np.arange(count) if labels is None else labels)
+    partner = np.ones(count, bool) if asks is None else ~asks
+    pairs = []
+    for one in np.argsort(-popular, kind="stable"):
+        if forest.whole():
             break
-        others = np.flatnonzero(promising(one) & ~compared & (root != root[one]))
+        if asks is None:
+            partner[one] = False
+        elif not asks[one]:
+            continue
+        others = np.flatnonzero(partner & (forest.label != forest.label[one]))
+        others = others[(keys[others] == keys[one]).any(axis=1)]
+        others = _promising(table, size, one, others)
         if not len(others):
             continue
         lengths = size[others]
         stops = np.cumsum(lengths)
-        at = np.repeat(ends[others] - stops, lengths) + np.arange(int(stops[-1]))
-        values = flat[at]
+        place = np.repeat(ends[others] - stops, lengths) + np.arange(int(stops[-1]))
+        values = flat[place]
         own = sets[one]
         hit = own[np.minimum(np.searchsorted(own, values), len(own) - 1)] == values
         common = np.add.reduceat(hit.astype(np.int64), stops - lengths)
         union = lengths + size[one] - common
-        for other in others[100 * common >= percent * union]:
-            if root[other] != root[one]:
-                forest.append((int(one), int(other)))
-                root[root == root[other]] = root[one]
-    return forest
+        pairs += [
+            (int(one), int(other))
+            for other in others[100 * common >= 80 * union]
+            if forest.join(one, other)
+        ]
+    return pairs
 
 
 _EDGE = "a struct<d:long,h:long>, b struct<d:long,h:long>"
@@ -266,31 +302,30 @@ def _edges(pairs, d, h) -> pa.Table:
 def _bucket_edges(group: pa.Table) -> pa.Table:
     """Pairs of a bucket that registers allow, enough to join all that such pairs join."""
     table = _matches(group["registers"].to_pylist())
-    size = group["n_shingles"].to_numpy().astype(float)
-    block = group["_block"].to_numpy()
-    apart = group["_left"][0].as_py() != group["_right"][0].as_py()
-    root = np.arange(len(size))
+    size = group["n_shingles"].to_numpy()
+    asks = group["_asks"].to_numpy()
+    forest = Forest(_labels(group))
     pairs = []
-    for one in range(len(size)):
-        rest = np.flatnonzero((root[one + 1 :] != root[one])) + one + 1
-        if apart:
-            rest = rest[block[rest] != block[one]]
-        if not len(rest):
-            continue
-        found, bar = estimate(table[one], table[rest], size[one], size[rest])
-        least, most = np.minimum(size[one], size[rest]), np.maximum(size[one], size[rest])
-        for other in rest[(found >= bar) & (100 * least >= 80 * most)]:
-            if root[other] != root[one]:
-                pairs.append((one, int(other)))
-                root[root == root[other]] = root[one]
+    for one in np.flatnonzero(asks):
+        if forest.whole():
+            break
+        others = np.flatnonzero(~asks & (forest.label != forest.label[one]))
+        others = _promising(table, size, one, others)
+        pairs += [(one, int(other)) for other in others if forest.join(one, other)]
     return _edges(pairs, group["d"].to_numpy(), group["h"].to_numpy())
 
 
+def _labels(group: pa.Table) -> np.ndarray:
+    """One number per root, which is a pair of longs."""
+    roots = np.column_stack([group["root_d"].to_numpy(), group["root_h"].to_numpy()])
+    return np.unique(roots, axis=0, return_inverse=True)[1].reshape(-1)
+
+
 def candidate_edges(sets: DataFrame) -> DataFrame:
     """Pairs of sets that may link, enough to join all that may; columns a and b.
 
     Members of a bucket are compared, by registers, with its smallest. Where all agree that
-    settles the bucket. Buckets in which some do not are compared in full.
+    settles the bucket. Where some do not, those are compared with all of the bucket.
     """
     node = F.struct("d", "h").alias("node")
     members = sets.select(node, F.explode("bands").alias("band"))
@@ -319,20 +354,101 @@ def candidate_edges(sets: DataFrame) -> DataFrame:
         "minhash-pairs",
     )
     good = judged.filter("near").select(F.col("node").alias("a"), F.col("head").alias("b"))
-    mixed = spokes.join(judged.filter("not near"), ["node", "head"]).select("band", "head")
-    mixed = mixed.distinct()
+    mixed = spokes.join(judged, ["node", "head"])
+    odd = mixed.filter("NOT near").select("band").distinct()
+    mixed = mixed.join(odd, "band", "left_semi").select("band", "node", "head", "near")
+    mixed = materialise(mixed, "minhash-mixed")
+    first = mixed.select("band", F.col("head").alias("node"), "head", F.lit(True).alias("near"))
+    root = F.when(F.col("near"), F.col("head")).otherwise(F.col("node"))
     inside = (
-        spokes.join(mixed.select("band"), "band", "left_semi")
-        .select("band", "node")
-        .union(mixed.select("band", F.col("head").alias("node")))
+        mixed.union(first.distinct())
+        .withColumn("root", root)
         .join(held, "node")
-        .select("band", "node.d", "node.h", "n_shingles", "registers", F.lit(1).alias("one"))
+        .select(
+            "band", "node.d", "node.h", "n_shingles", "registers", (~F.col("near")).alias("rest"),
+            F.col("root.d").alias("root_d"), F.col("root.h").alias("root_h"), F.lit(1).alias("one"),
+        )
+    )
+    dealt = rest_against_all(
+        inside, "band", "rest", "h", "one", _MEMBERS_AT_ONCE, _MEMBERS_AT_ONCE
     )
-    dealt = block_pairs(inside, "band", "h", "one", _MEMBERS_AT_ONCE)
-    found = dealt.groupBy("band", "_left", "_right").applyInArrow(_bucket_edges, _EDGE)
+    found = dealt.groupBy("band", "_ask", "_told").applyInArrow(_bucket_edges, _EDGE)
     return good.union(found)
 
 
+def _settled(
+    documents: DataFrame, sets: DataFrame, clusters: DataFrame, id_col: str, text_col: str, width: int
+) -> DataFrame:
+    """Components of the links inside clusters, decided on full sets: node and component.
+
+    A cluster is settled block by block, and its smallest member is in every block: that
+    joins a large group of copies in work linear in its members. What a large cluster has
+    apart from its largest part then is compared with all of the cluster.
+    """
+    limits = (_SHINGLES_AT_ONCE, _MEMBERS_AT_ONCE)
+    members = clusters.join(
+        sets.select(F.struct("d", "h").alias("node"), "n_shingles", "set_key"), "node"
+    )
+    members = materialise(
+        own_blocks(members, "cluster", "node", "n_shingles", *limits), "minhash-clusters"
+    )
+    texts = documents.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("text"))
+
+    def verify(group: pa.Table) -> pa.Table:
+        import xxhash
+
+        asks = group["_asks"].to_numpy() if "_asks" in group.column_names else None
+        keys = group["set_key"].to_pylist()
+        place, kept = {}, []
+        for n, found in enumerate(Shingler(width).sets(utf8_rows(group["text"]))):
+            # Texts of one id may differ; only the one of this set counts, and once.
+            own = (keys[n], asks is not None and bool(asks[n]))
+            if own not in place and xxhash.xxh3_128_digest(found.tobytes()) == keys[n]:
+                place[own] = n
+                kept.append(found)
+        chosen = np.array(list(place.values()), np.int64)
+        if asks is None:
+            pairs = link_sets(kept)
+        else:
+            pairs = link_sets(kept, _labels(group)[chosen], asks[chosen])
+        return _edges(pairs, group["d"].to_numpy()[chosen], group["h"].to_numpy()[chosen])
+
+    everywhere = F.when(
+        F.col("node") == F.col("cluster"), F.sequence(F.lit(0), F.col("_blocks") - 1)
+    ).otherwise(F.array("_block"))
+    placed = members.select(
+        "cluster", "node.d", "node.h", "set_key", F.explode(everywhere).alias("_block")
+    ).join(texts, "d")
+    links = placed.groupBy("cluster", "_block").applyInArrow(verify, _EDGE)
+    links = materialise(links, "minhash-links")
+    heads = connected_components(links)
+    parts = (
+        members.filter("_blocks > 1")
+        .drop("_blocks", "_block")
+        .join(heads, "node", "left")
+        .withColumn("root", F.coalesce("component", "node"))
+    )
+    sizes = parts.groupBy("cluster", "root").agg(F.count("*").alias("size"))
+    largest = (
+        sizes.groupBy("cluster")
+        .agg(F.max_by("root", F.struct("size", "root")).alias("largest"), F.count("*").alias("parts"))
+        .filter("parts > 1")
+    )
+    apart = materialise(
+        parts.join(largest, "cluster").select(
+            "cluster", "node.d", "node.h", "n_shingles", "set_key",
+            (F.col("root") != F.col("largest")).alias("rest"),
+            F.col("root.d").alias("root_d"), F.col("root.h").alias("root_h"),
+        ),
+        "minhash-apart",
+    )
+    if apart.isEmpty():
+        return heads
+    dealt = rest_against_all(apart, "cluster", "rest", "h", "n_shingles", *limits).join(texts, "d")
+    more = dealt.groupBy("cluster", "_ask", "_told").applyInArrow(verify, _EDGE)
+    return connected_components(links.union(more))
+
+
 def duplicate_groups(
     documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5
 ) -> DataFrame:
@@ -342,8 +458,8 @@ def duplicate_groups(
     by 0.8 and more. Equal sets are first folded into one node, named by its smallest id and
     a hash of the set. Buckets of equal bands give pairs of nodes, registers rule most of
     the wrong ones out, and what they join forms clusters. Each cluster is then settled
-    exactly, on full sets taken from the texts, in one task or, if it is large, block by
-    block. ``head`` is the smallest node of those that links join; it is NULL, like
+    on full sets taken from the texts, in one task or, if it is large, block by block: sets
+    that share a band and pass by registers are compared in full. ``head`` is the smallest node of those that links join; it is NULL, like
     ``node``, for rows without words or without an id, which link with nothing.
     Banding misses a pair at similarity 0.8 with a chance of about 1e-7.
     """
@@ -361,33 +477,7 @@ def duplicate_groups(
     clusters = connected_components(candidate_edges(sets)).withColumnRenamed(
         "component", "cluster"
     )
-    wanted = clusters.join(
-        sets.select(F.struct("d", "h").alias("node"), "n_shingles", "set_key"), "node"
-    )
-    texts = documents.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("text"))
-    wanted = wanted.select(
-        "cluster", "node.d", "node.h", "n_shingles", "set_key"
-    ).join(texts, "d")
-    dealt = block_pairs(wanted, "cluster", "h", "n_shingles", _SHINGLES_AT_ONCE)
-
-    def verify(group: pa.Table) -> pa.Table:
-        import xxhash
-
-        sets = Shingler(width).sets(utf8_rows(group["text"]))
-        keys = group["set_key"].to_pylist()
-        place = {}
-        for n, (found, key) in enumerate(zip(sets, keys, strict=True)):
-            if xxhash.xxh3_128_digest(found.tobytes()) == key:
-                place.setdefault(key, n)
-        chosen = np.array(list(place.values()), np.int64)
-        sides = None
-        if group["_left"][0].as_py() != group["_right"][0].as_py():
-            sides = group["_block"].to_numpy()[chosen]
-        pairs = link_sets([sets[n] for n in chosen], sides)
-        return _edges(pairs, group["d"].to_numpy()[chosen], group["h"].to_numpy()[chosen])
-
-    links = dealt.groupBy("cluster", "_left", "_right").applyInArrow(verify, _EDGE)
-    heads = connected_components(links)
+    heads = _settled(documents, sets, clusters, id_col, text_col, width)
     named = sets.select("set_key", F.struct("d", "h").alias("node"))
     named = named.join(heads, "node", "left").select(
         "set_key", "node", F.coalesce("component", "node").alias("head")

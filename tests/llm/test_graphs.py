@@ -193,3 +193,63 @@ def test_near_vectors_without_rows(spark):
     assert vectors.near_vectors(spark.createDataFrame([], schema)).collect() == []
     only = vectors.near_vectors(spark.createDataFrame([(1, 1, None)], schema)).collect()
     assert [tuple(row) for row in only] == [(1, 0, 1, True)]
+
+
+def near_copies(count, seed=5):
+    chance = random.Random(seed)
+    base = [f"b{n}" for n in range(60)]
+    out = []
+    for n in range(count):
+        copy = list(base)
+        copy[chance.randrange(len(base))] = f"own{n}"
+        out.append(" ".join(copy))
+    return out
+
+
+def test_a_hub_settles_its_copies_in_few_comparisons(monkeypatch):
+    compared = []
+    real = minhash._promising
+
+    def counted(table, size, one, others):
+        compared.append(len(others))
+        return real(table, size, one, others)
+
+    monkeypatch.setattr(minhash, "_promising", counted)
+    work = []
+    for count in (400, 1600):
+        compared.clear()
+        sets = minhash.Shingler(2).sets([t.encode() for t in near_copies(count)])
+        assert len(minhash.link_sets(sets)) == count - 1
+        work.append(sum(compared) / count)
+    assert work[1] < 2 * work[0] + 2
+
+
+def test_those_that_ask_meet_those_apart_only():
+    chance = random.Random(9)
+    texts = [t for _, t in corpus(8)]
+    sets = minhash.Shingler(2).sets([t.encode() for t in texts])
+    labels = np.array([chance.randrange(4) for _ in texts])
+    asks = np.array([chance.random() < 0.4 for _ in texts])
+    words = [shingles(t, 2) for t in texts]
+    joined = [(int(labels[n]), n + 10) for n in range(len(texts))]
+    allowed = [
+        (a + 10, b + 10) for a in range(len(texts)) for b in range(len(texts))
+        if asks[a] and not asks[b] and 100 * len(words[a] & words[b]) >= 80 * len(words[a] | words[b])
+    ]
+    found = [(a + 10, b + 10) for a, b in minhash.link_sets(sets, labels, asks)]
+    size = len(texts) + 10
+    assert union(size, joined + found) == union(size, joined + allowed)
+    assert all(asks[a - 10] and not asks[b - 10] for a, b in found)
+
+
+def test_rest_meets_all_of_its_group(spark):
+    from pagerisk.llm.blocks import rest_against_all
+
+    rows = [("a", n, n % 7 == 0) for n in range(40)] + [("b", n, False) for n in range(5)]
+    frame = spark.createDataFrame(rows, "g string, n long, rest boolean").selectExpr("*", "1L AS one")
+    tasks = {}
+    for row in rest_against_all(frame, "g", "rest", "n", "one", 4, 4).collect():
+        tasks.setdefault((row.g, row._ask, row._told), ([], []))[row._asks].append(row.n)
+    met = sorted((a, b) for told, asks in tasks.values() for a in asks for b in told)
+    assert met == sorted((a, b) for a in range(0, 40, 7) for b in range(40))
+    assert {g for g, _, _ in tasks} == {"a"}
