@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from pagerisk.plans.catalog import query, table
 from pagerisk.plans.derive import PAGES_PER_FILE, write_archives
 from pagerisk.session import scratch_path
-from pagerisk.sources import archives as A
+from pagerisk.sources import archive_format, archives as A
 from pagerisk.sources.feeds import read_headlines as read_csv
 
 SAMPLE_PER_FILE = 10
+# Archives written here hold 64 pages, far less than a range in use.
+SPLIT_BYTES = 1 << 14
 
 FILES_SQL = f"""
   SELECT DISTINCT page_id // {PAGES_PER_FILE} AS file_idx FROM pages"""
@@ -30,13 +32,15 @@ def list_crawl_files(spark, sf_dir):
     return listed.select("file_idx", F.substring_index("path", "/", -1).alias("name"), "kind")
 
 
-@query(
-    f"""SELECT file_idx, rec_type, http_content_type, count(*) AS records, count(DISTINCT url) AS uris
+RECORDS_SQL = f"""
+       SELECT file_idx, rec_type, http_content_type, count(*) AS records, count(DISTINCT url) AS uris
        FROM ({PAGES_SQL}), (SELECT unnest(['request', 'response', 'response']) AS rec_type,
          unnest([NULL, 'application/json', 'text/html; charset=utf-8']) AS http_content_type)
        GROUP BY file_idx, rec_type, http_content_type
        UNION ALL SELECT file_idx, 'warcinfo', NULL, 1, 0 FROM ({FILES_SQL})"""
-)
+
+
+@query(RECORDS_SQL)
 def read_archives(spark, sf_dir):
     """Every record of every WARC file, counted by type."""
     root = write_archives(table(spark, sf_dir, "pages"), "warc")
@@ -47,6 +51,37 @@ def read_archives(spark, sf_dir):
     )
 
 
+@query(RECORDS_SQL)
+def archive_splits(spark, sf_dir):
+    """Every record of every WARC file, read in byte ranges and counted by type."""
+    archive_format.register(spark)
+    root = write_archives(table(spark, sf_dir, "pages"), "warc")
+    splits = scratch_path(spark, "splits")
+    files = A.list_crawl_files(spark, root, "warc")
+    archive_format.archive_splits(files, SPLIT_BYTES).write.parquet(splits)
+    source = spark.read.format(archive_format.FORMAT).option("splits", splits)
+    return source.option("rec_types", ",").load(root).groupBy(
+        "file_idx", "rec_type", "http_content_type"
+    ).agg(F.count(F.lit(1)).alias("records"), F.count_distinct("target_uri").alias("uris"))
+
+
+@query("SELECT url, strlen(html) > 0 AS filled FROM pages")
+def archive_stream(spark, sf_dir):
+    """The HTML responses of all WARC files, streamed as the files land, in two runs."""
+    archive_format.register(spark)
+    root = write_archives(table(spark, sf_dir, "pages"), "warc")
+    out, state = scratch_path(spark, "streamed"), scratch_path(spark, "stream-state")
+    for _ in range(2):  # the second run finds nothing new
+        records = spark.readStream.format(archive_format.FORMAT).load(root)
+        pages = records.filter(F.col("http_content_type").contains("text/html"))
+        pages = pages.select(
+            F.col("target_uri").alias("url"), (F.octet_length("payload") > 0).alias("filled")
+        )
+        sink = pages.writeStream.format("parquet").option("checkpointLocation", state)
+        sink.trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.parquet(out)
+
+
 def _warc_sql(where: str) -> str:
     return f"""
       SELECT file_idx, url, script AS embedded, '/static/' || page_id || '.js' AS external

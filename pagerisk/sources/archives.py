@@ -19,6 +19,7 @@ from pagerisk.sources.paths import open_filesystem
 
 KINDS = {"warc": r"\.warc\.gz$", "wat": r"wat/.*\.wat\.gz$"}
 
+_MOST_TASKS = 100_000
 _CHUNK = 1 << 20
 _BATCH_BYTES = 16 << 20
 _ARROW_SCHEMA = pa.schema(
@@ -259,8 +260,8 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _spread(files: DataFrame) -> DataFrame:
-    """Paths dealt to tasks one by one; a file costs far more than its row."""
-    tasks = 4 * files.sparkSession.sparkContext.defaultParallelism
+    """Paths dealt to tasks, about one each: a file costs far more than a task."""
+    tasks = min(max(files.count(), 1), _MOST_TASKS)
     return files.select("path", "file_idx").repartition(tasks)
 
 
