@@ -2,16 +2,17 @@
 
 The lines of all documents form one sequence of line ids. Prefix doubling names the run of
 2^k lines at every position: two positions bear one name where their runs are equal. A
-name is the first position of its group, so it is at once the place of the first copy. The
-positions of one name are the interval of the suffix array whose common prefix has that
-length; their order inside the array has no bearing here and is not computed. Lines that
-occur once end every run, so only the others take part.
+name is the first position of its group, so it is at once the place of the first copy, and
+a group is an interval of the suffix array. Runs that occur once drop out, and doubling goes
+on until nothing is left. Descending again, steps of 2^j lines cut the groups into the
+intervals of longest common prefixes, of any length. Each position then has one interval in
+which it is a later copy of what it shares with anything before it; such runs that no run
+from the line before contains are maximal, and go if they hold enough words. Equal neighbours
+in the array are all that counts, so the order of different runs is not computed.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window, functions as F
 
 from pagerisk.llm.common import WORD, row_key
@@ -58,69 +59,93 @@ def _named(rows: DataFrame, name: list[str]) -> DataFrame:
     return rows.join(first, name).drop(*name)
 
 
-def _levels(repeated: DataFrame, most: int) -> DataFrame:
-    """Names of the runs of 2^k lines, for every power up to ``most``: level, place, name."""
-    level = materialise(repeated.select(*_PLACE, "name"), "line-names")
-    levels = [level]
-    size = 1
-    while 2 * size <= most:
-        follow = level.select(
+def _levels(repeated: DataFrame) -> list[DataFrame]:
+    """Names (place, name) of the runs of 2^k lines that come again, until none does."""
+    levels = [materialise(repeated.select(*_PLACE, "name"), "line-names")]
+    while True:
+        size = 1 << (len(levels) - 1)
+        follow = levels[-1].select(
             "d", "h", (F.col("n") - size).alias("n"), F.col("name").alias("next")
         )
-        pairs = level.withColumnRenamed("name", "own").join(follow, _PLACE)
+        pairs = levels[-1].withColumnRenamed("name", "own").join(follow, _PLACE)
         level = materialise(_named(pairs, ["own", "next"]), "line-names")
+        if level.isEmpty():
+            return levels
         levels.append(level)
-        size *= 2
-    tagged = [rows.withColumn("level", F.lit(k)) for k, rows in enumerate(levels)]
-    return reduce(DataFrame.unionByName, tagged)
 
 
-def _spans(repeated: DataFrame, min_words: int) -> DataFrame:
-    """The shortest spans of ``min_words`` words from each line on, and up to each line.
+def _entering(level: DataFrame, longer: DataFrame | None, size: int) -> DataFrame:
+    """The groups of one level as intervals: (first, length) and a place for each branch.
 
-    Any run of that many words is the union of the spans inside it: a line of the run lies in
-    the span from itself, or in the span up to itself, or in the one from the run's start.
-    Spans hold repeated lines only and, as every line has a word, at most ``min_words``.
+    A branch is what agrees in twice as many lines; its first place stands for it.
     """
-    order = Window.partitionBy("d", "h").orderBy("n")
-    here = F.struct("n", "i", "words")
-    ahead = F.collect_list(here).over(order.rowsBetween(0, min_words - 1))
-    behind = F.reverse(F.collect_list(here).over(order.rowsBetween(1 - min_words, 0)))
-    start = F.struct(
-        F.lit(0).alias("total"), F.lit(True).alias("open"), F.array().cast("array<int>").alias("at")
-    )
+    rows = level.withColumnRenamed("name", "first").withColumn("length", F.lit(size))
+    if longer is None:
+        return rows
+    rows = rows.join(longer, _PLACE, "left")
+    return rows.filter("name IS NULL OR name = struct(d, h, n)").drop("name")
 
-    def grow(step: int):
-        def add(state, line):
-            joined = line["n"] == F.col("n") + step * F.size(state["at"])
-            takes = state["open"] & (state["total"] < min_words) & joined
-            return F.struct(
-                (state["total"] + F.when(takes, line["words"]).otherwise(0)).alias("total"),
-                (state["open"] & joined).alias("open"),
-                F.when(takes, F.concat(state["at"], F.array(line["i"])))
-                .otherwise(state["at"])
-                .alias("at"),
-            )
-
-        return add
-
-    found = repeated.select("d", "h", "n", ahead.alias("ahead"), behind.alias("behind"))
-    found = found.select(
-        "d", "h", "n",
-        F.aggregate("ahead", start, grow(1)).alias("on"),
-        F.aggregate("behind", start, grow(-1)).alias("up"),
-    )
-    both = F.array(
-        F.struct(F.col("n").alias("n"), F.col("on.total"), F.col("on.at")),
-        F.struct(
-            (F.col("n") - F.size("up.at") + 1).alias("n"), F.col("up.total"),
-            F.sort_array("up.at").alias("at"),
-        ),
+
+def _refined(intervals: DataFrame, level: DataFrame, size: int) -> DataFrame:
+    """Make intervals of the branches that agree in ``size`` lines more, and branch from them.
+
+    They leave their first place in the interval that they were found in.
+    """
+    follow = level.select("d", "h", F.col("n").alias("at"), F.col("name").alias("next"))
+    at = F.col("n") + F.col("length")
+    rows = intervals.withColumn("at", at).join(follow, ["d", "h", "at"], "left").drop("at")
+    place = F.struct(*_PLACE)
+    key = ["first", "length", "next"]
+    alike = (
+        rows.filter("next IS NOT NULL")
+        .groupBy(*key)
+        .agg(F.min(place).alias("head"), F.max(place).alias("last"))
+        .filter("head != last")
+        .drop("last")
     )
-    spans = found.select("d", "h", F.explode(both).alias("s")).filter(
-        F.col("s.total") >= min_words
+    rows = rows.join(alike, key, "left")
+    here = F.struct("first", "length")
+    deeper = F.struct(F.col("head").alias("first"), (F.col("length") + size).alias("length"))
+    parts = F.array(
+        F.when(F.col("head").isNull() | (F.col("head") == place), here),
+        F.when(F.col("head").isNotNull(), deeper),
     )
-    return spans.select("d", "h", "s.n", "s.at", F.size("s.at").alias("size")).distinct()
+    return rows.select(*_PLACE, F.inline(F.array_compact(parts)))
+
+
+def _branching(intervals: DataFrame) -> DataFrame:
+    """Without the intervals that have one branch left: all of it goes on alike."""
+    key = ["first", "length"]
+    split = intervals.groupBy(*key).agg(F.max(F.struct(*_PLACE)).alias("last"))
+    return intervals.join(split.filter("last != first").drop("last"), key, "left_semi")
+
+
+def _intervals(levels: list[DataFrame]) -> DataFrame:
+    """The intervals of longest common prefixes: first, length, and a place for each branch.
+
+    Every group of 2^k lines that branches before 2^(k+1) is an interval of at least that
+    length. Steps of 2^j lines, from the longest to one line, find where it branches.
+    """
+    found = None
+    for k in reversed(range(len(levels))):
+        longer = levels[k + 1] if k + 1 < len(levels) else None
+        rows = _entering(levels[k], longer, 1 << k)
+        if found is not None:
+            rows = rows.unionByName(_refined(found, levels[k], 1 << k))
+        found = materialise(_branching(rows), "line-intervals") if k else rows
+    return found
+
+
+def repeated_runs(repeated: DataFrame) -> DataFrame:
+    """The longest run from each place that an earlier one begins too: place, length, first.
+
+    ``repeated`` holds the lines that come again with the first place of each (``name``).
+    A branch of an interval that is not the interval's first place starts a later copy of
+    its common prefix, and agrees with nothing earlier for longer. So every place comes
+    once at most.
+    """
+    found = _intervals(_levels(repeated))
+    return found.filter("first != struct(d, h, n)").select(*_PLACE, "length", "first")
 
 
 def later_copies(
@@ -129,28 +154,22 @@ def later_copies(
     """Per document key (d, h): the number of lines with a word, and the indexes to delete."""
     lines = materialise(line_table(documents, id_col, text_col).distinct(), "lines")
     repeated = materialise(_named(lines, ["x", "y"]), "lines-repeated")
-    spans = _spans(repeated, min_words)
-    level = F.floor(F.log2("size")).cast("int")
-    spans = materialise(spans.withColumn("level", level), "line-spans")
-    levels = _levels(repeated, min_words)
-    wide = F.expr("shiftleft(1, level)")
-    ahead = levels.withColumnRenamed("name", "own")
-    tail = levels.select(
-        "level", "d", "h", F.col("n").alias("end"), F.col("name").alias("next")
-    )
-    named = spans.join(ahead, ["level", *_PLACE])
-    exact = named.filter(F.col("size") == wide)
-    others = (
-        named.filter(F.col("size") != wide)
-        .withColumn("end", F.col("n") + F.col("size") - wide)
-        .join(tail, ["level", "d", "h", "end"])
+    runs = materialise(repeated_runs(repeated).drop("first"), "line-runs")
+    order = Window.partitionBy("d", "h").orderBy("n")
+    rows = repeated.drop("name").join(runs, _PLACE, "left").select(
+        "d", "h", "n", "i", "length",
+        F.lag(F.struct("n", "length")).over(order).alias("before"),
+        # A line has a word at least, so these lines hold enough if the run has them all.
+        F.collect_list("words").over(order.rowsBetween(0, max(min_words, 1) - 1)).alias("words"),
     )
-    others = _named(others.drop("level", "end"), ["size", "own", "next"])
-    place = F.struct(*_PLACE)
-    copies = exact.filter(F.col("own") != place).select("d", "h", "at")
-    copies = copies.unionByName(others.filter(F.col("name") != place).select("d", "h", "at"))
-    deleted = copies.groupBy("d", "h").agg(
-        F.array_distinct(F.flatten(F.collect_list("at"))).alias("deleted")
+    inside = (F.col("before.n") == F.col("n") - 1) & (F.col("before.length") > F.col("length"))
+    maximal = F.col("length").isNotNull() & ~F.coalesce(inside, F.lit(False))
+    words = F.aggregate(F.slice("words", 1, F.col("length")), F.lit(0), lambda a, b: a + b)
+    ends = F.when(maximal & (words >= min_words), F.col("n") + F.col("length"))
+    rows = rows.select("d", "h", "n", "i", ends.alias("ends"))
+    rows = rows.withColumn("ends", F.max("ends").over(order))
+    deleted = (
+        rows.filter("n < ends").groupBy("d", "h").agg(F.collect_list("i").alias("deleted"))
     )
     return lines.groupBy("d", "h").agg(F.count("*").alias("n_lines")), deleted
 

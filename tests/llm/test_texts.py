@@ -150,6 +150,26 @@ def test_line_runs_equal_brute_force(spark, min_words):
     assert sorted(map(tuple, found), key=order) == sorted(brute_lines(rows, min_words), key=order)
 
 
+def test_repeated_runs_are_the_longest_that_begin_earlier(spark):
+    chance = random.Random(5)
+    texts = [[chance.choice("ab") for _ in range(chance.randrange(1, 25))] for _ in range(12)]
+    texts += [["a"] * 70, texts[3] * 3, ["c"] + texts[4] + texts[5]]
+    rows = [(ident, "\n".join(text)) for ident, text in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    repeated = lines._named(lines.line_table(frame, "doc_id", "text"), ["x", "y"])
+    found = {(r.d, r.n): (r.length, r.first.d, r.first.n) for r in lines.repeated_runs(repeated).collect()}
+    places = [(d, n) for d, text in enumerate(texts) for n in range(len(text))]
+    want = {}
+    for at, (d, n) in enumerate(places):
+        for e, m in places[:at]:
+            size = 0
+            while texts[d][n + size : n + size + 1] == texts[e][m + size : m + size + 1] != []:
+                size += 1
+            if size > want.get((d, n), (0,))[0]:
+                want[d, n] = (size, e, m)
+    assert found == want
+
+
 def test_line_runs_on_awkward_rows(spark):
     frame = frames.awkward(spark)
     out = lines.dedup_lines(frame)
