@@ -46,28 +46,28 @@ def line_table(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _named(rows: DataFrame, name: list[str]) -> DataFrame:
     """Replace the columns ``name`` by ``name``: the first place of the rows equal in them.
 
-    Rows that are alone are left out. Keys may be very frequent: the least place is combined
+    ``members`` tells how many they are. Rows that are alone are left out. Keys may be very frequent: the least place is combined
     before the shuffle, and the join that hands it back may split a key.
     """
     place = F.struct(*_PLACE)
     first = (
         rows.groupBy(*name)
-        .agg(F.min(place).alias("name"), F.max(place).alias("last"))
-        .filter("name != last")
-        .drop("last")
+        .agg(F.min(place).alias("name"), F.count("*").alias("members"))
+        .filter("members > 1")
     )
     return rows.join(first, name).drop(*name)
 
 
 def _levels(repeated: DataFrame) -> list[DataFrame]:
-    """Names (place, name) of the runs of 2^k lines that come again, until none does."""
-    levels = [materialise(repeated.select(*_PLACE, "name"), "line-names")]
+    """Names (place, name, members) of the runs of 2^k lines that come again, until none does."""
+    levels = [materialise(repeated.select(*_PLACE, "name", "members"), "line-names")]
     while True:
         size = 1 << (len(levels) - 1)
         follow = levels[-1].select(
             "d", "h", (F.col("n") - size).alias("n"), F.col("name").alias("next")
         )
-        pairs = levels[-1].withColumnRenamed("name", "own").join(follow, _PLACE)
+        own = levels[-1].select(*_PLACE, F.col("name").alias("own"))
+        pairs = own.join(follow, _PLACE)
         level = materialise(_named(pairs, ["own", "next"]), "line-names")
         if level.isEmpty():
             return levels
@@ -75,21 +75,26 @@ def _levels(repeated: DataFrame) -> list[DataFrame]:
 
 
 def _entering(level: DataFrame, longer: DataFrame | None, size: int) -> DataFrame:
-    """The groups of one level as intervals: (first, length) and a place for each branch.
+    """The groups of one level that branch, as intervals: first, length, members, branches.
 
-    A branch is what agrees in twice as many lines; its first place stands for it.
+    A branch is what agrees in twice as many lines. Its first place stands for it, with its
+    number of members as ``weight``; a branch of all members is none.
     """
     rows = level.withColumnRenamed("name", "first").withColumn("length", F.lit(size))
     if longer is None:
-        return rows
-    rows = rows.join(longer, _PLACE, "left")
-    return rows.filter("name IS NULL OR name = struct(d, h, n)").drop("name")
+        return rows.withColumn("weight", F.lit(1).cast("long"))
+    longer = longer.withColumnRenamed("members", "more")
+    rows = rows.join(longer, _PLACE, "left").filter(
+        "name IS NULL OR (name = struct(d, h, n) AND more < members)"
+    )
+    return rows.withColumn("weight", F.coalesce("more", F.lit(1))).drop("name", "more")
 
 
 def _refined(intervals: DataFrame, level: DataFrame, size: int) -> DataFrame:
     """Make intervals of the branches that agree in ``size`` lines more, and branch from them.
 
-    They leave their first place in the interval that they were found in.
+    They become one branch, under their first place, of the interval that they were found
+    in; if they are all of it, it does not branch and goes.
     """
     follow = level.select("d", "h", F.col("n").alias("at"), F.col("name").alias("next"))
     at = F.col("n") + F.col("length")
@@ -99,27 +104,27 @@ def _refined(intervals: DataFrame, level: DataFrame, size: int) -> DataFrame:
     alike = (
         rows.filter("next IS NOT NULL")
         .groupBy(*key)
-        .agg(F.min(place).alias("head"), F.max(place).alias("last"))
-        .filter("head != last")
-        .drop("last")
+        .agg(
+            F.min(place).alias("head"), F.count("*").alias("branches"),
+            F.sum("weight").alias("all"),
+        )
+        .filter("branches > 1")
+        .drop("branches")
     )
     rows = rows.join(alike, key, "left")
-    here = F.struct("first", "length")
-    deeper = F.struct(F.col("head").alias("first"), (F.col("length") + size).alias("length"))
+    head, both = F.col("head"), F.col("all")
+    stays = F.struct("first", "length", "members", F.coalesce(both, "weight").alias("weight"))
+    deeper = F.struct(
+        head.alias("first"), (F.col("length") + size).alias("length"),
+        both.alias("members"), F.col("weight"),
+    )
     parts = F.array(
-        F.when(F.col("head").isNull() | (F.col("head") == place), here),
-        F.when(F.col("head").isNotNull(), deeper),
+        F.when(head.isNull() | ((head == place) & (both < F.col("members"))), stays),
+        F.when(head.isNotNull(), deeper),
     )
     return rows.select(*_PLACE, F.inline(F.array_compact(parts)))
 
 
-def _branching(intervals: DataFrame) -> DataFrame:
-    """Without the intervals that have one branch left: all of it goes on alike."""
-    key = ["first", "length"]
-    split = intervals.groupBy(*key).agg(F.max(F.struct(*_PLACE)).alias("last"))
-    return intervals.join(split.filter("last != first").drop("last"), key, "left_semi")
-
-
 def _intervals(levels: list[DataFrame]) -> DataFrame:
     """The intervals of longest common prefixes: first, length, and a place for each branch.
 
@@ -132,7 +137,7 @@ def _intervals(levels: list[DataFrame]) -> DataFrame:
         rows = _entering(levels[k], longer, 1 << k)
         if found is not None:
             rows = rows.unionByName(_refined(found, levels[k], 1 << k))
-        found = materialise(_branching(rows), "line-intervals") if k else rows
+        found = materialise(rows, "line-intervals") if k else rows
     return found
 
 
