@@ -42,6 +42,7 @@ def load() -> None:
     """Import all query modules."""
     from pagerisk.plans import (  # noqa: F401
         crawl_queries,
+        fear_queries,
         html_queries,
         label_queries,
         store_queries,
