@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pagerisk.functions.encoders import Encoder, encode_distinct, mean_text_vector, text_vector
+from pagerisk.functions.encoders import Encoder, encode_distinct, text_vector, total_text_vector
 from pagerisk.functions.text import cosine01
 from pagerisk.operators.blocks import BROADCAST_BYTES, CELL_ROWS, compare_in_cells
 from pagerisk.operators.pages import extract, flat_headings
@@ -69,8 +69,8 @@ def url_content_similarity(
     """Add (similarity, match) of a URL and its content list; empty content gives (0.0, false)."""
     vectors = with_url_texts(df, url, "__texts").withColumns(
         {
-            "__content": mean_text_vector(F.col(content), encoder),
-            "__url": mean_text_vector(F.col("__texts"), encoder),
+            "__content": total_text_vector(F.col(content), encoder),
+            "__url": total_text_vector(F.col("__texts"), encoder),
         }
     )
     similarity = F.coalesce(cosine01("__content", "__url"), F.lit(0.0))
@@ -470,8 +470,8 @@ def page_vectors(
     encoder: Encoder,
     corpus: HeadlineCorpus,
 ) -> Column:
-    """Struct of the mean content vector, the mean URL vector and, for a broadcastable corpus,
-    the nearest headline per property text.
+    """Struct of the summed content vectors, the summed URL vectors and, for a broadcastable
+    corpus, the nearest headline per property text.
 
     The three arrays mostly share their texts; every distinct text of an Arrow batch is
     encoded once for all of them.
@@ -490,8 +490,8 @@ def page_vectors(
         ends = np.cumsum([0, *(len(texts) for column in lists for texts in column)])
         spans = [positions[a:b] for a, b in zip(ends, ends[1:])]
         n = len(lists[0])
-        means = [vectors[span].mean(axis=0) if len(span) else None for span in spans[: 2 * n]]
-        parts = [pa.array(means[:n], type=vector), pa.array(means[n:], type=vector)]
+        totals = [vectors[span].sum(axis=0) if len(span) else None for span in spans[: 2 * n]]
+        parts = [pa.array(totals[:n], type=vector), pa.array(totals[n:], type=vector)]
         names = ["content", "url"]
         if shared:
             block, wanted = shared.value, positions[ends[2 * n] :]

@@ -119,6 +119,14 @@ def test_url_content_similarity(spark):
     assert 0.5 < same.similarity <= 1 and (empty.similarity, empty.match) == (0.0, False)
 
 
+def test_texts_at_right_angles_are_exactly_half_similar(spark):
+    title = "Lere\u00e8 et est\u00e9eaureque de leaiaux\u00e9re oueuxtre."
+    rows = [("https://m.ththed.example.net/fr/174625?utm_source=feed", [title, title])]
+    pages = spark.createDataFrame(rows, "url string, content array<string>")
+    found = S.url_content_similarity(pages, TrigramEncoder(), threshold=0.5).first()
+    assert (found.similarity, found.match) == (0.5, True)
+
+
 def test_compare_encoders(spark):
     pages = spark.createDataFrame([("http://a/", "<title>a</title>"), ("http://b/", "<h1>b</h1>")], "url string, html string")
     rows = S.compare_encoders(pages, [ENCODER, TrigramEncoder("other", 16)]).collect()
