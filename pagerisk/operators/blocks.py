@@ -72,6 +72,7 @@ def compare_in_bands(
 
 
 CELL_ROWS = 65536
+_MOST_TASKS = 8192
 
 
 def compare_in_cells(
@@ -109,6 +110,8 @@ def compare_in_cells(
         return there.withColumn(own, spread).withColumn(other, every).drop("__ls", "__rs")
 
     keys = ["__cell", "__l", "__r"]
-    lefts = dealt(left, "__l", "__ls", "__r", "__rs")
-    rights = dealt(right, "__r", "__rs", "__l", "__ls")
+    # A cell is little to shuffle and much to compare, so cells are not put together by bytes.
+    tasks = min(2 * int((across[0] * across[1])[~light].sum() + len(np.unique(cell[light]))), _MOST_TASKS)
+    lefts = dealt(left, "__l", "__ls", "__r", "__rs").repartition(tasks, *keys)
+    rights = dealt(right, "__r", "__rs", "__l", "__ls").repartition(tasks, *keys)
     return lefts.groupBy(*keys).cogroup(rights.groupBy(*keys)).applyInArrow(compare, schema)

@@ -18,7 +18,7 @@ URL_MATCH_THRESHOLD = 0.80
 PROPERTY_THRESHOLD = 0.75
 _NEAREST = "struct<sim:double,label:int,idx:bigint>"
 _NEAREST_ARROW = pa.struct([("sim", pa.float64()), ("label", pa.int32()), ("idx", pa.int64())])
-_SIM_CELLS = 1 << 22
+_QUERIES_AT_ONCE, _ROWS_AT_ONCE = 1024, 512
 
 
 def embed_texts(
@@ -121,6 +121,60 @@ def _combined(column: pa.ChunkedArray) -> pa.Array:
     return pa.concat_arrays(combined.chunks) if isinstance(combined, pa.ChunkedArray) else combined
 
 
+class _Nearest:
+    """Vectors in the order of their numbers, searched for the best of each query; exact.
+
+    Products of unit vectors in single precision tell which rows come close to the best; those
+    are computed again in double precision, row by row, which gives equal vectors equal
+    similarities wherever they lie. Of equal vectors the first is kept.
+    """
+
+    def __init__(self, vectors: np.ndarray, numbers: np.ndarray):
+        norms = np.sqrt((vectors**2).sum(axis=1))
+        usable = np.flatnonzero(norms > 0)
+        usable = usable[np.argsort(numbers[usable], kind="stable")]
+        if len(usable):
+            keys = np.ascontiguousarray(vectors[usable]).view(np.dtype((np.void, 8 * vectors.shape[1])))
+            usable = usable[np.sort(np.unique(keys.ravel(), return_index=True)[1])]
+        self.rows = usable
+        self.vectors, self.norms = vectors[usable], norms[usable]
+        self.units = (self.vectors / self.norms[:, None]).astype(np.float32)
+
+    def search(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Best similarity and the row it is found in, the first on ties; NaN without one."""
+        sims, rows = np.full(len(queries), np.nan), np.zeros(len(queries), dtype=np.int64)
+        norms = np.sqrt((queries**2).sum(axis=1))
+        wanted = np.flatnonzero(norms > 0)
+        if not len(self.rows):
+            return sims, rows
+        for start in range(0, len(wanted), _QUERIES_AT_ONCE):
+            part = wanted[start : start + _QUERIES_AT_ONCE]
+            sims[part], rows[part] = self._search(queries[part], norms[part])
+        return sims, rows
+
+    def _search(self, queries: np.ndarray, norms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        units = (queries / norms[:, None]).astype(np.float32)
+        # Twice what a product of this many terms may be off by.
+        spare = np.float32((queries.shape[1] + 8) * 2.0**-22)
+        floor = np.full(len(queries), -2, np.float32)
+        sims, best = np.full(len(queries), -1.0), np.full(len(queries), len(self.rows))
+        for low in range(0, len(self.rows), _ROWS_AT_ONCE):
+            cosines = units @ self.units[low : low + _ROWS_AT_ONCE].T
+            top = cosines.max(axis=1)
+            np.maximum(floor, top - spare, out=floor)
+            hit = np.flatnonzero(top >= floor)
+            which, columns = np.nonzero(cosines[hit] >= floor[hit, None])
+            which, columns = hit[which], low + columns
+            dots = (queries[which] * self.vectors[columns]).sum(axis=1)
+            exact = (dots / (norms[which] * self.norms[columns]) + 1) / 2
+            order = np.lexsort((columns, -exact, which))
+            first = order[np.flatnonzero(np.diff(which[order], prepend=-1))]
+            which, columns, exact = which[first], columns[first], exact[first]
+            better = (exact > sims[which]) | (best[which] == len(self.rows))
+            sims[which[better]], best[which[better]] = exact[better], columns[better]
+        return sims, self.rows[best]
+
+
 class _Headlines:
     """A block of corpus vectors in ``idx`` order, searched by matrix product."""
 
@@ -128,26 +182,11 @@ class _Headlines:
         ordered = table.filter(pc.is_valid(table.column("embedding"))).sort_by("idx")
         self.idx = ordered.column("idx").to_numpy()
         self.labels = ordered.column("label").to_numpy()
-        self.vectors = _matrix(_combined(ordered.column("embedding")))
-        self.norms = np.sqrt((self.vectors**2).sum(axis=1))
+        self.vectors = _Nearest(_matrix(_combined(ordered.column("embedding"))), self.idx)
 
     def nearest(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Best similarity and the row it is found in, the first on ties; NaN without one."""
-        sims, rows = np.full(len(queries), np.nan), np.zeros(len(queries), dtype=np.int64)
-        if not len(self.idx):
-            return sims, rows
-        norms = np.sqrt((queries**2).sum(axis=1))
-        step = max(1, _SIM_CELLS // len(self.idx))
-        for start in range(0, len(queries), step):
-            part = slice(start, start + step)
-            scale = norms[part, None] * self.norms[None, :]
-            dots = queries[part] @ self.vectors.T
-            cosines = np.divide(dots, scale, out=np.full_like(dots, -np.inf), where=scale > 0)
-            best = cosines.argmax(axis=1)
-            top = cosines[np.arange(len(best)), best]
-            rows[part] = best
-            sims[part] = np.where(np.isneginf(top), np.nan, (top + 1) / 2)
-        return sims, rows
+        return self.vectors.search(queries)
 
     def as_structs(self, sims: np.ndarray, rows: np.ndarray) -> pa.StructArray:
         """(sim, label, idx) per query, NULL where nothing was found."""
@@ -377,35 +416,15 @@ def _cell_of(vector: Column, centres, allowed: np.ndarray) -> Column:
     return place(vector)
 
 
-def _parts(rows: np.ndarray, cells: np.ndarray, size: int = 128) -> list[np.ndarray]:
-    """Rows, sorted by cell, in parts of one cell each and of bounded number."""
-    edges = np.flatnonzero(np.diff(cells[rows])) + 1
-    parts = np.split(rows, edges)
-    return [p[i : i + size] for p in parts for i in range(0, len(p), size)]
-
-
-def _best_in(
-    wanted: np.ndarray,
-    visitor: np.ndarray,
-    vectors: np.ndarray,
-    numbers: np.ndarray,
-    spans: np.ndarray,
-    part: np.ndarray,
-) -> tuple[np.ndarray, ...]:
-    """For the visits ``part`` of one cell: who visits, row and similarity of the best vector
-    in their spans, and the vectors compared."""
-    low, high = spans[0, part].min(), spans[1, part].max()
-    block, queries = vectors[low:high], wanted[visitor[part]]
-    norms = [np.sqrt((side**2).sum(axis=1)) for side in (queries, block)]
-    cosines = queries @ block.T / (norms[0][:, None] * norms[1][None, :])
-    # A product rounds by place, so all that come close are computed once more, row by row,
-    # which gives equal vectors equal similarities wherever they lie.
-    rows, columns = np.nonzero(cosines >= cosines.max(axis=1, keepdims=True) - 1e-9)
-    exact = (queries[rows] * block[columns]).sum(axis=1) / (norms[0][rows] * norms[1][columns])
-    order = np.lexsort((numbers[low:high][columns], -exact, rows))
-    first = order[np.searchsorted(rows[order], np.arange(len(part)))]
-    sims = (exact[first] + 1) / 2
-    return visitor[part], low + columns[first], sims, np.full(len(part), high - low)
+#: Visits that a task looks at together.
+_VISITS_AT_ONCE = 1 << 19
+
+
+def _slices(sizes: np.ndarray, most: int) -> list[slice]:
+    """Neighbouring rows whose sizes add up to about ``most``."""
+    edges = np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1
+    ends = [0, *edges.tolist(), len(sizes)]
+    return [slice(a, b) for a, b in zip(ends, ends[1:]) if b > a]
 
 
 def _search(
@@ -423,36 +442,49 @@ def _search(
         cells, angles = (right.column(n).to_numpy() for n in ("cell", "angle"))
         numbers = right.column("idx").to_numpy()
         vectors = _matrix(_combined(right.column("vector")))
-        wanted = _matrix(_combined(left.column("vector")))
-        own, angle = (_combined(left.column(n)).flatten().to_numpy() for n in ("cells", "angles"))
-        visitor = np.repeat(
-            np.arange(len(left)), pc.list_value_length(left.column("cells")).to_numpy()
-        )
-        reach = left.column("reach").to_numpy()[visitor]
-        # The rows of its cell that a content cannot rule out are neighbours.
-        spans = np.zeros((2, len(own)), np.int64)
-        for cell in np.unique(own):
-            low, high = np.searchsorted(cells, [cell, cell + 1])
-            some = own == cell
-            inside = angles[low:high]
-            spans[0, some] = low + np.searchsorted(inside, (angle - reach)[some], "left")
-            spans[1, some] = low + np.searchsorted(inside, (angle + reach)[some], "right")
-        todo = np.flatnonzero(spans[1] > spans[0])
-        todo = todo[np.lexsort((spans[1, todo], spans[0, todo], own[todo]))]
-        found = [_best_in(wanted, visitor, vectors, numbers, spans, part) for part in _parts(todo, own)]
-        empty = [(np.zeros(0),) * 4]
-        rows, best, sims, compared = map(np.concatenate, zip(*(found or empty)))
-        rows, best = rows.astype(np.int64), best.astype(np.int64)
-        compared = np.bincount(rows, compared, len(left))
-        order = np.lexsort((numbers[best], -sims, rows))
-        first = order[np.flatnonzero(np.diff(rows[order], prepend=-1))]
-        rows, best, sims = rows[first], best[first], sims[first]
-        compared, taken = compared[rows], pa.array(best)
+        known = np.unique(cells)
+        edges = np.append(np.searchsorted(cells, known), len(cells))
+        blocks = {}
+        sizes = pc.list_value_length(left.column("cells")).to_numpy()
+        sims, best = np.full(len(left), np.nan), np.zeros(len(left), np.int64)
+        compared = np.zeros(len(left), np.int64)
+        for part in _slices(sizes, _VISITS_AT_ONCE):
+            rows = left.slice(part.start, part.stop - part.start)
+            wanted, reach = _matrix(_combined(rows.column("vector"))), rows.column("reach").to_numpy()
+            own, angle = (_combined(rows.column(n)).flatten().to_numpy() for n in ("cells", "angles"))
+            visitors = np.repeat(np.arange(len(rows)), sizes[part])
+            # Visits of one cell together.
+            order = np.argsort(own, kind="stable")
+            found, starts = np.unique(own[order], return_index=True)
+            for cell, some in zip(found.tolist(), np.split(order, starts[1:])):
+                place = np.searchsorted(known, cell)
+                if place == len(known) or known[place] != cell:
+                    continue
+                low, high = edges[place], edges[place + 1]
+                # The rows of its cell that a content cannot rule out are neighbours.
+                who = visitors[some]
+                near = np.searchsorted(angles[low:high], angle[some] - reach[who], "left")
+                far = np.searchsorted(angles[low:high], angle[some] + reach[who], "right")
+                who = who[far > near]
+                if not len(who):
+                    continue
+                if cell not in blocks:
+                    blocks[cell] = _Nearest(vectors[low:high], numbers[low:high])
+                block = blocks[cell]
+                new, at = block.search(wanted[who])
+                who, at = who + part.start, at + low
+                compared[who] += high - low
+                better = np.isnan(sims[who]) | (new > sims[who])
+                better |= (new == sims[who]) & (numbers[at] < numbers[best[who]])
+                better &= ~np.isnan(new)
+                sims[who[better]], best[who[better]] = new[better], at[better]
+        rows = np.flatnonzero(~np.isnan(sims))
+        taken = pa.array(best[rows])
         return pa.table(
             [
-                left.column(key).take(pa.array(rows)), pa.array(sims),
+                left.column(key).take(pa.array(rows)), pa.array(sims[rows]),
                 right.column("label").take(taken), right.column("idx").take(taken),
-                pa.array(compared.astype(np.int64)),
+                pa.array(compared[rows]),
             ],
             names=[key, "sim", "label", "idx", "compared"],
         )

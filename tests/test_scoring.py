@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pagerisk.functions import text as X
 from pagerisk.functions.encoders import TrigramEncoder, encode_distinct
 from pagerisk.operators import evaluation as E, labeling as L, scoring, similarity as S
+from pagerisk.operators.blocks import compare_in_cells
 from pagerisk.operators.scoring import FEATURES
 
 ENCODER = TrigramEncoder()
@@ -104,6 +105,41 @@ def test_cells_leave_most_of_the_corpus_out(spark):
     assert sum(r.compared for r in got.values()) < len(got) * len(vectors) / 10
 
 
+def test_nearest_is_exact_in_blocks(monkeypatch):
+    monkeypatch.setattr(S, "_QUERIES_AT_ONCE", 7)
+    monkeypatch.setattr(S, "_ROWS_AT_ONCE", 5)
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(40, 8))
+    vectors[20] = vectors[4] * (1 + 1e-12)
+    vectors[30:33], vectors[9] = vectors[2], 0
+    vectors[21] = vectors[7] + rng.normal(scale=1e-6, size=8)  # told apart in double precision only
+    queries = np.vstack([rng.normal(size=(20, 8)), vectors[[2, 7, 21, 31]], np.zeros((1, 8))])
+    sims, rows = S._Nearest(vectors, np.arange(40)).search(queries)
+    for i, expected in enumerate(brute_nearest(queries[:20], vectors, [0] * 40)):
+        assert rows[i] == expected[2] and math.isclose(sims[i], expected[0])
+    assert rows[20:24].tolist() == [2, 7, 21, 2] and np.isnan(sims[24])
+
+
+def test_visits_are_taken_in_bounded_slices():
+    sizes = np.array([3, 3, 3, 50, 1, 1])
+    slices = S._slices(sizes, 10)
+    assert [i for part in slices for i in range(len(sizes))[part]] == list(range(len(sizes)))
+    assert max(sizes[part].sum() for part in slices) <= 10 + sizes.max()
+    assert S._slices(sizes[:0], 10) == []
+
+
+def test_cells_keep_tasks_of_their_own(spark):
+    rows = [(i, i % 8) for i in range(400)]
+    left, right = (spark.createDataFrame(rows, "idx long, group int") for _ in range(2))
+    counts = np.full(8, 50)
+
+    def compare(a, b):
+        return a.select(["idx"])
+
+    out = compare_in_cells(left, counts, right, counts, "group", compare, "idx long", cell_rows=50)
+    assert out.rdd.getNumPartitions() >= 8 and out.count() == 400
+
+
 def test_large_corpus_is_not_broadcast(spark):
     corpus = spark.createDataFrame([(1, [1.0], 1)], "idx long, embedding array<double>, label int")
     with pytest.raises(ValueError):
