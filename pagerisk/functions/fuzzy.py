@@ -105,6 +105,9 @@ PIECE = 3
 PIECE_BUCKETS = 1 << 18
 #: Longer strings have too many pieces to send each of them out.
 MOST_INDEXED = 256
+#: Of more strings with a piece than this, so many are looked at first, and the likeliest tried.
+_CROWD = 256
+_LIKELIEST = 4
 
 
 def most_partner_indels(length, min_ratio: int):
@@ -186,11 +189,34 @@ class PieceMatcher:
         ``before`` has the places of the pieces that each right string gave before this one; a
         pair that shares one of those meets there.
         """
-        open_ = ~self.hit[left]
-        left, left_at = left[open_], left_at[open_]
+        if len(right) > _CROWD:
+            some = np.linspace(0, len(right) - 1, _CROWD).astype(int)
+            self._look(left, left_at, right[some], right_at[some])
+        for own, rows, columns, allowed, _ in self._near(left, left_at, right, right_at):
+            pairs = zip(rows.tolist(), columns.tolist(), own.tolist(), allowed.tolist())
+            for row, column, place, most in pairs:
+                self._compare(row, column, before[place], most)
+
+    def _look(self, left, left_at, right, right_at):
+        """Compare each string with the few likeliest of some, wherever those pairs would meet.
+
+        Where many share a piece, most that have a partner are done after that.
+        """
+        for _, rows, columns, allowed, apart in self._near(left, left_at, right, right_at):
+            order = np.lexsort((apart, rows))
+            rows, columns = rows[order], columns[order]
+            first = np.flatnonzero(np.diff(rows, prepend=-1))
+            rank = np.arange(len(rows)) - np.repeat(first, np.diff(np.append(first, len(rows))))
+            few = rank < _LIKELIEST
+            for row, column in zip(rows[few].tolist(), columns[few].tolist()):
+                self._compare(row, column, [], 0)
+
+    def _near(self, left, left_at, right, right_at):
+        """Pairs that lengths, places and counts do not rule out, for strings without a match."""
         step = max(1, (1 << 18) // max(1, len(right)))
         for low in range(0, len(left), step):
-            some, at = left[low : low + step], left_at[low : low + step]
+            open_ = low + np.flatnonzero(~self.hit[left[low : low + step]])
+            some, at = left[open_], left_at[open_]
             a, b = self.lengths[0][some][:, None], self.lengths[1][right][None, :]
             allowed = max_indels(a + b, self.min_ratio)
             near = (np.abs(a - b) <= allowed) & (
@@ -205,9 +231,7 @@ class PieceMatcher:
                 apart = np.abs(counts[0][rows] - counts[1][columns]).sum(1, dtype=np.int64)
                 keep = apart <= change * allowed
                 own, rows, columns, allowed = own[keep], rows[keep], columns[keep], allowed[keep]
-            pairs = zip(rows.tolist(), columns.tolist(), own.tolist(), allowed.tolist())
-            for row, column, place, most in pairs:
-                self._compare(row, column, before[place], most)
+            yield own, rows, columns, allowed, apart[keep]
 
     def _compare(self, row: int, column: int, before: list[int], most: int) -> None:
         pair = row * len(self.sides[1]) + column

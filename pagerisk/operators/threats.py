@@ -14,7 +14,7 @@ from pagerisk.operators.blocks import (
     BLOCK_BYTES, BROADCAST_BYTES, CELL_ROWS, compare_in_bands, compare_in_cells,
 )
 from pagerisk.operators.urls import clean_url
-from pagerisk.session import materialise
+from pagerisk.session import materialise, spread
 
 # Threat types of the public threat-list interface. Fixed values.
 UNSPECIFIED = "THREAT_TYPE_UNSPECIFIED"
@@ -162,13 +162,16 @@ def compare_by_pieces(
         return pa.array(chosen, type=pa.list_(pa.struct(fields)))
 
     feed = feed.filter(_indexable(F.length("url"), min_ratio))
-    rights = feed.select(F.col("url").alias("text"), F.explode(rarest(F.col("url"))).alias("p"))
+    # The feed is a small file, but its pieces take long.
+    rights = spread(feed).select(F.col("url").alias("text"), F.explode(rarest(F.col("url"))).alias("p"))
     rights = materialise(rights.select("p.*", "text"), "feed-pieces")
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         sides = [_numbered(table) for table in (left, right)]
         matcher = PieceMatcher(sides[0][0], sides[1][0], min_ratio)
-        for bucket in np.intersect1d(sides[0][1], sides[1][1]).tolist():
+        both = np.intersect1d(sides[0][1], sides[1][1])
+        crowd = np.searchsorted(sides[1][1], both, "right") - np.searchsorted(sides[1][1], both)
+        for bucket in both[np.argsort(crowd, kind="stable")].tolist():
             spans = [
                 slice(*np.searchsorted(buckets, [bucket, bucket + 1])) for _, buckets, *_ in sides
             ]

@@ -138,6 +138,17 @@ def test_candidates_stay_flat_when_both_sides_grow(spark):
     assert rates[1] < 1.5 * rates[0] < 15
 
 
+def test_a_crowd_settles_strings_with_a_likely_partner():
+    feed = [f"https://crowd.example.com/en/{i:05d}" for i in range(600)]
+    urls = [f"https://crowd.example.com/en/{i:05d}?" for i in range(50)] + ["ftp://else.where/crowd"]
+    matcher = fuzzy.PieceMatcher(urls, feed, 90)
+    at = np.array([8] * 50 + [17])
+    # All share an earlier piece too, at which each pair would be compared.
+    matcher.meet(np.arange(51), at, np.arange(600), np.full(600, 8), [[0]] * 600)
+    assert matcher.hit.tolist() == [True] * 50 + [False]
+    assert matcher.compared.sum() <= 51 * 4
+
+
 def test_a_piece_that_all_share_is_a_grid_of_cells(spark):
     rng = random.Random(3)
     stem = "https://same.host.example/always/the/same/path/"
