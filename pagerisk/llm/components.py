@@ -11,8 +11,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """Rows (node, component): the smallest node reachable, for every node of an edge.
 
     ``edges`` has columns a and b of one orderable type; direction, repeats and loops do not
-    matter. Large-star and small-star rounds alternate until the edges stop changing: then
-    every node points at the smallest of its component. Rounds grow with the logarithm of
+    matter. Large-star and small-star rounds alternate until every node points at a root, which
+    then is the smallest of its component, as edges lead to smaller nodes. Rounds grow with the logarithm of
     the longest path. A node with very many edges only ever meets a minimum, which is
     combined before the shuffle, and a join that may split it. Every round is written to the
     shared folder, which keeps the lineage short and survives lost executors.
@@ -20,15 +20,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     pairs = edges.select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     ).filter("a > b")
-    pairs, state = _settled(pairs)
-    while state[0]:
+    pairs, done = _settled(pairs)
+    while not done:
         both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         smallest = both.groupBy("a").agg(F.min("b").alias("low"))
         large = (
             both.filter("b > a")
             .join(smallest, "a")
             .select(F.col("b").alias("a"), F.least("a", "low").alias("b"))
-            .distinct()
         )
         smallest = large.groupBy("a").agg(F.min("b").alias("low"))
         joined = large.join(smallest, "a")
@@ -37,20 +36,21 @@ def connected_components(edges: DataFrame) -> DataFrame:
             F.struct(F.col("b").alias("a"), F.col("low").alias("b")),
         )
         small = joined.select(F.explode(star).alias("e")).select("e.a", "e.b").filter("a > b")
-        pairs, new = _settled(small)
-        if new == state:
-            break
-        state = new
+        pairs, done = _settled(small)
     roots = pairs.select("b").distinct()
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         roots.select(F.col("b").alias("node"), F.col("b").alias("component"))
     )
 
 
-def _settled(pairs: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
-    """The distinct pairs, written, and a fingerprint of them."""
+def _settled(pairs: DataFrame) -> tuple[DataFrame, bool]:
+    """The distinct pairs, written, and whether every node of theirs points at a root."""
     written = materialise(pairs.distinct(), "component-edges")
-    mark = F.xxhash64("a", "b").cast("decimal(38,0)")
-    row = written.agg(F.count("*").alias("n"), F.coalesce(F.sum(mark), F.lit(0)).alias("h"))
-    found = row.collect()[0]
-    return written, (found["n"], int(found["h"]))
+    ends = F.array(
+        F.struct(F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")),
+        F.struct(F.col("b").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")),
+    )
+    nodes = written.select(F.explode(ends).alias("e")).select("e.*").groupBy("node")
+    nodes = nodes.agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    unsettled = nodes.filter("out > 1 OR out = 1 AND into = 1")
+    return written, unsettled.isEmpty()

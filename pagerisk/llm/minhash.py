@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from pagerisk.llm.blocks import own_blocks, rest_against_all
-from pagerisk.llm.common import row_key, utf8_rows
+from pagerisk.llm.common import known_longs, row_key, utf8_rows
 from pagerisk.llm.components import connected_components
 from pagerisk.session import materialise
 
@@ -137,25 +137,34 @@ def estimate(
     """
     filled = ((left != _EMPTY) | (right != _EMPTY)).sum(axis=-1)
     equal = ((left == right) & (left != _EMPTY)).sum(axis=-1)
-    x, y = left_size / REGISTERS, right_size / REGISTERS
+    if np.ndim(left_size) == 0 and np.ndim(right_size) == 1:
+        # Sizes come again and again.
+        sizes, at = np.unique(right_size, return_inverse=True)
+        chance = _chance(left_size / REGISTERS, sizes / REGISTERS)[at]
+    else:
+        chance = _chance(left_size / REGISTERS, right_size / REGISTERS)
+    count = np.maximum(filled, 1)
+    found = (equal - REGISTERS * chance * (1 - equal / count)) / count
+    return found, 0.8 - 6 * np.sqrt(0.16 / count)
+
+
+def _chance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The chance that two smallest values fall into one cell, at these loads."""
     both = np.maximum(x + y, 1e-300)
     chance = np.zeros(np.broadcast(x, y).shape)
     for zeros in range(1, 33):
         span = np.exp(-both * 2.0**-zeros) - np.exp(-both * 2.0 ** (1 - zeros))
         chance = chance + 2.0 ** -(zeros + MANTISSA) * x * y / both * span
-    count = np.maximum(filled, 1)
-    found = (equal - REGISTERS * chance * (1 - equal / count)) / count
-    return found, 0.8 - 6 * np.sqrt(0.16 / count)
+    return chance
 
 
 _SIGNATURE = (
-    "_d long, _h long, doc_id long, n_shingles long, set_key binary, registers binary, "
-    "bands array<long>"
+    "_d long, _h long, doc_id long, n_shingles long, set_key binary, registers binary"
 )
 
 
 def signatures(documents: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """Per row: its key, id, set size, a 128-bit key of the set, registers and band keys."""
+    """Per row: its key, id, set size, a 128-bit key of the set, and registers."""
     key = row_key(id_col, text_col)
     source = documents.select(
         key["d"].alias("_d"), key["h"].alias("_h"),
@@ -170,14 +179,10 @@ def signatures(documents: DataFrame, width: int, id_col: str, text_col: str) ->
         for batch in batches:
             sets = shingler.sets(utf8_rows(batch.column(3)))
             table = registers(sets)
-            keys = band_keys(table)
-            ends = np.arange(0, keys.size + 1, BANDS, dtype=np.int32)
-            bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.reshape(-1)))
             made = [
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                 pa.array([row.tobytes() for row in table], pa.binary()),
-                bands,
             ]
             kept = [batch.column(i) for i in range(3)]
             yield pa.RecordBatch.from_arrays([*kept, *made], names)
@@ -189,6 +194,14 @@ def _matches(blobs: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), np.uint16).reshape(len(blobs), REGISTERS)
 
 
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def _bands(blobs: pa.Array) -> pa.Array:
+    """Band keys of registers; they come cheaper than they are shuffled and stored."""
+    keys = band_keys(_matches(blobs.to_pylist()))
+    ends = np.arange(0, keys.size + 1, BANDS, dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.reshape(-1)))
+
+
 @F.pandas_udf(T.BooleanType())
 def _may_link(
     left: pd.Series, right: pd.Series, left_size: pd.Series, right_size: pd.Series
@@ -251,7 +264,9 @@ def link_sets(
     keys = band_keys(table)
     size = np.array([len(s) for s in sets], np.int64)
     ends = np.cumsum(size)
-    flat = np.concatenate(sets)
+    # Shingles by number, so that a mark per number tells those of one set.
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1].reshape(-1).astype(np.int32)
+    mark = np.zeros(int(flat.max()) + 1, bool)
     _, at, times = np.unique(keys, return_inverse=True, return_counts=True)
     popular = times[at.reshape(keys.shape)].sum(axis=1)
     forest = Forest(np.arange(count) if labels is None else labels)
@@ -272,10 +287,10 @@ def link_sets(
         lengths = size[others]
         stops = np.cumsum(lengths)
         place = np.repeat(ends[others] - stops, lengths) + np.arange(int(stops[-1]))
-        values = flat[place]
-        own = sets[one]
-        hit = own[np.minimum(np.searchsorted(own, values), len(own) - 1)] == values
-        common = np.add.reduceat(hit.astype(np.int64), stops - lengths)
+        own = flat[ends[one] - size[one] : ends[one]]
+        mark[own] = True
+        common = np.add.reduceat(mark[flat[place]].astype(np.int64), stops - lengths)
+        mark[own] = False
         union = lengths + size[one] - common
         pairs += [
             (int(one), int(other))
@@ -328,18 +343,15 @@ def candidate_edges(sets: DataFrame) -> DataFrame:
     settles the bucket. Where some do not, those are compared with all of the bucket.
     """
     node = F.struct("d", "h").alias("node")
-    members = sets.select(node, F.explode("bands").alias("band"))
-    heads = (
-        members.groupBy("band")
-        .agg(F.min("node").alias("head"), F.max("node").alias("tail"))
-        .filter("head != tail")
-        .drop("tail")
-    )
-    spokes = materialise(
-        members.join(heads, "band").filter("node != head"), "minhash-buckets"
-    )
+    members = sets.select("d", "h", F.explode(_bands("registers")).alias("band"))
+    # One shuffle; a task goes through a bucket row by row, however many rows it has.
+    so_far = Window.partitionBy("band").orderBy("d", "h").rowsBetween(Window.unboundedPreceding, 0)
+    members = members.select("band", node, F.first(node).over(so_far).alias("head"))
+    spokes = materialise(members.filter("node != head"), "minhash-buckets")
     pairs = spokes.select("node", "head").distinct()
-    held = sets.select(node, "n_shingles", "registers")
+    met = spokes.select(F.explode(F.array("node.h", "head.h")).alias("h"))
+    held = sets.filter(known_longs(met, "h")("h")).select(node, "n_shingles", "registers")
+    held = materialise(held, "minhash-held")
     near = held.select(
         "node", F.col("n_shingles").alias("size"), F.col("registers").alias("own")
     )
@@ -386,13 +398,13 @@ def _settled(
     apart from its largest part then is compared with all of the cluster.
     """
     limits = (_SHINGLES_AT_ONCE, _MEMBERS_AT_ONCE)
-    members = clusters.join(
-        sets.select(F.struct("d", "h").alias("node"), "n_shingles", "set_key"), "node"
-    )
+    named = sets.filter(known_longs(clusters, "node.h")("h"))
+    members = clusters.join(named.select(F.struct("d", "h").alias("node"), "n_shingles", "set_key"), "node")
     members = materialise(
         own_blocks(members, "cluster", "node", "n_shingles", *limits), "minhash-clusters"
     )
     texts = documents.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("text"))
+    texts = texts.filter(known_longs(members, "node.d")("d"))
 
     def verify(group: pa.Table) -> pa.Table:
         import xxhash
@@ -469,7 +481,7 @@ def duplicate_groups(
         usable.groupBy("set_key")
         .agg(
             F.min("doc_id").alias("d"),
-            F.min_by(F.struct("n_shingles", "registers", "bands"), "doc_id").alias("held"),
+            F.min_by(F.struct("n_shingles", "registers"), "doc_id").alias("held"),
         )
         .select("set_key", "d", F.xxhash64("set_key").alias("h"), "held.*")
     )

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pagerisk.llm import minhash, vectors
+from pagerisk.llm import components, minhash, vectors
+from pagerisk.llm.common import known_longs
 from pagerisk.llm.components import connected_components
 from tests.llm import frames
 
@@ -40,6 +41,25 @@ def test_no_edges(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_stars_are_settled_when_written(spark, monkeypatch):
+    written, real = [], components.materialise
+    monkeypatch.setattr(components, "materialise", lambda *a: written.append(1) or real(*a))
+    links = [(100, n) for n in range(101, 140)] + [(1, 7), (7, 1)]
+    found = connected_components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert {row.node for row in found if row.component == 100} == set(range(100, 140))
+    assert len(found) == 42 and len(written) == 1
+
+
+def test_known_longs_pass_and_most_others_do_not(spark):
+    values = [-(2**63), -1, 0, 2**63 - 1, *range(5, 5000, 7)]
+    known = known_longs(spark.createDataFrame([(v,) for v in values], "v long"), "v")
+    tried = spark.createDataFrame([(v,) for v in {*values, *range(20000)}], "v long")
+    passed = {row.v for row in tried.filter(known("v")).collect()}
+    assert passed >= set(values) and len(passed) < len(values) + 20
+    nothing = known_longs(tried.filter("v > v"), "v")
+    assert tried.filter(nothing("v")).count() == 0
+
+
 def shingles(text, width):
     words = [w.decode() for w in (text or "").encode().lower().split()]
     if not words:
