@@ -23,6 +23,7 @@ TRAINING_ROUNDS = 200
 _CACHED_WORDS = 400_000
 _SIGNS = re.compile(r"[#*$%&|<>]")
 _RUNS = re.compile(r"(.)\1+")
+_MARKS = ".,;:!?\"'()"
 
 #: Measures by word, summed over a text.
 _WORD_FACTS = ["signs", "sign_chars", "chars", "unclean", "upper", "letters", "shouted", "stop"]
@@ -41,13 +42,33 @@ LABELLERS = [
 ]
 
 
+class _Kinds(dict):
+    """Letters as x and X, digits as d, other signs as they are, by code point."""
+
+    def __missing__(self, code):
+        c = chr(code)
+        self[code] = found = (
+            "d" if c.isdigit() else c if not c.isalpha() else "X" if c.isupper() else "x"
+        )
+        return found
+
+
+_KINDS = _Kinds()
+
+
 class WordFacts(dict):
-    """Number of each word, with its measures and hashed shape, up to a fixed number of words."""
+    """Number of each word, with its measures and hashed shape, up to a fixed number of words.
+
+    But for being a stop word, what counts of a word of Latin letters follows from the kinds of
+    its characters, which far fewer patterns hold than there are words.
+    """
 
     def __init__(self):
         self.new: list[bytes] = []
         self.facts = np.zeros((0, len(_WORD_FACTS)))
         self.shape = np.zeros(0, np.int64)
+        self._patterns: dict[str, int] = {}
+        self._table = np.zeros((0, len(_WORD_FACTS) + 1))
 
     def __missing__(self, word):
         self[word] = number = len(self)
@@ -55,31 +76,45 @@ class WordFacts(dict):
         return number
 
     def learn(self) -> None:
-        facts, shapes = [], []
+        rows, found, stops = [], [], []
+        known = len(self._table)
         for raw in self.new:
             word = raw.decode("utf-8", "replace")
-            letters = sum(map(str.isalpha, word))
-            upper = 0 if word.islower() else sum(map(str.isupper, word))
-            plain = word.strip(".,;:!?\"'()").lower()
-            signs = len(_SIGNS.findall(word))
-            unclean = not (plain.isalpha() or plain.isdigit())
-            facts.append(
-                [signs > 0, signs, len(word), unclean, upper, letters, "!!" in word]
-                + [plain in STOP_WORDS]
-            )
-            shapes.append(zlib.crc32(shape(word).encode()) % BUCKETS)
-        if facts:
-            self.facts = np.concatenate((self.facts, np.array(facts, float)))
-            self.shape = np.concatenate((self.shape, np.array(shapes, np.int64)))
+            regular = word.isascii() or max(word) < "\u0100"
+            pattern = word.translate(_KINDS) if regular else None
+            number = self._patterns.get(pattern)
+            if number is None:
+                number = known + len(rows)
+                rows.append(_facts_of(word))
+                if regular:
+                    self._patterns[pattern] = number
+            found.append(number)
+            stops.append(word.strip(_MARKS).lower() in STOP_WORDS)
+        if found:
+            if rows:
+                self._table = np.concatenate((self._table, np.array(rows, float)))
+            new = self._table[found]
+            facts = new[:, :-1]
+            facts[:, -1] = stops
+            self.facts = np.concatenate((self.facts, facts))
+            self.shape = np.concatenate((self.shape, new[:, -1].astype(np.int64)))
         self.new = []
 
 
+def _facts_of(word: str) -> list:
+    """The measures of a word, without telling stop words, and its hashed shape."""
+    letters = sum(map(str.isalpha, word))
+    upper = 0 if word.islower() else sum(map(str.isupper, word))
+    plain = word.strip(_MARKS).lower()
+    signs = len(_SIGNS.findall(word))
+    unclean = not (plain.isalpha() or plain.isdigit())
+    hashed = zlib.crc32(shape(word).encode()) % BUCKETS
+    return [signs > 0, signs, len(word), unclean, upper, letters, "!!" in word, False, hashed]
+
+
 def shape(word: str) -> str:
     """Letters as x and X, digits as d, other signs as they are, runs drawn together."""
-    kinds = [
-        "d" if c.isdigit() else c if not c.isalpha() else "X" if c.isupper() else "x" for c in word
-    ]
-    return _RUNS.sub(r"\1", "".join(kinds))
+    return _RUNS.sub(r"\1", word.translate(_KINDS))
 
 
 def _share(part, whole):
@@ -110,9 +145,7 @@ def read(texts: list[bytes], known: WordFacts) -> tuple[dict, np.ndarray, np.nda
     same_text = text[1:] == text[:-1] if len(text) else np.zeros(0, bool)
     echo = np.bincount(text[1:][same_text & (words[1:] == words[:-1])], minlength=len(texts))
     size = len(known) + 1
-    distinct = np.bincount(
-        np.unique(text * size + words) // size if len(words) else words, minlength=len(texts)
-    )
+    distinct = _distinct(text, words, size, len(texts))
     repeated = _repeated_triples(words, text, len(texts))
     measures = {
         "n_words": count,
@@ -135,13 +168,21 @@ def _repeated_triples(words: np.ndarray, text: np.ndarray, texts: int) -> np.nda
     if len(words) < 3:
         return np.zeros(texts)
     size = int(words.max()) + 1
-    pairs = np.unique(words[:-1] * size + words[1:], return_inverse=True)[1]
-    triples = np.unique(pairs[:-1] * size + words[2:], return_inverse=True)[1]
+    if size < 1 << 21:
+        runs = (words[:-2] * size + words[1:-1]) * size + words[2:]
+    else:
+        pairs = np.unique(words[:-1] * size + words[1:], return_inverse=True)[1]
+        runs = pairs[:-1] * size + words[2:]
     inside = text[2:] == text[:-2]
-    where = text[2:][inside]
-    key = where * (int(triples.max()) + 1) + triples[inside]
-    first = np.unique(key, return_index=True)[1]
-    return np.bincount(where, minlength=texts) - np.bincount(where[first], minlength=texts)
+    where, triples = text[2:][inside], np.unique(runs[inside], return_inverse=True)[1]
+    count = int(triples.max()) + 1 if len(triples) else 1
+    return np.bincount(where, minlength=texts) - _distinct(where, triples, count, texts)
+
+
+def _distinct(text: np.ndarray, values: np.ndarray, size: int, texts: int) -> np.ndarray:
+    """Per text, the number of its different values, which are below ``size``."""
+    keys = np.sort(text * size + values)
+    return np.bincount(keys[np.diff(keys, prepend=-1) > 0] // size, minlength=texts)
 
 
 def votes(measures: dict[str, np.ndarray]) -> np.ndarray:

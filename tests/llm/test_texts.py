@@ -559,3 +559,21 @@ def test_hostile_pages_take_linear_time():
         start = time.process_time()
         main_text.main_text(piece * ((1 << 19) // len(piece)))
         assert time.process_time() - start < 12, piece
+
+
+def test_quality_works_out_a_pattern_of_characters_once(monkeypatch):
+    asked, real = [], quality._facts_of
+    monkeypatch.setattr(quality, "_facts_of", lambda word: asked.append(word) or real(word))
+    known = quality.WordFacts()
+    plain = [f"id{n}x" for n in range(10, 99)] + ["the", "und", "été", "\"und\"", "$$a!!"]
+    odd = ["İst", "Ⓐ", "ǅ", "ﬁ²", "١٢"]
+    for word in plain + odd:
+        known[word.encode()]
+    known.learn()
+    assert len(asked) == 4 + len(odd)
+    for word, number in known.items():
+        text = word.decode()
+        *facts, _, hashed = real(text)
+        stop = text.strip(".,;:!?\"'()").lower() in quality.STOP_WORDS
+        assert known.facts[number].tolist() == [*map(float, facts), float(stop)]
+        assert known.shape[number] == hashed
