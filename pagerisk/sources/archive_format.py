@@ -133,6 +133,43 @@ class Range(D.InputPartition):
     stop: int = _WHOLE
 
 
+@dataclass
+class Ranges(D.InputPartition):
+    """Neighbouring byte ranges that one task reads, in their order."""
+
+    ranges: list[Range]
+
+
+#: Tasks that a table of splits is read by at least, as long as it has so many ranges.
+_LEAST_TASKS = 256
+
+
+def packed(ranges: list[Range]) -> list[Ranges]:
+    """Ranges put together up to ``SPLIT_BYTES``, so that small ones do not make a task each.
+
+    The last range of a file has no known end and counts as the file's largest; a file that is
+    one range counts as the largest known one.
+    """
+    largest: dict[str, int] = {}
+    for part in ranges:
+        if part.stop != _WHOLE:
+            largest[part.path] = max(largest.get(part.path, 0), part.stop - part.start)
+    most = max(largest.values(), default=SPLIT_BYTES)
+    sizes = [
+        part.stop - part.start if part.stop != _WHOLE else largest.get(part.path, most)
+        for part in ranges
+    ]
+    enough = min(SPLIT_BYTES, sum(sizes) // _LEAST_TASKS)
+    packs, size = [], 0
+    for part, own in zip(ranges, sizes):
+        if not packs or size + own > enough:
+            packs.append(Ranges([]))
+            size = 0
+        packs[-1].ranges.append(part)
+        size += own
+    return packs
+
+
 def read_range(part: Range, wanted: frozenset[str], accepts, strict: bool):
     """Arrow batches of the records that start in the range.
 
@@ -220,8 +257,9 @@ class _Reads:
 
     def read(self, part):
         if part is None or self.none:
-            return iter(())
-        return read_range(part, self.wanted, self._accepts, self.strict)
+            return
+        for one in part.ranges if isinstance(part, Ranges) else [part]:
+            yield from read_range(one, self.wanted, self._accepts, self.strict)
 
 
 class ArchiveReader(_Reads, D.DataSourceReader):
@@ -241,7 +279,7 @@ class ArchiveReader(_Reads, D.DataSourceReader):
             Range(r["path"], r["file_idx"], r["start"], _WHOLE if r["stop"] is None else r["stop"])
             for r in rows
         ]
-        return ranges or [None]
+        return packed(ranges) or [None]
 
 
 class ArchiveStream(_Reads, D.DataSourceStreamReader):

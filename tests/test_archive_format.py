@@ -118,3 +118,16 @@ def test_stream_takes_each_file_once_over_restarts(spark, tmp_path):
     land("a.warc.gz", [4, 5], 2000)
     assert run() == [f"http://h/{n}" for n in range(1, 6)]
     assert run() == [f"http://h/{n}" for n in range(1, 6)]
+
+
+def test_small_ranges_share_tasks_and_large_ones_do_not():
+    def ranges(files, each, size):
+        ends = lambda n: AF._WHOLE if n == each - 1 else (n + 1) * size
+        return [AF.Range(f"f{f}", f, n * size, ends(n)) for f in range(files) for n in range(each)]
+
+    for many in (2000, 20000):
+        packs = AF.packed(ranges(many, 8, 1 << 14))
+        assert AF._LEAST_TASKS <= len(packs) <= 2 * AF._LEAST_TASKS
+        assert [r for p in packs for r in p.ranges] == ranges(many, 8, 1 << 14)
+    assert len(AF.packed(ranges(100, 8, AF.SPLIT_BYTES))) == 800
+    assert AF.packed([]) == [] and len(AF.packed(ranges(3, 1, 5))) == 3
