@@ -121,15 +121,29 @@ def _combined(column: pa.ChunkedArray) -> pa.Array:
     return pa.concat_arrays(combined.chunks) if isinstance(combined, pa.ChunkedArray) else combined
 
 
+def _compact(vectors: np.ndarray) -> np.ndarray:
+    """The same values in the smallest type that holds all of them exactly.
+
+    Encoders that count need a quarter of the memory, which every Python worker takes.
+    """
+    for kind in (np.int16, np.float32):
+        with np.errstate(over="ignore", invalid="ignore"):
+            small = vectors.astype(kind)
+        if np.array_equal(small, vectors):
+            return small
+    return vectors
+
+
 class _Nearest:
     """Vectors in the order of their numbers, searched for the best of each query; exact.
 
     Products of unit vectors in single precision tell which rows come close to the best; those
     are computed again in double precision, row by row, which gives equal vectors equal
-    similarities wherever they lie. Of equal vectors the first is kept.
+    similarities wherever they lie. Of equal vectors the first is kept. ``compact`` keeps them in
+    the smallest exact type and makes units when they are needed.
     """
 
-    def __init__(self, vectors: np.ndarray, numbers: np.ndarray):
+    def __init__(self, vectors: np.ndarray, numbers: np.ndarray, compact: bool = False):
         norms = np.sqrt((vectors**2).sum(axis=1))
         usable = np.flatnonzero(norms > 0)
         usable = usable[np.argsort(numbers[usable], kind="stable")]
@@ -138,7 +152,12 @@ class _Nearest:
             usable = usable[np.sort(np.unique(keys.ravel(), return_index=True)[1])]
         self.rows = usable
         self.vectors, self.norms = vectors[usable], norms[usable]
-        self.units = (self.vectors / self.norms[:, None]).astype(np.float32)
+        self.units = None if compact else self._units(slice(None))
+        if compact:
+            self.vectors = _compact(self.vectors)
+
+    def _units(self, rows: slice) -> np.ndarray:
+        return (self.vectors[rows] / self.norms[rows, None]).astype(np.float32)
 
     def search(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Best similarity and the row it is found in, the first on ties; NaN without one."""
@@ -159,7 +178,9 @@ class _Nearest:
         floor = np.full(len(queries), -2, np.float32)
         sims, best = np.full(len(queries), -1.0), np.full(len(queries), len(self.rows))
         for low in range(0, len(self.rows), _ROWS_AT_ONCE):
-            cosines = units @ self.units[low : low + _ROWS_AT_ONCE].T
+            some = slice(low, low + _ROWS_AT_ONCE)
+            known = self._units(some) if self.units is None else self.units[some]
+            cosines = units @ known.T
             top = cosines.max(axis=1)
             np.maximum(floor, top - spare, out=floor)
             hit = np.flatnonzero(top >= floor)
@@ -182,7 +203,7 @@ class _Headlines:
         ordered = table.filter(pc.is_valid(table.column("embedding"))).sort_by("idx")
         self.idx = ordered.column("idx").to_numpy()
         self.labels = ordered.column("label").to_numpy()
-        self.vectors = _Nearest(_matrix(_combined(ordered.column("embedding"))), self.idx)
+        self.vectors = _Nearest(_matrix(_combined(ordered.column("embedding"))), self.idx, True)
 
     def nearest(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Best similarity and the row it is found in, the first on ties; NaN without one."""

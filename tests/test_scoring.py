@@ -355,3 +355,19 @@ def test_text_classifier(spark):
     model = train_text_classifier(df, features=256, max_iter=5)
     got = {r.text: r.label_name for r in classify_text(model, df).collect()}
     assert got == {"deadly crisis ahead": X.FEAR_LABEL, "calm sunny day": X.NO_FEAR_LABEL}
+
+
+def test_a_shared_corpus_is_small_and_as_exact():
+    import pickle
+
+    chance = np.random.default_rng(9)
+    counts = chance.integers(-40, 40, (500, 64)).astype(float)
+    queries = chance.integers(-3, 3, (50, 64)).astype(float)
+    numbers = np.arange(500)
+    for vectors in (counts, counts / 3, counts * 1e4, counts / 4):
+        plain, small = S._Nearest(vectors, numbers), S._Nearest(vectors, numbers, True)
+        for a, b in zip(plain.search(queries), small.search(queries)):
+            assert np.array_equal(a, b)
+        assert np.array_equal(small.vectors, plain.vectors)
+    size = len(pickle.dumps(S._Nearest(counts, numbers, True)))
+    assert size < 500 * (2 * 64 + 32) + 1000
