@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from pagerisk.functions.text import fear_prediction
 from pagerisk.operators import evaluation as E, labeling as L, scoring
 from pagerisk.operators.scoring import FEATURES
-from pagerisk.plans.catalog import heavy_table, query, table
+from pagerisk.plans.catalog import query, table
 from pagerisk.plans.html_queries import H1_SQL, TEXT_SQL, TITLE_SQL
 from pagerisk.plans.text_queries import (
     ENCODER,
@@ -18,7 +18,7 @@ from pagerisk.plans.text_queries import (
     nearest_sql,
     page_similarity_sql,
 )
-from pagerisk.session import materialise, scratch_path
+from pagerisk.session import materialise, scratch_path, spread
 
 THRESHOLDS = (0.5, 0.75)
 # Frequent words of the invented page language; they stand for a fear lexicon.
@@ -63,15 +63,27 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.withColumns({name: F.round(name, 6) for name in FEATURES})
 
 
-def _pages(spark, sf_dir) -> DataFrame:
-    return heavy_table(spark, sf_dir, "pages").select("url", "html")
+# Pages times headlines that a task compares, at two strings a page.
+PAIRS_PER_TASK = 1 << 31
+
+
+def pages_against(spark, sf_dir, corpus) -> DataFrame:
+    """The pages, in tasks whose length does not grow with the corpus that each page meets."""
+    pages = table(spark, sf_dir, "pages")
+    if not corpus.small:  # searched in cells of their own
+        return spread(pages)
+    return spread(pages, -(-pages.count() * corpus.rows // PAIRS_PER_TASK))
+
+
+def _pages(spark, sf_dir, corpus) -> DataFrame:
+    return pages_against(spark, sf_dir, corpus).select("url", "html")
 
 
 @query(f"SELECT url, {ROUNDED_SQL} FROM ({scored_pages_sql([0.75])})")
 def clickbait_features(spark, sf_dir):
     corpus = document_corpus(spark, sf_dir)
     return _rounded(
-        scoring.clickbait_features(_pages(spark, sf_dir), corpus, ENCODER, page_prediction)
+        scoring.clickbait_features(_pages(spark, sf_dir, corpus), corpus, ENCODER, page_prediction)
     )
 
 
@@ -80,7 +92,7 @@ def label_pages(spark, sf_dir):
     """The flagship: parse, score and label every page at each similarity threshold."""
     corpus = document_corpus(spark, sf_dir)
     return _rounded(
-        L.label_pages(_pages(spark, sf_dir), corpus, THRESHOLDS, ENCODER, page_prediction)
+        L.label_pages(_pages(spark, sf_dir, corpus), corpus, THRESHOLDS, ENCODER, page_prediction)
     )
 
 
@@ -89,7 +101,7 @@ def label_pages_large_corpus(spark, sf_dir):
     """The same with a broadcast bound below the corpus size."""
     corpus = document_corpus(spark, sf_dir, broadcast_bytes=16 << 10)
     return _rounded(
-        L.label_pages(_pages(spark, sf_dir), corpus, THRESHOLDS, ENCODER, page_prediction)
+        L.label_pages(_pages(spark, sf_dir, corpus), corpus, THRESHOLDS, ENCODER, page_prediction)
     )
 
 
@@ -100,8 +112,8 @@ def label_pages_large_corpus(spark, sf_dir):
 )
 def label_pages_in_batches(spark, sf_dir):
     """The labels with their batches of a hundred pages."""
-    pages = heavy_table(spark, sf_dir, "pages")
     corpus = document_corpus(spark, sf_dir)
+    pages = pages_against(spark, sf_dir, corpus)
     return _rounded(
         L.label_pages_in_batches(
             pages, corpus, THRESHOLDS, encoder=ENCODER, scorer=page_prediction

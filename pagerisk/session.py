@@ -102,13 +102,12 @@ def materialise(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Give CPU-heavy per-row work on a *file scan* at least one task per core.
+def spread(scan: DataFrame, tasks: int = 1) -> DataFrame:
+    """Give CPU-heavy per-row work on a *file scan* at least ``tasks`` tasks and one per core.
 
-    A large scan already has more splits than cores and is returned unchanged; only
-    a table of a few small files is redistributed.
+    A scan that has as many splits already is returned unchanged.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    if scan.rdd.getNumPartitions() >= cores:
+    tasks = max(tasks, scan.sparkSession.sparkContext.defaultParallelism)
+    if scan.rdd.getNumPartitions() >= tasks:
         return scan
-    return scan.repartition(cores)
+    return scan.repartition(tasks)

@@ -371,3 +371,17 @@ def test_a_shared_corpus_is_small_and_as_exact():
         assert np.array_equal(small.vectors, plain.vectors)
     size = len(pickle.dumps(S._Nearest(counts, numbers, True)))
     assert size < 500 * (2 * 64 + 32) + 1000
+
+
+def test_pages_meet_a_large_corpus_in_more_tasks(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from pagerisk.plans import label_queries as Q
+
+    monkeypatch.setattr(Q, "PAIRS_PER_TASK", 10)
+    folder = "/root/testdata/sf0.001"
+    pages = spark.read.parquet(f"{folder}/pages.parquet")
+    want = -(-pages.count() * 3 // 10)
+    many = Q.pages_against(spark, folder, SimpleNamespace(small=True, rows=3))
+    assert many.rdd.getNumPartitions() == max(want, spark.sparkContext.defaultParallelism)
+    assert sorted(r.page_id for r in many.collect()) == sorted(r.page_id for r in pages.collect())
