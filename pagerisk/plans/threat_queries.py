@@ -7,10 +7,10 @@ from pyspark.sql import DataFrame, functions as F
 from pagerisk.operators import threats as J
 from pagerisk.operators.urls import clean_url
 from pagerisk.plans.catalog import heavy_table, query, table
-from pagerisk.plans.label_queries import page_prediction, scored_pages_sql
+from pagerisk.plans.label_queries import page_prediction, pages_against, scored_pages_sql
 from pagerisk.plans.text_queries import ENCODER, document_corpus
 from pagerisk.plans.url_queries import CLEAN_URL_SQL
-from pagerisk.session import scratch_path
+from pagerisk.session import materialise, scratch_path
 from pagerisk.sources import feeds
 
 # ---- phishing ------------------------------------------------------------------------
@@ -185,10 +185,9 @@ def multi_label_verdict(spark, sf_dir):
     """
     from pagerisk.operators.labeling import label_pages
 
-    pages = heavy_table(spark, sf_dir, "pages")
-    labels = label_pages(
-        pages.select("url", "html"), document_corpus(spark, sf_dir), [0.75], ENCODER, page_prediction
-    )
+    corpus = document_corpus(spark, sf_dir)
+    pages = pages_against(spark, sf_dir, corpus).select("url", "html")
+    labels = label_pages(pages, corpus, [0.75], ENCODER, page_prediction).select("url", "label")
     urls = table(spark, sf_dir, "pages").select("page_id", "url")
     matches = threat_matches(spark, sf_dir).withColumnRenamed("url", "user")
     of_page = urls.select("url", F.col("page_id").cast("string").alias("user"))
@@ -196,6 +195,8 @@ def multi_label_verdict(spark, sf_dir):
         of_page.select("url"), matches.join(of_page, "user").drop("user"), threshold=15
     )
     traces = _trace(spark, sf_dir).select("url", "phishing_trace")
-    sides = [urls.select("url"), labels.select("url", "label"), traces, threats]
+    # What comes twice is searched once, and one search after the other.
+    labels, traces = materialise(labels, "page-labels"), materialise(traces, "page-traces")
+    sides = [urls.select("url"), labels, traces, threats]
     verdict = J.multi_label_verdict(*(side.union(side) for side in sides))
     return verdict.withColumn("verdict", F.array_join("verdict", " "))
