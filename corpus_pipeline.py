@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pagerisk.llm import bpe, lines, minhash, mixing, repetition
-from pagerisk.session import attach, materialise
+from pagerisk.session import attach, gathered, materialise
+
+#: Partitions of texts that a task writes, and tasks a core that stay; the next stage reads file by file.
+_EACH, _PER_CORE = 4, 8
 
 
 def reject_repetitive(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,19 +28,19 @@ def drop_line_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     out = out.filter("n_lines = 0 OR n_deleted < n_lines")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*[F.col(f"`{name}`") for name in docs.columns])
+    return gathered(out.select(*[F.col(f"`{name}`") for name in docs.columns]), _EACH, _PER_CORE)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that shares four in five five-word shingles."""
     attach(spark)
-    return minhash.drop_near_duplicates(docs)
+    return gathered(minhash.drop_near_duplicates(docs), _EACH, _PER_CORE)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the fair mix of their sources takes them."""
     attach(spark)
-    return mixing.mix(docs)
+    return gathered(mixing.mix(docs), _EACH, _PER_CORE)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,7 +17,9 @@ from pyspark.sql import DataFrame, types as T
 # Words of the byte-level tokenizer. Fixed value.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Stretches of text kept from batch to batch by a Python worker; then it starts anew.
-_CACHED_STRETCHES = 600_000
+_CACHED_STRETCHES = 300_000
+#: Characters of the texts that are encoded together; a longer text is encoded alone.
+_CHARS_AT_ONCE = 1 << 22
 _SPACE_IN_RUN = re.compile(r"\s (?:\s|\Z)")
 
 
@@ -318,14 +320,29 @@ def encode_decode(
         encoder = _ENCODERS[path]
         for batch in batches:
             texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
-            ids, ends = encoder.encode(texts)
-            made = [_column(f, encoder.vocabulary, ids, ends) for f in fields]
-            kept = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*kept, *made], [f.name for f in schema.fields])
+            for low, high in _portions(texts):
+                ids, ends = encoder.encode(texts[low:high])
+                made = [_column(f, encoder.vocabulary, ids, ends) for f in fields]
+                part = batch.slice(low, high - low)
+                kept = [part.column(i) for i in range(batch.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays([*kept, *made], [f.name for f in schema.fields])
 
     return source.mapInArrow(run, schema)
 
 
+def _portions(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with a bounded number of characters."""
+    low = size = 0
+    for n, text in enumerate(texts):
+        if n > low and size + len(text) > _CHARS_AT_ONCE:
+            yield low, n
+            low = n
+            size = 0
+        size += len(text)
+    if texts:
+        yield low, len(texts)
+
+
 def _column(field: str, vocabulary: Vocabulary, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
     bounds = [0, *ends.tolist()]
     spans = list(zip(bounds, bounds[1:], strict=False))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from pagerisk.session import materialise
+from pagerisk.session import gathered, materialise
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -45,7 +45,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 def _settled(pairs: DataFrame) -> tuple[DataFrame, bool]:
     """The distinct pairs, written, and whether every node of theirs points at a root."""
-    written = materialise(pairs.distinct(), "component-edges")
+    written = materialise(gathered(pairs.distinct()), "component-edges")
     ends = F.array(
         F.struct(F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")),
         F.struct(F.col("b").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")),

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from pagerisk.llm.common import WORD, row_key
-from pagerisk.session import materialise
+from pagerisk.session import gathered, materialise
 
 _BLANKS = " \t\n\x0b\x0c\r"
 _PLACE = ["d", "h", "n"]
@@ -68,7 +68,7 @@ def _levels(repeated: DataFrame) -> list[DataFrame]:
         )
         own = levels[-1].select(*_PLACE, F.col("name").alias("own"))
         pairs = own.join(follow, _PLACE)
-        level = materialise(_named(pairs, ["own", "next"]), "line-names")
+        level = materialise(gathered(_named(pairs, ["own", "next"])), "line-names")
         if level.isEmpty():
             return levels
         levels.append(level)
@@ -137,7 +137,7 @@ def _intervals(levels: list[DataFrame]) -> DataFrame:
         rows = _entering(levels[k], longer, 1 << k)
         if found is not None:
             rows = rows.unionByName(_refined(found, levels[k], 1 << k))
-        found = materialise(rows, "line-intervals") if k else rows
+        found = materialise(gathered(rows), "line-intervals") if k else rows
     return found
 
 
@@ -157,9 +157,9 @@ def later_copies(
     documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 10
 ) -> tuple[DataFrame, DataFrame]:
     """Per document key (d, h): the number of lines with a word, and the indexes to delete."""
-    lines = materialise(line_table(documents, id_col, text_col).distinct(), "lines")
-    repeated = materialise(_named(lines, ["x", "y"]), "lines-repeated")
-    runs = materialise(repeated_runs(repeated).drop("first"), "line-runs")
+    lines = materialise(gathered(line_table(documents, id_col, text_col).distinct()), "lines")
+    repeated = materialise(gathered(_named(lines, ["x", "y"])), "lines-repeated")
+    runs = materialise(gathered(repeated_runs(repeated).drop("first")), "line-runs")
     order = Window.partitionBy("d", "h").orderBy("n")
     rows = repeated.drop("name").join(runs, _PLACE, "left").select(
         "d", "h", "n", "i", "length",

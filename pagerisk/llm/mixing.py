@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from pagerisk.llm.common import WORD, row_key, running_total
-from pagerisk.session import materialise
+from pagerisk.session import gathered, materialise
 
 _FIRST_CELLS = 1024
 _CELLS = 64
@@ -98,7 +98,7 @@ def mix_plan(
         "_fine", F.shiftright(digits, 16).bitwiseAND(F.lit(63))
     )
     queued = running_total(queued, ["rank"], ["_coarse", "_fine"], ["queue"], "size", "_end")
-    queued = materialise(queued.drop("_coarse", "_fine"), "mix-queue")
+    queued = materialise(gathered(queued.drop("_coarse", "_fine")), "mix-queue")
 
     def finish(entry):
         end = F.col("_end") + entry * F.col("source_size")

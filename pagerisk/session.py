@@ -102,6 +102,19 @@ def materialise(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def gathered(shuffled: DataFrame, each: int = 16, per_core: int = 2) -> DataFrame:
+    """Hand the result of a shuffle to fewer tasks, before it is written.
+
+    A task takes up to ``each`` neighbouring partitions, one after the other; ``per_core`` tasks
+    a core stay at least. Every task that writes makes a file of its own, with a
+    checksum, and Hadoop's local file system starts a process for each of its access rights. What
+    adaptive execution merged or split by size is not split again nor dealt anew.
+    """
+    spark = shuffled.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return shuffled.coalesce(max(per_core * spark.sparkContext.defaultParallelism, -(-parts // each)))
+
+
 def spread(scan: DataFrame, tasks: int = 1) -> DataFrame:
     """Give CPU-heavy per-row work on a *file scan* at least ``tasks`` tasks and one per core.
 

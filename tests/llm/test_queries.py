@@ -1,5 +1,6 @@
 """The registered corpus queries against their SQL twins, and the pipeline stage by stage."""
 
+import itertools
 import random
 
 import public_tokenizers
@@ -7,6 +8,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from pagerisk import session
 from pagerisk.llm import mixing, queries
 from tests.llm import frames
 from tests.llm.test_graphs import brute_groups
@@ -115,3 +117,26 @@ def test_pipeline_takes_awkward_and_empty_tables(spark):
             docs = spark.createDataFrame(out.collect(), out.schema)
             if name != "byte_bpe":
                 assert docs.columns == columns
+
+
+def test_stages_write_few_files_whatever_the_shuffle(spark, monkeypatch, tmp_path):
+    docs = spark.createDataFrame(pipeline_rows(), frames.DOCUMENTS).coalesce(4)
+    settings = {
+        "spark.sql.shuffle.partitions": "96",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    made = itertools.count()
+    monkeypatch.setattr(session, "scratch_path", lambda _, label: f"{tmp_path}/{label}-{next(made)}")
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        for name in ("line_dedup", "near_dedup", "mix_sources"):
+            out = dict(corpus_pipeline.STAGES)[name](spark, docs, "")
+            assert out.rdd.getNumPartitions() <= 8 * spark.sparkContext.defaultParallelism
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    tables = list(tmp_path.iterdir())
+    files = [len(list(table.glob("part-*"))) for table in tables]
+    assert len(tables) > 10 and max(files) <= 2 * spark.sparkContext.defaultParallelism

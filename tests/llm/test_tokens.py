@@ -41,6 +41,20 @@ def test_byte_bpe_equals_library():
         start = end
 
 
+def test_texts_are_encoded_in_bounded_portions(spark):
+    most = bpe._CHARS_AT_ONCE
+    sizes = [most // 3] * 4 + [0, 2 * most, 5, 0, most - 5, 1]
+    spans = list(bpe._portions(["x" * size for size in sizes]))
+    assert spans == [(0, 3), (3, 5), (5, 6), (6, 9), (9, 10)]
+    assert list(bpe._portions([])) == []
+    texts = [f"{n} " + f"word{n % 7} of a text, " * 60_000 for n in range(8)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    found = {r.doc_id: r for r in bpe.encode_decode(docs, BYTE).collect()}
+    library = Tokenizer.from_file(BYTE)
+    assert all(found[n].decoded == text for n, text in enumerate(texts))
+    assert all(found[n].ids == library.encode(text).ids for n, text in enumerate(texts))
+
+
 def test_overlapping_pairs_merge_from_the_left():
     vocabulary = bpe.Vocabulary(BYTE)
     library = Tokenizer.from_file(BYTE)
