@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pagerisk.functions.fuzzy import (
-    MOST_INDEXED, PIECE, PIECE_BUCKETS, PieceMatcher, UrlSearch, indexable, most_partner_indels,
-    rare_pieces, url_similarity,
+    LONGEST, MOST_INDEXED, NEAR_PAIRS, PIECE, PIECE_BUCKETS, PieceMatcher, Sketches, UrlSearch,
+    indexable, rare_pieces_each, reach_around, url_similarity,
 )
 from pagerisk.operators.blocks import (
     BLOCK_BYTES, BROADCAST_BYTES, CELL_ROWS, compare_in_bands, compare_in_cells,
@@ -53,10 +55,11 @@ def similar_urls(
     """Whether each URL is at least ``min_ratio`` alike to any feed URL; distinct feed expected.
 
     The feed's bytes are measured. Within the bound it is broadcast and each task searches
-    it. Beyond, distinct URLs that do not stand in the feed as they are meet the feed URLs with
-    which they share a rare piece (see ``compare_by_pieces``). Feed URLs without room for such
-    pieces, being very short, very long, or sought at a low ratio, meet all URLs of comparable
-    length instead, block by block. No pair leaves a task.
+    it. Beyond, distinct URLs that do not stand in the feed as they are first try the feed URLs
+    next to them in order (see ``reached_in_order``), which settles most that have a partner. Those
+    still open meet the feed URLs with which they share a rare piece (see ``compare_by_pieces``).
+    Feed URLs without room for such pieces, being very short, very long, or sought at a low ratio,
+    meet all open URLs of comparable length instead, block by block. No pair leaves a task.
     """
     spark = urls.sparkSession
     feed = materialise(feed.select("url").filter(F.col("url").isNotNull()), "feed")
@@ -84,6 +87,9 @@ def similar_urls(
     checked = materialise(distinct.join(in_feed, url, "left"), "distinct-urls")
     hits = checked.filter("__exact").select(url)
     rest = checked.filter("__exact IS NULL").select(url)
+    reached = materialise(reached_in_order(rest, feed, min_ratio, url), "reached-urls")
+    hits = hits.union(reached)
+    rest = materialise(rest.join(reached, url, "left_anti"), "open-urls")
     if measured.indexed:
         found = compare_by_pieces(rest, feed, min_ratio, url)
         hits = hits.union(found.filter("hit").select(url))
@@ -102,15 +108,42 @@ def _indexable(length: Column, min_ratio: int) -> Column:
     return length.isin(able) if able else F.lit(False)
 
 
+def reached_in_order(urls: DataFrame, feed: DataFrame, min_ratio: int, url: str) -> DataFrame:
+    """Those of distinct URLs that reach a feed URL next to them in the order of all, or of the reverses.
+
+    A URL that is not among them may still have a partner elsewhere. An Arrow batch of ordered
+    rows is looked at alone.
+    """
+    asked = urls.select(F.col(url).alias("text"), F.lit(True).alias("asked"))
+    both = asked.union(feed.select("url", F.lit(False))).filter(F.length("text") <= LONGEST)
+    sides = [F.struct(F.lit(i).alias("side"), t.alias("text")) for i, t in enumerate((F.col("text"), F.reverse("text")))]
+    placed = both.select("asked", F.explode(F.array(*sides)).alias("key")).select("asked", "key.*")
+    ordered = placed.repartitionByRange("side", "text").sortWithinPartitions("side", "text")
+
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, sides = batch.column("text").to_pylist(), batch.column("side").to_pylist()
+            texts = [text[::-1] if side else text for text, side in zip(texts, sides)]
+            is_asked = batch.column("asked").to_numpy(zero_copy_only=False)
+            mine, others = np.flatnonzero(is_asked), np.flatnonzero(~is_asked)
+            own, listed = ([texts[i] for i in numbers.tolist()] for numbers in (mine, others))
+            order, places = np.arange(len(listed)), np.searchsorted(others, mine)
+            hit = reach_around(own, listed, order, places, min_ratio, Sketches(listed))
+            found = pa.array(own, type=pa.string()).filter(pa.array(hit))
+            yield pa.record_batch([found], names=[url])
+
+    return ordered.mapInArrow(reach, f"{url} string").distinct()
+
+
 def _compare_by_length(
     rest: DataFrame, feed: DataFrame, min_ratio: int, url: str, broadcast_bytes: int
 ) -> DataFrame:
     """The URLs that any of the feed URLs matches, by comparing all of comparable length."""
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = UrlSearch(right.column("url").to_pylist(), min_ratio)
-        hits = [u for u in left.column(url).to_pylist() if found.matches(u)]
-        return pa.table({url: pa.array(hits, type=pa.string())})
+        texts = left.column(url)
+        found = UrlSearch(right.column("url").to_pylist(), min_ratio).matches_each(texts.to_pylist())
+        return pa.table({url: texts.filter(pa.array(found, type=pa.bool_()))})
 
     # Lengths a and b allow the ratio only if |a - b| <= indels * (a + b).
     indels = (201 - 2 * min_ratio) / 200
@@ -147,14 +180,16 @@ def compare_by_pieces(
     lefts = able.select(F.col(url).alias("text"), F.explode(pieces).alias("p"))
     lefts = lefts.select("p.bucket", "p.at", "text")
     left_counts = _bucket_counts(lefts)
+    schema = f"{url} string, hit boolean, compared long"
+    if not left_counts.any():
+        return spark.createDataFrame([], schema)
     shared = spark.sparkContext.broadcast(left_counts)
     fields = [("bucket", pa.int64()), ("at", pa.int32()), ("before", pa.list_(pa.int32()))]
 
     @F.arrow_udf("array<struct<bucket:bigint,at:int,before:array<int>>>")
     def rarest(batch: pa.Array) -> pa.Array:
         chosen = []
-        for text in batch.to_pylist():
-            pieces = rare_pieces(text, shared.value, min_ratio)
+        for pieces in rare_pieces_each(batch.to_pylist(), shared.value, min_ratio):
             places = [at for _, at in pieces]
             chosen.append(
                 [{"bucket": b, "at": i, "before": places[:n]} for n, (b, i) in enumerate(pieces)]
@@ -170,23 +205,35 @@ def compare_by_pieces(
         sides = [_numbered(table) for table in (left, right)]
         matcher = PieceMatcher(sides[0][0], sides[1][0], min_ratio)
         both = np.intersect1d(sides[0][1], sides[1][1])
-        crowd = np.searchsorted(sides[1][1], both, "right") - np.searchsorted(sides[1][1], both)
-        for bucket in both[np.argsort(crowd, kind="stable")].tolist():
-            spans = [
-                slice(*np.searchsorted(buckets, [bucket, bucket + 1])) for _, buckets, *_ in sides
-            ]
+        lows, ends = (
+            np.stack([np.searchsorted(buckets, both, side) for _, buckets, *_ in sides])
+            for side in ("left", "right")
+        )
+        crowd = np.argsort(ends[1] - lows[1], kind="stable")
+        lows, sizes = lows[:, crowd], (ends - lows)[:, crowd]
+        before = right.column("before").combine_chunks()
+        # Pieces with few pairs are met many at a time.
+        pairs = sizes[0] * sizes[1]
+        few = pairs < NEAR_PAIRS // 16
+        for group in np.split(np.flatnonzero(few), _portions(pairs[few], NEAR_PAIRS)):
+            own = np.repeat(group, pairs[group])
+            place = np.arange(len(own)) - np.repeat(np.cumsum(pairs[group]) - pairs[group], pairs[group])
+            mine, others = lows[0][own] + place // sizes[1][own], lows[1][own] + place % sizes[1][own]
+            parts = [part[rows] for side, rows in zip(sides, (mine, others)) for part in side[2:4]]
+            numbers = sides[1][4][others]
+            matcher.meet_each(*parts, lambda i: before[int(numbers[i])].as_py())
+        for piece in np.flatnonzero(~few).tolist():
+            spans = [slice(low, low + size) for low, size in zip(lows[:, piece], sizes[:, piece])]
             parts = [part[span] for side, span in zip(sides, spans) for part in side[2:4]]
-            before = right.column("before").take(pa.array(sides[1][4][spans[1]])).to_pylist()
-            matcher.meet(*parts, before)
+            matcher.meet(*parts, before.take(pa.array(sides[1][4][spans[1]])).to_pylist())
         some = np.flatnonzero(matcher.compared)
         texts = pa.array(sides[0][0], type=pa.string()).take(pa.array(some))
         found = [texts, pa.array(matcher.hit[some]), pa.array(matcher.compared[some])]
         return pa.table(found, names=[url, "hit", "compared"])
 
     return compare_in_cells(
-        lefts, left_counts, rights, _bucket_counts(rights), "bucket", compare,
-        f"{url} string, hit boolean, compared long", cell_rows,
-    )
+        lefts, left_counts, rights, _bucket_counts(rights), "bucket", compare, schema, cell_rows
+    )
 
 
 def _bucket(url: str, place: Column) -> Column:
@@ -202,6 +249,11 @@ def _bucket_counts(rows: DataFrame) -> np.ndarray:
     return counts
 
 
+def _portions(sizes: np.ndarray, most: int) -> np.ndarray:
+    """Where to cut a list so that the sizes of a portion come to about ``most``."""
+    return np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1
+
+
 def _numbered(rows: pa.Table) -> tuple:
     """Distinct texts; then bucket, number of the text, place and number of each row, by bucket."""
     texts = rows.column("text").combine_chunks().dictionary_encode()

@@ -149,6 +149,58 @@ def test_a_crowd_settles_strings_with_a_likely_partner():
     assert matcher.compared.sum() <= 51 * 4
 
 
+def moved_urls(n):
+    """URLs of one host, and the same on a host that looks like it, as a feed."""
+    urls = [f"https://shop.example.com/{'en' if i % 3 else 'de'}/{i * 7919 % 100_003}.html" for i in range(n)]
+    return urls, [u.replace("example.com", "examp1e.co") for u in urls]
+
+
+TEXTS = st.text("abcé/😀\0", max_size=150)
+
+
+@settings(deadline=None)
+@given(st.lists(TEXTS, min_size=1, max_size=6), st.lists(TEXTS, min_size=1, max_size=6), st.integers(50, 100))
+def test_many_pairs_at_once_equal_one_by_one(left, right, ratio):
+    left, right = [*left, left[0] * 5], [*right, left[0] * 5 + "x"]
+    rows, columns = (n.ravel() for n in np.indices((len(left), len(right))))
+    pairs = [(left[i], right[j]) for i, j in zip(rows, columns)]
+    assert fuzzy.lcs_lengths(left, rows, right, columns).tolist() == [lcs_length(*p) for p in pairs]
+    alike = [reaches(*p, ratio) for p in pairs]
+    assert fuzzy.reach_each(left, rows, right, columns, ratio).tolist() == alike
+    sides = fuzzy.Sketches(left), fuzzy.Sketches(right)
+    near = set(zip(*(n.tolist() for n in sides[0].near(np.arange(len(left)), sides[1], np.arange(len(right)), ratio)[:2])))
+    some, _ = sides[0].near_each(rows, sides[1], columns, ratio)
+    assert near == {(rows[k], columns[k]) for k in some}
+    assert all(a == b or (i, j) in near for i, j, (a, b), hit in zip(rows, columns, pairs, alike) if hit)
+
+
+def test_urls_with_a_partner_next_to_them_meet_no_pieces(spark, monkeypatch):
+    urls, feed = moved_urls(600)
+    urls += ["https://other.host.example.net/without/a/partner", "ftp://else.where/at/all"]
+    left = spark.createDataFrame([(u,) for u in urls], "clean_url string")
+    right = spark.createDataFrame([(u,) for u in feed], "url string")
+    met = []
+    whole = J.compare_by_pieces
+    monkeypatch.setattr(J, "compare_by_pieces", lambda rest, *rest_of: met.append(rest.count()) or whole(rest, *rest_of))
+    rows = J.similar_urls(left, right, broadcast_bytes=8 << 10).collect()
+    assert {r.clean_url for r in rows if not r.phishing_trace} == set(urls[600:]) and len(rows) == 602
+    assert 2 <= sum(met) < 10
+
+
+def test_partners_far_apart_in_order_are_found(spark):
+    rng = random.Random(12)
+    urls, feed = hosted_urls(rng, 300, 1)
+    # Both ends differ, so neither order brings the partners together.
+    urls, feed = [f"{i % 7}{u}{i % 5}" for i, u in enumerate(urls)], [f"{f}{'xyz'[i % 3]}" for i, f in enumerate(feed)]
+    urls += [f"https://crowd.example.com/{'q' * (i % 40)}{i:03d}" for i in range(200)]
+    feed += [f"https://crowd.example.com/{'w' * (i % 40)}{i:03d}" for i in range(200)]
+    left = spark.createDataFrame([(u,) for u in set(urls)], "clean_url string")
+    right = spark.createDataFrame([(u,) for u in set(feed)], "url string")
+    rows = J.similar_urls(left, right, broadcast_bytes=8 << 10).collect()
+    wanted = {u: any(reaches(u, f, 90) for f in feed) for u in set(urls)}
+    assert {r.clean_url: r.phishing_trace for r in rows} == wanted and 100 < sum(wanted.values()) < len(wanted)
+
+
 def test_a_piece_that_all_share_is_a_grid_of_cells(spark):
     rng = random.Random(3)
     stem = "https://same.host.example/always/the/same/path/"
