@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -10,7 +11,6 @@ import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 _CLASSES = 64
-_BAND_ROWS = 65536
 
 
 def lcs_length(a: str, b: str) -> int:
@@ -252,52 +252,71 @@ def reach_around(
     return hit
 
 
-def _histogram(text: str) -> np.ndarray:
-    codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32) % _CLASSES
-    return np.bincount(codes, minlength=_CLASSES).astype(np.int16)
+def _same(text: str) -> str:
+    return text
+
+
+def _reverse(text: str) -> str:
+    return text[::-1]
+
+
+_KEYS = _same, _reverse
 
 
 class UrlSearch:
     """Finds out whether any URL of a list is similar enough to a given one.
 
-    Every insertion or deletion changes one character count by one. So a pair whose
-    lengths, or whose character counts, differ by more than ``max_indels`` cannot match,
-    and only the others are compared in full.
+    Most that have a partner reach one next to them in the order of the URLs, or of their
+    reverses. The others meet all URLs, and those pairs that lengths and character counts do
+    not rule out are compared in full.
     """
 
+    _ROWS, _COLUMNS = 16, 4096
+
     def __init__(self, urls: list[str], min_ratio: int):
         self.min_ratio = min_ratio
         self.urls = sorted(set(urls), key=lambda u: (len(u), u))
         self.exact = frozenset(self.urls)
-        self.lengths = np.array([len(u) for u in self.urls], dtype=np.int64)
-        self.counts = np.array([_histogram(u) for u in self.urls], dtype=np.int16).reshape(
-            -1, _CLASSES
-        )
+        self.sketches = Sketches(self.urls)
+        short = [i for i, u in enumerate(self.urls) if len(u) <= LONGEST]
+        self.orders = [
+            np.array(sorted(short, key=lambda i: key(self.urls[i])), np.int32) for key in _KEYS
+        ]
 
     def matches(self, url: str) -> bool:
-        if url in self.exact:
-            return True
-        length = len(url)
-        near = abs(self.lengths - length) <= max_indels(self.lengths + length, self.min_ratio)
-        if not near.any():
-            return False
-        band = np.flatnonzero(near)
-        own = _histogram(url)
-        for start in range(int(band[0]), int(band[-1]) + 1, _BAND_ROWS):
-            stop = min(start + _BAND_ROWS, int(band[-1]) + 1)
-            apart = np.abs(self.counts[start:stop] - own).sum(axis=1, dtype=np.int64)
-            allowed = max_indels(self.lengths[start:stop] + length, self.min_ratio)
-            hits = np.flatnonzero(apart <= allowed)
-            for i in hits[np.argsort(apart[hits], kind="stable")]:
-                if reaches(url, self.urls[start + i], self.min_ratio):
-                    return True
-        return False
+        return self.matches_each([url])[0]
 
     def matches_each(self, urls: list[str | None]) -> list[bool | None]:
         """Answers for a batch; equal URLs are searched once."""
-        found = {u: self.matches(u) for u in set(urls) if u is not None}
+        found = {u: u in self.exact for u in set(urls) if u is not None}
+        for order, key in zip(self.orders, _KEYS):
+            open_ = [u for u, hit in found.items() if not hit and len(u) <= LONGEST]
+            at = [bisect.bisect_left(order, key(u), key=lambda i: key(self.urls[i])) for u in open_]
+            at = np.array(at, np.int64)
+            hits = reach_around(open_, self.urls, order, at, self.min_ratio, self.sketches)
+            found.update(zip(open_, hits.tolist()))
+        open_ = sorted((u for u, hit in found.items() if not hit), key=len)
+        found.update(zip(open_, self._search(open_).tolist()))
         return [found.get(u) for u in urls]
 
+    def _search(self, urls: list[str]) -> np.ndarray:
+        """Whether each of some URLs, by length, reaches any of the list."""
+        hit = np.zeros(len(urls), bool)
+        asked, lengths = Sketches(urls), self.sketches.lengths.astype(np.int64)
+        for low in range(0, len(urls), self._ROWS):
+            rows = np.arange(low, min(low + self._ROWS, len(urls)))
+            own = asked.lengths[rows].astype(np.int64)
+            least, most = (np.abs(lengths - n) <= max_indels(lengths + n, self.min_ratio) for n in (own[0], own[-1]))
+            band = np.flatnonzero(least | most | ((lengths > own[0]) & (lengths < own[-1])))
+            for start in range(band[0], band[-1] + 1, self._COLUMNS) if len(band) else ():
+                rows = rows[~hit[rows]]
+                if not len(rows):
+                    break
+                columns = slice(start, min(start + self._COLUMNS, band[-1] + 1))
+                mine, theirs, apart = asked.near(rows, self.sketches, columns, self.min_ratio)
+                reach_some(urls, rows[mine], self.urls, theirs + start, apart, self.min_ratio, hit)
+        return hit
+
 
 # ---- an index of rare pieces ---------------------------------------------------------
 # Cut any D + 1 pieces out of a string, none over another. An insertion or deletion spoils one

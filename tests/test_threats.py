@@ -215,6 +215,18 @@ def test_a_piece_that_all_share_is_a_grid_of_cells(spark):
     assert {r.clean_url for r in rows if r.hit} == {u for u in urls if search.matches(u)}
 
 
+def test_search_looks_at_all_urls_for_few(monkeypatch):
+    urls, feed = moved_urls(600)
+    urls += ["ftp://else.where/at/all", "é" * 30, "", "https://x.example.com/" + "z" * 600]
+    feed += ["é" * 29 + "\0", "https://x.example.com/" + "z" * 590, "q" * 5000]
+    asked = []
+    whole = fuzzy.UrlSearch._search
+    monkeypatch.setattr(fuzzy.UrlSearch, "_search", lambda self, some: asked.extend(some) or whole(self, some))
+    found = UrlSearch(feed, 90).matches_each([*urls, None])
+    assert found == [*([True] * 600), False, True, False, True, None]
+    assert len(asked) < 10
+
+
 def test_no_pair_table_in_the_plans(spark):
     left = spark.createDataFrame([("http://a/",)], "clean_url string")
     right = spark.createDataFrame([("http://b/",)], "url string")
